@@ -51,3 +51,105 @@ SELECT event_id, user_id, event_time, txn_count_1h, avg_amount_1h, max_amount_1h
        failed_attempts_1h, unique_locations_1h
 FROM feat
 """
+
+
+# ---------------------------------------------------------------------------
+# Aggregation
+# ---------------------------------------------------------------------------
+
+def summary_cols(n: str = "count(*)") -> str:
+    fc = "CAST(sum(CAST(coalesce(is_fraud, false) AS INTEGER)) AS BIGINT)"
+    return f"""
+       {n} AS total_transactions,
+       sum({CENTS}) / {D100} AS total_amount,
+       round(sum({CENTS}) / {n}) / {D100} AS avg_amount,
+       max(coalesce(transaction_amount, 0.0)) AS max_amount,
+       min(coalesce(transaction_amount, 0.0)) AS min_amount,
+       count(DISTINCT user_id) AS unique_users,
+       {fc} AS fraud_count,
+       round(({fc} / greatest({n}, 1)) * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE) AS fraud_rate"""
+
+
+def window_summary_sql(every: str) -> str:
+    return f"""
+WITH {EV}
+SELECT time_bucket(INTERVAL '{every}', event_time) AS window_start,
+       time_bucket(INTERVAL '{every}', event_time) + INTERVAL '{every}' AS window_end,
+       {summary_cols()}
+FROM ev GROUP BY 1, 2
+"""
+
+
+SQL["window_summary_1m"] = window_summary_sql("1 minute")
+SQL["window_summary_1h"] = window_summary_sql("1 hour")
+
+
+def breakdown_sql(dims: list[str], every: str = "1 hour", top: dict | None = None) -> str:
+    top = top or {}
+    pairs = "\n  UNION ALL ".join(
+        f"SELECT time_bucket(INTERVAL '{every}', event_time) AS window_start, '{d}' AS dimension, "
+        f"CAST({d} AS VARCHAR) AS value FROM ev" for d in dims)
+    keep = " AND ".join(f"(dimension <> '{d}' OR rnk <= {k})" for d, k in top.items()) or "TRUE"
+    return f"""
+pairs AS ({pairs}),
+cnts AS (SELECT window_start, dimension, value, count(*) AS cnt FROM pairs
+         WHERE value IS NOT NULL GROUP BY window_start, dimension, value),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY window_start, dimension
+                                              ORDER BY cnt DESC, value ASC) AS BIGINT) AS rnk
+           FROM cnts),
+long AS (SELECT * FROM ranked WHERE {keep})"""
+
+
+SQL["event_type_breakdown"] = f"WITH {EV}, {breakdown_sql(['event_type'])} SELECT window_start, value, cnt, rnk FROM long"
+SQL["device_breakdown"] = f"WITH {EV}, {breakdown_sql(['device_type'])} SELECT window_start, value, cnt, rnk FROM long"
+SQL["top_locations"] = (f"WITH {EV}, {breakdown_sql(['location'], top={'location': 10})} "
+                        "SELECT window_start, value, cnt, rnk FROM long")
+
+SQL["window_metrics"] = f"""
+WITH {EV}, {breakdown_sql(['event_type', 'device_type', 'location'], top={'location': 10})},
+maps AS (
+  SELECT window_start,
+         string_agg(CASE WHEN dimension = 'event_type' THEN value || ':' || cnt END, ',' ORDER BY rnk) AS event_type_breakdown,
+         string_agg(CASE WHEN dimension = 'device_type' THEN value || ':' || cnt END, ',' ORDER BY rnk) AS device_breakdown,
+         string_agg(CASE WHEN dimension = 'location' THEN value || ':' || cnt END, ',' ORDER BY rnk) AS location_breakdown
+  FROM long GROUP BY window_start),
+summ AS (
+  SELECT time_bucket(INTERVAL '1 hour', event_time) AS window_start,
+         time_bucket(INTERVAL '1 hour', event_time) + INTERVAL '1 hour' AS window_end,
+         {summary_cols()}
+  FROM ev GROUP BY 1, 2)
+SELECT summ.*, maps.event_type_breakdown, maps.device_breakdown, maps.location_breakdown
+FROM summ LEFT JOIN maps USING (window_start)
+"""
+
+COUNT_WINDOW = 100
+SQL["count_windows"] = f"""
+WITH {EV},
+ix AS (SELECT *, row_number() OVER (ORDER BY event_time, event_id) - 1 AS idx,
+              count(*) OVER () AS n_all FROM ev),
+both_ AS (
+  SELECT *, idx // {COUNT_WINDOW} AS window_index, false AS is_tail FROM ix
+  WHERE idx // {COUNT_WINDOW} < n_all // {COUNT_WINDOW}
+  UNION ALL
+  SELECT *, n_all // {COUNT_WINDOW} AS window_index, true AS is_tail FROM ix
+  WHERE n_all % {COUNT_WINDOW} <> 0 AND idx >= n_all - {COUNT_WINDOW})
+SELECT CAST(window_index AS BIGINT) AS window_index, is_tail,
+       min(event_time) AS first_event_time, max(event_time) AS last_event_time,
+       {summary_cols()}
+FROM both_ GROUP BY window_index, is_tail
+"""
+
+SQL["metrics_rollup"] = f"""
+WITH {EV},
+summ AS (SELECT time_bucket(INTERVAL '1 minute', event_time) AS window_start, {summary_cols()}
+         FROM ev GROUP BY 1),
+recent AS (SELECT * FROM summ ORDER BY window_start DESC LIMIT 60),
+u AS (SELECT *, CASE WHEN avg_amount <> 0 THEN CAST(round(avg_amount * {D100}) AS BIGINT) END AS avg_c,
+             CAST(round(fraud_rate * CAST(10000 AS DOUBLE)) AS BIGINT) AS rate_u FROM recent)
+SELECT count(*) AS windows_analysed,
+       coalesce(round(sum(avg_c) / count(avg_c)) / {D100}, 0.0) AS avg_transaction_value,
+       coalesce(round(sum(rate_u) / count(rate_u)) / CAST(10000 AS DOUBLE), 0.0) AS avg_fraud_rate,
+       CAST(coalesce(max(total_transactions), 0) AS BIGINT) AS peak_transactions,
+       CAST(coalesce(sum(total_transactions), 0) AS BIGINT) AS total_transactions
+FROM u
+"""

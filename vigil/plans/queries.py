@@ -42,3 +42,57 @@ QUERIES = {
     "time_features": q_time_features,
     "rolling_user_features": q_rolling_user_features,
 }
+
+
+# ---------------------------------------------------------------------------
+# Aggregation
+# ---------------------------------------------------------------------------
+
+from vigil.operators import summary as S  # noqa: E402
+
+
+def q_window_summary_1m(spark, sf_dir):
+    return S.window_summary(_events(spark, sf_dir), "1 minute")
+
+
+def q_window_summary_1h(spark, sf_dir):
+    return S.window_summary(_events(spark, sf_dir), "1 hour")
+
+
+def _breakdown(dim, top=None):
+    def q(spark, sf_dir):
+        long = S.breakdown_counts(_events(spark, sf_dir), "1 hour", dims=[dim],
+                                  top={dim: top} if top else {})
+        return long.select("window_start", "value", "cnt", "rnk")
+    return q
+
+
+def _map_text(m):
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"),
+                                                                          e["value"].cast("string"))), ",")
+
+
+def q_window_metrics(spark, sf_dir):
+    wm = S.window_metrics(_events(spark, sf_dir), "1 hour")
+    return wm.select(*[c for c in wm.columns if not c.endswith("breakdown")],
+                     *[_map_text(F.col(c)).alias(c) for c in wm.columns if c.endswith("breakdown")])
+
+
+def q_count_windows(spark, sf_dir):
+    return S.count_windows(_events(spark, sf_dir), every=100)
+
+
+def q_metrics_rollup(spark, sf_dir):
+    return S.metrics_rollup(S.window_summary(_events(spark, sf_dir), "1 minute"), n=60)
+
+
+QUERIES.update({
+    "window_summary_1m": q_window_summary_1m,
+    "window_summary_1h": q_window_summary_1h,
+    "event_type_breakdown": _breakdown("event_type"),
+    "device_breakdown": _breakdown("device_type"),
+    "top_locations": _breakdown("location", 10),
+    "window_metrics": q_window_metrics,
+    "count_windows": q_count_windows,
+    "metrics_rollup": q_metrics_rollup,
+})
