@@ -48,6 +48,9 @@ def with_time_features(df: DataFrame, ts_col: str = "event_time") -> DataFrame:
     })
 
 
-def iso_text(ts: Column) -> Column:
-    """ISO-8601 text with microseconds (``datetime.isoformat`` shape)."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def iso_text(ts: Column, sep: str = "T") -> Column:
+    """``datetime.isoformat(sep)`` text: microseconds shown only when non-zero."""
+    date_part = f"yyyy-MM-dd'{sep}'HH:mm:ss"
+    whole = F.date_format(ts, date_part)
+    frac = F.date_format(ts, "SSSSSS")
+    return F.when(frac == F.lit("000000"), whole).otherwise(F.concat(whole, F.lit("."), frac))

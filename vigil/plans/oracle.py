@@ -153,3 +153,142 @@ SELECT count(*) AS windows_analysed,
        CAST(coalesce(sum(total_transactions), 0) AS BIGINT) AS total_transactions
 FROM u
 """
+
+
+# ---------------------------------------------------------------------------
+# Alerts (R1–R15, A10–A11, I9)
+# ---------------------------------------------------------------------------
+
+import re as _re  # noqa: E402
+
+from vigil.schemas import (ALERT_RULE_TEXT, CHAT_COLOR, CHAT_ICON, NO_ALERTS_TEXT,  # noqa: E402
+                           ALERT_SUMMARY_HEADER)
+
+_FIELD = _re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_value(name: str, spec: str) -> str:
+    if spec == "":
+        out = f"CAST({name} AS VARCHAR)"
+    elif spec.endswith("%"):
+        out = f"format('{{:.{spec[1:-1]}f}}', CAST({name} AS DOUBLE) * CAST(100 AS DOUBLE)) || '%'"
+    else:
+        out = f"format('{{:{spec}}}', CAST({name} AS DOUBLE))"
+    return f"coalesce({out}, 'N/A')"
+
+
+def sql_template(t: str) -> str:
+    parts, pos = [], 0
+    for m in _FIELD.finditer(t):
+        if m.start() > pos:
+            parts.append(q(t[pos:m.start()]))
+        parts.append(sql_value(m.group(1), m.group(2) or ""))
+        pos = m.end()
+    if pos < len(t):
+        parts.append(q(t[pos:]))
+    return " || ".join(parts)
+
+
+def iso_sql(ts: str, sep: str = "T") -> str:
+    return (f"CASE WHEN epoch_us({ts}) % 1000000 = 0 THEN strftime({ts}, '%Y-%m-%d{sep}%H:%M:%S') "
+            f"ELSE strftime({ts}, '%Y-%m-%d{sep}%H:%M:%S.%f') END")
+
+
+def enriched_sql(minutes: int = 1440) -> str:
+    return f"""{EV}, {rolling_sql(minutes, 'error')},
+enr AS (SELECT feat.*, CAST(hour(event_time) < 6 OR hour(event_time) >= 22 AS INTEGER) AS is_night
+        FROM feat)"""
+
+
+RULE_SQL_COND = {
+    "FRAUD_HIGH_PROB": ("fraud_probability >= 0.85", 0.85),
+    "HIGH_TRANSACTION": ("transaction_amount >= 200.0", 200.0),
+    "FAILED_ATTEMPTS": ("failed_attempts_1h >= 2", 2.0),
+    "ANOMALY_NIGHT_API": ("device_type = 'api' AND is_night = 1 AND transaction_amount > 100.0", 100.0),
+    "VELOCITY_SPIKE": ("txn_count_1h >= 5", 5.0),
+}
+
+
+def alerts_sql() -> str:
+    parts = []
+    for i, (name, atype, sev, title, desc) in enumerate(ALERT_RULE_TEXT):
+        cond, thr = RULE_SQL_COND[name]
+        parts.append(f"""
+  SELECT sha256(event_id || '|' || '{name}') AS alert_id, '{name}' AS rule_name, {i} AS rule_order,
+         '{atype}' AS alert_type, '{sev}' AS severity,
+         {sql_template(title)} AS title, {sql_template(desc)} AS description,
+         user_id, event_id, CAST(transaction_amount AS DOUBLE) AS value,
+         CAST({thr} AS DOUBLE) AS threshold, event_time AS triggered_at
+  FROM enr WHERE coalesce({cond}, false)""")
+    return f"WITH {enriched_sql()}, alerts AS ({' UNION ALL '.join(parts)})"
+
+
+ALERTS = alerts_sql()
+SQL["alert_events"] = ALERTS + " SELECT * FROM alerts"
+SQL["alert_counts"] = ALERTS + " SELECT severity, count(*) AS alert_count FROM alerts GROUP BY severity"
+SQL["alert_pivot"] = ALERTS + """
+ SELECT CAST(coalesce(sum(CAST(severity = 'critical' AS BIGINT)), 0) AS BIGINT) AS critical,
+        CAST(coalesce(sum(CAST(severity = 'high' AS BIGINT)), 0) AS BIGINT) AS high,
+        CAST(coalesce(sum(CAST(severity = 'medium' AS BIGINT)), 0) AS BIGINT) AS medium,
+        CAST(coalesce(sum(CAST(severity = 'low' AS BIGINT)), 0) AS BIGINT) AS low
+ FROM alerts"""
+SQL["alert_deliveries"] = ALERTS + """
+ SELECT alert_id, severity, CAST(o AS BIGINT) AS delivery_order, ch AS channel
+ FROM alerts, (SELECT 0 AS o, 'chat' AS ch UNION ALL SELECT 1, 'email' UNION ALL SELECT 2, 'webhook') c
+ WHERE severity IN ('high', 'critical')
+ UNION ALL
+ SELECT alert_id, severity, CAST(o AS BIGINT), ch
+ FROM alerts, (SELECT 0 AS o, 'chat' AS ch UNION ALL SELECT 1, 'webhook') c
+ WHERE severity NOT IN ('high', 'critical')"""
+
+
+def _case(col: str, table: dict, default: str) -> str:
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items())
+    return f"CASE {col} {whens} ELSE {q(default)} END"
+
+
+_ISO = iso_sql("triggered_at")
+SQL["alert_payloads"] = ALERTS + f"""
+ SELECT alert_id,
+   to_json({{'channel': '#data-alerts',
+             'text': {_case('severity', CHAT_ICON, '⚠️')} || ' *' || title || '*' || chr(10) || description,
+             'attachments': [{{'color': {_case('severity', CHAT_COLOR, 'warning')},
+                               'fields': [{{'title': 'Severity', 'value': upper(severity), 'short': true}},
+                                          {{'title': 'Type', 'value': alert_type, 'short': true}},
+                                          {{'title': 'User', 'value': coalesce(user_id, 'N/A'), 'short': true}},
+                                          {{'title': 'Triggered', 'value': {_ISO}, 'short': true}}]}}]}}) AS chat_json,
+   CASE WHEN severity IN ('high', 'critical') THEN '[' || upper(severity) || '] ' || title END AS email_subject,
+   CASE WHEN severity IN ('high', 'critical') THEN
+     '<html><body><h2 style="color:' || CASE WHEN severity = 'critical' THEN 'red' ELSE 'orange' END || '">'
+     || title || '</h2><p>' || description || '</p><table border="1" cellpadding="5">'
+     || '<tr><td><b>Severity</b></td><td>' || severity || '</td></tr>'
+     || '<tr><td><b>Type</b></td><td>' || alert_type || '</td></tr>'
+     || '<tr><td><b>User</b></td><td>' || coalesce(user_id, 'N/A') || '</td></tr>'
+     || '<tr><td><b>Time</b></td><td>' || {iso_sql('triggered_at', ' ')} || '</td></tr>'
+     || '</table></body></html>' END AS email_html,
+   to_json({{'alert_id': alert_id, 'type': alert_type, 'severity': severity, 'title': title,
+             'description': description, 'user_id': user_id, 'triggered_at': {_ISO}}}) AS webhook_json
+ FROM alerts"""
+
+SQL["recent_alerts"] = ALERTS + """,
+ top AS (SELECT * FROM alerts ORDER BY triggered_at DESC, event_id DESC, rule_order DESC LIMIT 50)
+ SELECT CAST(row_number() OVER (ORDER BY triggered_at, event_id, rule_order) AS BIGINT) AS position,
+        alert_id, severity, title, triggered_at
+ FROM top"""
+
+SQL["alert_digest"] = ALERTS + f""",
+ firsts AS (
+   SELECT time_bucket(INTERVAL '1 hour', triggered_at) AS window_start,
+          '• [' || upper(severity) || '] ' || title || ': ' || description AS line,
+          row_number() OVER (PARTITION BY time_bucket(INTERVAL '1 hour', triggered_at)
+                             ORDER BY triggered_at, event_id, rule_order) AS r
+   FROM alerts),
+ d AS (SELECT window_start, {q(ALERT_SUMMARY_HEADER)} || chr(10) || string_agg(line, chr(10) ORDER BY r) AS digest
+       FROM firsts WHERE r <= 5 GROUP BY window_start),
+ w AS (SELECT DISTINCT time_bucket(INTERVAL '1 hour', event_time) AS window_start FROM ev)
+ SELECT w.window_start, coalesce(d.digest, {q(NO_ALERTS_TEXT)}) AS digest
+ FROM w LEFT JOIN d USING (window_start)"""

@@ -96,3 +96,69 @@ QUERIES.update({
     "count_windows": q_count_windows,
     "metrics_rollup": q_metrics_rollup,
 })
+
+
+# ---------------------------------------------------------------------------
+# Alerts (R1–R15, A10–A11, I9)
+# ---------------------------------------------------------------------------
+
+from vigil.operators import alerts as AL  # noqa: E402
+
+# The driver's data is sparse (at most ~11 events per user-day, amounts below
+# 600), so rule queries use a 24-hour frame and thresholds that fire on it.
+RULE_WINDOW_MINUTES = 24 * 60
+RULE_PARAMS = dict(fraud_threshold=0.85, high_amount=200.0, failed_attempts=2, velocity=5,
+                   night_api_amount=100.0)
+
+
+def enriched_events(spark, sf_dir, window_minutes=RULE_WINDOW_MINUTES):
+    """Canonical events + calendar features + rolling features (given score)."""
+    ev = with_time_features(_events(spark, sf_dir))
+    return rolling_user_features(ev, window_minutes=window_minutes, failed_type=FAILED_TYPE)
+
+
+def alerts_frame(spark, sf_dir):
+    return AL.evaluate_alerts(enriched_events(spark, sf_dir), AL.default_rules(**RULE_PARAMS))
+
+
+def q_alert_events(spark, sf_dir):
+    return alerts_frame(spark, sf_dir).drop("resolved")
+
+
+def q_alert_counts(spark, sf_dir):
+    return AL.alert_counts(alerts_frame(spark, sf_dir))
+
+
+def q_alert_pivot(spark, sf_dir):
+    return AL.alert_pivot(alerts_frame(spark, sf_dir))
+
+
+def q_alert_deliveries(spark, sf_dir):
+    return AL.alert_deliveries(alerts_frame(spark, sf_dir)).withColumn(
+        "delivery_order", F.col("delivery_order").cast("long"))
+
+
+def q_alert_payloads(spark, sf_dir):
+    return AL.alert_payloads(alerts_frame(spark, sf_dir))
+
+
+def q_recent_alerts(spark, sf_dir):
+    r = AL.recent_alerts(alerts_frame(spark, sf_dir), limit=50)
+    return r.select("position", "alert_id", "severity", "title", "triggered_at")
+
+
+def q_alert_digest(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    windows = ev.select(F.window("event_time", "1 hour").start.alias("window_start"))
+    return AL.alert_digest(alerts_frame(spark, sf_dir), windows, "1 hour", first=5)
+
+
+QUERIES.update({
+    "alert_events": q_alert_events,
+    "alert_counts": q_alert_counts,
+    "alert_pivot": q_alert_pivot,
+    "alert_deliveries": q_alert_deliveries,
+    "alert_payloads": q_alert_payloads,
+    "recent_alerts": q_recent_alerts,
+    "alert_digest": q_alert_digest,
+})
