@@ -292,3 +292,86 @@ SQL["alert_digest"] = ALERTS + f""",
  w AS (SELECT DISTINCT time_bucket(INTERVAL '1 hour', event_time) AS window_start FROM ev)
  SELECT w.window_start, coalesce(d.digest, {q(NO_ALERTS_TEXT)}) AS digest
  FROM w LEFT JOIN d USING (window_start)"""
+
+
+# ---------------------------------------------------------------------------
+# Validation and store
+# ---------------------------------------------------------------------------
+
+from vigil.schemas import DEVICE_TYPES, EVENT_TYPES  # noqa: E402
+
+_IN = lambda xs: ", ".join(q(x) for x in xs)
+SQL["quarantine"] = f"""
+WITH {EV},
+r AS (SELECT event_id, event_type,
+        list_filter([
+          CASE WHEN user_id IS NULL THEN 'missing_user_id' END,
+          CASE WHEN session_id IS NULL THEN 'missing_session_id' END,
+          CASE WHEN transaction_amount IS NULL THEN 'missing_transaction_amount' END,
+          CASE WHEN location IS NULL THEN 'missing_location' END,
+          CASE WHEN device_type IS NULL THEN 'missing_device_type' END,
+          CASE WHEN event_type IS NULL THEN 'missing_event_type' END,
+          CASE WHEN transaction_amount < 0 THEN 'negative_amount' END,
+          CASE WHEN event_type IS NOT NULL AND event_type NOT IN ({_IN(EVENT_TYPES)}) THEN 'unknown_event_type' END,
+          CASE WHEN device_type IS NOT NULL AND device_type NOT IN ({_IN(DEVICE_TYPES)}) THEN 'unknown_device_type' END
+        ], lambda x: x IS NOT NULL) AS rs
+      FROM ev)
+SELECT event_id, event_type, array_to_string(rs, ',') AS reasons FROM r WHERE len(rs) > 0
+"""
+
+SQL["idempotent_insert"] = f"""
+WITH {EV}
+SELECT event_id, user_id, event_time, transaction_amount,
+       CASE WHEN event_time < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS batch
+FROM ev
+"""
+
+SQL["recent_events"] = f"""
+WITH {EV}
+SELECT event_id, user_id, {iso_sql('event_time')} AS event_time, transaction_amount
+FROM ev ORDER BY ev.event_time DESC, event_id DESC LIMIT 100
+"""
+
+SQL["risky_events"] = f"""
+WITH {EV}
+SELECT event_id, user_id, event_time, fraud_probability FROM ev
+WHERE fraud_probability >= 0.8 ORDER BY event_time DESC, event_id DESC LIMIT 20
+"""
+
+_SUMM_1M = f"""summ AS (SELECT time_bucket(INTERVAL '1 minute', event_time) AS window_start,
+       time_bucket(INTERVAL '1 minute', event_time) + INTERVAL '1 minute' AS window_end, {summary_cols()}
+       FROM ev GROUP BY 1, 2)"""
+
+SQL["latest_metrics"] = f"WITH {EV}, {_SUMM_1M} SELECT * FROM summ ORDER BY window_start DESC LIMIT 1"
+
+SQL["metrics_history"] = f"""
+WITH {EV}, {_SUMM_1M},
+h AS (SELECT * FROM summ ORDER BY window_start DESC LIMIT 500),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY window_start) - 1 AS BIGINT) AS pos,
+             count(*) OVER () AS n FROM h)
+SELECT pos, window_start, total_transactions, fraud_rate FROM p WHERE pos >= greatest(n - 60, 0) AND pos <= n - 1
+"""
+
+SQL["latest_per_user"] = f"""
+WITH {EV}
+SELECT user_id, arg_max(event_id, (event_time, event_id)) AS event_id,
+       max(event_time) AS event_time,
+       arg_max(transaction_amount, (event_time, event_id)) AS transaction_amount
+FROM ev GROUP BY user_id
+"""
+
+SQL["event_counters"] = f"WITH {EV} SELECT user_id, count(*) AS value FROM ev GROUP BY user_id"
+
+SQL["fresh_metrics"] = f"""
+WITH {EV}, {_SUMM_1M}
+SELECT window_start, total_transactions FROM summ
+WHERE window_end > (SELECT max(window_end) FROM summ) - INTERVAL 3600 SECOND
+"""
+
+SQL["archive_roundtrip"] = f"""
+WITH {EV}
+SELECT CAST(year(event_time) AS BIGINT) AS year, CAST(month(event_time) AS BIGINT) AS month,
+       CAST(day(event_time) AS BIGINT) AS day, CAST(hour(event_time) AS BIGINT) AS hour,
+       count(*) AS n_events
+FROM ev GROUP BY ALL
+"""

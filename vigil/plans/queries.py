@@ -162,3 +162,88 @@ QUERIES.update({
     "recent_alerts": q_recent_alerts,
     "alert_digest": q_alert_digest,
 })
+
+
+# ---------------------------------------------------------------------------
+# Validation and store
+# ---------------------------------------------------------------------------
+
+from vigil.operators import store as ST  # noqa: E402
+from vigil.operators.validation import split_valid  # noqa: E402
+from vigil.session import scratch_path  # noqa: E402
+from vigil.sources.json_events import archive_events, read_archive  # noqa: E402
+
+MIDPOINT = "2024-01-16 00:00:00"
+
+
+def q_quarantine(spark, sf_dir):
+    _, bad = split_valid(_events(spark, sf_dir))
+    return bad.select("event_id", "event_type", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
+def q_idempotent_insert(spark, sf_dir):
+    """Batch 1 = events before the midpoint; batch 2 replays the whole table.
+    First write wins: early events keep batch 1, later ones come from batch 2."""
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount")
+    first = ev.filter(F.col("event_time") < F.lit(MIDPOINT).cast("timestamp_ntz")).withColumn("batch", F.lit(1))
+    replay = ev.withColumn("batch", F.lit(2))
+    return ST.idempotent_insert(first, replay, key="event_id", arrival_cols=["batch"])
+
+
+def q_recent_events(spark, sf_dir):
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount")
+    return ST.recent_events(ev, n=100, order_cols=["event_time", "event_id"], time_cols=["event_time"])
+
+
+def q_risky_events(spark, sf_dir):
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "event_time", "fraud_probability")
+    return ST.risky_events(ev, min_score=0.8, n=20)
+
+
+def q_latest_metrics(spark, sf_dir):
+    return ST.latest_row(S.window_summary(_events(spark, sf_dir), "1 minute"))
+
+
+def q_metrics_history(spark, sf_dir):
+    hist = ST.bounded_history(S.window_summary(_events(spark, sf_dir), "1 minute"), 500, ["window_start"])
+    return ST.list_range(hist, -60, -1).select("pos", "window_start", "total_transactions", "fraud_rate")
+
+
+def q_latest_per_user(spark, sf_dir):
+    ev = _events(spark, sf_dir).select("user_id", "event_id", "event_time", "transaction_amount")
+    return ST.latest_by_key(ev, "user_id", ["event_time", "event_id"])
+
+
+def q_event_counters(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    mid = F.lit(MIDPOINT).cast("timestamp_ntz")
+    c1 = ST.increment_counters(None, ev.filter(F.col("event_time") < mid), "user_id")
+    return ST.increment_counters(c1, ev.filter(F.col("event_time") >= mid), "user_id")
+
+
+def q_fresh_metrics(spark, sf_dir):
+    m = S.window_summary(_events(spark, sf_dir), "1 minute").withColumn("updated_at", F.col("window_end"))
+    as_of = m.agg(F.max("updated_at")).first()[0]  # one scalar
+    return ST.fresh_rows(m, F.lit(as_of)).select("window_start", "total_transactions")
+
+
+def q_archive_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "archive")
+    archive_events(_events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount"),
+                   path, mode="overwrite")
+    back = read_archive(spark, path)
+    return back.groupBy("year", "month", "day", "hour").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+QUERIES.update({
+    "quarantine": q_quarantine,
+    "idempotent_insert": q_idempotent_insert,
+    "recent_events": q_recent_events,
+    "risky_events": q_risky_events,
+    "latest_metrics": q_latest_metrics,
+    "metrics_history": q_metrics_history,
+    "latest_per_user": q_latest_per_user,
+    "event_counters": q_event_counters,
+    "fresh_metrics": q_fresh_metrics,
+    "archive_roundtrip": q_archive_roundtrip,
+})

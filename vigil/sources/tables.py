@@ -3,8 +3,8 @@
 The driver's ``events`` table carries (event_id, ts, user_id, event_type,
 value, props).  The canonical view maps it onto the transaction-event shape
 all operators consume; device, location and a given fraud score are derived
-deterministically from the ``k`` value in ``props`` so every downstream
-result is reproducible in plain SQL.
+deterministically from the ``k`` value in ``props`` (and the session from
+user and day) so every downstream result is reproducible in plain SQL.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def canonical_events(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        F.lit(None).cast("string").alias("session_id"),
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         F.col("ts").alias("event_time"),
         F.col("value").alias("transaction_amount"),
         F.concat(F.lit(LOCATION_PREFIX), (k % N_LOCATIONS).cast("string")).alias("location"),
@@ -63,7 +63,7 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 CANONICAL_EVENTS_SQL = f"""
 SELECT CAST(event_id AS VARCHAR) AS event_id,
        CAST(user_id AS VARCHAR) AS user_id,
-       CAST(NULL AS VARCHAR) AS session_id,
+       CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS session_id,
        ts AS event_time,
        value AS transaction_amount,
        '{LOCATION_PREFIX}' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % {N_LOCATIONS} AS VARCHAR) AS location,
