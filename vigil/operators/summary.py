@@ -61,24 +61,30 @@ DIMENSIONS = ["event_type", "device_type", "location"]
 
 
 def breakdown_counts(df: DataFrame, every: str = "1 minute", ts_col: str = "event_time",
-                     dims: list[str] = DIMENSIONS, top: dict[str, int] | None = None) -> DataFrame:
-    """A4–A6 in long form: (window_start, dimension, value, cnt, rnk).
-
-    One scan feeds all dimensions: each row is fanned out to one (dimension,
-    value) pair per dimension and counted with map-side partial aggregation,
-    so the fan-out never reaches the shuffle.  Ranks order by count desc, then
-    value asc; null values are dropped like ``value_counts`` does.
-    ``top`` keeps only the first k values of the named dimensions.
+                     dims: list[str] = DIMENSIONS, top: dict[str, int] | None = None,
+                     group_cols: list[str] | None = None) -> DataFrame:
+    """A4–A6 in long form: (group…, dimension, value, cnt, rnk).
+
+    Groups are tumbling windows of ``every`` (column ``window_start``) unless
+    ``group_cols`` names existing key columns.  One scan feeds all
+    dimensions: each row is fanned out to one (dimension, value) pair per
+    dimension and counted with map-side partial aggregation, so the fan-out
+    never reaches the shuffle.  Ranks order by count desc, then value asc;
+    null values are dropped like ``value_counts`` does.  ``top`` keeps only
+    the first k values of the named dimensions.
     """
     top = {"location": 10} if top is None else top
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
                       for d in dims])
-    long = (df.select(F.window(ts_col, every).start.alias("window_start"),
-                      F.inline(pairs))
+    if group_cols:
+        keys = [F.col(c) for c in group_cols]
+    else:
+        keys, group_cols = [F.window(ts_col, every).start.alias("window_start")], ["window_start"]
+    long = (df.select(*keys, F.inline(pairs))
               .filter(F.col("value").isNotNull())
-              .groupBy("window_start", "dimension", "value")
+              .groupBy(*group_cols, "dimension", "value")
               .agg(F.count(F.lit(1)).alias("cnt")))
-    rank_w = Window.partitionBy("window_start", "dimension").orderBy(F.desc("cnt"), F.asc("value"))
+    rank_w = Window.partitionBy(*group_cols, "dimension").orderBy(F.desc("cnt"), F.asc("value"))
     ranked = long.withColumn("rnk", F.row_number().over(rank_w).cast("long"))
     if top:
         keep = F.lit(True)
@@ -88,15 +94,18 @@ def breakdown_counts(df: DataFrame, every: str = "1 minute", ts_col: str = "even
     return ranked
 
 
-def breakdown_maps(long: DataFrame, dims: list[str] = DIMENSIONS) -> DataFrame:
-    """Fold the long form into one ordered ``map<string,bigint>`` per dimension."""
+def breakdown_maps(long: DataFrame, dims: list[str] = DIMENSIONS,
+                   group_cols: list[str] | None = None) -> DataFrame:
+    """Fold the long form into one ordered ``map<string,bigint>`` per dimension
+    (at most the number of distinct values per group and dimension)."""
+    group_cols = group_cols or ["window_start"]
     aggs = []
     for d in dims:
         entries = F.sort_array(F.collect_list(
             F.when(F.col("dimension") == F.lit(d), F.struct(F.col("rnk"), F.col("value"), F.col("cnt")))))
         aggs.append(F.map_from_entries(
             F.transform(entries, lambda e: F.struct(e["value"], e["cnt"]))).alias(_map_name(d)))
-    return long.groupBy("window_start").agg(*aggs)
+    return long.groupBy(*group_cols).agg(*aggs)
 
 
 def _map_name(dim: str) -> str:
@@ -147,15 +156,10 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "idx",
     return out.drop("_pid", "_mid", "_off", "_all")
 
 
-def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None = None,
-                  **kw) -> DataFrame:
-    """A summary for every ``every`` consecutive events, plus a trailing
-    window over the last ``every`` events when the total is not a multiple
-    (flagged ``is_tail``; it may overlap the previous window).
-
-    Window ids come from the global index, so the per-window aggregation is an
-    ordinary (partial + final) hash aggregate.  Only tail rows are duplicated.
-    """
+def assign_count_windows(df: DataFrame, every: int = 100,
+                         order_cols: list[str] | None = None) -> DataFrame:
+    """Rows tagged with (window_index, is_tail) for A8; tail rows appear once
+    more under the tail window."""
     order_cols = order_cols or ["event_time", "event_id"]
     ix = global_index(df, order_cols, total_col="n_all")
     full_windows = F.floor(F.col("n_all") / every)
@@ -165,13 +169,36 @@ def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None
     tail = (ix.filter((F.col("n_all") % every != 0) & (F.col("idx") >= F.col("n_all") - every))
               .withColumn("window_index", full_windows.cast("long"))
               .withColumn("is_tail", F.lit(True)))
-    both = regular.unionByName(tail)
+    return regular.unionByName(tail)
+
+
+def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None = None,
+                  tagged: DataFrame | None = None, **kw) -> DataFrame:
+    """A summary for every ``every`` consecutive events, plus a trailing
+    window over the last ``every`` events when the total is not a multiple
+    (flagged ``is_tail``; it may overlap the previous window).
+
+    Window ids come from the global index, so the per-window aggregation is an
+    ordinary (partial + final) hash aggregate.  Only tail rows are duplicated.
+    """
+    order_cols = order_cols or ["event_time", "event_id"]
+    both = tagged if tagged is not None else assign_count_windows(df, every, order_cols)
     ts = order_cols[0]
     return (both.groupBy("window_index", "is_tail")
                 .agg(F.min(ts).alias("first_event_time"), F.max(ts).alias("last_event_time"),
                      *summary_aggs(both, **kw)))
 
 
+def count_window_metrics(df: DataFrame, every: int = 100,
+                         order_cols: list[str] | None = None) -> DataFrame:
+    """A8 windows with the three breakdown maps (the insight cadence)."""
+    tagged = assign_count_windows(df, every, order_cols)
+    keys = ["window_index", "is_tail"]
+    summ = count_windows(df, every, order_cols, tagged=tagged)
+    maps = breakdown_maps(breakdown_counts(tagged, group_cols=keys), group_cols=keys)
+    return summ.join(maps, keys, "left")
+
+
 # ---------------------------------------------------------------------------
 # Reads over the window-metrics table
 # ---------------------------------------------------------------------------

@@ -375,3 +375,117 @@ SELECT CAST(year(event_time) AS BIGINT) AS year, CAST(month(event_time) AS BIGIN
        count(*) AS n_events
 FROM ev GROUP BY ALL
 """
+
+
+# ---------------------------------------------------------------------------
+# Insights and dashboard reads
+# ---------------------------------------------------------------------------
+
+from vigil.schemas import (INSIGHT_FINDING_TEMPLATES, INSIGHT_RECOMMENDATIONS,  # noqa: E402
+                           INSIGHT_TEXT_TEMPLATE, USER_PROMPT_TEMPLATE)
+
+_JSONV = "replace(replace(value, '\\', '\\\\'), '\"', '\\\"')"
+
+
+def count_window_metrics_sql(every: int = 100) -> str:
+    """CTEs ending in ``cwm``: count-window summary + breakdown text/json."""
+    return f"""
+ix AS (SELECT *, row_number() OVER (ORDER BY event_time, event_id) - 1 AS idx,
+              count(*) OVER () AS n_all FROM ev),
+tagged AS (
+  SELECT *, CAST(idx // {every} AS BIGINT) AS window_index, false AS is_tail FROM ix
+  WHERE idx // {every} < n_all // {every}
+  UNION ALL
+  SELECT *, CAST(n_all // {every} AS BIGINT) AS window_index, true AS is_tail FROM ix
+  WHERE n_all % {every} <> 0 AND idx >= n_all - {every}),
+summ AS (SELECT window_index, is_tail, min(event_time) AS first_event_time,
+                max(event_time) AS last_event_time, {summary_cols()}
+         FROM tagged GROUP BY window_index, is_tail),
+pairs AS (SELECT window_index, is_tail, 'event_type' AS dimension, event_type AS value FROM tagged
+          UNION ALL SELECT window_index, is_tail, 'device_type', device_type FROM tagged
+          UNION ALL SELECT window_index, is_tail, 'location', location FROM tagged),
+cnts AS (SELECT window_index, is_tail, dimension, value, count(*) AS cnt FROM pairs
+         WHERE value IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY window_index, is_tail, dimension
+                                        ORDER BY cnt DESC, value ASC) AS rnk FROM cnts),
+long AS (SELECT * FROM ranked WHERE dimension <> 'location' OR rnk <= 10),
+maps AS (SELECT window_index, is_tail,
+           min_by(value, rnk) FILTER (WHERE dimension = 'device_type') AS peak_device,
+           coalesce('{{' || string_agg('"' || {_JSONV} || '": ' || cnt, ', ' ORDER BY rnk)
+                     FILTER (WHERE dimension = 'event_type') || '}}', '{{}}') AS event_type_breakdown,
+           coalesce('{{' || string_agg('"' || {_JSONV} || '": ' || cnt, ', ' ORDER BY rnk)
+                     FILTER (WHERE dimension = 'device_type') || '}}', '{{}}') AS device_breakdown,
+           coalesce('{{' || string_agg('"' || {_JSONV} || '": ' || cnt, ', ' ORDER BY rnk)
+                     FILTER (WHERE dimension = 'location') || '}}', '{{}}') AS location_breakdown
+         FROM long GROUP BY window_index, is_tail),
+cwm AS (SELECT summ.*, coalesce(maps.peak_device, 'N/A') AS peak_device, maps.event_type_breakdown,
+               maps.device_breakdown, maps.location_breakdown,
+               CASE WHEN fraud_rate > 0.15 THEN 'critical' WHEN fraud_rate > 0.08 THEN 'high'
+                    WHEN fraud_rate > 0.03 THEN 'medium' ELSE 'low' END AS risk_level
+        FROM summ LEFT JOIN maps USING (window_index, is_tail))"""
+
+
+_INS = f"""WITH {EV}, {count_window_metrics_sql()},
+ins AS (SELECT sha256({iso_sql('first_event_time')} || '|' || {iso_sql('last_event_time')}) AS insight_id,
+               first_event_time AS window_start, last_event_time AS window_end,
+               {sql_template(INSIGHT_TEXT_TEMPLATE)} AS insight_text,
+               {" || chr(10) || ".join(sql_template(t) for t in INSIGHT_FINDING_TEMPLATES)} AS key_findings,
+               {" || chr(10) || ".join(q(r) for r in INSIGHT_RECOMMENDATIONS)} AS recommendations,
+               risk_level, 'template' AS model_used
+        FROM cwm)"""
+
+SQL["insights"] = _INS + " SELECT * FROM ins"
+SQL["latest_insight"] = _INS + (" SELECT insight_id, window_start, risk_level, insight_text FROM ins "
+                                "ORDER BY window_start DESC LIMIT 1")
+SQL["insight_history"] = _INS + """,
+h AS (SELECT insight_id, window_start, risk_level FROM ins ORDER BY window_start DESC LIMIT 100),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY window_start) - 1 AS BIGINT) AS pos, count(*) OVER () AS n FROM h)
+SELECT insight_id, window_start, risk_level, pos FROM p WHERE pos >= greatest(n - 10, 0) AND pos <= n - 1"""
+
+
+def _prompt_sql() -> str:
+    t = USER_PROMPT_TEMPLATE
+    subst = {"window_start": iso_sql("first_event_time"), "window_end": iso_sql("last_event_time"),
+             "event_type_breakdown": "event_type_breakdown", "device_breakdown": "device_breakdown",
+             "location_breakdown": "location_breakdown"}
+    parts, pos = [], 0
+    for m in _FIELD.finditer(t):
+        if m.start() > pos:
+            parts.append(q(t[pos:m.start()]))
+        name, spec = m.group(1), m.group(2) or ""
+        parts.append(f"coalesce({subst[name]}, 'N/A')" if name in subst else sql_value(name, spec))
+        pos = m.end()
+    if pos < len(t):
+        parts.append(q(t[pos:]))
+    return " || ".join(parts)
+
+
+SQL["insight_prompts"] = f"WITH {EV}, {count_window_metrics_sql()} SELECT first_event_time AS window_start, {_prompt_sql()} AS prompt FROM cwm"
+
+SQL["run_counters"] = f"""
+WITH {ALERTS.split('WITH', 1)[1]},
+cw AS (SELECT count(*) AS n_all FROM ev)
+SELECT 'processed' AS counter, CAST(count(*) AS BIGINT) AS value FROM ev
+UNION ALL SELECT 'alerts', CAST(count(*) AS BIGINT) FROM alerts
+UNION ALL SELECT 'insights', CAST(n_all // 100 + CASE WHEN n_all % 100 <> 0 THEN 1 ELSE 0 END AS BIGINT) FROM cw
+UNION ALL SELECT 'fraud_detected', CAST(sum(CAST(is_fraud AS BIGINT)) AS BIGINT) FROM ev
+"""
+
+SQL["throughput_series"] = f"""
+WITH {EV}, s AS (
+  SELECT time_bucket(INTERVAL '1 hour', event_time) AS window_start, {summary_cols()} FROM ev GROUP BY 1)
+SELECT window_start, total_transactions, coalesce(fraud_count, 0) AS fraud_count,
+       fraud_rate * CAST(100 AS DOUBLE) AS fraud_pct, fraud_rate * CAST(100 AS DOUBLE) > 5.0 AS above_reference
+FROM s
+"""
+
+SQL["kpi_row"] = f"""
+WITH {EV}, {_SUMM_1M},
+l AS (SELECT * FROM summ ORDER BY window_start DESC LIMIT 1)
+SELECT {iso_sql('window_start')} AS last_metrics_window, total_transactions,
+       '$' || format('{{:,.0f}}', total_amount) AS total_volume,
+       '$' || format('{{:,.0f}}', avg_amount) AS avg_transaction,
+       unique_users, fraud_count,
+       format('{{:.1f}}', fraud_rate * CAST(100 AS DOUBLE)) || '%' AS fraud_rate_text
+FROM l
+"""

@@ -247,3 +247,90 @@ QUERIES.update({
     "fresh_metrics": q_fresh_metrics,
     "archive_roundtrip": q_archive_roundtrip,
 })
+
+
+# ---------------------------------------------------------------------------
+# Insights and dashboard reads
+# ---------------------------------------------------------------------------
+
+from vigil.functions.fmt import money, percent  # noqa: E402
+from vigil.functions.time import iso_text  # noqa: E402
+from vigil.operators import insights as IN  # noqa: E402
+
+INSIGHT_EVERY = 100
+
+
+def _insights(spark, sf_dir):
+    cwm = S.count_window_metrics(_events(spark, sf_dir), every=INSIGHT_EVERY)
+    ins = IN.template_insights(cwm, "first_event_time", "last_event_time")
+    return ins, cwm
+
+
+def q_insights(spark, sf_dir):
+    ins, _ = _insights(spark, sf_dir)
+    return ins.select("insight_id", "window_start", "window_end", "insight_text",
+                      F.array_join("key_findings", "\n").alias("key_findings"),
+                      F.array_join("recommendations", "\n").alias("recommendations"),
+                      "risk_level", "model_used")
+
+
+def q_insight_prompts(spark, sf_dir):
+    cwm = S.count_window_metrics(_events(spark, sf_dir), every=INSIGHT_EVERY)
+    return IN.insight_prompts(cwm, "first_event_time", "last_event_time")
+
+
+def q_latest_insight(spark, sf_dir):
+    ins, _ = _insights(spark, sf_dir)
+    return ST.latest_row(ins.select("insight_id", "window_start", "risk_level", "insight_text"),
+                         "window_start")
+
+
+def q_insight_history(spark, sf_dir):
+    ins, _ = _insights(spark, sf_dir)
+    hist = ST.bounded_history(ins.select("insight_id", "window_start", "risk_level"), 100, ["window_start"])
+    return ST.list_range(hist, -10, -1)
+
+
+def q_run_counters(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    parts = [
+        ev.agg(F.count(F.lit(1)).alias("value")).withColumn("counter", F.lit("processed")),
+        alerts_frame(spark, sf_dir).agg(F.count(F.lit(1)).alias("value")).withColumn("counter", F.lit("alerts")),
+        S.count_windows(ev, every=INSIGHT_EVERY).agg(F.count(F.lit(1)).alias("value"))
+         .withColumn("counter", F.lit("insights")),
+        ev.agg(F.sum(F.col("is_fraud").cast("long")).alias("value")).withColumn("counter", F.lit("fraud_detected")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("counter", F.col("value").cast("long").alias("value"))
+
+
+def q_throughput_series(spark, sf_dir):
+    m = S.window_summary(_events(spark, sf_dir), "1 hour")
+    pct = F.col("fraud_rate") * F.lit(100.0)
+    return m.select("window_start", "total_transactions",
+                    F.coalesce(F.col("fraud_count"), F.lit(0)).alias("fraud_count"),
+                    pct.alias("fraud_pct"), (pct > F.lit(5.0)).alias("above_reference"))
+
+
+def q_kpi_row(spark, sf_dir):
+    latest = ST.latest_row(S.window_summary(_events(spark, sf_dir), "1 minute"))
+    return latest.select(
+        iso_text(F.col("window_start")).alias("last_metrics_window"),
+        "total_transactions",
+        F.concat(F.lit("$"), money(F.col("total_amount"), 0)).alias("total_volume"),
+        F.concat(F.lit("$"), money(F.col("avg_amount"), 0)).alias("avg_transaction"),
+        "unique_users", "fraud_count",
+        percent(F.col("fraud_rate"), 1).alias("fraud_rate_text"))
+
+
+QUERIES.update({
+    "insights": q_insights,
+    "insight_prompts": q_insight_prompts,
+    "latest_insight": q_latest_insight,
+    "insight_history": q_insight_history,
+    "run_counters": q_run_counters,
+    "throughput_series": q_throughput_series,
+    "kpi_row": q_kpi_row,
+})

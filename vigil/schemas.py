@@ -118,3 +118,29 @@ MODEL_INPUTS = ["transaction_amount", "hour_of_day", "day_of_week", "is_weekend"
                 "max_amount_1h", "failed_attempts_1h", "unique_locations_1h"]
 DERIVED_FEATURES = ["log_amount", "amount_vs_avg_ratio", "fail_rate"]
 CATEGORICAL = ["device_type", "event_type", "location"]
+
+# Insight text templates (Python format syntax, rendered as Spark columns).
+INSIGHT_TEXT_TEMPLATE = ("Processed {total_transactions} transactions totalling ${total_amount:,.2f}. "
+                         "Fraud rate is {fraud_rate:.1%}, flagged as {risk_level} risk.")
+INSIGHT_FINDING_TEMPLATES = [
+    "Average transaction value: ${avg_amount:,.2f}",
+    "Fraud count: {fraud_count} transactions",
+    "Peak device: {peak_device}",
+]
+# Prompt for an external text model (the call itself is not part of this package).
+USER_PROMPT_TEMPLATE = """Analyse the following transaction metrics from the last window 
+and provide business insights:
+
+METRICS:
+- Window: {window_start} → {window_end}
+- Total Transactions: {total_transactions}
+- Total Amount: ${total_amount:,.2f}
+- Average Transaction: ${avg_amount:,.2f}
+- Maximum Transaction: ${max_amount:,.2f}
+- Unique Users: {unique_users}
+- Fraud Detected: {fraud_count} ({fraud_rate:.1%} fraud rate)
+- Event Breakdown: {event_type_breakdown}
+- Device Breakdown: {device_breakdown}
+- Top Locations: {location_breakdown}
+
+Generate insights, identify risks, and provide recommendations."""
