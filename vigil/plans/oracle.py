@@ -489,3 +489,59 @@ SELECT {iso_sql('window_start')} AS last_metrics_window, total_transactions,
        format('{{:.1f}}', fraud_rate * CAST(100 AS DOUBLE)) || '%' AS fraud_rate_text
 FROM l
 """
+
+
+# ---------------------------------------------------------------------------
+# ML (M1–M13): features and metrics on a given score
+# ---------------------------------------------------------------------------
+
+SQL["ml_features"] = f"""
+WITH {enriched_sql(60)}
+SELECT event_id,
+       CAST(dense_rank() OVER (ORDER BY device_type) - 1 AS DOUBLE) AS device_type_enc,
+       CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS event_type_enc,
+       CAST(dense_rank() OVER (ORDER BY location) - 1 AS DOUBLE) AS location_enc,
+       round(ln(1 + transaction_amount) * CAST(1000000000 AS DOUBLE)) / CAST(1000000000 AS DOUBLE) AS log_amount,
+       CASE WHEN avg_amount_1h > 0 THEN transaction_amount / avg_amount_1h ELSE 1.0 END AS amount_vs_avg_ratio,
+       failed_attempts_1h / CASE WHEN txn_count_1h = 0 THEN 1 ELSE txn_count_1h END AS fail_rate
+FROM enr
+"""
+
+_MI = f"""WITH {EV},
+mi AS (SELECT CAST(event_type = 'error' AS INTEGER) AS label, fraud_probability AS score,
+              CAST(is_fraud AS INTEGER) AS prediction FROM ev)"""
+
+SQL["auc"] = _MI + """,
+g AS (SELECT CAST(round_even(score * 10000.0, 0) AS BIGINT) AS s, CAST(sum(label) AS BIGINT) AS pos,
+             CAST(sum(1 - label) AS BIGINT) AS neg FROM mi GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM g)
+SELECT (sum(pos * neg_below) + sum(pos * neg) / 2.0) / (sum(pos) * sum(neg)) AS roc_auc,
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c"""
+
+SQL["confusion"] = _MI + """
+SELECT label, CAST(sum(CAST(prediction = 0 AS BIGINT)) AS BIGINT) AS pred_0,
+       CAST(sum(CAST(prediction = 1 AS BIGINT)) AS BIGINT) AS pred_1 FROM mi GROUP BY label"""
+
+
+def _r4(x: str) -> str:
+    return f"round(({x}) * CAST(10000 AS DOUBLE)) / CAST(10000 AS DOUBLE)"
+
+
+def _metrics_sql(src: str, y: str, p: str) -> str:
+    return f"""
+c AS (SELECT CAST(sum(CAST(({y}) = 1 AND ({p}) = 1 AS BIGINT)) AS BIGINT) AS tp,
+             CAST(sum(CAST(({y}) = 0 AND ({p}) = 1 AS BIGINT)) AS BIGINT) AS fp,
+             CAST(sum(CAST(({y}) = 1 AND ({p}) = 0 AS BIGINT)) AS BIGINT) AS fn,
+             CAST(sum(CAST(({y}) = 0 AND ({p}) = 0 AS BIGINT)) AS BIGINT) AS tn FROM {src})
+SELECT tp, fp, fn, tn,
+  {_r4('CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END')} AS precision,
+  {_r4('CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END')} AS recall,
+  {_r4('CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END')} AS f1,
+  tp + fp + fn + tn AS size, {_r4('(tp + fn) / (tp + fp + fn + tn)')} AS positive_rate FROM c"""
+
+
+SQL["f1"] = _MI + "," + _metrics_sql("mi", "label", "prediction")
+SQL["class_report"] = (_MI + ", r0 AS (" + _metrics_sql("mi", "1 - label", "1 - prediction").replace("\nc AS", "WITH c AS", 1)
+                       + "), r1 AS (" + _metrics_sql("mi", "label", "prediction").replace("\nc AS", "WITH c AS", 1) + ")"
+                       + " SELECT 0 AS class, precision, recall, f1, tp + fn AS support FROM r0"
+                       + " UNION ALL SELECT 1, precision, recall, f1, tp + fn FROM r1")

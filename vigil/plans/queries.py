@@ -334,3 +334,90 @@ QUERIES.update({
     "throughput_series": q_throughput_series,
     "kpi_row": q_kpi_row,
 })
+
+
+# ---------------------------------------------------------------------------
+# ML (M1–M18)
+# ---------------------------------------------------------------------------
+
+from vigil.operators import ml as ML  # noqa: E402
+from vigil.operators.summary import round_to  # noqa: E402
+
+# Query-time model size: the default (200 trees, depth 6) is a parameter of
+# ML.GBTParams; registered queries use a lighter preset to keep runs short.
+QUERY_GBT = ML.GBTParams(max_iter=20, max_depth=5)
+
+
+def _ml_frame(spark, sf_dir):
+    """Enriched events with the given flag as label; the given score columns
+    are dropped so the model's outputs can take their names."""
+    ev = enriched_events(spark, sf_dir, window_minutes=60)
+    return ev.withColumn("label", F.col("is_fraud").cast("int")).drop("fraud_probability", "is_fraud")
+
+
+def q_ml_features(spark, sf_dir):
+    ev = enriched_events(spark, sf_dir, window_minutes=60)
+    f = ML.encode_features(ev)
+    return f.select("event_id", "device_type_enc", "event_type_enc", "location_enc",
+                    round_to(F.col("log_amount"), 9).alias("log_amount"),
+                    "amount_vs_avg_ratio", "fail_rate")
+
+
+def _metric_input(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return ev.select((F.col("event_type") == FAILED_TYPE).cast("int").alias("label"),
+                     F.col("fraud_probability").alias("score"),
+                     F.col("is_fraud").cast("int").alias("prediction"))
+
+
+def q_auc(spark, sf_dir):
+    return ML.roc_auc(_metric_input(spark, sf_dir), "label", "score")
+
+
+def q_confusion(spark, sf_dir):
+    return ML.confusion_counts(_metric_input(spark, sf_dir))
+
+
+def q_f1(spark, sf_dir):
+    return ML.classification_metrics(_metric_input(spark, sf_dir))
+
+
+def q_class_report(spark, sf_dir):
+    return ML.classification_report(_metric_input(spark, sf_dir))
+
+
+def q_stratified_split(spark, sf_dir):
+    df = _ml_frame(spark, sf_dir)
+    train, test = ML.stratified_split(df, "label", "event_id")
+    return (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+                 .groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def q_fraud_scores(spark, sf_dir):
+    df = _ml_frame(spark, sf_dir)
+    train, _ = ML.stratified_split(df, "label", "event_id")
+    model = ML.fit_model(train, "label", QUERY_GBT)
+    return ML.score(model, df, keep=["event_id", "user_id", "label"])
+
+
+def q_train_metrics(spark, sf_dir):
+    _, metrics = ML.train_and_save(_ml_frame(spark, sf_dir), scratch_path(spark, "model"),
+                                   params=QUERY_GBT)
+    return metrics
+
+
+def q_cv_auc(spark, sf_dir):
+    return ML.cross_validated_auc(_ml_frame(spark, sf_dir), k=5, params=ML.GBTParams(max_iter=10, max_depth=4))
+
+
+QUERIES.update({
+    "ml_features": q_ml_features,
+    "auc": q_auc,
+    "confusion": q_confusion,
+    "f1": q_f1,
+    "class_report": q_class_report,
+    "stratified_split": q_stratified_split,
+    "fraud_scores": q_fraud_scores,
+    "train_metrics": q_train_metrics,
+    "cv_auc": q_cv_auc,
+})
