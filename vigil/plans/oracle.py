@@ -545,3 +545,12 @@ SQL["class_report"] = (_MI + ", r0 AS (" + _metrics_sql("mi", "1 - label", "1 -
                        + "), r1 AS (" + _metrics_sql("mi", "label", "prediction").replace("\nc AS", "WITH c AS", 1) + ")"
                        + " SELECT 0 AS class, precision, recall, f1, tp + fn AS support FROM r0"
                        + " UNION ALL SELECT 1, precision, recall, f1, tp + fn FROM r1")
+
+
+# ---------------------------------------------------------------------------
+# Streaming: the same answers as the batch statements
+# ---------------------------------------------------------------------------
+
+SQL["stream_tumbling"] = SQL["window_summary_1m"]
+SQL["stream_rolling"] = SQL["rolling_user_features"]
+SQL["stream_dedupe"] = f"WITH {EV} SELECT event_id, user_id, event_time, transaction_amount FROM ev"

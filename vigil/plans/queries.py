@@ -421,3 +421,69 @@ QUERIES.update({
     "train_metrics": q_train_metrics,
     "cv_auc": q_cv_auc,
 })
+
+
+# ---------------------------------------------------------------------------
+# Streaming (A7, S5–S7, W8): the driver table replayed as in-order micro-batches
+# ---------------------------------------------------------------------------
+
+from vigil.sources.tables import canonical_events, read_table  # noqa: E402
+from vigil.streaming import jobs as SJ  # noqa: E402
+
+STREAM_SLICES = 8
+
+
+def _event_stream(spark, sf_dir):
+    """Stage the events table as time slices, then read it as a file stream
+    (one slice per trigger)."""
+    raw = read_table(spark, sf_dir, "events")
+    staged = scratch_path(spark, "stream-src")
+    SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    return SJ.with_event_timestamp(canonical_events(stream))
+
+
+def q_stream_tumbling(spark, sf_dir):
+    pin_utc(spark)
+    agg = SJ.tumbling_summary_stream(_event_stream(spark, sf_dir), "1 minute", "10 minutes")
+    sink, ckpt = scratch_path(spark, "stream-tumbling"), scratch_path(spark, "ckpt-tumbling")
+    SJ.run_available(agg, sink, ckpt, "update")
+    out = SJ.read_latest(spark, sink, ["window_start"])
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
+                            "window_end": F.col("window_end").cast("timestamp_ntz")})
+
+
+def q_stream_rolling(spark, sf_dir):
+    pin_utc(spark)
+    feats = SJ.rolling_features_stream(_event_stream(spark, sf_dir), 60, FAILED_TYPE)
+    sink, ckpt = scratch_path(spark, "stream-rolling"), scratch_path(spark, "ckpt-rolling")
+    SJ.run_available(feats, sink, ckpt, "append")
+    out = spark.read.parquet(sink).drop("batch_id")
+    return out.select("event_id", "user_id",
+                      F.timestamp_micros("t_us").cast("timestamp_ntz").alias("event_time"),
+                      "txn_count_1h", "avg_amount_1h", "max_amount_1h", "failed_attempts_1h",
+                      "unique_locations_1h")
+
+
+def q_stream_dedupe(spark, sf_dir):
+    """S7 on a stream: the replay contains every event twice (the staged slices
+    plus the whole table again); the first copy per event_id survives."""
+    pin_utc(spark)
+    raw = read_table(spark, sf_dir, "events")
+    staged = scratch_path(spark, "stream-dup")
+    SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
+    raw.write.mode("append").parquet(staged)
+    stream = SJ.with_event_timestamp(canonical_events(
+        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(staged)))
+    dedup = SJ.dedupe_stream(stream.select("event_id", "user_id", "event_time", "transaction_amount"))
+    sink, ckpt = scratch_path(spark, "stream-dedupe"), scratch_path(spark, "ckpt-dedupe")
+    SJ.run_available(dedup, sink, ckpt, "append")
+    return (spark.read.parquet(sink).drop("batch_id")
+            .withColumn("event_time", F.col("event_time").cast("timestamp_ntz")))
+
+
+QUERIES.update({
+    "stream_tumbling": q_stream_tumbling,
+    "stream_rolling": q_stream_rolling,
+    "stream_dedupe": q_stream_dedupe,
+})
