@@ -125,7 +125,7 @@ def alert_deliveries(alerts: DataFrame) -> DataFrame:
 
 def _lookup(col: Column, table: dict[str, str], default: str) -> Column:
     m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, col), F.lit(default))
+    return F.coalesce(F.try_element_at(m, col), F.lit(default))
 
 
 def chat_payload(alerts: DataFrame, channel: str = CHAT_CHANNEL) -> Column:

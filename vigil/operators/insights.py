@@ -39,7 +39,7 @@ def risk_level(rate: Column) -> Column:
 
 def peak_device(device_map: Column) -> Column:
     """First key of the count-desc device map, or 'N/A' when empty."""
-    return F.coalesce(F.element_at(F.map_keys(device_map), 1), F.lit(NA))
+    return F.coalesce(F.try_element_at(F.map_keys(device_map), F.lit(1)), F.lit(NA))
 
 
 def py_json_map(m: Column) -> Column:

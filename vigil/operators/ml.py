@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import py_round
 from vigil.operators.summary import round_to
 from vigil.schemas import CATEGORICAL, DERIVED_FEATURES, MODEL_INPUTS
 
@@ -191,9 +192,9 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) ->
     keep = keep if keep is not None else df.columns
     return out.select(
         *keep,
-        F.when(F.col("_valid"), F.bround(p * F.lit(1e4), 0) / F.lit(1e4)).otherwise(F.lit(0.0)).alias("fraud_probability"),
+        F.when(F.col("_valid"), py_round(p, 4)).otherwise(F.lit(0.0)).alias("fraud_probability"),
         F.when(F.col("_valid"), p >= F.lit(0.5)).otherwise(F.lit(False)).alias("is_fraud"),
-        F.when(F.col("_valid"), F.bround(F.greatest(p, F.lit(1.0) - p) * F.lit(1e4), 0) / F.lit(1e4))
+        F.when(F.col("_valid"), py_round(F.greatest(p, F.lit(1.0) - p), 4))
          .otherwise(F.lit(0.0)).alias("confidence"),
     )
 

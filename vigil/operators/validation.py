@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.numeric import py_round
 from vigil.functions.time import with_time_features
 from vigil.operators.rolling import rolling_user_features
 from vigil.schemas import DEFAULT_CURRENCY, DEVICE_TYPES, EVENT_TYPES, FAILED_LOGIN, INFERENCE_DEFAULTS
@@ -17,8 +18,8 @@ REQUIRED = ["user_id", "session_id", "transaction_amount", "location", "device_t
 
 
 def round2(x: Column) -> Column:
-    """Python ``round(x, 2)``: half-even on the scaled value."""
-    return F.bround(x.cast("double") * F.lit(100.0), 0) / F.lit(100.0)
+    """Python ``round(x, 2)`` (half-even on the exact binary value)."""
+    return py_round(x, 2)
 
 
 def reject_reasons(required: list[str] = REQUIRED, event_types: list[str] = EVENT_TYPES,

@@ -46,7 +46,7 @@ def canonical_events(raw: DataFrame) -> DataFrame:
         F.col("ts").alias("event_time"),
         F.col("value").alias("transaction_amount"),
         F.concat(F.lit(LOCATION_PREFIX), (k % N_LOCATIONS).cast("string")).alias("location"),
-        F.element_at(devices, (k % len(DEVICE_TYPES)) + 1).alias("device_type"),
+        F.try_element_at(devices, (k % len(DEVICE_TYPES)) + 1).alias("device_type"),
         F.col("event_type"),
         F.lit("USD").alias("currency"),
         score.alias("fraud_probability"),
