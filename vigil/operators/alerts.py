@@ -194,12 +194,14 @@ def alert_payloads(alerts: DataFrame) -> DataFrame:
 ARRIVAL = ["triggered_at", "event_id", "rule_order"]
 
 
-def recent_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
-    """The most recent ``limit`` alerts, with their position in arrival
-    order (1 = oldest of the returned set)."""
+def recent_alerts(alerts: DataFrame, limit: int = 50, display: int = 10) -> DataFrame:
+    """The most recent ``limit`` alerts, with their position in
+    arrival order (1 = oldest of the returned set) and whether the display
+    list (its first ``display`` entries) shows them."""
     top = alerts.orderBy(*[F.desc(c) for c in ARRIVAL]).limit(limit)
     w = Window.orderBy(*ARRIVAL)  # over at most `limit` rows
-    return top.withColumn("position", F.row_number().over(w).cast("long"))
+    pos = F.row_number().over(w).cast("long")
+    return top.withColumn("position", pos).withColumn("displayed", F.col("position") <= F.lit(display))
 
 
 def alert_digest(alerts: DataFrame, windows: DataFrame, every: str = "1 hour",

@@ -304,4 +304,6 @@ def train_and_save(df: DataFrame, path: str, label_col: str = "label", id_col: s
     save_model(model, path)
     return model, one_row_join(evaluate(model, test, label_col),
                                train.agg(F.count(F.lit(1)).alias("train_size")),
-                               test.agg(F.count(F.lit(1)).alias("test_size")))
+                               test.agg(F.count(F.lit(1)).alias("test_size")),
+                               df.agg(round_to(F.avg(F.col(label_col).cast("double")), 4)
+                                      .alias("fraud_rate")))   # A16

@@ -63,14 +63,16 @@ def split_valid(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 
 
 def dedupe_events(df: DataFrame, key: str = "event_id", order_col: str = "event_time") -> DataFrame:
-    """One row per ``key``, the earliest by ``order_col`` (ties: smallest
-    row text), before window features count it.
+    """One row per ``key``, the earliest by ``order_col`` (ties broken by
+    a hash of the whole row, so the choice is deterministic), before window
+    features count it.
 
     ``min_by`` is a partial aggregate, so copies of a hot id collapse on the
     map side before the shuffle.
     """
-    cols = [c for c in df.columns]
-    best = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(order_col), F.to_json(F.struct(*cols))))
+    cols = df.columns
+    best = F.min_by(F.struct(*[F.col(c) for c in cols]),
+                    F.struct(F.col(order_col), F.xxhash64(*[F.col(c) for c in cols])))
     return df.groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 

@@ -277,6 +277,7 @@ SQL["alert_payloads"] = ALERTS + f"""
 SQL["recent_alerts"] = ALERTS + """,
  top AS (SELECT * FROM alerts ORDER BY triggered_at DESC, event_id DESC, rule_order DESC LIMIT 50)
  SELECT CAST(row_number() OVER (ORDER BY triggered_at, event_id, rule_order) AS BIGINT) AS position,
+        row_number() OVER (ORDER BY triggered_at, event_id, rule_order) <= 10 AS displayed,
         alert_id, severity, title, triggered_at
  FROM top"""
 
@@ -554,3 +555,27 @@ SQL["class_report"] = (_MI + ", r0 AS (" + _metrics_sql("mi", "1 - label", "1 -
 SQL["stream_tumbling"] = SQL["window_summary_1m"]
 SQL["stream_rolling"] = SQL["rolling_user_features"]
 SQL["stream_dedupe"] = f"WITH {EV} SELECT event_id, user_id, event_time, transaction_amount FROM ev"
+
+
+# ---------------------------------------------------------------------------
+# Wire format and table writes
+# ---------------------------------------------------------------------------
+
+SQL["wire_roundtrip"] = f"""WITH {EV}
+SELECT event_id, user_id, event_time, transaction_amount, location, device_type, event_type FROM ev"""
+
+SQL["wire_keys"] = f"WITH {EV} SELECT user_id AS key, count(*) AS messages FROM ev GROUP BY user_id"
+
+SQL["alerts_idempotent"] = ALERTS + " SELECT alert_id, rule_name, event_id, severity, triggered_at FROM alerts"
+
+SQL["processed_events_table"] = f"""
+WITH {enriched_sql(60)}
+SELECT coalesce(event_id, '') AS event_id, coalesce(user_id, '') AS user_id,
+       coalesce(session_id, '') AS session_id, event_time,
+       coalesce(event_type, '') AS event_type, coalesce(device_type, '') AS device_type,
+       coalesce(location, '') AS location, coalesce(transaction_amount, 0.0) AS transaction_amount,
+       coalesce(fraud_probability, 0.0) AS fraud_probability, coalesce(is_fraud, false) AS is_fraud,
+       CAST(hour(event_time) AS INTEGER) AS hour_of_day, CAST(isodow(event_time) - 1 AS INTEGER) AS day_of_week,
+       txn_count_1h, failed_attempts_1h
+FROM enr
+"""

@@ -143,8 +143,8 @@ def q_alert_payloads(spark, sf_dir):
 
 
 def q_recent_alerts(spark, sf_dir):
-    r = AL.recent_alerts(alerts_frame(spark, sf_dir), limit=50)
-    return r.select("position", "alert_id", "severity", "title", "triggered_at")
+    r = AL.recent_alerts(alerts_frame(spark, sf_dir), limit=50, display=10)
+    return r.select("position", "displayed", "alert_id", "severity", "title", "triggered_at")
 
 
 def q_alert_digest(spark, sf_dir):
@@ -487,3 +487,48 @@ QUERIES.update({
     "stream_rolling": q_stream_rolling,
     "stream_dedupe": q_stream_dedupe,
 })
+
+
+# ---------------------------------------------------------------------------
+# Wire format and table writes
+# ---------------------------------------------------------------------------
+
+from vigil.sources.json_events import parse_events, to_wire  # noqa: E402
+
+
+def q_wire_roundtrip(spark, sf_dir):
+    """S4 then S3: events -> (key, JSON value) -> typed events again."""
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "session_id", "event_time",
+                                       "transaction_amount", "location", "device_type", "event_type")
+    wire = to_wire(ev)
+    back = parse_events(wire)
+    return back.select(F.col("event_id"), "user_id", F.col("event_time").alias("event_time"),
+                       "transaction_amount", "location", "device_type", "event_type")
+
+
+def q_wire_keys(spark, sf_dir):
+    """Message keys (user id) per partition key, counted."""
+    ev = _events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount")
+    return to_wire(ev).groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def q_alerts_idempotent(spark, sf_dir):
+    """Alerts of the first half inserted, then every alert inserted again;
+    each alert id lands once."""
+    al = alerts_frame(spark, sf_dir).select("alert_id", "rule_name", "event_id", "severity", "triggered_at")
+    first = al.filter(F.col("triggered_at") < F.lit(MIDPOINT).cast("timestamp_ntz"))
+    return ST.idempotent_insert(first, al, key="alert_id", arrival_cols=["triggered_at"])
+
+
+def q_processed_events_table(spark, sf_dir):
+    """The processed-events table's fixed 14-column projection."""
+    enr = enriched_events(spark, sf_dir, window_minutes=60)
+    return ST.with_write_defaults(enr)
+
+
+QUERIES.update({
+    "wire_roundtrip": q_wire_roundtrip,
+    "wire_keys": q_wire_keys,
+    "alerts_idempotent": q_alerts_idempotent,
+    "processed_events_table": q_processed_events_table,
+})
