@@ -103,3 +103,11 @@ def test_hot_key_split_single_hot_user(spark):
     assert feats(df, detect_skew=False) == feats(df, split_rows=20, max_hot_keys=1000)
     plan = rolling_user_features(df, split_rows=20, max_hot_keys=1000)
     assert "_b" not in plan.columns and plan.count() == 400
+
+
+def test_series_from_text_drops_bad(spark):
+    from vigil.functions.time import series_from_text
+    df = spark.createDataFrame([("2024-01-15T14:01:00", 2), ("garbage", 9), ("2024-01-15T14:00:00", 1)],
+                               "window_start string, n int")
+    got = [r.n for r in series_from_text(df, "window_start").collect()]
+    assert got == [1, 2]

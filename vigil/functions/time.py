@@ -54,3 +54,11 @@ def iso_text(ts: Column, sep: str = "T") -> Column:
     whole = F.date_format(ts, date_part)
     frac = F.date_format(ts, "SSSSSS")
     return F.when(frac == F.lit("000000"), whole).otherwise(F.concat(whole, F.lit("."), frac))
+
+
+def series_from_text(df: DataFrame, text_col: str, out_col: str | None = None) -> DataFrame:
+    """Text -> timestamp with coercion (bad text becomes null), drop the
+    rows that failed, order by time (chart series preparation)."""
+    out_col = out_col or text_col
+    parsed = df.withColumn(out_col, F.try_to_timestamp(F.col(text_col).cast("string")))
+    return parsed.filter(F.col(out_col).isNotNull()).orderBy(out_col)

@@ -57,7 +57,7 @@ def hot_key_plan(df: DataFrame, key: str, t_col: str, window_us: int,
     threshold = max(split_rows, math.ceil(total / max_hot_keys))
     if total <= threshold:
         return None
-    stats =(df.groupBy(key)
+    stats = (df.groupBy(key)
                .agg(F.count(F.lit(1)).alias("_n"), F.min(t_col).alias("_t0"),
                     F.max(t_col).alias("_t1"))
                .filter(F.col("_n") > threshold))
@@ -75,9 +75,16 @@ def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "u
                           ts_col: str = "event_time", amount_col: str = "transaction_amount",
                           type_col: str = "event_type", location_col: str = "location",
                           failed_type: str = FAILED_LOGIN, split_rows: int = 2_000_000,
-                          max_hot_keys: int = 100_000, detect_skew: bool = True) -> DataFrame:
+                          max_hot_keys: int = 100_000, detect_skew: bool = True,
+                          skew_source: DataFrame | None = None) -> DataFrame:
     """Append txn_count_1h, avg_amount_1h, max_amount_1h, failed_attempts_1h,
-    unique_locations_1h to every row of ``df``."""
+    unique_locations_1h to every row of ``df``.
+
+    ``skew_source`` (columns ``key`` and ``ts_col``) lets hot-key detection
+    read a cheaper frame than ``df`` — e.g. the input before a dedupe
+    shuffle.  It may hold more rows per key than ``df`` (that only marks more
+    keys hot, and splitting is exact), never fewer.
+    """
     window_us = int(window_minutes) * MICROS_PER_MINUTE
     base = df.withColumns({
         "_t": epoch_micros(F.col(ts_col)),
@@ -87,7 +94,9 @@ def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "u
         "_loc": F.coalesce(F.col(location_col), F.lit("")),
     })
 
-    plan = hot_key_plan(base, key, "_t", window_us, split_rows, max_hot_keys) if detect_skew else None
+    probe = base if skew_source is None else skew_source.select(
+        F.col(key), epoch_micros(F.col(ts_col)).alias("_t"))
+    plan = hot_key_plan(probe, key, "_t", window_us, split_rows, max_hot_keys) if detect_skew else None
     if plan is None:
         part_cols = [key]
     else:

@@ -54,6 +54,17 @@ def latest_by_key(df: DataFrame, key: str | list[str], order_cols: list[str]) ->
     return df.groupBy(*keys).agg(best.alias("_r")).select("_r.*")
 
 
+def rows_to_insert(target: DataFrame, incoming: DataFrame, key: str = "event_id",
+                   arrival_cols: list[str] | None = None, partition_col: str | None = None) -> DataFrame:
+    """The rows an ``ON CONFLICT DO NOTHING`` insert appends: first arrival per
+    key, minus keys already in ``target``.  A sink appends exactly these, so
+    the target is never rewritten."""
+    arrival_cols = arrival_cols or [key]
+    keys = [partition_col, key] if partition_col else [key]
+    fresh = first_by_key(incoming, keys, arrival_cols)
+    return fresh.join(target.select(*keys), on=keys, how="left_anti")
+
+
 def idempotent_insert(target: DataFrame, incoming: DataFrame, key: str = "event_id",
                       arrival_cols: list[str] | None = None,
                       partition_col: str | None = None) -> DataFrame:
@@ -65,10 +76,7 @@ def idempotent_insert(target: DataFrame, incoming: DataFrame, key: str = "event_
     given, the anti join also matches on it, so dynamic partition pruning
     reads only the target partitions the batch touches.
     """
-    arrival_cols = arrival_cols or [key]
-    keys = [partition_col, key] if partition_col else [key]
-    fresh = first_by_key(incoming, keys, arrival_cols)
-    new_rows = fresh.join(target.select(*keys), on=keys, how="left_anti")
+    new_rows = rows_to_insert(target, incoming, key, arrival_cols, partition_col)
     return target.unionByName(new_rows.select(*target.columns))
 
 

@@ -156,12 +156,18 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "idx",
     return out.drop("_pid", "_mid", "_off", "_all")
 
 
+COUNT_WINDOW_COLUMNS = ["transaction_amount", "user_id", "is_fraud"] + DIMENSIONS
+
+
 def assign_count_windows(df: DataFrame, every: int = 100,
-                         order_cols: list[str] | None = None) -> DataFrame:
+                         order_cols: list[str] | None = None,
+                         columns: list[str] | None = None) -> DataFrame:
     """Rows tagged with (window_index, is_tail) for A8; tail rows appear once
-    more under the tail window."""
+    more under the tail window.  Only ``order_cols`` + ``columns`` (default:
+    what the summary and breakdowns read) are sorted and checkpointed."""
     order_cols = order_cols or ["event_time", "event_id"]
-    ix = global_index(df, order_cols, total_col="n_all")
+    keep = order_cols + [c for c in (columns or COUNT_WINDOW_COLUMNS) if c in df.columns and c not in order_cols]
+    ix = global_index(df.select(*keep), order_cols, total_col="n_all")
     full_windows = F.floor(F.col("n_all") / every)
     regular = (ix.filter(F.floor(F.col("idx") / every) < full_windows)
                  .withColumn("window_index", F.floor(F.col("idx") / every).cast("long"))
@@ -183,6 +189,7 @@ def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None
     """
     order_cols = order_cols or ["event_time", "event_id"]
     both = tagged if tagged is not None else assign_count_windows(df, every, order_cols)
+    # Summaries read the pruned frame, so a missing flag column counts 0.
     ts = order_cols[0]
     return (both.groupBy("window_index", "is_tail")
                 .agg(F.min(ts).alias("first_event_time"), F.max(ts).alias("last_event_time"),

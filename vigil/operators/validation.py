@@ -77,11 +77,13 @@ def dedupe_events(df: DataFrame, key: str = "event_id", order_col: str = "event_
 
 
 def enrich_events(df: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
-                  **kw) -> DataFrame:
+                  skew_source: DataFrame | None = None, **kw) -> DataFrame:
     """P5: raw columns + calendar features + rolling features + processed_at."""
-    df = df.withColumn("user_id", F.coalesce(F.col("user_id"), F.lit("unknown")))
+    unknown = lambda d: d.withColumn("user_id", F.coalesce(F.col("user_id"), F.lit("unknown")))
+    df = unknown(df)
     out = rolling_user_features(with_time_features(df), window_minutes=window_minutes,
-                                failed_type=failed_type, **kw)
+                                failed_type=failed_type,
+                                skew_source=unknown(skew_source) if skew_source is not None else None, **kw)
     return out.withColumn("processed_at", F.current_timestamp())
 
 

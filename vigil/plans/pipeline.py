@@ -33,7 +33,10 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     valid, quarantine = split_valid(events, **(validate_kw or {}))
     quarantine.write.mode("overwrite").parquet(f"{out_dir}/quarantine")
 
-    enriched = enrich_events(dedupe_events(valid), window_minutes=window_minutes, failed_type=failed_type)
+    # Hot-user detection reads the pre-dedupe rows (a scan), not the dedupe
+    # shuffle's output, so that shuffle runs once.
+    enriched = enrich_events(dedupe_events(valid), window_minutes=window_minutes, failed_type=failed_type,
+                             skew_source=valid.select("user_id", "event_time"))
     if model is not None:
         keep = [c for c in enriched.columns if c not in ("fraud_probability", "is_fraud", "confidence")]
         enriched = ML.score(model, enriched, keep=keep)
