@@ -260,7 +260,7 @@ SQL["alert_payloads"] = ALERTS + f"""
                                'fields': [{{'title': 'Severity', 'value': upper(severity), 'short': true}},
                                           {{'title': 'Type', 'value': alert_type, 'short': true}},
                                           {{'title': 'User', 'value': coalesce(user_id, 'N/A'), 'short': true}},
-                                          {{'title': 'Triggered', 'value': {_ISO}, 'short': true}}]}}]}}) AS chat_json,
+                                          {{'title': 'Triggered', 'value': {_ISO}, 'short': true}}]}}]}})::VARCHAR AS chat_json,
    CASE WHEN severity IN ('high', 'critical') THEN '[' || upper(severity) || '] ' || title END AS email_subject,
    CASE WHEN severity IN ('high', 'critical') THEN
      '<html><body><h2 style="color:' || CASE WHEN severity = 'critical' THEN 'red' ELSE 'orange' END || '">'
@@ -271,7 +271,7 @@ SQL["alert_payloads"] = ALERTS + f"""
      || '<tr><td><b>Time</b></td><td>' || {iso_sql('triggered_at', ' ')} || '</td></tr>'
      || '</table></body></html>' END AS email_html,
    to_json({{'alert_id': alert_id, 'type': alert_type, 'severity': severity, 'title': title,
-             'description': description, 'user_id': user_id, 'triggered_at': {_ISO}}}) AS webhook_json
+             'description': description, 'user_id': user_id, 'triggered_at': {_ISO}}})::VARCHAR AS webhook_json
  FROM alerts"""
 
 SQL["recent_alerts"] = ALERTS + """,
@@ -371,8 +371,8 @@ WHERE window_end > (SELECT max(window_end) FROM summ) - INTERVAL 3600 SECOND
 
 SQL["archive_roundtrip"] = f"""
 WITH {EV}
-SELECT CAST(year(event_time) AS BIGINT) AS year, CAST(month(event_time) AS BIGINT) AS month,
-       CAST(day(event_time) AS BIGINT) AS day, CAST(hour(event_time) AS BIGINT) AS hour,
+SELECT CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month,
+       CAST(day(event_time) AS INTEGER) AS day, CAST(hour(event_time) AS INTEGER) AS hour,
        count(*) AS n_events
 FROM ev GROUP BY ALL
 """
