@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from helpers import T0, event, frame
 from vigil.functions.time import with_time_features
