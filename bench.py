@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vigil.plans.pipeline import run_pipeline  # noqa: E402
-from vigil.plans.queries import QUERIES, RULE_PARAMS  # noqa: E402
+from vigil.plans.queries import QUERIES, RULE_PARAMS, STREAM_STATS  # noqa: E402
 from vigil.session import build_session  # noqa: E402
 from vigil.sources.tables import load_events  # noqa: E402
 
@@ -61,6 +61,8 @@ def main() -> None:
         "metric": "total_headline_seconds", "value": total, "unit": "sec", "queries": times,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf, "events": n_events,
         "pipeline_events_per_sec": round(n_events / times["pipeline_e2e"], 1),
+        "stream_batches": {k: {"batches": v["batches"], "avg_batch_ms": v["avg_batch_ms"],
+                               "max_batch_ms": v["max_batch_ms"]} for k, v in STREAM_STATS.items()},
         "cpus": int(cpus),
     }))
     spark.stop()

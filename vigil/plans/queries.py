@@ -431,6 +431,9 @@ from vigil.sources.tables import canonical_events, read_table  # noqa: E402
 from vigil.streaming import jobs as SJ  # noqa: E402
 
 STREAM_SLICES = 8
+# Run statistics of the last streaming query run per name (batches, latency,
+# watermark drops); read by bench.py.
+STREAM_STATS: dict[str, dict] = {}
 
 
 def _event_stream(spark, sf_dir):
@@ -447,7 +450,7 @@ def q_stream_tumbling(spark, sf_dir):
     pin_utc(spark)
     agg = SJ.tumbling_summary_stream(_event_stream(spark, sf_dir), "1 minute", "10 minutes")
     sink, ckpt = scratch_path(spark, "stream-tumbling"), scratch_path(spark, "ckpt-tumbling")
-    SJ.run_available(agg, sink, ckpt, "update")
+    STREAM_STATS["stream_tumbling"] = SJ.run_available(agg, sink, ckpt, "update")
     out = SJ.read_latest(spark, sink, ["window_start"])
     return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
                             "window_end": F.col("window_end").cast("timestamp_ntz")})
@@ -457,7 +460,7 @@ def q_stream_rolling(spark, sf_dir):
     pin_utc(spark)
     feats = SJ.rolling_features_stream(_event_stream(spark, sf_dir), 60, FAILED_TYPE)
     sink, ckpt = scratch_path(spark, "stream-rolling"), scratch_path(spark, "ckpt-rolling")
-    SJ.run_available(feats, sink, ckpt, "append")
+    STREAM_STATS["stream_rolling"] = SJ.run_available(feats, sink, ckpt, "append")
     out = spark.read.parquet(sink).drop("batch_id")
     return out.select("event_id", "user_id",
                       F.timestamp_micros("t_us").cast("timestamp_ntz").alias("event_time"),

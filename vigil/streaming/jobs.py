@@ -99,8 +99,11 @@ def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mod
             row = metrics.asDict() if hasattr(metrics, "asDict") else dict(metrics)
             for k, v in row.items():
                 observed[k] = observed.get(k, 0) + (v or 0)
+    busy = [p for p in progress if p.get("numInputRows", 0) > 0]
     return {
-        "batches": sum(1 for p in progress if p.get("numInputRows", 0) > 0),
+        "batches": len(busy),
+        "avg_batch_ms": round(sum(p["durationMs"].get("triggerExecution", 0) for p in busy) / max(len(busy), 1), 1),
+        "max_batch_ms": max((p["durationMs"].get("triggerExecution", 0) for p in busy), default=0),
         "input_rows": sum(p.get("numInputRows", 0) for p in progress),
         "dropped_by_watermark": sum(op.get("numRowsDroppedByWatermark", 0)
                                     for p in progress for op in p.get("stateOperators", [])),
@@ -189,32 +192,39 @@ class RollingFeatureProcessor(StatefulProcessor):
         self.buf = handle.getListState("recent", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["t", "event_id"], kind="stable")
-        old = pd.DataFrame(list(self.buf.get()), columns=list("tcafl"))
+        batches = list(rows)
+        new = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
+        eid = new["event_id"].to_numpy(dtype=object)
+        nt = new["t"].to_numpy(np.int64)
+        o = np.lexsort((eid.astype(str), nt))           # event time, then id
+        old = list(self.buf.get())
         n_old = len(old)
-        t = np.concatenate([old["t"].to_numpy(np.int64), new["t"].to_numpy(np.int64)])
-        c = np.concatenate([old["c"].to_numpy(np.int64), new["c"].to_numpy(np.int64)])
-        a = np.concatenate([old["a"].to_numpy(np.float64), new["a"].to_numpy(np.float64)])
-        f = np.concatenate([old["f"].to_numpy(np.int64), new["f"].to_numpy(np.int64)])
-        loc = np.concatenate([old["l"].to_numpy(object), new["l"].to_numpy(object)])
-        order = np.argsort(t, kind="stable")
+        if n_old:
+            ot, oc, oa, of, ol = (np.asarray(col) for col in zip(*old))
+        else:
+            ot = oc = of = np.empty(0, np.int64)
+            oa, ol = np.empty(0, np.float64), np.empty(0, object)
+        t = np.concatenate([ot.astype(np.int64), nt[o]])
+        c = np.concatenate([oc.astype(np.int64), new["c"].to_numpy(np.int64)[o]])
+        a = np.concatenate([oa.astype(np.float64), new["a"].to_numpy(np.float64)[o]])
+        f = np.concatenate([of.astype(np.int64), new["f"].to_numpy(np.int64)[o]])
+        loc = np.concatenate([ol.astype(object), new["l"].to_numpy(dtype=object)[o]])
+        order = np.argsort(t, kind="stable")            # state first among equal times
         t, c, a, f, loc = t[order], c[order], a[order], f[order], loc[order]
-        is_new = order >= n_old
-        lo = np.searchsorted(t, t - self.window_us, side="left")
-        hi = np.searchsorted(t, t, side="right")
+        idx = np.nonzero(order >= n_old)[0]             # positions of the new events
+        lo = np.searchsorted(t, t[idx] - self.window_us, side="left")
+        hi = np.searchsorted(t, t[idx], side="right")   # same-time peers included
         cc, cf = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(f)])
-        idx = np.nonzero(is_new)[0]
-        cnt = hi[idx] - lo[idx]
-        sc = cc[hi[idx]] - cc[lo[idx]]
+        cnt = hi - lo
         out = pd.DataFrame({
-            "event_id": new["event_id"].to_numpy(object)[order[idx] - n_old],
+            "event_id": eid[o][order[idx] - n_old],
             "user_id": str(key[0]),
             "t_us": t[idx],
             "txn_count_1h": cnt.astype(np.int64),
-            "avg_amount_1h": _half_up(sc / cnt) / 100.0,
-            "max_amount_1h": np.array([a[lo[i]:hi[i]].max() for i in idx], dtype=np.float64),
-            "failed_attempts_1h": (cf[hi[idx]] - cf[lo[idx]]).astype(np.int64),
-            "unique_locations_1h": np.array([len(set(loc[lo[i]:hi[i]])) for i in idx], dtype=np.int64),
+            "avg_amount_1h": _half_up((cc[hi] - cc[lo]) / cnt) / 100.0,
+            "max_amount_1h": np.array([a[x:y].max() for x, y in zip(lo, hi)], dtype=np.float64),
+            "failed_attempts_1h": (cf[hi] - cf[lo]).astype(np.int64),
+            "unique_locations_1h": np.array([len(set(loc[x:y])) for x, y in zip(lo, hi)], dtype=np.int64),
         })
         keep = t >= t[-1] - self.window_us
         self.buf.put(list(zip(t[keep].tolist(), c[keep].tolist(), a[keep].tolist(), f[keep].tolist(),
