@@ -136,24 +136,27 @@ def global_index(df: DataFrame, order_cols: list[str], index_col: str = "idx",
     sorted, checkpointed to the shared checkpoint folder (so partition ids
     and in-partition order stay fixed if an executor is lost), then each row's
     index is its partition's offset plus its position inside the partition.
-    The per-partition count table has one row per partition, which bounds
-    what is broadcast.  ``total_col`` optionally carries the row total.
+    As in ``RDD.zipWithIndex``, only the per-partition row counts (one number
+    per partition) reach the driver; the offsets go back as a literal array
+    indexed by partition id, so the indexing pass is a narrow projection.
     """
     from vigil.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     ordered = df.orderBy(*order_cols).checkpoint(eager=True)
-    tagged = ordered.select("*", F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_mid"))
+    pid = F.spark_partition_id()
+    counts = dict(ordered.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    n_parts = max(counts) + 1 if counts else 1
+    offsets, run = [], 0
+    for p in range(n_parts):
+        offsets.append(run)
+        run += counts.get(p, 0)
     # Position inside a partition: the id counts up from pid << 33.
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_cnt").over(Window.partitionBy()).alias("_all"))
-    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(index_col, F.col("_off") + local)
+    local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), pid + 1)
+    out = ordered.withColumn(index_col, offset + local)
     if total_col:
-        out = out.withColumnRenamed("_all", total_col)
-    return out.drop("_pid", "_mid", "_off", "_all")
+        out = out.withColumn(total_col, F.lit(run).cast("long"))
+    return out
 
 
 COUNT_WINDOW_COLUMNS = ["transaction_amount", "user_id", "is_fraud"] + DIMENSIONS
