@@ -486,7 +486,7 @@ l AS (SELECT * FROM summ ORDER BY window_start DESC LIMIT 1)
 SELECT {iso_sql('window_start')} AS last_metrics_window, total_transactions,
        '$' || format('{{:,.0f}}', total_amount) AS total_volume,
        '$' || format('{{:,.0f}}', avg_amount) AS avg_transaction,
-       unique_users, fraud_count,
+       unique_users, fraud_count, fraud_rate,
        format('{{:.1f}}', fraud_rate * CAST(100 AS DOUBLE)) || '%' AS fraud_rate_text
 FROM l
 """

@@ -321,7 +321,7 @@ def q_kpi_row(spark, sf_dir):
         "total_transactions",
         F.concat(F.lit("$"), money(F.col("total_amount"), 0)).alias("total_volume"),
         F.concat(F.lit("$"), money(F.col("avg_amount"), 0)).alias("avg_transaction"),
-        "unique_users", "fraud_count",
+        "unique_users", "fraud_count", "fraud_rate",
         percent(F.col("fraud_rate"), 1).alias("fraud_rate_text"))
 
 

@@ -58,7 +58,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch directory; on a cluster a missing setting is an error, because a
     machine-local folder would not survive losing that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint setting
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must be set on the Spark Connect server")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
