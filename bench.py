@@ -21,7 +21,7 @@ from vigil.session import build_session  # noqa: E402
 from vigil.sources.tables import load_events  # noqa: E402
 
 HEADLINE = [
-    "time_features", "rolling_user_features", "window_summary_1m", "window_summary_1h",
+    "time_features", "rolling_user_features", "rolling_hot_user", "window_summary_1m", "window_summary_1h",
     "window_metrics", "top_locations", "count_windows", "metrics_rollup",
     "alert_events", "alert_payloads", "alert_digest", "quarantine", "idempotent_insert",
     "latest_per_user", "recent_events", "insights", "ml_features", "auc",

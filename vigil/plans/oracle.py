@@ -579,3 +579,17 @@ SELECT coalesce(event_id, '') AS event_id, coalesce(user_id, '') AS user_id,
        txn_count_1h, failed_attempts_1h
 FROM enr
 """
+
+
+# ---------------------------------------------------------------------------
+# Skew: the same rolling features with one user holding ~40% of events
+# ---------------------------------------------------------------------------
+
+_HOT_EV = EV.replace("CAST(user_id AS VARCHAR) AS user_id,",
+                     "CASE WHEN event_type IN ('click', 'view') THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS user_id,", 1)
+SQL["rolling_hot_user"] = f"""
+WITH {_HOT_EV}, {rolling_sql(60, 'error')}
+SELECT event_id, user_id, event_time, txn_count_1h, avg_amount_1h, max_amount_1h,
+       failed_attempts_1h, unique_locations_1h
+FROM feat
+"""

@@ -535,3 +535,31 @@ QUERIES.update({
     "alerts_idempotent": q_alerts_idempotent,
     "processed_events_table": q_processed_events_table,
 })
+
+
+# ---------------------------------------------------------------------------
+# Skew: one user holding ~40% of all events (derived from the events table)
+# ---------------------------------------------------------------------------
+
+HOT_USER = "hot"
+HOT_TYPES = ["click", "view"]
+# Split size small enough that the hot user is split at test scale; the
+# default (2M rows) applies in production.
+HOT_SPLIT_ROWS = 500
+
+
+def hot_user_events(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return ev.withColumn("user_id", F.when(F.col("event_type").isin(HOT_TYPES), F.lit(HOT_USER))
+                         .otherwise(F.col("user_id")))
+
+
+def q_rolling_hot_user(spark, sf_dir):
+    ev = hot_user_events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount",
+                                               "event_type", "location")
+    out = rolling_user_features(ev, window_minutes=60, failed_type=FAILED_TYPE, split_rows=HOT_SPLIT_ROWS)
+    return out.select("event_id", "user_id", "event_time", "txn_count_1h", "avg_amount_1h",
+                      "max_amount_1h", "failed_attempts_1h", "unique_locations_1h")
+
+
+QUERIES.update({"rolling_hot_user": q_rolling_hot_user})
