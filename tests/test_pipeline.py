@@ -50,3 +50,11 @@ def test_pipeline_with_model_scores(spark):
     assert counters["processed"] == 1000 and "confidence" in processed.columns
     bad = processed.filter((F.col("fraud_probability") < 0) | (F.col("fraud_probability") > 1)).count()
     assert bad == 0
+
+
+def test_scale_conf_sizes_partitions():
+    from vigil.session import scale_conf
+    c = scale_conf(100 << 40, executors=1000, cores_per_executor=4)
+    parts = int(c["spark.sql.shuffle.partitions"])
+    assert parts % 4000 == 0 and 50 * (1 << 40) / parts <= 1 << 30 and parts <= 100_000
+    assert int(scale_conf(1 << 30, 2, 4)["spark.sql.shuffle.partitions"]) == 8

@@ -21,6 +21,32 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
+               target_partition_bytes: int = 1 << 30, shuffle_fraction: float = 0.5,
+               max_partitions: int = 100_000, scan_split_bytes: int = 512 << 20) -> dict:
+    """Partition sizing for a cluster run (spill-aware defaults).
+
+    Initial shuffle partitions are sized so one partition of the largest
+    shuffle (~``shuffle_fraction`` of the input after column pruning) is about
+    ``target_partition_bytes``, rounded up to whole waves of task slots and
+    capped (map-status metadata on the driver grows with maps x reducers).
+    AQE then coalesces small partitions towards a quarter of the target and
+    splits skewed ones at run time.  Scan splits of ``scan_split_bytes`` keep a
+    task's input well inside executor memory.
+    """
+    slots = max(1, executors * cores_per_executor)
+    wanted = max(slots, int(input_bytes * shuffle_fraction) // target_partition_bytes + 1)
+    partitions = min(-(-wanted // slots) * slots, max(max_partitions, slots))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 4),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def build_session(master: str | None = None, app: str = "vigil",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
