@@ -31,6 +31,9 @@ def test_pipeline_counters_and_tables(spark):
     assert processed.select("event_id").distinct().count() == 1000
     assert spark.read.parquet(f"{out}/quarantine").count() == 0
     assert len(spark.read.parquet(f"{out}/processed_events_table").columns) == 14
+    recent = spark.read.parquet(f"{out}/recent_events")
+    assert recent.count() == 1000 and sorted(r.pos for r in recent.select("pos").collect()) == list(range(1000))
+    assert spark.read.parquet(f"{out}/metrics_history").count() == 500
     d = spark.read.parquet(f"{out}/deliveries")
     assert d.count() >= 2 * alerts.count()
     assert spark.read.parquet(f"{out}/insights").filter(F.col("risk_level").isNull()).count() == 0

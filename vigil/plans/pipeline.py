@@ -20,9 +20,9 @@ from vigil.operators import alerts as AL
 from vigil.operators import insights as IN
 from vigil.operators import ml as ML
 from vigil.operators import summary as S
-from vigil.operators.store import with_write_defaults
+from vigil.operators.store import bounded_history, with_write_defaults
 from vigil.operators.validation import dedupe_events, enrich_events, split_valid
-from vigil.schemas import FAILED_LOGIN
+from vigil.schemas import FAILED_LOGIN, METRICS_HISTORY_MAX, RECENT_EVENTS_MAX
 
 
 def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: PipelineModel | None = None,
@@ -50,6 +50,9 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     processed = spark.read.parquet(f"{out_dir}/processed_events")
 
     with_write_defaults(processed).write.mode("overwrite").parquet(f"{out_dir}/processed_events_table")
+    # The recent-events buffer (newest N, top-N plan).
+    bounded_history(processed, RECENT_EVENTS_MAX, ["event_time", "event_id"]) \
+        .write.mode("overwrite").parquet(f"{out_dir}/recent_events")
 
     alerts = AL.evaluate_alerts(processed, rules)
     alerts.write.mode("overwrite").parquet(f"{out_dir}/alerts")
@@ -58,6 +61,8 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     AL.alert_payloads(alerts).write.mode("overwrite").parquet(f"{out_dir}/payloads")
 
     S.window_metrics(processed, metrics_every).write.mode("overwrite").parquet(f"{out_dir}/metrics")
+    bounded_history(spark.read.parquet(f"{out_dir}/metrics"), METRICS_HISTORY_MAX, ["window_start"]) \
+        .write.mode("overwrite").parquet(f"{out_dir}/metrics_history")
     cwm = S.count_window_metrics(processed, every=insight_every)
     IN.template_insights(cwm, "first_event_time", "last_event_time") \
       .write.mode("overwrite").parquet(f"{out_dir}/insights")

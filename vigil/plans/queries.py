@@ -169,6 +169,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 
 from vigil.operators import store as ST  # noqa: E402
+from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX  # noqa: E402
 from vigil.operators.validation import split_valid  # noqa: E402
 from vigil.session import scratch_path  # noqa: E402
 from vigil.sources.json_events import archive_events, read_archive  # noqa: E402
@@ -205,7 +206,8 @@ def q_latest_metrics(spark, sf_dir):
 
 
 def q_metrics_history(spark, sf_dir):
-    hist = ST.bounded_history(S.window_summary(_events(spark, sf_dir), "1 minute"), 500, ["window_start"])
+    hist = ST.bounded_history(S.window_summary(_events(spark, sf_dir), "1 minute"), METRICS_HISTORY_MAX,
+                              ["window_start"])
     return ST.list_range(hist, -60, -1).select("pos", "window_start", "total_transactions", "fraud_rate")
 
 
@@ -287,7 +289,8 @@ def q_latest_insight(spark, sf_dir):
 
 def q_insight_history(spark, sf_dir):
     ins, _ = _insights(spark, sf_dir)
-    hist = ST.bounded_history(ins.select("insight_id", "window_start", "risk_level"), 100, ["window_start"])
+    hist = ST.bounded_history(ins.select("insight_id", "window_start", "risk_level"), INSIGHT_HISTORY_MAX,
+                              ["window_start"])
     return ST.list_range(hist, -10, -1)
 
 
@@ -311,7 +314,7 @@ def q_throughput_series(spark, sf_dir):
     pct = F.col("fraud_rate") * F.lit(100.0)
     return m.select("window_start", "total_transactions",
                     F.coalesce(F.col("fraud_count"), F.lit(0)).alias("fraud_count"),
-                    pct.alias("fraud_pct"), (pct > F.lit(5.0)).alias("above_reference"))
+                    pct.alias("fraud_pct"), (pct > F.lit(FRAUD_PCT_REFERENCE)).alias("above_reference"))
 
 
 def q_kpi_row(spark, sf_dir):
