@@ -51,7 +51,8 @@ def summary_aggs(df: DataFrame, amount_col: str = "transaction_amount", user_col
 
 def window_summary(df: DataFrame, every: str = "1 minute", ts_col: str = "event_time",
                    **kw) -> DataFrame:
-    """A1–A3 per tumbling event-time window (one shuffle on the window)."""
+    """A1–A3 per tumbling event-time window (partial aggregation; the exact
+    distinct-user count adds one (window, user) shuffle before the window one)."""
     agg = df.groupBy(F.window(ts_col, every).alias("w")).agg(*summary_aggs(df, **kw))
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       *[c for c in agg.columns if c != "w"])

@@ -6,6 +6,11 @@ the pre-registered driver tables alone.
 
 from __future__ import annotations
 
+import re as _re
+
+from vigil.schemas import (ALERT_RULE_TEXT, ALERT_SUMMARY_HEADER, CHAT_COLOR, CHAT_ICON, DEVICE_TYPES,
+                           EVENT_TYPES, INSIGHT_FINDING_TEMPLATES, INSIGHT_RECOMMENDATIONS,
+                           INSIGHT_TEXT_TEMPLATE, NO_ALERTS_TEXT, USER_PROMPT_TEMPLATE)
 from vigil.sources.tables import CANONICAL_EVENTS_SQL
 
 EV = f"ev AS ({CANONICAL_EVENTS_SQL})"
@@ -159,10 +164,6 @@ FROM u
 # Alerts (R1–R15, A10–A11, I9)
 # ---------------------------------------------------------------------------
 
-import re as _re  # noqa: E402
-
-from vigil.schemas import (ALERT_RULE_TEXT, CHAT_COLOR, CHAT_ICON, NO_ALERTS_TEXT,  # noqa: E402
-                           ALERT_SUMMARY_HEADER)
 
 _FIELD = _re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
 
@@ -299,7 +300,6 @@ SQL["alert_digest"] = ALERTS + f""",
 # Validation and store
 # ---------------------------------------------------------------------------
 
-from vigil.schemas import DEVICE_TYPES, EVENT_TYPES  # noqa: E402
 
 _IN = lambda xs: ", ".join(q(x) for x in xs)
 SQL["quarantine"] = f"""
@@ -382,8 +382,6 @@ FROM ev GROUP BY ALL
 # Insights and dashboard reads
 # ---------------------------------------------------------------------------
 
-from vigil.schemas import (INSIGHT_FINDING_TEMPLATES, INSIGHT_RECOMMENDATIONS,  # noqa: E402
-                           INSIGHT_TEXT_TEMPLATE, USER_PROMPT_TEMPLATE)
 
 _JSONV = "replace(replace(value, '\\', '\\\\'), '\"', '\\\"')"
 

@@ -10,10 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.time import with_time_features
+from vigil.functions.fmt import money, percent
+from vigil.functions.time import iso_text, with_time_features
+from vigil.operators import alerts as AL
+from vigil.operators import insights as IN
+from vigil.operators import ml as ML
+from vigil.operators import store as ST
+from vigil.operators import summary as S
 from vigil.operators.rolling import rolling_user_features
-from vigil.session import pin_utc
-from vigil.sources.tables import load_events
+from vigil.operators.summary import round_to
+from vigil.operators.validation import split_valid
+from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX
+from vigil.session import pin_utc, scratch_path
+from vigil.sources.json_events import archive_events, parse_events, read_archive, to_wire
+from vigil.sources.tables import canonical_events, load_events, read_table
+from vigil.streaming import jobs as SJ
 
 # The driver's events use 'error' where the reference has 'failed_login'.
 FAILED_TYPE = "error"
@@ -48,8 +59,6 @@ QUERIES = {
 # Aggregation
 # ---------------------------------------------------------------------------
 
-from vigil.operators import summary as S  # noqa: E402
-
 
 def q_window_summary_1m(spark, sf_dir):
     return S.window_summary(_events(spark, sf_dir), "1 minute")
@@ -102,7 +111,6 @@ QUERIES.update({
 # Alerts (R1–R15, A10–A11, I9)
 # ---------------------------------------------------------------------------
 
-from vigil.operators import alerts as AL  # noqa: E402
 
 # The driver's data is sparse (at most ~11 events per user-day, amounts below
 # 600), so rule queries use a 24-hour frame and thresholds that fire on it.
@@ -168,11 +176,6 @@ QUERIES.update({
 # Validation and store
 # ---------------------------------------------------------------------------
 
-from vigil.operators import store as ST  # noqa: E402
-from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX  # noqa: E402
-from vigil.operators.validation import split_valid  # noqa: E402
-from vigil.session import scratch_path  # noqa: E402
-from vigil.sources.json_events import archive_events, read_archive  # noqa: E402
 
 MIDPOINT = "2024-01-16 00:00:00"
 
@@ -255,9 +258,6 @@ QUERIES.update({
 # Insights and dashboard reads
 # ---------------------------------------------------------------------------
 
-from vigil.functions.fmt import money, percent  # noqa: E402
-from vigil.functions.time import iso_text  # noqa: E402
-from vigil.operators import insights as IN  # noqa: E402
 
 INSIGHT_EVERY = 100
 
@@ -343,8 +343,6 @@ QUERIES.update({
 # ML (M1–M18)
 # ---------------------------------------------------------------------------
 
-from vigil.operators import ml as ML  # noqa: E402
-from vigil.operators.summary import round_to  # noqa: E402
 
 # Query-time model size: the default (200 trees, depth 6) is a parameter of
 # ML.GBTParams; registered queries use a lighter preset to keep runs short.
@@ -454,8 +452,6 @@ QUERIES.update({
 # Streaming (A7, S5–S7, W8): the driver table replayed as in-order micro-batches
 # ---------------------------------------------------------------------------
 
-from vigil.sources.tables import canonical_events, read_table  # noqa: E402
-from vigil.streaming import jobs as SJ  # noqa: E402
 
 STREAM_SLICES = 8
 # Run statistics of the last streaming query run per name (batches, latency,
@@ -523,8 +519,6 @@ QUERIES.update({
 # Wire format and table writes
 # ---------------------------------------------------------------------------
 
-from vigil.sources.json_events import parse_events, to_wire  # noqa: E402
-
 
 def q_wire_roundtrip(spark, sf_dir):
     """S4 then S3: events -> (key, JSON value) -> typed events again."""
