@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 from vigil.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"fraud_scores", "train_metrics", "cv_auc", "stream_rolling", "stream_tumbling", "stream_dedupe"}
+SLOW = {"fraud_scores", "inference_batch", "train_metrics", "cv_auc", "stream_rolling", "stream_tumbling",
+        "stream_dedupe", "stream_alerts"}
 
 
 def norm(v):
@@ -59,6 +60,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(sdf.columns, srows) == digest(ocols, orows)
 
 
-@pytest.mark.parametrize("name", ["stream_tumbling", "stream_rolling"])
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_rolling", "stream_alerts"])
 def test_stream_matches_batch_sql(spark, duck, name):
     test_query_matches_oracle(spark, duck, name)

@@ -591,3 +591,5 @@ SELECT event_id, user_id, event_time, txn_count_1h, avg_amount_1h, max_amount_1h
        failed_attempts_1h, unique_locations_1h
 FROM feat
 """
+
+SQL["stream_alerts"] = SQL["alert_events"]

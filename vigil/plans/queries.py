@@ -584,3 +584,22 @@ def q_rolling_hot_user(spark, sf_dir):
 
 
 QUERIES.update({"rolling_hot_user": q_rolling_hot_user})
+
+
+# ---------------------------------------------------------------------------
+# Streaming pipeline (L2): rolling state -> rules, per micro-batch
+# ---------------------------------------------------------------------------
+
+
+def q_stream_alerts(spark, sf_dir):
+    """The streaming job's alert table: the same alerts as the batch job."""
+    from vigil.plans.stream_pipeline import run_stream_pipeline
+    pin_utc(spark)
+    out = scratch_path(spark, "stream-pipeline")
+    STREAM_STATS["stream_alerts"] = run_stream_pipeline(
+        spark, _event_stream(spark, sf_dir), out, scratch_path(spark, "ckpt-pipeline"),
+        rules=AL.default_rules(**RULE_PARAMS), window_minutes=RULE_WINDOW_MINUTES, failed_type=FAILED_TYPE)
+    return spark.read.parquet(f"{out}/alerts").drop("batch_id", "resolved")
+
+
+QUERIES.update({"stream_alerts": q_stream_alerts})

@@ -183,9 +183,10 @@ class RollingFeatureProcessor(StatefulProcessor):
     state read and one write per user and batch.
     """
 
-    def __init__(self, window_us: int, failed_type: str):
+    def __init__(self, window_us: int, failed_type: str, passthrough: list[str] | None = None):
         self.window_us = window_us
         self.failed_type = failed_type
+        self.passthrough = passthrough or []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -226,6 +227,9 @@ class RollingFeatureProcessor(StatefulProcessor):
             "failed_attempts_1h": (cf[hi] - cf[lo]).astype(np.int64),
             "unique_locations_1h": np.array([len(set(loc[x:y])) for x, y in zip(lo, hi)], dtype=np.int64),
         })
+        pick = o[order[idx] - n_old]                    # new-row positions, output order
+        for col in self.passthrough:
+            out[col] = new[col].to_numpy(dtype=object)[pick]
         keep = t >= t[-1] - self.window_us
         self.buf.put(list(zip(t[keep].tolist(), c[keep].tolist(), a[keep].tolist(), f[keep].tolist(),
                               [str(x) for x in loc[keep]])))
@@ -252,21 +256,26 @@ class RollingFeatureProcessor(StatefulProcessor):
 
 
 def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
-                            watermark: str = "10 minutes", ts_col: str = "event_time") -> DataFrame:
-    """W1–W6 on a stream, keyed by user.  Needs the RocksDB state store
-    provider (set here if the session has none)."""
+                            watermark: str = "10 minutes", ts_col: str = "event_time",
+                            passthrough: list[str] | None = None) -> DataFrame:
+    """W1–W6 on a stream, keyed by user, plus the ``passthrough`` columns
+    of each event (for downstream scoring and rules).  Needs the RocksDB
+    state store provider (set here if the session has none)."""
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     window_us = int(window_minutes) * MICROS_PER_MINUTE
+    passthrough = [c for c in (passthrough or []) if c not in ("event_id", "user_id", ts_col)]
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    out_schema = ROLLING_OUT + "".join(f", {c} {types[c]}" for c in passthrough)
     prepared = (stream.withWatermark(ts_col, watermark)
                 .select("event_id", F.coalesce(F.col("user_id"), F.lit("unknown")).alias("user_id"),
-                        ts_col,
+                        ts_col, *passthrough,
                         epoch_micros(F.col(ts_col)).alias("t"),
                         cents(F.col("transaction_amount")).alias("c"),
                         F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0)).alias("a"),
                         (F.col("event_type") == F.lit(failed_type)).cast("int").alias("f"),
                         F.coalesce(F.col("location"), F.lit("")).alias("l")))
     return (prepared.groupBy("user_id")
-            .transformWithStateInPandas(RollingFeatureProcessor(window_us, failed_type), ROLLING_OUT,
-                                        "append", "EventTime"))
+            .transformWithStateInPandas(RollingFeatureProcessor(window_us, failed_type, passthrough),
+                                        out_schema, "append", "EventTime"))
