@@ -15,8 +15,11 @@ streams cannot express change:
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -29,6 +32,11 @@ from vigil.schemas import FAILED_LOGIN
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The stateful processor below is the only code that runs in Python workers.
+# Pickling this module by value ships it with the query, so executors need
+# no copy of the package (no --py-files) and see exactly the driver's code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---------------------------------------------------------------------------
 # Staging and sinks
