@@ -56,3 +56,24 @@ def test_rolling_state_across_batches(spark):
            for r in spark.read.parquet(sink).collect()}
     assert got["e0003"] == (3, 30.0, 40.0)      # e0001 (20m), e0002 (40m) from state + itself
     assert got["e0004"] == (1, 50.0, 50.0)
+
+
+def test_stateful_stream_runs_without_package_on_workers():
+    """Python workers must not need `vigil` importable (they start outside
+    the repo on a cluster); the processor ships by value."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['stream_rolling'](s, '/root/testdata/sf0.001').count())\n" % repo)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), env=env,
+                       capture_output=True, text=True, timeout=600)
+    assert "ROWS 1000" in r.stdout, r.stderr[-2000:]
