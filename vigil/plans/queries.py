@@ -22,7 +22,7 @@ from vigil.operators.summary import round_to
 from vigil.operators.validation import split_valid
 from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX
 from vigil.session import pin_utc, scratch_path
-from vigil.sources.json_events import archive_events, parse_events, read_archive, to_wire
+from vigil.sources.json_events import archive_events, json_file_stream, parse_events, read_archive, to_wire
 from vigil.sources.tables import canonical_events, load_events, read_table
 from vigil.streaming import jobs as SJ
 
@@ -603,3 +603,25 @@ def q_stream_alerts(spark, sf_dir):
 
 
 QUERIES.update({"stream_alerts": q_stream_alerts})
+
+
+def q_stream_from_json(spark, sf_dir):
+    """S4 -> S1 -> S3 -> A7: events serialised to the JSON wire format, read
+    back by the text-stream twin of the Kafka source, summarised per minute.
+    The wire carries no fraud flag, so fraud counts are 0."""
+    pin_utc(spark)
+    wire_cols = ["event_id", "user_id", "session_id", "event_time", "transaction_amount", "location",
+                 "device_type", "event_type", "currency"]
+    staged = scratch_path(spark, "stream-json")
+    SJ.stage_time_slices(_events(spark, sf_dir), staged, STREAM_SLICES, "event_time",
+                         to_text=lambda d: to_wire(d.select(*wire_cols)).select("value"))
+    stream = SJ.with_event_timestamp(json_file_stream(spark, staged, max_files_per_trigger=1))
+    agg = SJ.tumbling_summary_stream(stream, "1 minute", "10 minutes")
+    sink, ckpt = scratch_path(spark, "stream-json-out"), scratch_path(spark, "ckpt-json")
+    STREAM_STATS["stream_from_json"] = SJ.run_available(agg, sink, ckpt, "update")
+    out = SJ.read_latest(spark, sink, ["window_start"])
+    return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
+                            "window_end": F.col("window_end").cast("timestamp_ntz")})
+
+
+QUERIES.update({"stream_from_json": q_stream_from_json})

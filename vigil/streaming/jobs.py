@@ -16,6 +16,7 @@ streams cannot express change:
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -42,11 +43,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Staging and sinks
 # ---------------------------------------------------------------------------
 
-def stage_time_slices(df: DataFrame, path: str, slices: int, ts_col: str = "ts") -> None:
+def stage_time_slices(df: DataFrame, path: str, slices: int, ts_col: str = "ts",
+                      to_text: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write ``df`` as ``slices`` consecutive event-time slices, one write per
     slice in time order, so a file stream with ``maxFilesPerTrigger`` replays
     them as in-order micro-batches.  Slice bounds are approximate quantiles
-    of the event time (one aggregate)."""
+    of the event time (one aggregate).  With ``to_text`` (frame -> one string
+    column) the slices are written as text lines instead of parquet."""
     t = epoch_micros(F.col(ts_col))
     qs = df.select(t.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.001)
     bounds = [None] + sorted(set(qs)) + [None]
@@ -56,7 +59,11 @@ def stage_time_slices(df: DataFrame, path: str, slices: int, ts_col: str = "ts")
             cond = cond & (t >= F.lit(lo))
         if hi is not None:
             cond = cond & (t < F.lit(hi))
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        part = df.filter(cond).coalesce(1)
+        if to_text is None:
+            part.write.mode("append").parquet(path)
+        else:
+            to_text(part).write.mode("append").text(path)
 
 
 def write_batches(path: str):
