@@ -77,3 +77,13 @@ def test_stateful_stream_runs_without_package_on_workers():
     r = subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), env=env,
                        capture_output=True, text=True, timeout=600)
     assert "ROWS 1000" in r.stdout, r.stderr[-2000:]
+
+
+def test_console_sink_runs(spark, capsys):
+    stream = _stream_of(spark, [[event(i, t=T0 + timedelta(minutes=i)) for i in range(3)]])
+    q = SJ.console_sink(SJ.counters_stream(stream, "user_id"), trigger="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive and q.lastProgress["numInputRows"] == 3
+    finally:
+        q.stop()

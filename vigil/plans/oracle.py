@@ -595,3 +595,4 @@ FROM feat
 SQL["stream_alerts"] = SQL["alert_events"]
 SQL["stream_from_json"] = window_summary_sql("1 minute").replace(
     f"WITH {EV}", f"WITH {EV.replace('ev AS (', 'ev0 AS (', 1)}, ev AS (SELECT * REPLACE (false AS is_fraud) FROM ev0)", 1)
+SQL["stream_counters"] = SQL["event_counters"]

@@ -625,3 +625,16 @@ def q_stream_from_json(spark, sf_dir):
 
 
 QUERIES.update({"stream_from_json": q_stream_from_json})
+
+
+def q_stream_counters(spark, sf_dir):
+    """S19 on a stream: per-user event counters, update mode, newest value
+    per key read back from the idempotent sink."""
+    pin_utc(spark)
+    counts = SJ.counters_stream(_event_stream(spark, sf_dir), "user_id")
+    sink, ckpt = scratch_path(spark, "stream-counters"), scratch_path(spark, "ckpt-counters")
+    STREAM_STATS["stream_counters"] = SJ.run_available(counts, sink, ckpt, "update")
+    return SJ.read_latest(spark, sink, ["user_id"])
+
+
+QUERIES.update({"stream_counters": q_stream_counters})
