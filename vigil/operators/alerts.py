@@ -205,24 +205,35 @@ def recent_alerts(alerts: DataFrame, limit: int = 50, display: int = 10) -> Data
 
 
 def alert_digest(alerts: DataFrame, windows: DataFrame, every: str = "1 hour",
-                 first: int = 5) -> DataFrame:
-    """Per window, the first ``first`` alerts as bullet lines, or the
-    empty-window sentence.
+                 first: int = 5, style: str = "summary") -> DataFrame:
+    """Per window, the first alerts as text lines.
+
+    ``style="summary"``: the first ``first`` (5) alerts as bullet lines under
+    a header, or the empty-window sentence.  ``style="prompt"``: the first 10
+    as ``- [severity] title: description`` lines (the text handed to a model),
+    or the empty-window sentence.
 
     Only the first few alerts of each window are kept before grouping (a
     ranked filter Spark evaluates as a partial per-task limit), so no window's
     full alert list is ever gathered.
     """
     from vigil.schemas import ALERT_SUMMARY_HEADER, NO_ALERTS_TEXT
-    line = F.concat(F.lit("• ["), F.upper(F.col("severity")), F.lit("] "), F.col("title"), F.lit(": "),
-                    F.col("description"))
+    if style == "prompt":
+        first = 10
+        line = F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.col("title"), F.lit(": "),
+                        F.col("description"))
+        header = ""
+    else:
+        line = F.concat(F.lit("• ["), F.upper(F.col("severity")), F.lit("] "), F.col("title"), F.lit(": "),
+                        F.col("description"))
+        header = ALERT_SUMMARY_HEADER + "\n"
     ws = F.window("triggered_at", every).start
     rank = Window.partitionBy("window_start").orderBy(*ARRIVAL)
     firsts = (alerts.select(ws.alias("window_start"), *ARRIVAL, line.alias("line"))
                     .withColumn("_r", F.row_number().over(rank))
                     .filter(F.col("_r") <= first))
     digests = firsts.groupBy("window_start").agg(
-        F.concat(F.lit(ALERT_SUMMARY_HEADER + "\n"),
+        F.concat(F.lit(header),
                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "line"))),
                                           lambda s: s["line"]), "\n")).alias("digest"))
     return (windows.select("window_start").distinct()

@@ -596,3 +596,8 @@ SQL["stream_alerts"] = SQL["alert_events"]
 SQL["stream_from_json"] = window_summary_sql("1 minute").replace(
     f"WITH {EV}", f"WITH {EV.replace('ev AS (', 'ev0 AS (', 1)}, ev AS (SELECT * REPLACE (false AS is_fraud) FROM ev0)", 1)
 SQL["stream_counters"] = SQL["event_counters"]
+
+SQL["alert_prompt"] = SQL["alert_digest"].replace(
+    "'• [' || upper(severity) || '] '", "'- [' || severity || '] '").replace(
+    "WHERE r <= 5", "WHERE r <= 10").replace(
+    f"{q(ALERT_SUMMARY_HEADER)} || chr(10) || string_agg", "string_agg")

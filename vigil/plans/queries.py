@@ -161,7 +161,14 @@ def q_alert_digest(spark, sf_dir):
     return AL.alert_digest(alerts_frame(spark, sf_dir), windows, "1 hour", first=5)
 
 
+def q_alert_prompt(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    windows = ev.select(F.window("event_time", "1 hour").start.alias("window_start"))
+    return AL.alert_digest(alerts_frame(spark, sf_dir), windows, "1 hour", style="prompt")
+
+
 QUERIES.update({
+    "alert_prompt": q_alert_prompt,
     "alert_events": q_alert_events,
     "alert_counts": q_alert_counts,
     "alert_pivot": q_alert_pivot,
