@@ -45,12 +45,16 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str | list[str],
                arrival: list[str], partition_col: str | None = None,
-               layout=None) -> int:
+               layout=None, unique: bool = False) -> int:
     """Append the rows whose key is not in the table yet (first
-    arrival per key wins); returns how many were appended."""
+    arrival per key wins); returns how many were appended.  ``unique=True``
+    declares the rows already unique per key (deduped upstream, or ids that
+    are unique by construction), which skips the first-per-key shuffle."""
     existing = read_if_exists(spark, path)
     keys = [key] if isinstance(key, str) else key
-    if existing is None:
+    if unique:
+        new = rows if existing is None else rows.join(existing.select(*keys), keys, "left_anti")
+    elif existing is None:
         new = first_by_key(rows, keys, arrival)
     else:
         new = rows_to_insert(existing, rows, keys[-1], arrival, partition_col if len(keys) > 1 else None)
@@ -113,16 +117,18 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     # Range-partition on (date, user, id) before the partitioned write: each
     # task holds one or two dates (files ~ tasks + dates, not tasks x dates),
     # and a hot date (or a hot user within it) is split across tasks.
+    # Rows below are unique per key by construction (events deduped above,
+    # alert ids per (event, rule), insight ids per window).
     inserted = append_new(spark, enriched, processed_path, ["event_date", "event_id"], ["event_time"],
-                          partition_col="event_date",
+                          partition_col="event_date", unique=True,
                           layout=lambda d: d.repartitionByRange("event_date", "user_id", "event_id"))
     append_new(spark, with_write_defaults(enriched), f"{out_dir}/processed_events_table", "event_id",
-               ["event_time"])
+               ["event_time"], unique=True)
 
     new_alerts = AL.evaluate_alerts(enriched, rules)
     alerts_path = f"{out_dir}/alerts"
     before = read_if_exists(spark, alerts_path)
-    n_alerts = append_new(spark, new_alerts, alerts_path, "alert_id", ["triggered_at"])
+    n_alerts = append_new(spark, new_alerts, alerts_path, "alert_id", ["triggered_at"], unique=True)
     added = spark.read.parquet(alerts_path)
     if before is not None:
         added = added.join(before.select("alert_id"), "alert_id", "left_anti")
@@ -137,7 +143,7 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
         .write.mode("overwrite").parquet(f"{out_dir}/metrics_history")
     cwm = S.count_window_metrics(processed, every=insight_every)
     n_insights = append_new(spark, IN.template_insights(cwm, "first_event_time", "last_event_time"),
-                            f"{out_dir}/insights", "insight_id", ["window_start"])
+                            f"{out_dir}/insights", "insight_id", ["window_start"], unique=True)
 
     fraud = enriched.agg(F.coalesce(F.sum(F.col("is_fraud").cast("long")), F.lit(0))).first()[0]
     seen = v_obs.get
