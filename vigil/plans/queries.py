@@ -19,7 +19,8 @@ from vigil.operators import store as ST
 from vigil.operators import summary as S
 from vigil.operators.rolling import rolling_user_features
 from vigil.operators.summary import round_to
-from vigil.operators.validation import split_valid
+from vigil.operators.validation import split_valid, with_inference_defaults
+from vigil.plans.stream_pipeline import run_stream_pipeline
 from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX
 from vigil.session import pin_utc, scratch_path
 from vigil.sources.json_events import archive_events, json_file_stream, parse_events, read_archive, to_wire
@@ -424,7 +425,6 @@ def q_fraud_scores(spark, sf_dir):
 def q_inference_batch(spark, sf_dir):
     """P8 + M16: requests carry only the five required fields; the optional
     features take their defaults before scoring."""
-    from vigil.operators.validation import with_inference_defaults
     req = _events(spark, sf_dir).select("event_id", "user_id", "transaction_amount", "device_type",
                                         "event_type", "location")
     return ML.score(_model(spark, sf_dir), with_inference_defaults(req),
@@ -600,7 +600,6 @@ QUERIES.update({"rolling_hot_user": q_rolling_hot_user})
 
 def q_stream_alerts(spark, sf_dir):
     """The streaming job's alert table: the same alerts as the batch job."""
-    from vigil.plans.stream_pipeline import run_stream_pipeline
     pin_utc(spark)
     out = scratch_path(spark, "stream-pipeline")
     STREAM_STATS["stream_alerts"] = run_stream_pipeline(
