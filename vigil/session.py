@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files of frames no longer referenced are removed, so a
+    # long-running session does not fill the shared checkpoint folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
