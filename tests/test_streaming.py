@@ -87,3 +87,32 @@ def test_console_sink_runs(spark, capsys):
         assert q.isActive and q.lastProgress["numInputRows"] == 3
     finally:
         q.stop()
+
+
+def _stream_features(spark, batches, layout, window=60):
+    feats = SJ.rolling_features_stream(_stream_of(spark, batches), window, "failed_login", state_layout=layout)
+    sink = scratch_path(spark, f"feat-{layout}")
+    SJ.run_available(feats, sink, scratch_path(spark, f"feat-ck-{layout}"), "append")
+    return {r.event_id: (r.txn_count_1h, r.avg_amount_1h, r.max_amount_1h, r.failed_attempts_1h,
+                         r.unique_locations_1h) for r in spark.read.parquet(sink).collect()}
+
+
+def test_bucketed_and_list_state_match_batch_for_hot_user(spark):
+    from vigil.operators.rolling import rolling_user_features
+    rows = [event(i, user="hot" if i % 5 else f"u{i}", t=T0 + timedelta(seconds=97 * i),
+                  amount=float(i % 17) + 0.25, location=f"L{i % 7}",
+                  etype="failed_login" if i % 6 == 0 else "purchase") for i in range(400)]
+    batches = [rows[k:k + 100] for k in range(0, 400, 100)]      # in event order, 4 micro-batches
+    expect = {r.event_id: (r.txn_count_1h, r.avg_amount_1h, r.max_amount_1h, r.failed_attempts_1h,
+                           r.unique_locations_1h)
+              for r in rolling_user_features(frame(spark, rows), 60, failed_type="failed_login").collect()}
+    assert _stream_features(spark, batches, "buckets") == expect
+    assert _stream_features(spark, batches, "list") == expect
+
+
+def test_late_event_within_watermark_sees_its_frame(spark):
+    b1 = [event(i, t=T0 + timedelta(minutes=10 * i), amount=10.0) for i in range(10)]     # 0..90 min
+    late = [event(50, t=T0 + timedelta(minutes=85), amount=40.0)]                         # 5 min behind
+    got = _stream_features(spark, [b1, late], "buckets")
+    # frame [25, 85] min: events at 30..80 (6 of them) plus itself
+    assert got["e0050"][:3] == (7, round((6 * 1000 + 4000) / 7) / 100.0, 40.0)

@@ -205,8 +205,10 @@ class RollingFeatureProcessor(StatefulProcessor):
     state read and one write per user and batch.
     """
 
-    def __init__(self, window_us: int, failed_type: str, passthrough: list[str] | None = None):
+    def __init__(self, window_us: int, failed_type: str, passthrough: list[str] | None = None,
+                 retain_us: int | None = None):
         self.window_us = window_us
+        self.retain_us = retain_us or window_us
         self.failed_type = failed_type
         self.passthrough = passthrough or []
 
@@ -252,7 +254,7 @@ class RollingFeatureProcessor(StatefulProcessor):
         pick = o[order[idx] - n_old]                    # new-row positions, output order
         for col in self.passthrough:
             out[col] = new[col].to_numpy(dtype=object)[pick]
-        keep = t >= t[-1] - self.window_us
+        keep = t >= t[-1] - self.retain_us
         self.buf.put(list(zip(t[keep].tolist(), c[keep].tolist(), a[keep].tolist(), f[keep].tolist(),
                               [str(x) for x in loc[keep]])))
         if n_old == 0:
@@ -261,7 +263,7 @@ class RollingFeatureProcessor(StatefulProcessor):
         yield out
 
     def _expiry_ms(self, newest_us: int) -> int:
-        return (newest_us + self.window_us) // 1000 + 1
+        return (newest_us + self.retain_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Clear an idle user's state; re-arm the timer if the user was
@@ -277,12 +279,166 @@ class RollingFeatureProcessor(StatefulProcessor):
         pass
 
 
+BUCKET_AGG = "n long, c long, f long, mx double, locs array<string>"
+BUCKET_RAW = "t array<long>, c array<long>, a array<double>, f array<long>, l array<string>"
+
+
+class BucketedRollingProcessor(StatefulProcessor):
+    """W8 with state whose per-batch cost does not grow with a user's rate.
+
+    Per user, events live in time buckets of ``bucket_us`` (window / 60): a
+    map of per-bucket aggregates (count, cents, failures, max, locations) and
+    a map of per-bucket raw rows.  The frame ``[t - window, t]`` of a new
+    event is the bucket aggregates strictly between its two end buckets plus
+    the raw rows of the two partial end buckets, so a batch reads the
+    aggregates (at most ~61 entries per user) and the raw rows of the buckets
+    it touches, and rewrites only the buckets its events fall into.  Buckets
+    older than ``window + lateness`` before the newest event are removed; an
+    event-time timer clears an idle user.  Exact for in-order events and for
+    late events within the watermark.
+    """
+
+    def __init__(self, window_us: int, bucket_us: int, retain_us: int, failed_type: str,
+                 passthrough: list[str] | None = None):
+        self.window_us, self.bucket_us, self.retain_us = window_us, bucket_us, retain_us
+        self.failed_type = failed_type
+        self.passthrough = passthrough or []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.agg = handle.getMapState("agg", "m long", BUCKET_AGG)
+        self.raw = handle.getMapState("raw", "m long", BUCKET_RAW)
+
+    def handleInputRows(self, key, rows, timerValues):
+        batches = list(rows)
+        new = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
+        eid = new["event_id"].to_numpy(dtype=object)
+        o = np.lexsort((eid.astype(str), new["t"].to_numpy(np.int64)))
+        nt = new["t"].to_numpy(np.int64)[o]
+        cols = {"c": new["c"].to_numpy(np.int64)[o], "a": new["a"].to_numpy(np.float64)[o],
+                "f": new["f"].to_numpy(np.int64)[o], "l": new["l"].to_numpy(dtype=object)[o]}
+        B, W = self.bucket_us, self.window_us
+        nm, lo_t = nt // B, nt - W
+        lo_m = lo_t // B
+
+        agg = {k[0]: v for k, v in self.agg.iterator()}
+        first_time = not agg
+        raw = {}
+        for m in set(nm.tolist()) | set(lo_m.tolist()):
+            if m in agg:
+                v = self.raw.getValue((m,))
+                raw[m] = [np.asarray(v[0], np.int64), np.asarray(v[1], np.int64),
+                          np.asarray(v[2], np.float64), np.asarray(v[3], np.int64), np.asarray(v[4], object)]
+        touched = sorted(set(nm.tolist()))
+        for m in touched:
+            sel = nm == m
+            part = [nt[sel], cols["c"][sel], cols["a"][sel], cols["f"][sel], cols["l"][sel]]
+            if m in raw:
+                part = [np.concatenate([x, y]) for x, y in zip(raw[m], part)]
+                order = np.argsort(part[0], kind="stable")   # stored rows first among equal times
+                part = [x[order] for x in part]
+            raw[m] = part
+            agg[m] = (len(part[0]), int(part[1].sum()), int(part[3].sum()), float(part[2].max()),
+                      sorted(set(part[4].tolist())))
+
+        keys = np.array(sorted(agg), dtype=np.int64)
+        an = np.array([agg[k][0] for k in keys], np.int64)
+        ac = np.array([agg[k][1] for k in keys], np.int64)
+        af = np.array([agg[k][2] for k in keys], np.int64)
+        amx = np.array([agg[k][3] for k in keys], np.float64)
+        bit = {}
+        for k in keys.tolist():
+            for loc in agg[k][4]:
+                bit.setdefault(loc, 1 << len(bit))
+        amask = [0] * len(keys)
+        for j, k in enumerate(keys.tolist()):
+            for loc in agg[k][4]:
+                amask[j] |= bit[loc]
+        pn, pc, pf = (np.concatenate([[0], np.cumsum(x)]) for x in (an, ac, af))
+
+        def partial(m, lo, hi):
+            r = raw.get(m)
+            if r is None:
+                return 0, 0, 0, -np.inf, 0
+            x, y = np.searchsorted(r[0], lo, "left"), np.searchsorted(r[0], hi, "right")
+            mask = 0
+            for loc in set(r[4][x:y].tolist()):
+                mask |= bit.setdefault(loc, 1 << len(bit))
+            mx = float(r[2][x:y].max()) if y > x else -np.inf
+            return y - x, int(r[1][x:y].sum()), int(r[3][x:y].sum()), mx, mask
+
+        n_out = len(nt)
+        cnt, sc, fl = (np.zeros(n_out, np.int64) for _ in range(3))
+        mx_out, locs_out = np.zeros(n_out, np.float64), np.zeros(n_out, np.int64)
+        for i in range(n_out):
+            m, lm, t = int(nm[i]), int(lo_m[i]), int(nt[i])
+            a_idx, b_idx = np.searchsorted(keys, lm, "right"), np.searchsorted(keys, m, "left")
+            n0, c0, f0, mx0, mask = (pn[b_idx] - pn[a_idx], pc[b_idx] - pc[a_idx], pf[b_idx] - pf[a_idx],
+                                     float(amx[a_idx:b_idx].max()) if b_idx > a_idx else -np.inf, 0)
+            for j in range(a_idx, b_idx):
+                mask |= amask[j]
+            parts = [partial(lm, int(lo_t[i]), t)] if lm != m else []
+            parts.append(partial(m, int(lo_t[i]) if lm == m else m * B, t))
+            for pn_, pc_, pf_, pm_, pk_ in parts:
+                n0, c0, f0, mx0, mask = n0 + pn_, c0 + pc_, f0 + pf_, max(mx0, pm_), mask | pk_
+            cnt[i], sc[i], fl[i], mx_out[i], locs_out[i] = n0, c0, f0, mx0, mask.bit_count()
+
+        for m in touched:
+            r = raw[m]
+            self.raw.updateValue((m,), (r[0].tolist(), r[1].tolist(), r[2].tolist(), r[3].tolist(),
+                                        [str(x) for x in r[4]]))
+            self.agg.updateValue((m,), agg[m])
+        evict_before = (int(nt[-1]) - self.retain_us) // B
+        for k in keys.tolist():
+            if k < evict_before:
+                self.agg.removeKey((k,))
+                self.raw.removeKey((k,))
+        if first_time:
+            self.handle.registerTimer(self._expiry_ms(int(keys.max())))
+
+        out = pd.DataFrame({
+            "event_id": eid[o], "user_id": str(key[0]), "t_us": nt,
+            "txn_count_1h": cnt, "avg_amount_1h": _half_up(sc / cnt) / 100.0, "max_amount_1h": mx_out,
+            "failed_attempts_1h": fl, "unique_locations_1h": locs_out,
+        })
+        for col in self.passthrough:
+            out[col] = new[col].to_numpy(dtype=object)[o]
+        yield out
+
+    def _expiry_ms(self, newest_bucket: int) -> int:
+        return ((newest_bucket + 1) * self.bucket_us + self.retain_us) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        newest = max((k[0] for k in self.agg.keys()), default=None)
+        if newest is not None and self._expiry_ms(newest) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._expiry_ms(newest))
+        else:
+            self.agg.clear()
+            self.raw.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def interval_us(text: str) -> int:
+    """'10 minutes' -> microseconds (units: second, minute, hour, day)."""
+    n, unit = text.split()
+    scale = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return int(float(n) * scale * 1_000_000)
+
+
 def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
                             watermark: str = "10 minutes", ts_col: str = "event_time",
-                            passthrough: list[str] | None = None) -> DataFrame:
+                            passthrough: list[str] | None = None, state_layout: str = "buckets") -> DataFrame:
     """W1–W6 on a stream, keyed by user, plus the ``passthrough`` columns
-    of each event (for downstream scoring and rules).  Needs the RocksDB
-    state store provider (set here if the session has none)."""
+    of each event (for downstream scoring and rules).
+
+    ``state_layout="buckets"`` (default) keeps per-bucket aggregates and raw
+    rows, so a batch's state I/O does not grow with a user's event rate;
+    ``"list"`` keeps the raw last window in one list (fewest state calls,
+    suited to low per-user rates).  Needs the RocksDB state store provider
+    (set here if the session has none)."""
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -298,6 +454,10 @@ def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_
                         F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0)).alias("a"),
                         (F.col("event_type") == F.lit(failed_type)).cast("int").alias("f"),
                         F.coalesce(F.col("location"), F.lit("")).alias("l")))
+    retain_us = window_us + interval_us(watermark)
+    if state_layout == "buckets":
+        processor = BucketedRollingProcessor(window_us, window_us // 60, retain_us, failed_type, passthrough)
+    else:
+        processor = RollingFeatureProcessor(window_us, failed_type, passthrough, retain_us)
     return (prepared.groupBy("user_id")
-            .transformWithStateInPandas(RollingFeatureProcessor(window_us, failed_type, passthrough),
-                                        out_schema, "append", "EventTime"))
+            .transformWithStateInPandas(processor, out_schema, "append", "EventTime"))
