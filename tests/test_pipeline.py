@@ -87,6 +87,11 @@ def test_pipeline_rerun_is_idempotent_and_exact(spark):
         if table != "insights":
             assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, table
         assert y.count() == y.distinct().count() or table == "deliveries"
+    # Count windows continue across runs: every single-run insight appears,
+    # plus at most run 1's own tail window.
+    i1 = {r.insight_id for r in spark.read.parquet(f"{once}/insights").collect()}
+    i2 = {r.insight_id for r in spark.read.parquet(f"{twice}/insights").collect()}
+    assert i1 <= i2 and len(i2 - i1) <= 1
     # A third run of the same batch inserts nothing.
     third = {r.counter: r.value for r in run_pipeline(spark, ev, twice, **kw).collect()}
     assert third["inserted"] == 0 and third["alerts"] == 0

@@ -172,11 +172,21 @@ def assign_count_windows(df: DataFrame, every: int = 100,
     order_cols = order_cols or ["event_time", "event_id"]
     keep = order_cols + [c for c in (columns or COUNT_WINDOW_COLUMNS) if c in df.columns and c not in order_cols]
     ix = global_index(df.select(*keep), order_cols, total_col="n_all")
-    full_windows = F.floor(F.col("n_all") / every)
-    regular = (ix.filter(F.floor(F.col("idx") / every) < full_windows)
-                 .withColumn("window_index", F.floor(F.col("idx") / every).cast("long"))
+    return tag_count_windows(ix, every)
+
+
+def tag_count_windows(ix: DataFrame, every: int, first_window: int = 0,
+                      idx_col: str = "idx", total_col: str = "n_all") -> DataFrame:
+    """Tag indexed rows with their count window: full windows from
+    ``first_window`` on, plus the tail window (the last ``every`` rows) when
+    the total is not a multiple of ``every``."""
+    idx, total = F.col(idx_col), F.col(total_col)
+    full_windows = F.floor(total / every)
+    win = F.floor(idx / every)
+    regular = (ix.filter((win < full_windows) & (win >= first_window))
+                 .withColumn("window_index", win.cast("long"))
                  .withColumn("is_tail", F.lit(False)))
-    tail = (ix.filter((F.col("n_all") % every != 0) & (F.col("idx") >= F.col("n_all") - every))
+    tail = (ix.filter((total % every != 0) & (idx >= total - every))
               .withColumn("window_index", full_windows.cast("long"))
               .withColumn("is_tail", F.lit(True)))
     return regular.unionByName(tail)
@@ -201,9 +211,9 @@ def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None
 
 
 def count_window_metrics(df: DataFrame, every: int = 100,
-                         order_cols: list[str] | None = None) -> DataFrame:
+                         order_cols: list[str] | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """A8 windows with the three breakdown maps (the insight cadence)."""
-    tagged = assign_count_windows(df, every, order_cols)
+    tagged = tagged if tagged is not None else assign_count_windows(df, every, order_cols)
     keys = ["window_index", "is_tail"]
     summ = count_windows(df, every, order_cols, tagged=tagged)
     maps = breakdown_maps(breakdown_counts(tagged, group_cols=keys), group_cols=keys)

@@ -69,6 +69,41 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str | list[
     return int(obs.get.get("n", 0))
 
 
+def count_windows_incremental(spark: SparkSession, new_rows: DataFrame, out_dir: str, every: int) -> DataFrame:
+    """A8 across runs without re-sorting history.
+
+    Stored events carry a running sequence number: a run numbers its new
+    events after the previous total, in (event_time, event_id) order (a sort
+    of the run's rows only).  Window ``k`` is ``seq // every``.  The run log
+    (one row per run) gives the previous total; a buffer of the last
+    ``every`` rows (bounded) supplies the still-open window and the tail.
+    Both live in versioned folders under ``_state`` (no read-then-overwrite
+    of one path).  For in-order arrival this equals numbering all events at
+    once.
+    """
+    state = f"{out_dir}/_state"
+    runs = read_if_exists(spark, f"{state}/runs")
+    prev_total, run_no = 0, 0
+    if runs is not None:
+        r = runs.agg(F.sum("rows"), F.max("run")).first()
+        prev_total, run_no = int(r[0] or 0), int(r[1] or 0) + 1
+    cols = ["event_time", "event_id"] + [c for c in S.COUNT_WINDOW_COLUMNS if c in new_rows.columns]
+    ix = S.global_index(new_rows.select(*cols), ["event_time", "event_id"], total_col="_n")
+    n_new = ix.select("_n").first()
+    n_new = int(n_new[0]) if n_new else 0
+    total = prev_total + n_new
+    fresh = ix.withColumn("seq", F.col("idx") + F.lit(prev_total)).drop("idx", "_n")
+    buf = read_if_exists(spark, f"{state}/tail/run={run_no - 1}") if run_no else None
+    rows = fresh if buf is None else fresh.unionByName(buf.select(*fresh.columns))
+    rows = rows.withColumn("n_all", F.lit(total).cast("long"))
+    tagged = S.tag_count_windows(rows, every, first_window=prev_total // every, idx_col="seq")
+    rows.filter(F.col("seq") >= total - every).drop("n_all") \
+        .write.mode("overwrite").parquet(f"{state}/tail/run={run_no}")
+    spark.createDataFrame([(run_no, prev_total, n_new)], "run long, first_seq long, rows long") \
+        .write.mode("append").parquet(f"{state}/runs")
+    return S.count_window_metrics(None, every, tagged=tagged)
+
+
 def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: PipelineModel | None = None,
                  window_minutes: int = 60, metrics_every: str = "1 minute", insight_every: int = 100,
                  failed_type: str = FAILED_LOGIN, rules: list | None = None,
@@ -141,9 +176,9 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     S.window_metrics(processed, metrics_every).write.mode("overwrite").parquet(f"{out_dir}/metrics")
     bounded_history(spark.read.parquet(f"{out_dir}/metrics"), METRICS_HISTORY_MAX, ["window_start"]) \
         .write.mode("overwrite").parquet(f"{out_dir}/metrics_history")
-    cwm = S.count_window_metrics(processed, every=insight_every)
-    n_insights = append_new(spark, IN.template_insights(cwm, "first_event_time", "last_event_time"),
-                            f"{out_dir}/insights", "insight_id", ["window_start"], unique=True)
+    n_insights = append_new(spark, IN.template_insights(
+        count_windows_incremental(spark, enriched, out_dir, insight_every), "first_event_time", "last_event_time"),
+        f"{out_dir}/insights", "insight_id", ["window_start"], unique=True)
 
     fraud = enriched.agg(F.coalesce(F.sum(F.col("is_fraud").cast("long")), F.lit(0))).first()[0]
     seen = v_obs.get
