@@ -62,3 +62,22 @@ def series_from_text(df: DataFrame, text_col: str, out_col: str | None = None) -
     out_col = out_col or text_col
     parsed = df.withColumn(out_col, F.try_to_timestamp(F.col(text_col).cast("string")))
     return parsed.filter(F.col(out_col).isNotNull()).orderBy(out_col)
+
+
+def interval_us(text: str) -> int:
+    """'10 minutes' -> microseconds (units: second, minute, hour, day)."""
+    n, unit = text.split()
+    scale = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return int(float(n) * scale * 1_000_000)
+
+
+def window_bounds(lo, hi, every: str):
+    """Epoch-aligned tumbling-window cover [start, end) of naive datetimes
+    ``lo``..``hi`` (Spark's ``window`` alignment without offset)."""
+    from datetime import datetime, timedelta
+    epoch = datetime(1970, 1, 1)
+    w = interval_us(every)
+    to_us = lambda d: (d - epoch) // timedelta(microseconds=1)
+    start = to_us(lo) // w * w
+    end = (to_us(hi) // w + 1) * w
+    return epoch + timedelta(microseconds=start), epoch + timedelta(microseconds=end)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from vigil.functions.time import window_bounds
 from vigil.operators import alerts as AL
 from vigil.operators import insights as IN
 from vigil.operators import ml as ML
@@ -69,6 +70,23 @@ def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str | list[
     return int(obs.get.get("n", 0))
 
 
+def next_version(spark: SparkSession, path: str) -> int:
+    """Number of the next ``run=k`` version folder under ``path``."""
+    df = read_if_exists(spark, path)
+    if df is None or "run" not in df.columns:
+        return 0
+    return int(df.agg(F.max("run")).first()[0]) + 1
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest ``run=k`` version of a derived table (None if absent)."""
+    df = read_if_exists(spark, path)
+    if df is None or "run" not in df.columns:
+        return None
+    newest = df.agg(F.max("run")).first()[0]
+    return spark.read.parquet(f"{path}/run={newest}")
+
+
 def count_windows_incremental(spark: SparkSession, new_rows: DataFrame, out_dir: str, every: int) -> DataFrame:
     """A8 across runs without re-sorting history.
 
@@ -170,12 +188,31 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     AL.alert_deliveries(added).write.mode("append").parquet(f"{out_dir}/deliveries")
     AL.alert_payloads(added).write.mode("append").parquet(f"{out_dir}/payloads")
 
+    # Derived tables are versioned (run=k folders); readers take the newest
+    # (``latest_version``).  Each is updated from the previous version and this
+    # run's rows only, never by rescanning the stored history.
+    run = next_version(spark, f"{out_dir}/metrics")
+    prev_recent = latest_version(spark, f"{out_dir}/recent_events")
+    recent_in = enriched if prev_recent is None else enriched.unionByName(
+        prev_recent.drop("pos"), allowMissingColumns=True)
+    bounded_history(recent_in, RECENT_EVENTS_MAX, ["event_time", "event_id"]) \
+        .write.mode("overwrite").parquet(f"{out_dir}/recent_events/run={run}")
+
     processed = spark.read.parquet(processed_path)
-    bounded_history(processed, RECENT_EVENTS_MAX, ["event_time", "event_id"]) \
-        .write.mode("overwrite").parquet(f"{out_dir}/recent_events")
-    S.window_metrics(processed, metrics_every).write.mode("overwrite").parquet(f"{out_dir}/metrics")
-    bounded_history(spark.read.parquet(f"{out_dir}/metrics"), METRICS_HISTORY_MAX, ["window_start"]) \
-        .write.mode("overwrite").parquet(f"{out_dir}/metrics_history")
+    bounds = enriched.agg(F.min("event_time"), F.max("event_time")).first()
+    metrics = latest_version(spark, f"{out_dir}/metrics")
+    if bounds[0] is not None:
+        lo_dt, hi_dt = window_bounds(bounds[0], bounds[1], metrics_every)
+        lo, hi = F.lit(lo_dt).cast("timestamp_ntz"), F.lit(hi_dt).cast("timestamp_ntz")
+        touched = processed.filter((F.col("event_date") >= F.to_date(lo)) & (F.col("event_date") <= F.to_date(hi))
+                                   & (F.col("event_time") >= lo) & (F.col("event_time") < hi))
+        recomputed = S.window_metrics(touched, metrics_every)
+        metrics = recomputed if metrics is None else metrics.join(
+            recomputed.select("window_start"), "window_start", "left_anti").unionByName(recomputed)
+    if metrics is not None:
+        metrics.write.mode("overwrite").parquet(f"{out_dir}/metrics/run={run}")
+        bounded_history(spark.read.parquet(f"{out_dir}/metrics/run={run}"), METRICS_HISTORY_MAX,
+                        ["window_start"]).write.mode("overwrite").parquet(f"{out_dir}/metrics_history/run={run}")
     n_insights = append_new(spark, IN.template_insights(
         count_windows_incremental(spark, enriched, out_dir, insight_every), "first_event_time", "last_event_time"),
         f"{out_dir}/insights", "insight_id", ["window_start"], unique=True)

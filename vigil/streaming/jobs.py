@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from vigil.functions.time import epoch_micros
+from vigil.functions.time import epoch_micros, interval_us
 from vigil.operators.rolling import MICROS_PER_MINUTE, avg_from_cents, cents
 from vigil.operators.store import latest_by_key
 from vigil.operators.summary import fraud_flag, round_to
@@ -421,13 +421,6 @@ class BucketedRollingProcessor(StatefulProcessor):
         pass
 
 
-def interval_us(text: str) -> int:
-    """'10 minutes' -> microseconds (units: second, minute, hour, day)."""
-    n, unit = text.split()
-    scale = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
-    return int(float(n) * scale * 1_000_000)
-
-
 def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
                             watermark: str = "10 minutes", ts_col: str = "event_time",
                             passthrough: list[str] | None = None, state_layout: str = "buckets") -> DataFrame:
