@@ -104,3 +104,8 @@ def test_auc_and_confusion_match_brute_force(spark):
     assert conf[0][1] == fp and conf[1][1] == tp
     rep = {r["class"]: r.support for r in ML.classification_report(pred).collect()}
     assert rep[1] == sum(1 for y, _ in pairs if y == 1)
+
+
+def test_cross_validated_auc(spark):
+    r = ML.cross_validated_auc(labelled(spark, 400), k=3, params=ML.GBTParams(max_iter=5, max_depth=3)).collect()[0]
+    assert r.folds == 3 and r.cv_roc_auc_mean > 0.5 and r.cv_roc_auc_std >= 0.0
