@@ -13,8 +13,10 @@ Runs are incremental and idempotent, like the reference's
   features are exactly those of a single run over all the data;
 * alerts and insights have deterministic ids and are appended only when new,
   so re-running a batch inserts nothing twice;
-* window metrics and the history buffers are recomputed from the stored
-  events (small aggregate tables, overwritten).
+* count windows continue a running sequence (only the run's rows are
+  sorted); window metrics recompute only the windows the run touches; the
+  recent-events buffer merges the previous buffer with the new rows.  These
+  derived tables are versioned (``run=k`` folders) and never rescan history.
 
 Table writes are reliable materialisations that also cut lineage; every
 table lives under ``out_dir`` on the shared filesystem.
