@@ -466,13 +466,20 @@ STREAM_SLICES = 8
 STREAM_STATS: dict[str, dict] = {}
 
 
+_STAGED: dict = {}
+
+
 def _event_stream(spark, sf_dir):
-    """Stage the events table as time slices, then read it as a file stream
-    (one slice per trigger)."""
+    """Stage the events table as time slices (once per session and table
+    folder; every stream query keeps its own checkpoint and sink), then read
+    it as a file stream, one slice per trigger."""
     raw = read_table(spark, sf_dir, "events")
-    staged = scratch_path(spark, "stream-src")
-    SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(staged)
+    key = (id(spark), sf_dir)
+    if key not in _STAGED:
+        staged = scratch_path(spark, "stream-src")
+        SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
+        _STAGED[key] = staged
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(_STAGED[key])
     return SJ.with_event_timestamp(canonical_events(stream))
 
 
