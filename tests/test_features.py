@@ -110,3 +110,18 @@ def test_series_from_text_drops_bad(spark):
                                "window_start string, n int")
     got = [r.n for r in series_from_text(df, "window_start").collect()]
     assert got == [1, 2]
+
+
+def test_hot_key_plan_is_bounded(spark):
+    from pyspark.sql import functions as F
+    from vigil.functions.time import epoch_micros
+    from vigil.operators.rolling import hot_key_plan
+    ev = load_events(spark, "/root/testdata/sf0.001")
+    ev = ev.withColumn("user_id", F.when(F.col("event_type").isin("click", "view"), F.lit("hot"))
+                       .otherwise(F.col("user_id")))
+    ev = ev.select("user_id", epoch_micros("event_time").alias("_t"))
+    # At most 3 keys may be broadcast: the threshold rises to ceil(1000 / 3)
+    # rows, so only the user holding ~40% of the rows qualifies.
+    plan = hot_key_plan(ev, "user_id", "_t", 3_600_000_000, split_rows=1, max_hot_keys=3)
+    assert plan is not None and [r.user_id for r in plan.collect()] == ["hot"]
+    assert hot_key_plan(ev, "user_id", "_t", 3_600_000_000, split_rows=10 ** 6, max_hot_keys=3) is None
