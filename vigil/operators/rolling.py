@@ -71,6 +71,72 @@ def hot_key_plan(df: DataFrame, key: str, t_col: str, window_us: int,
     return stats.select(key, "_t0", width.alias("_width"))
 
 
+def _hot_features(hot: DataFrame, key: str, window_us: int) -> DataFrame:
+    """Exact frame features for hot users in O(1) amortised work per row.
+
+    A sliding RANGE frame is re-aggregated for every row, so a user with K
+    events per window would cost O(K) per event.  Instead, with buckets of
+    ``window / 60``, the frame ``[t - window, t]`` of an event in bucket m is
+    split into: the current bucket's rows up to ``t`` (a running aggregate),
+    the 59 middle buckets (per-bucket aggregates summed by a bucket-level
+    window), and the rows of bucket ``m - 60`` at or after ``t - window`` (a
+    reverse running aggregate, looked up as of ``t - window`` by a union with
+    probe rows).  Row-level windows partition by (user, bucket), so a hot
+    user spreads over as many tasks as it has buckets.
+    """
+    bw = window_us // 60
+    # Row identity for the probe lookup: a hash of the whole row.  Identical
+    # duplicate rows share it and also share their features.
+    h = hot.withColumns({"_bk": F.floor(F.col("_t") / bw).cast("long"),
+                         "_rid": F.xxhash64(*[F.col(c) for c in hot.columns]),
+                         "_pt": F.col("_t")})
+    aggs = lambda w: {
+        "n": F.count(F.lit(1)).over(w), "c": F.sum("_c").over(w), "f": F.sum("_fail").over(w),
+        "mx": F.max("_amt").over(w), "s": F.collect_set("_loc").over(w)}
+    # One exchange on (user, bucket) feeds both row-level windows and the
+    # per-bucket aggregate: the current bucket's rows up to t (running) and
+    # each row's suffix (rows at or after it, reverse running).
+    w_cur = Window.partitionBy(key, "_bk").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    w_suf = Window.partitionBy(key, "_bk").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    cur = (h.withColumns({f"_cur_{k}": v for k, v in aggs(w_cur).items()})
+            .withColumn("_suf", F.struct(*[v.alias(k) for k, v in aggs(w_suf).items()])))
+    # Middle buckets m-59 .. m-1 from per-bucket aggregates (no new exchange).
+    per_bucket = cur.groupBy(key, "_bk").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c"), F.sum("_fail").alias("f"),
+        F.max("_amt").alias("mx"), F.collect_set("_loc").alias("s"))
+    w_mid = Window.partitionBy(key).orderBy("_bk").rangeBetween(-59, -1)
+    mid = per_bucket.select(
+        key, "_bk", F.sum("n").over(w_mid).alias("_mid_n"), F.sum("c").over(w_mid).alias("_mid_c"),
+        F.sum("f").over(w_mid).alias("_mid_f"), F.max("mx").over(w_mid).alias("_mid_mx"),
+        F.array_distinct(F.flatten(F.collect_list("s").over(w_mid))).alias("_mid_s"))
+    # Boundary bucket m-60: the suffix of its first row at or after t - window
+    # (as-of lookup: probes sort after data rows at equal time).
+    suf = cur.select(key, "_bk", F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "_suf",
+                     F.lit(None).cast("long").alias("_rid"), F.lit(None).cast("long").alias("_pt"))
+    probes = cur.select(key, (F.col("_bk") - 60).alias("_bk"), (F.col("_t") - window_us).alias("_at"),
+                        F.lit(1).alias("_kind"), F.lit(None).cast(cur.schema["_suf"].dataType).alias("_suf"),
+                        "_rid", "_pt")
+    w_asof = (Window.partitionBy(key, "_bk").orderBy(F.desc("_at"), F.asc("_kind"))
+              .rowsBetween(Window.unboundedPreceding, 0))
+    bound = (suf.unionByName(probes)
+             .withColumn("_b", F.last("_suf", ignorenulls=True).over(w_asof))
+             .filter(F.col("_kind") == 1)
+             .groupBy(key, "_rid", "_pt").agg(F.first("_b").alias("_b")))
+    joined = (cur.join(mid, [key, "_bk"], "left")
+                 .join(bound, [key, "_rid", "_pt"], "left")
+                 .drop("_rid", "_pt", "_suf"))
+    z = F.lit(0)
+    return joined.withColumns({
+        "txn_count_1h": F.col("_cur_n") + F.coalesce("_mid_n", z) + F.coalesce("_b.n", z),
+        "_sc": F.col("_cur_c") + F.coalesce("_mid_c", z) + F.coalesce("_b.c", z),
+        "max_amount_1h": F.greatest("_cur_mx", "_mid_mx", "_b.mx"),
+        "failed_attempts_1h": (F.col("_cur_f") + F.coalesce("_mid_f", z) + F.coalesce("_b.f", z)).cast("long"),
+        "unique_locations_1h": F.size(F.array_distinct(F.concat(
+            "_cur_s", F.coalesce("_mid_s", F.array().cast("array<string>")),
+            F.coalesce("_b.s", F.array().cast("array<string>"))))).cast("long"),
+    }).drop(*[c for c in joined.columns if c.startswith(("_cur_", "_mid_"))], "_b", "_bk")
+
+
 def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "user_id",
                           ts_col: str = "event_time", amount_col: str = "transaction_amount",
                           type_col: str = "event_type", location_col: str = "location",
@@ -97,30 +163,22 @@ def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "u
     probe = base if skew_source is None else skew_source.select(
         F.col(key), epoch_micros(F.col(ts_col)).alias("_t"))
     plan = hot_key_plan(probe, key, "_t", window_us, split_rows, max_hot_keys) if detect_skew else None
-    if plan is None:
-        part_cols = [key]
-    else:
-        # Broadcast is safe: plan has <= max_hot_keys rows (see hot_key_plan).
-        base = base.join(F.broadcast(plan), on=key, how="left")
-        first = F.floor((F.col("_t") - F.col("_t0")) / F.col("_width"))
-        last = F.floor((F.col("_t") + F.lit(window_us) - F.col("_t0")) / F.col("_width"))
-        base = (base
-                .withColumn("_b0", F.coalesce(first, F.lit(0)).cast("long"))
-                .withColumn("_b", F.explode(F.sequence(F.col("_b0"),
-                                                       F.coalesce(last, F.lit(0)).cast("long"))))
-                .drop("_t0", "_width"))
-        part_cols = [key, "_b"]
-
-    w = Window.partitionBy(*part_cols).orderBy("_t").rangeBetween(-window_us, 0)
-    n = F.count(F.lit(1)).over(w)
-    out = base.withColumns({
-        "txn_count_1h": n,
+    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-window_us, 0)
+    plain = {
+        "txn_count_1h": F.count(F.lit(1)).over(w),
         "_sc": F.sum("_c").over(w),
         "max_amount_1h": F.max("_amt").over(w),
         "failed_attempts_1h": F.sum("_fail").over(w).cast("long"),
         "unique_locations_1h": F.size(F.collect_set("_loc").over(w)).cast("long"),
-    })
-    if plan is not None:
-        out = out.filter(F.col("_b") == F.col("_b0")).drop("_b", "_b0")
+    }
+    if plan is None:
+        out = base.withColumns(plain)
+    else:
+        # Hot users (bounded table, broadcast) take the bucketed path; cold
+        # users keep the single RANGE window, whose frames are small.
+        flagged = base.join(F.broadcast(plan.select(key, F.lit(True).alias("_hot"))), key, "left")
+        cold = flagged.filter(F.col("_hot").isNull()).drop("_hot").withColumns(plain)
+        hot = _hot_features(flagged.filter(F.col("_hot")).drop("_hot"), key, window_us)
+        out = cold.unionByName(hot.select(*cold.columns))
     out = out.withColumn("avg_amount_1h", avg_from_cents(F.col("_sc"), F.col("txn_count_1h")))
     return out.drop("_t", "_c", "_amt", "_fail", "_loc", "_sc")
