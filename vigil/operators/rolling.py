@@ -7,16 +7,13 @@ max amount, failed-login count and distinct locations.
 
 Scale design
 ------------
-A plain ``Window.partitionBy(user)`` puts every event of a user into one
-task; one user holding a third of the data would make that task a third of
-the job.  Users whose event count exceeds a threshold are therefore split
-into time buckets of width ``>= window``: each event is assigned to its own
-bucket and *also copied* into the following bucket(s) when it falls within
-``window`` of their start (a halo).  The frame of a primary row at ``t`` lies
-in ``[t - window, t]``, entirely contained in its bucket plus the halo, so
-the result is exact.  Cold users keep a single bucket and are never copied.
-The hot-key table is bounded: at most ``total_rows / threshold`` keys can
-exceed the threshold, and the threshold is raised until that bound is at most
+A sliding RANGE frame is re-aggregated by Spark for every row, and a plain
+``Window.partitionBy(user)`` puts all of a user's events into one task.
+Both are fine for normal users.  Users whose event count exceeds a threshold
+("hot") take an exact bucketed path instead (see ``_hot_features``): O(1)
+amortised work per row, partitioned by (user, time bucket).  The hot-key
+table is bounded: at most ``total_rows / threshold`` keys can exceed the
+threshold, and the threshold is raised until that bound is at most
 ``max_hot_keys``; only then is it broadcast.
 
 Amounts are summed as integer cents, so the sums (and therefore averages) are
@@ -48,7 +45,8 @@ def avg_from_cents(sum_cents: Column, n: Column) -> Column:
 
 def hot_key_plan(df: DataFrame, key: str, t_col: str, window_us: int,
                  split_rows: int, max_hot_keys: int) -> DataFrame | None:
-    """Per hot key: origin ``_t0`` and bucket width ``_width`` (micros).
+    """The hot keys: those with more than ``max(split_rows, rows /
+    max_hot_keys)`` rows.
 
     Returns ``None`` when no key is hot.  The returned frame has at most
     ``max_hot_keys`` rows by construction.
@@ -58,17 +56,13 @@ def hot_key_plan(df: DataFrame, key: str, t_col: str, window_us: int,
     if total <= threshold:
         return None
     stats = (df.groupBy(key)
-               .agg(F.count(F.lit(1)).alias("_n"), F.min(t_col).alias("_t0"),
-                    F.max(t_col).alias("_t1"))
+               .agg(F.count(F.lit(1)).alias("_n"))
                .filter(F.col("_n") > threshold))
-    stats = stats.persist()
+    stats = stats.select(key).persist()
     if stats.isEmpty():
         stats.unpersist()
         return None
-    splits = F.ceil(F.col("_n") / F.lit(split_rows))
-    span = F.col("_t1") - F.col("_t0") + F.lit(1)
-    width = F.greatest(F.lit(window_us), F.ceil(span / splits)).cast("long")
-    return stats.select(key, "_t0", width.alias("_width"))
+    return stats
 
 
 def _hot_features(hot: DataFrame, key: str, window_us: int) -> DataFrame:
@@ -149,7 +143,7 @@ def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "u
     ``skew_source`` (columns ``key`` and ``ts_col``) lets hot-key detection
     read a cheaper frame than ``df`` — e.g. the input before a dedupe
     shuffle.  It may hold more rows per key than ``df`` (that only marks more
-    keys hot, and splitting is exact), never fewer.
+    keys hot, and the hot path is exact), never fewer.
     """
     window_us = int(window_minutes) * MICROS_PER_MINUTE
     base = df.withColumns({
