@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.near_dedup import near_duplicates
+from vigil.llm.quality import measured
 from vigil.llm.shared import table
 
 
@@ -12,5 +13,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality)}
 ORACLE_SQL: dict[str, str] = {}
