@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.quality import measured
 from vigil.llm.shared import table
@@ -17,5 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality)}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op8_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
