@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.decontaminate import contaminated
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.quality import measured
@@ -19,10 +20,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op7_decontaminate, op8_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
