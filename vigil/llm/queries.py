@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
+from vigil.llm.packing import packed
 from vigil.llm.quality import measured
 from vigil.llm.shared import table
 
@@ -20,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +34,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op7_decontaminate, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op6_packing, op7_decontaminate, op8_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
