@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.words import longs, mix
 from vigil.session import ensure_checkpoint_dir
 
 
@@ -25,3 +28,37 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+BLOOM_BITS, BLOOM_HASHES = 25, 3
+
+
+def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
+    return [(mix(ids.view(np.uint64), 201 + k) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64) for k in range(BLOOM_HASHES)]
+
+
+def may_contain(ids: DataFrame, column: str, probe: str) -> Column:
+    """A condition on the long column ``probe`` that holds for every id of ``ids[column]`` and for few others.
+
+    A Bloom filter of 2**25 bits (4 MB, whatever the number of ids): built by tasks, merged by an aggregate, broadcast.
+    It thins a large side before an exact join; with very many ids it only thins less.
+    """
+    def places(batches):
+        for batch in batches:
+            at = np.concatenate(_bloom_places(longs(batch.column(0))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(np.int64(1) << (at & 63))], names=["word", "bits"])
+
+    words = (ids.select(F.col(column).cast("long")).mapInArrow(places, "word int, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow())
+    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    table[np.asarray(words.column(0))] = np.asarray(words.column(1))
+    sent = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def known(values: pa.Array) -> pa.Array:
+        found, there = longs(values)
+        good = there.copy()
+        for at in _bloom_places(found):
+            good &= (sent.value[at >> 6] >> (at & 63)) & 1 == 1
+        return pa.array(good)
+    return known(F.col(probe))
