@@ -10,6 +10,7 @@ from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.packing import packed
 from vigil.llm.quality import measured
+from vigil.llm.sharding import shuffled
 from vigil.llm.shared import table
 
 
@@ -21,6 +22,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -34,5 +42,5 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op6_packing, op7_decontaminate, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
