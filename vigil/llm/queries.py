@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.chat import formatted, read_back
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
@@ -42,5 +43,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = formatted(rows.unionByName(extra)).withColumn("read", read_back(F.col("formatted"), F.col("ends"), F.col("loss")))
+    turns = F.concat_ws("", F.transform(F.arrays_zip("read.roles", "read.texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n"))))
+    return out.select("conv_id", F.size("read.texts").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                      F.length("read.learned").cast("long").alias("loss_chars"), F.sha2("read.learned", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup, op10_chat)}
 ORACLE_SQL: dict[str, str] = {}
