@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.chat import formatted, read_back
 from vigil.llm.decontaminate import contaminated
+from vigil.llm.html_text import extracted
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.packing import packed
@@ -43,6 +44,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "line_dedup.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extracted(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -55,5 +61,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
 ORACLE_SQL: dict[str, str] = {}
