@@ -14,6 +14,7 @@ from vigil.llm.packing import packed
 from vigil.llm.quality import measured
 from vigil.llm.sharding import shuffled
 from vigil.llm.shared import table
+from vigil.llm.substring_dedup import without_repeats as without_repeated_windows
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_windows(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -61,5 +67,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
 ORACLE_SQL: dict[str, str] = {}
