@@ -5,8 +5,9 @@ pieces by best fit, longest first.  Bins with at most ``slack`` tokens to spare
 which a node packs the underfull bins of ``FAN_IN`` nodes, as items, by best fit again.  A node passes on its emptiest
 ``CARRY`` bins, the rest of its bins being final, so no task holds more than ``FAN_IN * CARRY`` bins.
 
-Token ids are those of the whole text: the tokenizer never joins across white space, so words are looked up in a
-bounded table and only new ones are encoded.
+Token ids are those of the whole text: the tokenizer lower-cases and never joins across white space, nor a letter with
+ASCII punctuation, so words and the punctuation behind them are looked up in a bounded table and only new ones are
+encoded.
 
 Cases: null text is empty and gives one piece, the end id alone; rows that repeat an id are packed each; null ids are
 carried along; no rows give no sequences.
@@ -28,6 +29,7 @@ from vigil.llm.shared import ids_and_texts, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY = 4096, 1, 16, 8, 4096
 KNOWN_WORDS = 1 << 20
+PUNCTUATION = b".,;:!?#$%&*"
 PIECES = "uid long, id long, piece int, start long, length long, ids binary"
 BINS = "done boolean, node long, bin long, fill int, uids array<long>, offsets array<int>"
 
@@ -43,13 +45,18 @@ def _tokenizer(path: str):
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     tokenizer, known = _tokenizer(path)
-    words = [t.split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
+    words = [t.lower().split() for t in texts]
+    new = {w for ws in words for w in ws if w not in known}
     if len(known) + len(new) > KNOWN_WORDS:
         known.clear()
-        new = list({w for ws in words for w in ws})
-    for w, got in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        new = {w for ws in words for w in ws}
+    tails = {w: stem for w in new if (stem := w.rstrip(PUNCTUATION)) != w and stem[-1:].isalpha()}
+    parts = new.difference(tails).union(tails.values(), (w[len(stem):] for w, stem in tails.items()))
+    parts = [w for w in parts if w not in known]
+    for w, got in zip(parts, tokenizer.encode_batch_fast([w.decode() for w in parts], add_special_tokens=False)):
         known[w] = np.array(got.ids, "<u4").tobytes()
+    for w, stem in tails.items():
+        known[w] = known[stem] + known[w[len(stem):]]
     return [b"".join([known[w] for w in ws]) for ws in words]
 
 
