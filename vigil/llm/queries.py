@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil.llm.chat import formatted, read_back
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.html_text import extracted
+from vigil.llm.license_scan import licensed
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
 from vigil.llm.packing import packed
@@ -37,6 +38,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensed(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -67,5 +72,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_license_scan, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
 ORACLE_SQL: dict[str, str] = {}
