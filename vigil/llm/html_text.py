@@ -196,6 +196,10 @@ new bridge, which has been delayed for three years.</div><div>It passed by two v
     ("""<nav><a href="/">Up</a></nav><article><h1>Maps</h1><p>An old map is wrong in ways that tell us what its makers feared.</p><p><a href="/full">Read the whole atlas</a></p><p>Fin.</p></article>""",
      "0" "1111"),
     ("""<article><p>One.</p></article>""", "1"),
+    ("""A note saved as a page, without any markup around it.""", "1"),
+    ("""Six words without any markup here""", "1"),
+    ("""<p>Hello.</p>""", "1"),
+    ("""<body><div>The ferry leaves at nine and comes back before the tide turns in the evening.</div><div>Bring a coat.</div></body>""", "11"),
     ("""<div><a href="/">Top</a></div><article><h2><a href="/self">The title links to the page itself</a></h2><p>Text.</p><p><a href="/s">Source</a></p></article><div>Print</div>""",
      "0" "111" "0"),
     ("""<body><p>Short one.</p><p>A page may have no containers at all and still hold a long paragraph of running text for its readers.</p><p>It ends.</p></body>""", "111"),

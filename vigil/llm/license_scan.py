@@ -92,7 +92,8 @@ def align(template: np.ndarray, text: np.ndarray, band: int) -> tuple[int, int,
         row = np.maximum(score[i, 1:-1] + np.where(same[i], 2, -1), score[i, 2:] - 1)
         row = np.maximum.accumulate(np.maximum(row, 0) + slide) - slide
         score[i + 1, 1:-1] = row
-    i, d = np.unravel_index(int(np.argmax(score[:, 1:-1])), (m + 1, width))
+    ranked = score[:, 1:-1] * (band + 1) - abs(slide - band)  # of equal scores the one nearest to the diagonal
+    i, d = np.unravel_index(int(np.argmax(ranked)), (m + 1, width))
     matched, first, last = 0, -1, -1
     while i > 0 and score[i, d + 1] > 0:
         here, up = score[i, d + 1], score[i - 1, d + 1]
