@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from helpers import T0, event, frame
 from vigil.functions.time import with_time_features
+from pyspark.sql import functions as F
 from vigil.operators.rolling import rolling_user_features
 from vigil.sources.tables import load_events
 
@@ -83,25 +84,28 @@ event_st = st.tuples(st.integers(0, 3), st.integers(0, 240), st.integers(0, 1000
 def test_rolling_matches_brute_force(spark, evs):
     rows = [event(i, user=f"u{u}", t=T0 + timedelta(minutes=m), amount=c / 100.0, etype=e, location=loc)
             for i, (u, m, c, e, loc) in enumerate(evs)]
-    assert feats(frame(spark, rows), detect_skew=False) == brute(rows, timedelta(minutes=60))
+    assert feats(frame(spark, rows)) == brute(rows, timedelta(minutes=60))
 
 
-def test_hot_key_split_is_exact(spark):
-    ev = load_events(spark, "/root/testdata/sf0.001")
-    plain = feats(ev, failed_type="error", window_minutes=240, detect_skew=False)
-    split = feats(ev, failed_type="error", window_minutes=240, split_rows=5, max_hot_keys=10 ** 6)
-    assert plain == split
-
-
-def test_hot_key_split_single_hot_user(spark):
-    # One user holds most rows; splitting must not change any value.
-    rows = [event(i, user="hot" if i % 4 else f"c{i}", t=T0 + timedelta(minutes=7 * i),
+def test_dense_hot_user_matches_brute_force(spark):
+    # One user holds most rows, many of them inside one window and at equal times.
+    rows = [event(i, user="hot" if i % 4 else f"c{i}", t=T0 + timedelta(seconds=(37 * i) % 5000, hours=(i % 3)),
                   amount=float(i % 13), etype="failed_login" if i % 5 == 0 else "purchase",
                   location=f"L{i % 6}") for i in range(400)]
-    df = frame(spark, rows)
-    assert feats(df, detect_skew=False) == feats(df, split_rows=20, max_hot_keys=1000)
-    plan = rolling_user_features(df, split_rows=20, max_hot_keys=1000)
-    assert "_b" not in plan.columns and plan.count() == 400
+    assert feats(frame(spark, rows)) == brute(rows, timedelta(minutes=60))
+    assert feats(frame(spark, rows), window_minutes=7) == brute(rows, timedelta(minutes=7))
+
+
+def test_rows_with_nulls_and_clashing_columns(spark):
+    rows = [event(0, user=None, amount=None, location=None, etype=None), event(1, user=None, etype=None),
+            event(2, user="u", t=T0)]
+    df = frame(spark, rows).selectExpr("*", "1 as n", "map('a', 1) as metadata")
+    timeless = df.withColumn("event_time", F.when(F.col("event_id") != "e0002", F.col("event_time")))
+    got = {r.event_id: r for r in rolling_user_features(timeless).collect()}
+    assert [got[f"e000{k}"].txn_count_1h for k in range(3)] == [1, 2, 0]
+    assert [got[f"e000{k}"].unique_locations_1h for k in range(3)] == [1, 2, 0]
+    assert [got[f"e000{k}"].failed_attempts_1h for k in range(3)] == [0, 0, 0]
+    assert got["e0002"].avg_amount_1h == 0.0 and got["e0001"].max_amount_1h == 100.0
 
 
 def test_series_from_text_drops_bad(spark):
@@ -110,18 +114,3 @@ def test_series_from_text_drops_bad(spark):
                                "window_start string, n int")
     got = [r.n for r in series_from_text(df, "window_start").collect()]
     assert got == [1, 2]
-
-
-def test_hot_key_plan_is_bounded(spark):
-    from pyspark.sql import functions as F
-    from vigil.functions.time import epoch_micros
-    from vigil.operators.rolling import hot_key_plan
-    ev = load_events(spark, "/root/testdata/sf0.001")
-    ev = ev.withColumn("user_id", F.when(F.col("event_type").isin("click", "view"), F.lit("hot"))
-                       .otherwise(F.col("user_id")))
-    ev = ev.select("user_id", epoch_micros("event_time").alias("_t"))
-    # At most 3 keys may be broadcast: the threshold rises to ceil(1000 / 3)
-    # rows, so only the user holding ~40% of the rows qualifies.
-    plan = hot_key_plan(ev, "user_id", "_t", 3_600_000_000, split_rows=1, max_hot_keys=3)
-    assert plan is not None and [r.user_id for r in plan.collect()] == ["hot"]
-    assert hot_key_plan(ev, "user_id", "_t", 3_600_000_000, split_rows=10 ** 6, max_hot_keys=3) is None

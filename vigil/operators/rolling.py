@@ -3,18 +3,27 @@
 For every event the frame is all events of the same user with
 ``event_time`` in ``[t - window, t]`` (lower bound inclusive, current row
 and same-time peers included).  Features: count, average amount (2 dp),
-max amount, failed-login count and distinct locations.
+max amount, failed-login count and distinct locations.  They depend on the
+user and the time alone.
 
 Scale design
 ------------
-A sliding RANGE frame is re-aggregated by Spark for every row, and a plain
-``Window.partitionBy(user)`` puts all of a user's events into one task.
-Both are fine for normal users.  Users whose event count exceeds a threshold
-("hot") take an exact bucketed path instead (see ``_hot_features``): O(1)
-amortised work per row, partitioned by (user, time bucket).  The hot-key
-table is bounded: at most ``total_rows / threshold`` keys can exceed the
-threshold, and the threshold is raised until that bound is at most
-``max_hot_keys``; only then is it broadcast.
+A sliding RANGE frame is re-aggregated by Spark for every row, which is
+quadratic for a dense user.  Here every user takes one path of running
+aggregates, O(1) a row, whatever the density:
+
+* An event adds to its user's running sums at ``t`` and takes the same off
+  just past ``t + window``.  A location counts from an event until it expires
+  or the location's next event takes over, so the distinct count is a running
+  sum too.  A frame's value is the sum of all changes up to ``t``.
+* The maximum over ``[t - window, t]`` is the larger of a running maximum
+  inside the aligned window-wide block of ``t`` and a reverse running maximum
+  from ``t - window`` to the end of the block before.
+
+Rows are never gathered by user: row-level windows are partitioned by (user,
+unit), a unit being 1/1200 of the window, so a dense user spreads over as many
+tasks as it has units, even inside one window.  What a unit inherits from
+those before it comes from windows over one row per unit.
 
 Amounts are summed as integer cents, so the sums (and therefore averages) are
 exact and independent of summation order across partitions.
@@ -22,8 +31,6 @@ exact and independent of summation order across partitions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,136 +50,103 @@ def avg_from_cents(sum_cents: Column, n: Column) -> Column:
     return F.round(sum_cents / n) / F.lit(100.0)
 
 
-def hot_key_plan(df: DataFrame, key: str, t_col: str, window_us: int,
-                 split_rows: int, max_hot_keys: int) -> DataFrame | None:
-    """The hot keys: those with more than ``max(split_rows, rows /
-    max_hot_keys)`` rows.
+UNITS = 1200
 
-    Returns ``None`` when no key is hot.  The returned frame has at most
-    ``max_hot_keys`` rows by construction.
-    """
-    total = df.count()
-    threshold = max(split_rows, math.ceil(total / max_hot_keys))
-    if total <= threshold:
-        return None
-    stats = (df.groupBy(key)
-               .agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > threshold))
-    stats = stats.select(key).persist()
-    if stats.isEmpty():
-        stats.unpersist()
-        return None
-    return stats
-
-
-def _hot_features(hot: DataFrame, key: str, window_us: int) -> DataFrame:
-    """Exact frame features for hot users in O(1) amortised work per row.
-
-    A sliding RANGE frame is re-aggregated for every row, so a user with K
-    events per window would cost O(K) per event.  Instead, with buckets of
-    ``window / 60``, the frame ``[t - window, t]`` of an event in bucket m is
-    split into: the current bucket's rows up to ``t`` (a running aggregate),
-    the 59 middle buckets (per-bucket aggregates summed by a bucket-level
-    window), and the rows of bucket ``m - 60`` at or after ``t - window`` (a
-    reverse running aggregate, looked up as of ``t - window`` by a union with
-    probe rows).  Row-level windows partition by (user, bucket), so a hot
-    user spreads over as many tasks as it has buckets.
+
+def _changes(base: DataFrame, window_us: int) -> DataFrame:
+    """One row per change of a user's running state: (_u, _at, n, c, f, loc, mx, kind).
+
+    ``kind`` is 0 for an event, 1 for an expiry and 2 for a probe of the
+    maximum at the frame's start.
     """
-    bw = window_us // 60
-    # Row identity for the probe lookup: a hash of the whole row.  Identical
-    # duplicate rows share it and also share their features.
-    h = hot.withColumns({"_bk": F.floor(F.col("_t") / bw).cast("long"),
-                         "_rid": F.xxhash64(*[F.col(c) for c in hot.columns]),
-                         "_pt": F.col("_t")})
-    aggs = lambda w: {
-        "n": F.count(F.lit(1)).over(w), "c": F.sum("_c").over(w), "f": F.sum("_fail").over(w),
-        "mx": F.max("_amt").over(w), "s": F.collect_set("_loc").over(w)}
-    # One exchange on (user, bucket) feeds both row-level windows and the
-    # per-bucket aggregate: the current bucket's rows up to t (running) and
-    # each row's suffix (rows at or after it, reverse running).
-    w_cur = Window.partitionBy(key, "_bk").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    w_suf = Window.partitionBy(key, "_bk").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0)
-    cur = (h.withColumns({f"_cur_{k}": v for k, v in aggs(w_cur).items()})
-            .withColumn("_suf", F.struct(*[v.alias(k) for k, v in aggs(w_suf).items()])))
-    # Middle buckets m-59 .. m-1 from per-bucket aggregates (no new exchange).
-    per_bucket = cur.groupBy(key, "_bk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c"), F.sum("_fail").alias("f"),
-        F.max("_amt").alias("mx"), F.collect_set("_loc").alias("s"))
-    w_mid = Window.partitionBy(key).orderBy("_bk").rangeBetween(-59, -1)
-    mid = per_bucket.select(
-        key, "_bk", F.sum("n").over(w_mid).alias("_mid_n"), F.sum("c").over(w_mid).alias("_mid_c"),
-        F.sum("f").over(w_mid).alias("_mid_f"), F.max("mx").over(w_mid).alias("_mid_mx"),
-        F.array_distinct(F.flatten(F.collect_list("s").over(w_mid))).alias("_mid_s"))
-    # Boundary bucket m-60: the suffix of its first row at or after t - window
-    # (as-of lookup: probes sort after data rows at equal time).
-    suf = cur.select(key, "_bk", F.col("_t").alias("_at"), F.lit(0).alias("_kind"), "_suf",
-                     F.lit(None).cast("long").alias("_rid"), F.lit(None).cast("long").alias("_pt"))
-    probes = cur.select(key, (F.col("_bk") - 60).alias("_bk"), (F.col("_t") - window_us).alias("_at"),
-                        F.lit(1).alias("_kind"), F.lit(None).cast(cur.schema["_suf"].dataType).alias("_suf"),
-                        "_rid", "_pt")
-    w_asof = (Window.partitionBy(key, "_bk").orderBy(F.desc("_at"), F.asc("_kind"))
-              .rowsBetween(Window.unboundedPreceding, 0))
-    bound = (suf.unionByName(probes)
-             .withColumn("_b", F.last("_suf", ignorenulls=True).over(w_asof))
-             .filter(F.col("_kind") == 1)
-             .groupBy(key, "_rid", "_pt").agg(F.first("_b").alias("_b")))
-    joined = (cur.join(mid, [key, "_bk"], "left")
-                 .join(bound, [key, "_rid", "_pt"], "left")
-                 .drop("_rid", "_pt", "_suf"))
-    z = F.lit(0)
-    return joined.withColumns({
-        "txn_count_1h": F.col("_cur_n") + F.coalesce("_mid_n", z) + F.coalesce("_b.n", z),
-        "_sc": F.col("_cur_c") + F.coalesce("_mid_c", z) + F.coalesce("_b.c", z),
-        "max_amount_1h": F.greatest("_cur_mx", "_mid_mx", "_b.mx"),
-        "failed_attempts_1h": (F.col("_cur_f") + F.coalesce("_mid_f", z) + F.coalesce("_b.f", z)).cast("long"),
-        "unique_locations_1h": F.size(F.array_distinct(F.concat(
-            "_cur_s", F.coalesce("_mid_s", F.array().cast("array<string>")),
-            F.coalesce("_b.s", F.array().cast("array<string>"))))).cast("long"),
-    }).drop(*[c for c in joined.columns if c.startswith(("_cur_", "_mid_"))], "_b", "_bk")
+    unit_us = window_us // UNITS
+    ev = (base.filter(F.col("_t").isNotNull())
+              .groupBy("_u", "_loc", "_t")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c"), F.sum("_fail").alias("f"),
+                   F.max("_amt").alias("mx"))
+              .withColumn("_unit", _unit(F.col("_t"), unit_us)))
+    # The location's next event: in the unit, else the first of a later unit.
+    inside = Window.partitionBy("_u", "_loc", "_unit").orderBy("_t")
+    later = (ev.groupBy("_u", "_loc", "_unit").agg(F.min("_t").alias("first"))
+               .withColumn("_later", F.lead("first").over(Window.partitionBy("_u", "_loc").orderBy("_unit")))
+               .select(*[F.col(c).alias(f"{c}_") for c in ("_u", "_loc", "_unit")], "_later"))
+    same = (F.col("_u").eqNullSafe(F.col("_u_")) & F.col("_loc").eqNullSafe(F.col("_loc_"))
+            & (F.col("_unit") == F.col("_unit_")))
+    ev = (ev.withColumn("_next", F.lead("_t").over(inside)).join(later, same)
+            .withColumn("_next", F.coalesce("_next", "_later")))
+    end = F.col("_t") + F.lit(window_us + 1)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+
+    def change(at, n, c, f, loc, mx, kind):
+        return F.struct(at.alias("_at"), n.alias("n"), c.alias("c"), f.alias("f"), F.lit(loc).cast("long").alias("loc"),
+                        mx.alias("mx"), F.lit(kind).alias("kind"))
+    n, c, f = F.col("n"), F.col("c"), F.col("f").cast("long")
+    return ev.select("_u", F.inline(F.array(
+        change(F.col("_t"), n, c, f, 1, F.col("mx"), 0),
+        change(end, -n, -c, -f, 0, none, 1),
+        change(F.least(end, "_next"), zero, zero, zero, -1, none, 1),
+        change(F.col("_t") - F.lit(window_us), zero, zero, zero, 0, none, 2))))
+
+
+def _unit(at: Column, unit_us: int) -> Column:
+    return F.floor(at / F.lit(unit_us)).cast("long")
+
+
+def _frame_features(base: DataFrame, window_us: int) -> DataFrame:
+    """(_u_, _t_, n, c, f, loc, mx): the frame of every user and event time."""
+    sums = ["n", "c", "f", "loc"]
+    rows = _changes(base, window_us).withColumn("_unit", _unit(F.col("_at"), window_us // UNITS))
+    up = Window.partitionBy("_u", "_unit").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("_u", "_unit").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumns({**{f"r_{x}": F.sum(x).over(up) for x in sums},
+                                "r_up": F.max("mx").over(up), "r_down": F.max("mx").over(down)})
+    units = (rows.groupBy("_u", "_unit").agg(*[F.sum(x).alias(x) for x in sums], F.max("mx").alias("mx"))
+                 .withColumn("_block", F.floor(F.col("_unit") / UNITS)))
+    before = Window.partitionBy("_u").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy("_u", "_block").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    block_down = Window.partitionBy("_u", "_block").orderBy(F.desc("_unit")).rowsBetween(Window.unboundedPreceding, -1)
+    units = units.select(F.col("_u").alias("_u_"), F.col("_unit").alias("_unit_"),
+                         *[F.sum(x).over(before).alias(f"u_{x}") for x in sums],
+                         F.max("mx").over(block).alias("u_up"), F.max("mx").over(block_down).alias("u_down"))
+    placed = running.filter("kind <> 1").join(
+        units, F.col("_u").eqNullSafe(F.col("_u_")) & (F.col("_unit") == F.col("_unit_")))
+    event, probe = F.col("kind") == 0, F.col("kind") == 2
+    totals = [F.max(F.when(event, F.col(f"r_{x}") + F.coalesce(f"u_{x}", F.lit(0)))).alias(x) for x in sums]
+    top = F.max(F.when(event, F.greatest("r_up", "u_up")).otherwise(F.greatest("r_down", "u_down")))
+    return (placed.groupBy("_u", F.when(probe, F.col("_at") + window_us).otherwise(F.col("_at")).alias("_t_"))
+                  .agg(*totals, top.alias("mx")).withColumnRenamed("_u", "_u_"))
 
 
 def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "user_id",
                           ts_col: str = "event_time", amount_col: str = "transaction_amount",
                           type_col: str = "event_type", location_col: str = "location",
-                          failed_type: str = FAILED_LOGIN, split_rows: int = 2_000_000,
-                          max_hot_keys: int = 100_000, detect_skew: bool = True,
-                          skew_source: DataFrame | None = None) -> DataFrame:
+                          failed_type: str = FAILED_LOGIN) -> DataFrame:
     """Append txn_count_1h, avg_amount_1h, max_amount_1h, failed_attempts_1h,
     unique_locations_1h to every row of ``df``.
 
-    ``skew_source`` (columns ``key`` and ``ts_col``) lets hot-key detection
-    read a cheaper frame than ``df`` — e.g. the input before a dedupe
-    shuffle.  It may hold more rows per key than ``df`` (that only marks more
-    keys hot, and the hot path is exact), never fewer.
+    A null amount counts as 0, a null location as one more location, a null
+    user is a user of its own, a null event type is no failed login.  A row
+    without a time has an empty frame (W7): all features 0.
     """
     window_us = int(window_minutes) * MICROS_PER_MINUTE
     base = df.withColumns({
         "_t": epoch_micros(F.col(ts_col)),
+        "_u": F.col(key),
         "_c": cents(F.col(amount_col)),
         "_amt": F.coalesce(F.col(amount_col).cast("double"), F.lit(0.0)),
-        "_fail": (F.col(type_col) == F.lit(failed_type)).cast("int"),
+        "_fail": F.coalesce((F.col(type_col) == F.lit(failed_type)).cast("int"), F.lit(0)),
         "_loc": F.coalesce(F.col(location_col), F.lit("")),
     })
-
-    probe = base if skew_source is None else skew_source.select(
-        F.col(key), epoch_micros(F.col(ts_col)).alias("_t"))
-    plan = hot_key_plan(probe, key, "_t", window_us, split_rows, max_hot_keys) if detect_skew else None
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-window_us, 0)
-    plain = {
-        "txn_count_1h": F.count(F.lit(1)).over(w),
-        "_sc": F.sum("_c").over(w),
-        "max_amount_1h": F.max("_amt").over(w),
-        "failed_attempts_1h": F.sum("_fail").over(w).cast("long"),
-        "unique_locations_1h": F.size(F.collect_set("_loc").over(w)).cast("long"),
-    }
-    if plan is None:
-        out = base.withColumns(plain)
-    else:
-        # Hot users (bounded table, broadcast) take the bucketed path; cold
-        # users keep the single RANGE window, whose frames are small.
-        flagged = base.join(F.broadcast(plan.select(key, F.lit(True).alias("_hot"))), key, "left")
-        cold = flagged.filter(F.col("_hot").isNull()).drop("_hot").withColumns(plain)
-        hot = _hot_features(flagged.filter(F.col("_hot")).drop("_hot"), key, window_us)
-        out = cold.unionByName(hot.select(*cold.columns))
-    out = out.withColumn("avg_amount_1h", avg_from_cents(F.col("_sc"), F.col("txn_count_1h")))
-    return out.drop("_t", "_c", "_amt", "_fail", "_loc", "_sc")
+    feats = _frame_features(base.select("_u", "_t", "_c", "_amt", "_fail", "_loc"), window_us).toDF(
+        "_u_", "_t_", "txn_count_1h", "_sc", "failed_attempts_1h", "unique_locations_1h", "max_amount_1h")
+    zero = F.lit(0).cast("long")
+    out = base.join(feats, F.col("_u").eqNullSafe(F.col("_u_")) & (F.col("_t") == F.col("_t_")), "left")
+    out = out.withColumns({
+        "txn_count_1h": F.coalesce("txn_count_1h", zero),
+        "avg_amount_1h": F.coalesce(avg_from_cents(F.col("_sc"), F.col("txn_count_1h")), F.lit(0.0)),
+        "max_amount_1h": F.coalesce("max_amount_1h", F.lit(0.0)),
+        "failed_attempts_1h": F.coalesce("failed_attempts_1h", zero),
+        "unique_locations_1h": F.coalesce("unique_locations_1h", zero),
+    })
+    return out.select(*df.columns, "txn_count_1h", "max_amount_1h", "failed_attempts_1h", "unique_locations_1h",
+                      "avg_amount_1h")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.numeric import py_round
 from vigil.functions.time import with_time_features
@@ -71,19 +72,17 @@ def dedupe_events(df: DataFrame, key: str = "event_id", order_col: str = "event_
     map side before the shuffle.
     """
     cols = df.columns
-    best = F.min_by(F.struct(*[F.col(c) for c in cols]),
-                    F.struct(F.col(order_col), F.xxhash64(*[F.col(c) for c in cols])))
+    # Maps can't be hashed or compared: they are ordered by their sorted entries.
+    hashed = [F.to_json(F.sort_array(F.map_entries(c))) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c)
+              for c in cols]
+    best = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(order_col), F.xxhash64(*hashed)))
     return df.groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 
-def enrich_events(df: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
-                  skew_source: DataFrame | None = None, **kw) -> DataFrame:
+def enrich_events(df: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN, **kw) -> DataFrame:
     """P5: raw columns + calendar features + rolling features + processed_at."""
-    unknown = lambda d: d.withColumn("user_id", F.coalesce(F.col("user_id"), F.lit("unknown")))
-    df = unknown(df)
-    out = rolling_user_features(with_time_features(df), window_minutes=window_minutes,
-                                failed_type=failed_type,
-                                skew_source=unknown(skew_source) if skew_source is not None else None, **kw)
+    df = df.withColumn("user_id", F.coalesce(F.col("user_id"), F.lit("unknown")))
+    out = rolling_user_features(with_time_features(df), window_minutes=window_minutes, failed_type=failed_type, **kw)
     return out.withColumn("processed_at", F.current_timestamp())
 
 

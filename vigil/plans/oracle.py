@@ -592,6 +592,17 @@ SELECT event_id, user_id, event_time, txn_count_1h, avg_amount_1h, max_amount_1h
 FROM feat
 """
 
+# The same features with one user holding every event, the table squeezed into two hours.
+SQL["rolling_dense_user"] = f"""
+WITH {EV.replace("ev AS (", "ev0 AS (", 1)},
+ev AS (SELECT * REPLACE ('dense' AS user_id,
+                         make_timestamp(1704067200000000 + (epoch_us(event_time) - 1704067200000000) // 360) AS event_time)
+       FROM ev0), {rolling_sql(60, 'error')}
+SELECT event_id, user_id, event_time, txn_count_1h, avg_amount_1h, max_amount_1h,
+       failed_attempts_1h, unique_locations_1h
+FROM feat
+"""
+
 SQL["stream_alerts"] = SQL["alert_events"]
 SQL["stream_from_json"] = window_summary_sql("1 minute").replace(
     f"WITH {EV}", f"WITH {EV.replace('ev AS (', 'ev0 AS (', 1)}, ev AS (SELECT * REPLACE (false AS is_fraud) FROM ev0)", 1)

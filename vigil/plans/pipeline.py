@@ -160,9 +160,7 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     if context is not None:
         to_enrich = to_enrich.unionByName(context.withColumn("_new", F.lit(False)))
 
-    # Hot-user detection reads the rows before the window shuffle only.
-    enriched = enrich_events(to_enrich, window_minutes=window_minutes, failed_type=failed_type,
-                             skew_source=to_enrich.select("user_id", "event_time"))
+    enriched = enrich_events(to_enrich, window_minutes=window_minutes, failed_type=failed_type)
     enriched = enriched.filter(F.col("_new")).drop("_new")
     if model is not None:
         keep = [c for c in enriched.columns if c not in ("fraud_probability", "is_fraud", "confidence")]

@@ -578,9 +578,6 @@ QUERIES.update({
 
 HOT_USER = "hot"
 HOT_TYPES = ["click", "view"]
-# Split size small enough that the hot user is split at test scale; the
-# default (2M rows) applies in production.
-HOT_SPLIT_ROWS = 500
 
 
 def hot_user_events(spark, sf_dir):
@@ -592,12 +589,29 @@ def hot_user_events(spark, sf_dir):
 def q_rolling_hot_user(spark, sf_dir):
     ev = hot_user_events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount",
                                                "event_type", "location")
-    out = rolling_user_features(ev, window_minutes=60, failed_type=FAILED_TYPE, split_rows=HOT_SPLIT_ROWS)
+    out = rolling_user_features(ev, window_minutes=60, failed_type=FAILED_TYPE)
+    return out.select("event_id", "user_id", "event_time", "txn_count_1h", "avg_amount_1h",
+                      "max_amount_1h", "failed_attempts_1h", "unique_locations_1h")
+
+
+def dense_user_events(spark, sf_dir):
+    """One user holds every event, an event a millisecond or less apart: the
+    whole table lies inside two windows."""
+    ev = _events(spark, sf_dir)
+    start = 1_704_067_200_000_000
+    squeezed = F.expr(f"{start} + (unix_micros(CAST(event_time AS timestamp)) - {start}) div 360")
+    return ev.withColumns({"user_id": F.lit("dense"), "event_time": F.timestamp_micros(squeezed).cast("timestamp_ntz")})
+
+
+def q_rolling_dense_user(spark, sf_dir):
+    ev = dense_user_events(spark, sf_dir).select("event_id", "user_id", "event_time", "transaction_amount",
+                                                 "event_type", "location")
+    out = rolling_user_features(ev, window_minutes=60, failed_type=FAILED_TYPE)
     return out.select("event_id", "user_id", "event_time", "txn_count_1h", "avg_amount_1h",
                       "max_amount_1h", "failed_attempts_1h", "unique_locations_1h")
 
 
-QUERIES.update({"rolling_hot_user": q_rolling_hot_user})
+QUERIES.update({"rolling_hot_user": q_rolling_hot_user, "rolling_dense_user": q_rolling_dense_user})
 
 
 # ---------------------------------------------------------------------------
