@@ -129,3 +129,37 @@ def test_tumbling_stream_approx_distinct_users(spark):
                      for r in SJ.read_latest(spark, sink, ["window_start"]).collect()}
     assert out["exact"] == {0: 7, 1: 7}
     assert out["approx"] == out["exact"]        # HLL is exact at this cardinality
+
+
+def test_stream_pipeline_quarantines_and_dedupes(spark):
+    """Malformed lines and invalid rows go to quarantine, copies count once."""
+    from vigil.operators.alerts import default_rules
+    from vigil.plans.stream_pipeline import run_stream_pipeline
+    from vigil.sources.json_events import json_file_stream, to_wire
+    cols = ["event_id", "user_id", "session_id", "event_time", "transaction_amount", "location", "device_type", "event_type"]
+    rows = [event(i, t=T0 + timedelta(minutes=i), amount=100.0 * (i + 1)) for i in range(6)]
+    bad = [event(50, amount=-5.0), event(51, device="toaster"), event(52, etype=None)]
+    src = scratch_path(spark, "wire-src")
+    lines = to_wire(frame(spark, rows + rows + bad).select(*cols)).select("value")
+    lines.union(spark.createDataFrame([("not json",)], "value string")).coalesce(1).write.text(src)
+    out, ckpt = scratch_path(spark, "wire-out"), scratch_path(spark, "wire-ckpt")
+    stats = run_stream_pipeline(spark, SJ.with_event_timestamp(json_file_stream(spark, src)), out, ckpt, rules=default_rules())
+    done = {r.event_id: r for r in spark.read.parquet(f"{out}/processed").collect()}
+    assert sorted(done) == [f"e{i:04d}" for i in range(6)]
+    assert [done[f"e{i:04d}"].txn_count_1h for i in range(6)] == [1, 2, 3, 4, 5, 6]
+    assert {"session_id", "metadata", "currency"} <= set(spark.read.parquet(f"{out}/processed").columns)
+    reasons = sorted(",".join(r.reject_reasons) for r in spark.read.parquet(f"{out}/quarantine").collect())
+    assert reasons == sorted(["negative_amount", "unknown_device_type", "missing_event_type",
+                              "missing_user_id,missing_session_id,missing_transaction_amount,missing_location,"
+                              "missing_device_type,missing_event_type"])
+    assert stats["input_rows"] == 16 and stats["quarantine_batches"] == 1
+
+
+def test_totals_of_more_than_a_hundred_batches(spark):
+    src = scratch_path(spark, "many-src")
+    frame(spark, [event(i, t=T0 + timedelta(minutes=i)) for i in range(115)]).repartition(115, "event_id") \
+        .write.option("maxRecordsPerFile", 1).parquet(src)
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    stats = SJ.run_available(SJ.with_run_counters(stream), scratch_path(spark, "many-sink"),
+                             scratch_path(spark, "many-ckpt"), "append")
+    assert stats["batches"] == 115 and stats["input_rows"] == 115 and stats["observed"]["processed"] == 115

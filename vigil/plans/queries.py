@@ -29,6 +29,7 @@ from vigil.streaming import jobs as SJ
 
 # The driver's events use 'error' where the reference has 'failed_login'.
 FAILED_TYPE = "error"
+VALIDATE = {"event_types": ["click", "error", "purchase", "signup", "view"]}
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,7 +408,7 @@ _MODELS: dict = {}
 
 def _model(spark, sf_dir):
     """Model fitted on the training split of ``sf_dir`` (memoised per session)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         train, _ = ML.stratified_split(_ml_frame(spark, sf_dir), "label", "event_id")
         _MODELS[key] = ML.fit_model(train, "label", QUERY_GBT)
@@ -418,7 +419,7 @@ def q_fraud_scores(spark, sf_dir):
     df = _ml_frame(spark, sf_dir)
     train, _ = ML.stratified_split(df, "label", "event_id")
     model = ML.fit_model(train, "label", QUERY_GBT)
-    _MODELS[(id(spark), sf_dir)] = model
+    _MODELS[(spark.sparkContext.applicationId, sf_dir)] = model
     return ML.score(model, df, keep=["event_id", "user_id", "label"])
 
 
@@ -461,6 +462,7 @@ QUERIES.update({
 
 
 STREAM_SLICES = 8
+SLICE_FILES = 4  # files of a slice, read as one micro-batch
 # Run statistics of the last streaming query run per name (batches, latency,
 # watermark drops); read by bench.py.
 STREAM_STATS: dict[str, dict] = {}
@@ -474,12 +476,12 @@ def _event_stream(spark, sf_dir):
     folder; every stream query keeps its own checkpoint and sink), then read
     it as a file stream, one slice per trigger."""
     raw = read_table(spark, sf_dir, "events")
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
         staged = scratch_path(spark, "stream-src")
-        SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
+        SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts", files=SLICE_FILES)
         _STAGED[key] = staged
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(_STAGED[key])
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(_STAGED[key])
     return SJ.with_event_timestamp(canonical_events(stream))
 
 
@@ -511,10 +513,10 @@ def q_stream_dedupe(spark, sf_dir):
     pin_utc(spark)
     raw = read_table(spark, sf_dir, "events")
     staged = scratch_path(spark, "stream-dup")
-    SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts")
+    SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts", files=SLICE_FILES)
     raw.write.mode("append").parquet(staged)
     stream = SJ.with_event_timestamp(canonical_events(
-        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(staged)))
+        spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(staged)))
     dedup = SJ.dedupe_stream(stream.select("event_id", "user_id", "event_time", "transaction_amount"))
     sink, ckpt = scratch_path(spark, "stream-dedupe"), scratch_path(spark, "ckpt-dedupe")
     SJ.run_available(dedup, sink, ckpt, "append")
@@ -625,7 +627,8 @@ def q_stream_alerts(spark, sf_dir):
     out = scratch_path(spark, "stream-pipeline")
     STREAM_STATS["stream_alerts"] = run_stream_pipeline(
         spark, _event_stream(spark, sf_dir), out, scratch_path(spark, "ckpt-pipeline"),
-        rules=AL.default_rules(**RULE_PARAMS), window_minutes=RULE_WINDOW_MINUTES, failed_type=FAILED_TYPE)
+        rules=AL.default_rules(**RULE_PARAMS), window_minutes=RULE_WINDOW_MINUTES, failed_type=FAILED_TYPE,
+        validate_kw=VALIDATE)
     return spark.read.parquet(f"{out}/alerts").drop("batch_id", "resolved")
 
 
@@ -641,8 +644,8 @@ def q_stream_from_json(spark, sf_dir):
                  "device_type", "event_type", "currency"]
     staged = scratch_path(spark, "stream-json")
     SJ.stage_time_slices(_events(spark, sf_dir), staged, STREAM_SLICES, "event_time",
-                         to_text=lambda d: to_wire(d.select(*wire_cols)).select("value"))
-    stream = SJ.with_event_timestamp(json_file_stream(spark, staged, max_files_per_trigger=1))
+                         to_text=lambda d: to_wire(d.select(*wire_cols)).select("value"), files=SLICE_FILES)
+    stream = SJ.with_event_timestamp(json_file_stream(spark, staged, max_files_per_trigger=SLICE_FILES))
     agg = SJ.tumbling_summary_stream(stream, "1 minute", "10 minutes")
     sink, ckpt = scratch_path(spark, "stream-json-out"), scratch_path(spark, "ckpt-json")
     STREAM_STATS["stream_from_json"] = SJ.run_available(agg, sink, ckpt, "update")

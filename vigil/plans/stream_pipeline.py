@@ -1,7 +1,9 @@
 """The streaming job: events in, processed events and alerts out, per batch.
 
-source -> (watermark) -> W8 rolling features (keyed state) -> foreachBatch:
-calendar features -> optional model score -> {processed events, alerts}.
+source -> validation (rejected rows go to the quarantine sink with their
+reasons) -> dedupe within the watermark -> W8 rolling features (keyed state)
+-> foreachBatch: calendar features -> optional model score -> {processed
+events with all raw columns, alerts}.
 
 Each micro-batch is persisted once inside ``foreachBatch`` (it feeds two
 writes) and written to ``batch_id=N`` folders, so a retried batch overwrites
@@ -19,19 +21,22 @@ from vigil.functions.time import with_time_features
 from vigil.operators import alerts as AL
 from vigil.operators import ml as ML
 from vigil.schemas import FAILED_LOGIN
-from vigil.streaming.jobs import rolling_features_stream
-
-PASSTHROUGH = ["transaction_amount", "location", "device_type", "event_type", "fraud_probability", "is_fraud"]
+from vigil.operators.validation import validate_events
+from vigil.streaming.jobs import finished_progress, rolling_features_stream, run_available, run_totals
 
 
 def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, checkpoint: str,
                         rules: list | None = None, model: PipelineModel | None = None,
                         window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
-                        watermark: str = "10 minutes") -> dict:
+                        watermark: str = "10 minutes", validate_kw: dict | None = None) -> dict:
     """Run the stream until the available input is processed; returns run
-    statistics (batches, rows, watermark drops)."""
-    keep = [c for c in PASSTHROUGH if c in stream.columns]
-    feats = rolling_features_stream(stream, window_minutes, failed_type, watermark, passthrough=keep)
+    totals (batches, rows, watermark drops, quarantined rows)."""
+    checked = validate_events(stream, **(validate_kw or {})).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    ok = F.size("reject_reasons") == 0
+    rejected = run_available(checked.filter(~ok), f"{out_dir}/quarantine", f"{checkpoint}/quarantine", "append")
+    keep = [c for c in stream.columns if c not in ("event_id", "user_id", "event_time")]
+    feats = rolling_features_stream(checked.filter(ok).drop("reject_reasons"), window_minutes, failed_type, watermark,
+                                    passthrough=keep)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         enriched = with_time_features(
@@ -39,6 +44,8 @@ def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, ch
         if model is not None:
             enriched = ML.score(model, enriched.drop("fraud_probability", "is_fraud"),
                                 keep=[c for c in enriched.columns if c not in ("fraud_probability", "is_fraud")])
+        elif "fraud_probability" not in enriched.columns:   # nothing scored: the failure defaults (M17)
+            enriched = enriched.withColumns({"fraud_probability": F.lit(0.0), "is_fraud": F.lit(False)})
         enriched = enriched.persist()
         try:
             enriched.write.mode("overwrite").parquet(f"{out_dir}/processed/batch_id={batch_id}")
@@ -47,10 +54,8 @@ def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, ch
         finally:
             enriched.unpersist()
 
-    q = (feats.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    q = (feats.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/events")
          .foreachBatch(per_batch).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    progress = [p for p in q.recentProgress if p and p.get("numInputRows", 0) > 0]
-    return {"batches": len(progress), "input_rows": sum(p["numInputRows"] for p in progress)}
+    totals = run_totals(finished_progress(q))
+    totals["quarantine_batches"] = rejected["batches"]
+    return totals

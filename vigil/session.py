@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -113,14 +114,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     (stream sinks, model artifacts, materialised tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     parent = base.rsplit("/", 1)[0] if "/" in base else base
-    return f"{parent}/vigil-{name}-{os.getpid()}-{next(_COUNTER)}"
-
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_COUNTER = _counter()
+    return f"{parent}/vigil-{name}-{uuid.uuid4().hex}"

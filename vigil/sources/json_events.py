@@ -35,13 +35,19 @@ def to_wire(df: DataFrame, key_col: str = "user_id", time_col: str = "event_time
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str,
-                 starting_offsets: str = "earliest") -> DataFrame:
-    """Kafka source (``failOnDataLoss=false``) parsed into events."""
+                 starting_offsets: str = "earliest", fail_on_data_loss: bool | None = None) -> DataFrame:
+    """Kafka source parsed into events.
+
+    Reading from the earliest offset (S1) fails when offsets are lost; the
+    monitoring source that starts at the latest (S2) goes on.
+    """
+    if fail_on_data_loss is None:
+        fail_on_data_loss = starting_offsets != "latest"
     raw = (spark.readStream.format("kafka")
            .option("kafka.bootstrap.servers", servers)
            .option("subscribe", topic)
            .option("startingOffsets", starting_offsets)
-           .option("failOnDataLoss", "false")
+           .option("failOnDataLoss", str(fail_on_data_loss).lower())
            .load())
     return parse_events(raw)
 

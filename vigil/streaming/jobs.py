@@ -44,11 +44,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---------------------------------------------------------------------------
 
 def stage_time_slices(df: DataFrame, path: str, slices: int, ts_col: str = "ts",
-                      to_text: Callable[[DataFrame], DataFrame] | None = None) -> None:
+                      to_text: Callable[[DataFrame], DataFrame] | None = None, files: int = 4) -> None:
     """Write ``df`` as ``slices`` consecutive event-time slices, one write per
     slice in time order, so a file stream with ``maxFilesPerTrigger`` replays
     them as in-order micro-batches.  Slice bounds are approximate quantiles
-    of the event time (one aggregate).  With ``to_text`` (frame -> one string
+    of the event time (one aggregate).  A slice is written by ``files`` tasks,
+    one file each, which is the ``maxFilesPerTrigger`` to read with.  With ``to_text`` (frame -> one string
     column) the slices are written as text lines instead of parquet."""
     t = epoch_micros(F.col(ts_col))
     qs = df.select(t.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.001)
@@ -59,7 +60,7 @@ def stage_time_slices(df: DataFrame, path: str, slices: int, ts_col: str = "ts",
             cond = cond & (t >= F.lit(lo))
         if hi is not None:
             cond = cond & (t < F.lit(hi))
-        part = df.filter(cond).coalesce(1)
+        part = df.filter(cond).repartition(files)
         if to_text is None:
             part.write.mode("append").parquet(path)
         else:
@@ -88,26 +89,28 @@ def with_run_counters(stream: DataFrame, name: str = "run_counters",
     return stream.observe(name, *exprs)
 
 
-def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mode: str = "update",
-                  name: str | None = None) -> dict:
-    """Process everything available now, then stop (batch-style runs/tests).
-    A production deployment uses ``trigger(processingTime="30 seconds")``.
+def finished_progress(query, every_s: float = 0.5) -> list[dict]:
+    """Wait for a query to end and return the progress of all its batches.
 
-    Returns run totals from the query progress: batches, input rows, rows
-    the stateful operators dropped as later than the watermark, and summed
-    ``observe`` counters.
+    Spark keeps the last 100 updates only, so they are gathered while the
+    query runs; a batch takes far longer than a hundredth of ``every_s``.
     """
-    w = (stream.writeStream.outputMode(output_mode)
-         .option("checkpointLocation", checkpoint)
-         .foreachBatch(write_batches(sink_path))
-         .trigger(availableNow=True))
-    if name:
-        w = w.queryName(name)
-    q = w.start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    progress = [p for p in q.recentProgress if p]
+    seen: dict[int, dict] = {}
+    while True:
+        ended = query.awaitTermination(every_s)
+        for p in query.recentProgress:
+            if p and (p["batchId"] not in seen or p.get("numInputRows", 0) > 0):
+                seen[p["batchId"]] = p
+        if ended:
+            break
+    if query.exception():
+        raise query.exception()
+    return [seen[k] for k in sorted(seen)]
+
+
+def run_totals(progress: list[dict]) -> dict:
+    """Batches, latency, input rows, rows dropped as later than the watermark
+    and summed ``observe`` counters over all batches of a run."""
     observed: dict[str, int] = {}
     for p in progress:
         for metrics in (p.get("observedMetrics") or {}).values():
@@ -126,6 +129,27 @@ def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mod
     }
 
 
+def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mode: str = "update",
+                  name: str | None = None) -> dict:
+    """Process everything available now, then stop (batch-style runs/tests).
+    A production deployment uses ``trigger(processingTime="30 seconds")``.
+    Returns the run's totals (``run_totals``)."""
+    w = (stream.writeStream.outputMode(output_mode)
+         .option("checkpointLocation", checkpoint)
+         .foreachBatch(write_batches(sink_path))
+         .trigger(availableNow=True))
+    if name:
+        w = w.queryName(name)
+    return run_totals(finished_progress(w.start()))
+
+
+def kafka_sink(wire: DataFrame, servers: str, topic: str, checkpoint: str, trigger: str = "30 seconds"):
+    """(key, value) rows of ``to_wire`` to a Kafka topic."""
+    return (wire.select("key", "value").writeStream.format("kafka")
+            .option("kafka.bootstrap.servers", servers).option("topic", topic)
+            .option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start())
+
+
 def console_sink(stream: DataFrame, trigger: str = "30 seconds"):
     """The reference's console sink in update mode."""
     return (stream.writeStream.outputMode("update").format("console")
@@ -423,9 +447,11 @@ class BucketedRollingProcessor(StatefulProcessor):
 
 def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
                             watermark: str = "10 minutes", ts_col: str = "event_time",
-                            passthrough: list[str] | None = None, state_layout: str = "buckets") -> DataFrame:
+                            passthrough: list[str] | None = None, state_layout: str = "buckets",
+                            dedupe: bool = True) -> DataFrame:
     """W1–W6 on a stream, keyed by user, plus the ``passthrough`` columns
-    of each event (for downstream scoring and rules).
+    of each event (for downstream scoring and rules).  Copies of an event
+    within the watermark count once (D9); rows without a time are left out.
 
     ``state_layout="buckets"`` (default) keeps per-bucket aggregates and raw
     rows, so a batch's state I/O does not grow with a user's event rate;
@@ -439,13 +465,17 @@ def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_
     passthrough = [c for c in (passthrough or []) if c not in ("event_id", "user_id", ts_col)]
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     out_schema = ROLLING_OUT + "".join(f", {c} {types[c]}" for c in passthrough)
-    prepared = (stream.withWatermark(ts_col, watermark)
+    # A row without a time has no frame (the pipeline quarantines it before).
+    timed = stream.filter(F.col(ts_col).isNotNull()).withWatermark(ts_col, watermark)
+    if dedupe:
+        timed = timed.dropDuplicatesWithinWatermark(["event_id"])
+    prepared = (timed
                 .select("event_id", F.coalesce(F.col("user_id"), F.lit("unknown")).alias("user_id"),
                         ts_col, *passthrough,
                         epoch_micros(F.col(ts_col)).alias("t"),
                         cents(F.col("transaction_amount")).alias("c"),
                         F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0)).alias("a"),
-                        (F.col("event_type") == F.lit(failed_type)).cast("int").alias("f"),
+                        F.coalesce((F.col("event_type") == F.lit(failed_type)).cast("int"), F.lit(0)).alias("f"),
                         F.coalesce(F.col("location"), F.lit("")).alias("l")))
     retain_us = window_us + interval_us(watermark)
     if state_layout == "buckets":
