@@ -16,6 +16,7 @@ carried along; no rows give no sequences.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from vigil.llm.shared import ids_and_texts, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY = 4096, 1, 16, 8, 4096
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 100 MB a worker
 PUNCTUATION = b".,;:!?#$%&*"
 PIECES = "uid long, id long, piece int, start long, length long, ids binary"
 BINS = "done boolean, node long, bin long, fill int, uids array<long>, offsets array<int>"
@@ -36,28 +37,51 @@ BINS = "done boolean, node long, bin long, fill int, uids array<long>, offsets a
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    """The tokenizer, which ids end a word, and the ids of words met: the current generation and the one before."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.array([(tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(tokenizer.get_vocab_size())])
+    return tokenizer, ends, [{}, {}]
+
+
+def _encode_new(tokenizer, ends: np.ndarray, words: list[bytes], known: dict[bytes, bytes]) -> None:
+    """Adds the ids of new words.  Words of Latin-1 letters alone are one unit each, whose last token ends a word, so
+    many are encoded as one text; all others by themselves."""
+    plain: list[tuple[bytes, str]] = []
+    other: list[tuple[bytes, str]] = []
+    for w in words:
+        text = w.decode()
+        (plain if text.isalpha() and max(text) <= "ÿ" else other).append((w, text))
+    for (w, _), got in zip(other, tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+        known[w] = array("I", got.ids).tobytes()
+    for lo in range(0, len(plain), 256):
+        some = plain[lo:lo + 256]
+        ids = np.array(tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+        data, cuts = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        for (w, _), a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+            known[w] = data[a:b]
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, known = _tokenizer(path)
+    """Ids of each text as unsigned 32-bit numbers (little-endian, as the machines are)."""
+    tokenizer, ends, generations = _tokenizer(path)
+    if len(generations[0]) > KNOWN_WORDS:
+        generations[:] = {}, generations[0]  # words still in use move over, the others go with the next change
+    known, older = generations
     words = [t.lower().split() for t in texts]
-    new = {w for ws in words for w in ws if w not in known}
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = {w for ws in words for w in ws}
+    found = [list(map(known.get, ws)) for ws in words]
+    new = {w for ws, got in zip(words, found) for w, ids in zip(ws, got) if ids is None}
+    known.update((w, older[w]) for w in new if w in older)
+    new = [w for w in new if w not in older]
     tails = {w: stem for w in new if (stem := w.rstrip(PUNCTUATION)) != w and stem[-1:].isalpha()}
-    parts = new.difference(tails).union(tails.values(), (w[len(stem):] for w, stem in tails.items()))
-    parts = [w for w in parts if w not in known]
-    for w, got in zip(parts, tokenizer.encode_batch_fast([w.decode() for w in parts], add_special_tokens=False)):
-        known[w] = np.array(got.ids, "<u4").tobytes()
+    parts = {w for w in new if w not in tails}.union(tails.values(), (w[len(stem):] for w, stem in tails.items()))
+    known.update((w, older[w]) for w in parts if w in older)
+    _encode_new(tokenizer, ends, [w for w in parts if w not in known], known)
     for w, stem in tails.items():
         known[w] = known[stem] + known[w[len(stem):]]
-    return [b"".join([known[w] for w in ws]) for ws in words]
+    return [b"".join([known[w] if ids is None else ids for w, ids in zip(ws, got)]) for ws, got in zip(words, found)]
 
 
 def default_tokenizer() -> str:
