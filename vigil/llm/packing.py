@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from vigil.llm.shared import ids_and_texts, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY = 4096, 1, 16, 8, 4096
-KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 100 MB a worker
+KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB, until the task ends
+TEXTS_PER_BATCH = 500  # of those that a worker gets at once
 PUNCTUATION = b".,;:!?#$%&*"
 PIECES = "uid long, id long, piece int, start long, length long, ids binary"
 BINS = "done boolean, node long, bin long, fill int, uids array<long>, offsets array<int>"
@@ -46,6 +47,10 @@ def _tokenizer(path: str):
     return tokenizer, ends, [{}, {}]
 
 
+def forget(path: str) -> None:
+    _tokenizer(path)[-1][:] = {}, {}
+
+
 def _encode_new(tokenizer, ends: np.ndarray, words: list[bytes], known: dict[bytes, bytes]) -> None:
     """Adds the ids of new words.  Words of Latin-1 letters alone are one unit each, whose last token ends a word, so
     many are encoded as one text; all others by themselves."""
@@ -93,6 +98,7 @@ def default_tokenizer() -> str:
 def _cut(path: str | None, length: int, end_id: int):
     def work(batches):
         end, count, task = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId() << 40
+        forget(path or default_tokenizer())
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.binary())
             step = max(1, int(len(texts) * (1 << 20) // max(1, texts.nbytes)))
@@ -108,6 +114,7 @@ def _cut(path: str | None, length: int, end_id: int):
                         count += 1
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
+        forget(path or default_tokenizer())  # the worker stays, waiting for other tasks
     return work
 
 
@@ -226,6 +233,6 @@ def sequences(cut: DataFrame, *, capacity: int = LENGTH, slack: int = SLACK) ->
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None,
            length: int = LENGTH, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids (little-endian 32-bit), sequence_id, offset."""
-    cut = written(pieces(docs, id_col, text_col, path=path, length=length, end_id=end_id), "pieces")
+    cut = written(pieces(docs, id_col, text_col, path=path, length=length, end_id=end_id), "pieces", TEXTS_PER_BATCH)
     return (cut.join(sequences(cut, capacity=length, slack=slack), "uid")
             .select(F.col("id").alias(id_col), "piece", "start", "length", "ids", "sequence_id", "offset"))

@@ -13,11 +13,23 @@ from vigil.llm.words import longs, mix
 from vigil.session import ensure_checkpoint_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``: computed once, no lineage, survives lost executors."""
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``: computed once, no lineage, survives lost executors.
+
+    ``rows_per_batch``: rows that go to a Python worker at once while it is computed (the session's own number else).
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ROWS_PER_BATCH)
+    if rows_per_batch:
+        spark.conf.set(ROWS_PER_BATCH, str(rows_per_batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS_PER_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
