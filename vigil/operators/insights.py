@@ -90,10 +90,11 @@ def apply_model_response(insights: DataFrame, response_col: str = "model_respons
 
     Parsing is per row; a malformed reply falls back for that row only.
     """
-    resp = F.col(response_col)
+    resp = F.trim(F.regexp_replace(F.col(response_col), r"^\\s+", ""))
     valid = F.get_json_object(resp, "$").isNotNull() & resp.startswith("{")
     p = F.from_json(resp, RESPONSE_SCHEMA)
-    pick = lambda field: F.when(valid, p[field]).otherwise(F.col(field))
+    # A key that the reply lacks keeps the template's value.
+    pick = lambda field: F.when(valid, F.coalesce(p[field], F.col(field))).otherwise(F.col(field))
     return insights.withColumns({
         "insight_text": pick("insight_text"),
         "key_findings": pick("key_findings"),

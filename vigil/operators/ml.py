@@ -6,15 +6,18 @@ assembly, standardisation and gradient-boosted trees.  Encoders and the
 scaler are fitted on the training split only.  The same fitted model scores
 batch and streaming frames with ``transform``.
 
-Splits and folds are stratified without ranking rows: each row's hash is
-compared with per-label approximate quantiles of that hash (a partial
-aggregate), so no label's rows are ever gathered into one task.
+Splits and folds follow each row's exact rank by the MD5 of its id within its
+label.  Ranks are counted per (label, first bits of the hash), so a label's
+rows are never gathered into one task and membership does not depend on the
+cluster's layout.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -91,36 +94,42 @@ def encode_features(train: DataFrame, df: DataFrame | None = None) -> DataFrame:
 # Stratified split and folds
 # ---------------------------------------------------------------------------
 
-def _hash_unit(id_col: str, seed: int) -> Column:
-    return (F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).cast("double")
-            / F.lit(2.0 ** 64) + F.lit(0.5))
+HASH_BUCKETS = 1 << 12
 
 
-def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "event_id",
-                     test_fraction: float = 0.2, seed: int = 42,
-                     accuracy: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """M8: deterministic stratified train/test split.
+def stratified_rank(df: DataFrame, label_col: str, id_col: str, seed: int = 42) -> DataFrame:
+    """``df`` with _rank (0 up, by the MD5 of seed and id within the label) and _n (rows of the label).
 
-    Within each label, rows whose id-hash falls below that label's
-    ``test_fraction`` quantile go to test.  The per-label quantiles come from
-    one partial aggregate (one row per label, broadcast).
+    A row's rank is the count of its label's rows in lower hash buckets (a
+    small table: labels x buckets) plus its place in its own bucket.
     """
-    h = df.withColumn("_h", _hash_unit(id_col, seed))
-    cuts = h.groupBy(label_col).agg(F.percentile_approx("_h", test_fraction, accuracy).alias("_cut"))
-    tagged = h.join(F.broadcast(cuts), label_col).withColumn("_test", F.col("_h") <= F.col("_cut"))
-    return (tagged.filter(~F.col("_test")).drop("_h", "_cut", "_test"),
-            tagged.filter(F.col("_test")).drop("_h", "_cut", "_test"))
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    h = df.withColumn("_h", F.md5(text)).withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    per_bucket = h.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(F.col(label_col).alias("_l"), F.col("_b").alias("_lb"),
+                                F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
+                                F.sum("_c").over(Window.partitionBy(label_col)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", id_col)) - 1
+    return (h.withColumn("_place", place)
+             .join(offsets, F.col(label_col).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb")))
+             .withColumn("_rank", F.col("_before") + F.col("_place"))
+             .drop("_h", "_b", "_l", "_lb", "_before", "_place"))
+
+
+def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "event_id",
+                     test_fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """M8: (train, test); each label's first ``round(n * test_fraction)`` rows by rank are the test set."""
+    ranked = stratified_rank(df, label_col, id_col, seed)
+    test = F.col("_rank") < F.floor(F.col("_n") * F.lit(test_fraction) + F.lit(0.5))
+    return ranked.filter(~test).drop("_rank", "_n"), ranked.filter(test).drop("_rank", "_n")
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label", id_col: str = "event_id",
-                     seed: int = 42, fold_col: str = "fold", accuracy: int = 100_000) -> DataFrame:
-    """Fold id 0..k-1 from per-label hash quantiles (same scheme)."""
-    h = df.withColumn("_h", _hash_unit(id_col, seed))
-    probs = [i / k for i in range(1, k)]
-    cuts = h.groupBy(label_col).agg(F.percentile_approx("_h", probs, accuracy).alias("_cuts"))
-    tagged = h.join(F.broadcast(cuts), label_col)
-    fold = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_h")))
-    return tagged.withColumn(fold_col, fold.cast("int")).drop("_h", "_cuts")
+                     seed: int = 42, fold_col: str = "fold") -> DataFrame:
+    """Fold id 0..k-1, k equal ranges of the rank within the label."""
+    ranked = stratified_rank(df, label_col, id_col, seed)
+    return ranked.withColumn(fold_col, F.floor(F.col("_rank") * F.lit(k) / F.col("_n")).cast("int")).drop("_rank", "_n")
 
 
 # ---------------------------------------------------------------------------
@@ -202,19 +211,30 @@ def score(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) ->
 # evaluation
 # ---------------------------------------------------------------------------
 
-def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "score", decimals: int = 4) -> DataFrame:
-    """Exact ROC-AUC (ties count one half) for scores on a ``decimals``
-    grid.  Rows are first reduced to one row per distinct score (at most
-    10^decimals + 1), so the ordered pass runs over a bounded table."""
-    s = F.bround(F.col(score_col).cast("double") * F.lit(10.0 ** decimals), 0).cast("long")
+def roc_auc(df: DataFrame, label_col: str = "label", score_col: str = "score") -> DataFrame:
+    """Exact ROC-AUC of the raw scores (ties count one half; rows without a score are left out).
+
+    Rows are reduced to one per distinct score, range-partitioned by score and
+    checkpointed; a running count inside each range plus the counts of the
+    ranges below (one row per partition) gives the negatives below a score.
+    """
     y = F.col(label_col).cast("int")
-    g = df.groupBy(s.alias("s")).agg(F.sum(y).cast("long").alias("pos"),
-                                     F.sum(F.lit(1) - y).cast("long").alias("neg"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    g = (df.select(F.col(score_col).cast("double").alias("s"), y.alias("y")).filter("s is not null")
+           .groupBy("s").agg(F.sum("y").cast("long").alias("pos"), F.sum(F.lit(1) - F.col("y")).cast("long").alias("neg"))
+           .repartitionByRange("s").withColumn("_p", F.spark_partition_id()).checkpoint())
+    ranges = g.groupBy("_p").agg(F.sum("neg").alias("_neg"))
+    lower = ranges.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_neg").over(
+        Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lower"))
+    inside = Window.partitionBy("_p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    exact = "decimal(38,0)"
+    g = (g.withColumn("_inside", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+          .join(F.broadcast(lower), F.col("_p") == F.col("_q"))
+          .withColumn("_below", (F.col("_lower") + F.col("_inside")).cast("decimal(18,0)")))
+    pos, neg = F.col("pos").cast("decimal(18,0)"), F.col("neg").cast("decimal(18,0)")
+    wins, ties = F.sum((pos * F.col("_below")).cast(exact)), F.sum((pos * neg).cast(exact))
     return g.agg(
-        ((F.sum(F.col("pos") * F.col("neg_below")) + F.sum(F.col("pos") * F.col("neg")) / F.lit(2.0))
-         / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"),
+        ((wins.cast("double") + ties.cast("double") / F.lit(2.0))
+         / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
@@ -261,7 +281,7 @@ def evaluate(model: PipelineModel, test: DataFrame, label_col: str = "label") ->
     scored = model.transform(with_missing_inputs(test)).select(
         F.col(label_col).alias("label"), vector_to_array("probability")[1].alias("score"),
         F.col("prediction"))
-    auc = roc_auc(scored.withColumn("score", F.bround(F.col("score"), 4)), "label", "score").select("roc_auc")
+    auc = roc_auc(scored, "label", "score").select("roc_auc")
     return one_row_join(classification_metrics(scored, "label", "prediction"), auc)
 
 
@@ -277,18 +297,19 @@ def cross_validated_auc(df: DataFrame, k: int = 5, label_col: str = "label", id_
                         params: GBTParams | None = None, seed: int = 42) -> DataFrame:
     """K-fold stratified AUC, mean and population std.
 
-    Each fold is a distributed fit; only the k metric values meet on the
-    driver, as a k-row frame.
+    Each fold is a distributed fit; the folds run side by side, and only the
+    k metric values meet on the driver, as a k-row frame.
     """
-    folded = stratified_folds(df, k, label_col, id_col, seed).persist()
-    aucs = []
-    for i in range(k):
+    folded = stratified_folds(df, k, label_col, id_col, seed).checkpoint()
+
+    def one_fold(i: int) -> tuple[int, float]:
         m = fit_model(folded.filter(F.col("fold") != i), label_col, params)
         held = m.transform(with_missing_inputs(folded.filter(F.col("fold") == i))).select(
             F.col(label_col).alias("label"), vector_to_array("probability")[1].alias("score"))
-        aucs.append((i, float(roc_auc(held, "label", "score").first()["roc_auc"])))  # exact, M11
-    folded.unpersist()
+        return i, float(roc_auc(held, "label", "score").first()["roc_auc"])
     spark = df.sparkSession
+    with ThreadPool(k) as pool:
+        aucs = pool.map(inheritable_thread_target(spark)(one_fold), range(k))
     per_fold = spark.createDataFrame(aucs, "fold int, roc_auc double")
     return per_fold.agg(round_to(F.avg("roc_auc"), 4).alias("cv_roc_auc_mean"),
                         round_to(F.stddev_pop("roc_auc"), 4).alias("cv_roc_auc_std"),
@@ -296,10 +317,12 @@ def cross_validated_auc(df: DataFrame, k: int = 5, label_col: str = "label", id_
 
 
 def train_and_save(df: DataFrame, path: str, label_col: str = "label", id_col: str = "event_id",
-                   params: GBTParams | None = None) -> tuple[PipelineModel, DataFrame]:
-    """Split, fit, evaluate, save; returns the model and its metrics row."""
+                   params: GBTParams | None = None,
+                   model: PipelineModel | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Split, fit, evaluate, save; returns the model and its metrics row.
+    ``model``: one already fitted on this training split."""
     train, test = stratified_split(df, label_col, id_col)
-    model = fit_model(train, label_col, params)
+    model = model or fit_model(train, label_col, params)
     save_model(model, path)
     return model, one_row_join(evaluate(model, test, label_col),
                                train.agg(F.count(F.lit(1)).alias("train_size")),

@@ -86,13 +86,17 @@ def breakdown_counts(df: DataFrame, every: str = "1 minute", ts_col: str = "even
               .groupBy(*group_cols, "dimension", "value")
               .agg(F.count(F.lit(1)).alias("cnt")))
     rank_w = Window.partitionBy(*group_cols, "dimension").orderBy(F.desc("cnt"), F.asc("value"))
-    ranked = long.withColumn("rnk", F.row_number().over(rank_w).cast("long"))
-    if top:
-        keep = F.lit(True)
-        for d, k in top.items():
-            keep = keep & ((F.col("dimension") != F.lit(d)) | (F.col("rnk") <= F.lit(k)))
-        ranked = ranked.filter(keep)
-    return ranked
+    top = {d: k for d, k in top.items() if d in dims}
+    free = [d for d in dims if d not in top]
+    out = None
+    # A plain rank bound on its own branch becomes a per-task group limit
+    # before the exchange.
+    for these, k in [(free, None), *(([d], k) for d, k in top.items())]:
+        if these:
+            part = long.filter(F.col("dimension").isin(these)).withColumn("rnk", F.row_number().over(rank_w))
+            part = (part.filter(F.col("rnk") <= k) if k else part).withColumn("rnk", F.col("rnk").cast("long"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def breakdown_maps(long: DataFrame, dims: list[str] = DIMENSIONS,
@@ -224,6 +228,20 @@ def count_window_metrics(df: DataFrame, every: int = 100,
 # Reads over the window-metrics table
 # ---------------------------------------------------------------------------
 
+def in_latest_windows(events: DataFrame, every: str, n: int, ts_col: str = "event_time") -> DataFrame:
+    """The events of the newest ``n`` non-empty windows.
+
+    The bound is found by an aggregate over the time column alone and reaches
+    the scan as a filter, so older row groups are not read.
+    """
+    start = F.window(ts_col, every).start.alias("w")
+    newest = events.select(start).filter(F.col("w").isNotNull()).distinct().orderBy(F.desc("w")).limit(n)
+    bound = newest.agg(F.min("w")).first()[0]
+    if bound is None:
+        return events
+    return events.filter(F.col(ts_col) >= F.lit(bound).cast(events.schema[ts_col].dataType))
+
+
 def last_n(df: DataFrame, n: int, order_col: str = "window_start") -> DataFrame:
     """Last ``n`` rows by ``order_col`` (TakeOrderedAndProject: per-partition
     top-n, then a merge of n rows per partition)."""

@@ -517,6 +517,22 @@ c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECED
 SELECT (sum(pos * neg_below) + sum(pos * neg) / 2.0) / (sum(pos) * sum(neg)) AS roc_auc,
        CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c"""
 
+SQL["auc_raw"] = f"""WITH {EV}, mi AS (
+  SELECT CAST(event_type = 'error' AS INTEGER) AS label, transaction_amount / CAST(601.7 AS DOUBLE) AS score FROM ev),
+g AS (SELECT score AS s, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM mi GROUP BY 1),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM g)
+SELECT (CAST(sum(pos * neg_below) AS DOUBLE) + CAST(sum(pos * neg) AS DOUBLE) / CAST(2 AS DOUBLE))
+       / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc,
+       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM c"""
+
+_RANKED = f"""WITH {EV}, r AS (
+  SELECT event_id, CAST(is_fraud AS INTEGER) AS label,
+         row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42|' || event_id), event_id) - 1 AS rnk,
+         count(*) OVER (PARTITION BY is_fraud) AS n FROM ev)"""
+SQL["stratified_split"] = _RANKED + """
+SELECT event_id, label, CASE WHEN rnk < floor(n * CAST(0.2 AS DOUBLE) + CAST(0.5 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM r"""
+SQL["stratified_folds"] = _RANKED + " SELECT event_id, label, CAST((rnk * 5) // n AS INTEGER) AS fold FROM r"
+
 SQL["confusion"] = _MI + """
 SELECT label, CAST(sum(CAST(prediction = 0 AS BIGINT)) AS BIGINT) AS pred_0,
        CAST(sum(CAST(prediction = 1 AS BIGINT)) AS BIGINT) AS pred_1 FROM mi GROUP BY label"""

@@ -21,8 +21,8 @@ from vigil.operators.rolling import rolling_user_features
 from vigil.operators.summary import round_to
 from vigil.operators.validation import split_valid, with_inference_defaults
 from vigil.plans.stream_pipeline import run_stream_pipeline
-from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX
-from vigil.session import pin_utc, scratch_path
+from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX, MODEL_INPUTS
+from vigil.session import ensure_checkpoint_dir, pin_utc, scratch_path
 from vigil.sources.json_events import archive_events, json_file_stream, parse_events, read_archive, to_wire
 from vigil.sources.tables import canonical_events, load_events, read_table
 from vigil.streaming import jobs as SJ
@@ -94,7 +94,8 @@ def q_count_windows(spark, sf_dir):
 
 
 def q_metrics_rollup(spark, sf_dir):
-    return S.metrics_rollup(S.window_summary(_events(spark, sf_dir), "1 minute"), n=60)
+    recent = S.in_latest_windows(_events(spark, sf_dir), "1 minute", 60)
+    return S.metrics_rollup(S.window_summary(recent, "1 minute"), n=60)
 
 
 QUERIES.update({
@@ -214,12 +215,12 @@ def q_risky_events(spark, sf_dir):
 
 
 def q_latest_metrics(spark, sf_dir):
-    return ST.latest_row(S.window_summary(_events(spark, sf_dir), "1 minute"))
+    return ST.latest_row(S.window_summary(S.in_latest_windows(_events(spark, sf_dir), "1 minute", 1), "1 minute"))
 
 
 def q_metrics_history(spark, sf_dir):
-    hist = ST.bounded_history(S.window_summary(_events(spark, sf_dir), "1 minute"), METRICS_HISTORY_MAX,
-                              ["window_start"])
+    recent = S.in_latest_windows(_events(spark, sf_dir), "1 minute", METRICS_HISTORY_MAX)
+    hist = ST.bounded_history(S.window_summary(recent, "1 minute"), METRICS_HISTORY_MAX, ["window_start"])
     return ST.list_range(hist, -60, -1).select("pos", "window_start", "total_transactions", "fraud_rate")
 
 
@@ -327,7 +328,7 @@ def q_throughput_series(spark, sf_dir):
 
 
 def q_kpi_row(spark, sf_dir):
-    latest = ST.latest_row(S.window_summary(_events(spark, sf_dir), "1 minute"))
+    latest = ST.latest_row(S.window_summary(S.in_latest_windows(_events(spark, sf_dir), "1 minute", 1), "1 minute"))
     return latest.select(
         iso_text(F.col("window_start")).alias("last_metrics_window"),
         "total_transactions",
@@ -353,16 +354,20 @@ QUERIES.update({
 # ---------------------------------------------------------------------------
 
 
-# Query-time model size: the default (200 trees, depth 6) is a parameter of
-# ML.GBTParams; registered queries use a lighter preset to keep runs short.
-QUERY_GBT = ML.GBTParams(max_iter=20, max_depth=5)
+_ML_FRAMES: dict = {}
 
 
 def _ml_frame(spark, sf_dir):
-    """Enriched events with the given flag as label; the given score columns
-    are dropped so the model's outputs can take their names."""
-    ev = enriched_events(spark, sf_dir, window_minutes=60)
-    return ev.withColumn("label", F.col("is_fraud").cast("int")).drop("fraud_probability", "is_fraud")
+    """Enriched events with the given flag as label, pruned to the model's
+    inputs and materialised once per session and table folder (encoders,
+    fits, scores and folds all read it)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ML_FRAMES:
+        ensure_checkpoint_dir(spark)
+        ev = enriched_events(spark, sf_dir, window_minutes=60)
+        _ML_FRAMES[key] = ev.withColumn("label", F.col("is_fraud").cast("int")) \
+                            .select("event_id", "user_id", "label", *MODEL_INPUTS).checkpoint()
+    return _ML_FRAMES[key]
 
 
 def q_ml_features(spark, sf_dir):
@@ -396,31 +401,41 @@ def q_class_report(spark, sf_dir):
     return ML.classification_report(_metric_input(spark, sf_dir))
 
 
+def q_auc_raw(spark, sf_dir):
+    """M11 on scores off any decimal grid."""
+    ev = _events(spark, sf_dir)
+    return ML.roc_auc(ev.select((F.col("event_type") == FAILED_TYPE).cast("int").alias("label"),
+                                (F.col("transaction_amount") / F.lit(601.7)).alias("score")), "label", "score")
+
+
+def _labelled_ids(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", F.col("is_fraud").cast("int").alias("label"))
+
+
 def q_stratified_split(spark, sf_dir):
-    df = _ml_frame(spark, sf_dir)
-    train, test = ML.stratified_split(df, "label", "event_id")
-    return (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
-                 .groupBy("label", "split").agg(F.count(F.lit(1)).alias("rows")))
+    train, test = ML.stratified_split(_labelled_ids(spark, sf_dir), "label", "event_id")
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def q_stratified_folds(spark, sf_dir):
+    return ML.stratified_folds(_labelled_ids(spark, sf_dir), 5, "label", "event_id")
 
 
 _MODELS: dict = {}
 
 
 def _model(spark, sf_dir):
-    """Model fitted on the training split of ``sf_dir`` (memoised per session)."""
+    """The default model (200 trees of depth 6) fitted on the training split
+    of ``sf_dir``, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         train, _ = ML.stratified_split(_ml_frame(spark, sf_dir), "label", "event_id")
-        _MODELS[key] = ML.fit_model(train, "label", QUERY_GBT)
+        _MODELS[key] = ML.fit_model(train.checkpoint(), "label")
     return _MODELS[key]
 
 
 def q_fraud_scores(spark, sf_dir):
-    df = _ml_frame(spark, sf_dir)
-    train, _ = ML.stratified_split(df, "label", "event_id")
-    model = ML.fit_model(train, "label", QUERY_GBT)
-    _MODELS[(spark.sparkContext.applicationId, sf_dir)] = model
-    return ML.score(model, df, keep=["event_id", "user_id", "label"])
+    return ML.score(_model(spark, sf_dir), _ml_frame(spark, sf_dir), keep=["event_id", "user_id", "label"])
 
 
 def q_inference_batch(spark, sf_dir):
@@ -434,17 +449,19 @@ def q_inference_batch(spark, sf_dir):
 
 def q_train_metrics(spark, sf_dir):
     _, metrics = ML.train_and_save(_ml_frame(spark, sf_dir), scratch_path(spark, "model"),
-                                   params=QUERY_GBT)
+                                   model=_model(spark, sf_dir))
     return metrics
 
 
 def q_cv_auc(spark, sf_dir):
-    return ML.cross_validated_auc(_ml_frame(spark, sf_dir), k=5, params=ML.GBTParams(max_iter=10, max_depth=4))
+    return ML.cross_validated_auc(_ml_frame(spark, sf_dir), k=5)
 
 
 QUERIES.update({
     "ml_features": q_ml_features,
     "auc": q_auc,
+    "auc_raw": q_auc_raw,
+    "stratified_folds": q_stratified_folds,
     "confusion": q_confusion,
     "f1": q_f1,
     "class_report": q_class_report,
