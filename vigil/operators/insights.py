@@ -90,7 +90,7 @@ def apply_model_response(insights: DataFrame, response_col: str = "model_respons
 
     Parsing is per row; a malformed reply falls back for that row only.
     """
-    resp = F.trim(F.regexp_replace(F.col(response_col), r"^\\s+", ""))
+    resp = F.trim(F.regexp_replace(F.col(response_col), r"^\s+", ""))
     valid = F.get_json_object(resp, "$").isNotNull() & resp.startswith("{")
     p = F.from_json(resp, RESPONSE_SCHEMA)
     # A key that the reply lacks keeps the template's value.

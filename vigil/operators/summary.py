@@ -248,6 +248,14 @@ def last_n(df: DataFrame, n: int, order_col: str = "window_start") -> DataFrame:
     return df.orderBy(F.desc(order_col)).limit(n)
 
 
+def status_row(metrics: DataFrame) -> DataFrame:
+    """The newest window's count and rate; 0, 0 and no window when there is none."""
+    newest = metrics.agg(F.max_by(F.struct("window_start", "total_transactions", "fraud_rate"), "window_start").alias("m"))
+    return newest.select(F.col("m.window_start").alias("last_metrics_window"),
+                         F.coalesce("m.total_transactions", F.lit(0)).cast("long").alias("total_transactions"),
+                         F.coalesce("m.fraud_rate", F.lit(0.0)).alias("fraud_rate"))
+
+
 def metrics_rollup(metrics: DataFrame, n: int = 60, order_col: str = "window_start") -> DataFrame:
     """Roll-up of the last ``n`` windows.
 

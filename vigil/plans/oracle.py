@@ -628,3 +628,41 @@ SQL["alert_prompt"] = SQL["alert_digest"].replace(
     "'• [' || upper(severity) || '] '", "'- [' || severity || '] '").replace(
     "WHERE r <= 5", "WHERE r <= 10").replace(
     f"{q(ALERT_SUMMARY_HEADER)} || chr(10) || string_agg", "string_agg")
+
+SQL["status_row"] = f"""
+WITH m AS ({window_summary_sql("1 minute")})
+SELECT * FROM (SELECT window_start AS last_metrics_window, total_transactions, fraud_rate, 'all' AS scope FROM m
+               ORDER BY window_start DESC LIMIT 1)
+UNION ALL SELECT CAST(NULL AS TIMESTAMP), 0, CAST(0 AS DOUBLE), 'none'
+"""
+
+SQL["validated_events"] = f"""WITH {EV}, f AS (
+  SELECT event_id, CASE WHEN CAST(event_id AS BIGINT) % 11 <> 0 THEN user_id END AS user_id,
+         CASE WHEN CAST(event_id AS BIGINT) % 7 = 0 THEN -transaction_amount - 1
+              ELSE transaction_amount / CAST(3 AS DOUBLE) END AS amount,
+         CASE WHEN CAST(event_id AS BIGINT) % 13 = 0 THEN 'toaster' ELSE device_type END AS device_type
+  FROM ev)
+SELECT event_id, user_id, round(amount * 100) / CAST(100 AS DOUBLE) AS transaction_amount, 'USD' AS currency,
+       concat_ws(',', CASE WHEN user_id IS NULL THEN 'missing_user_id' END,
+                 CASE WHEN amount < 0 THEN 'negative_amount' END,
+                 CASE WHEN device_type = 'toaster' THEN 'unknown_device_type' END) AS reasons
+FROM f"""
+
+SQL["model_replies"] = f"""
+WITH i AS ({SQL["insights"]})
+SELECT insight_id,
+       CASE WHEN minute(window_start) % 3 = 0 THEN 'seen ' || risk_level ELSE insight_text END AS insight_text,
+       CASE WHEN minute(window_start) % 3 = 0 THEN 'f' ELSE key_findings END AS key_findings,
+       CASE WHEN minute(window_start) % 3 = 0 THEN 'high' ELSE risk_level END AS risk_level,
+       CASE WHEN minute(window_start) % 3 = 0 THEN 'external' ELSE model_used END AS model_used
+FROM i"""
+
+SQL["insight_rows"] = f"""
+WITH i AS ({SQL["insights"]})
+SELECT insight_id, CAST(to_json(string_split(key_findings, chr(10))) AS VARCHAR) AS key_findings,
+       CAST(to_json(string_split(recommendations, chr(10))) AS VARCHAR) AS recommendations, risk_level FROM i"""
+
+SQL["ml_unseen"] = f"""WITH {EV},
+d AS (SELECT device_type, row_number() OVER (ORDER BY device_type) - 1 AS k
+      FROM (SELECT DISTINCT device_type FROM ev WHERE device_type <> 'api'))
+SELECT event_id, CAST(coalesce(k, 0) AS DOUBLE) AS device_type_enc FROM ev LEFT JOIN d USING (device_type)"""

@@ -19,7 +19,7 @@ from vigil.operators import store as ST
 from vigil.operators import summary as S
 from vigil.operators.rolling import rolling_user_features
 from vigil.operators.summary import round_to
-from vigil.operators.validation import split_valid, with_inference_defaults
+from vigil.operators.validation import split_valid, validate_events, with_inference_defaults
 from vigil.plans.stream_pipeline import run_stream_pipeline
 from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX, MODEL_INPUTS
 from vigil.session import ensure_checkpoint_dir, pin_utc, scratch_path
@@ -685,3 +685,71 @@ def q_stream_counters(spark, sf_dir):
 
 
 QUERIES.update({"stream_counters": q_stream_counters})
+
+
+# ---------------------------------------------------------------------------
+# Small reads and rows that the driver table alone doesn't hold
+# ---------------------------------------------------------------------------
+
+
+def q_status_row(spark, sf_dir):
+    """A13 over all events, and over none: a row of defaults."""
+    ev = _events(spark, sf_dir)
+    none = ev.filter(F.col("event_id").isNull())
+    both = [("all", S.in_latest_windows(ev, "1 minute", 1)), ("none", none)]
+    rows = [S.status_row(S.window_summary(d, "1 minute")).withColumn("scope", F.lit(name)) for name, d in both]
+    return rows[0].unionByName(rows[1])
+
+
+def flawed_events(spark, sf_dir):
+    """The events with negative and unrounded amounts, missing users and
+    currencies and unknown devices, by id."""
+    n = F.col("event_id").cast("long")
+    amount = F.col("transaction_amount")
+    return _events(spark, sf_dir).withColumns({
+        "transaction_amount": F.when(n % 7 == 0, -amount - 1).otherwise(amount / F.lit(3.0)),
+        "user_id": F.when(n % 11 != 0, F.col("user_id")),
+        "device_type": F.when(n % 13 == 0, F.lit("toaster")).otherwise(F.col("device_type")),
+        "currency": F.when(n % 5 != 0, F.col("currency"))})
+
+
+def q_validated_events(spark, sf_dir):
+    """Reasons, 2-dp amounts and defaults of valid and rejected rows."""
+    checked = validate_events(flawed_events(spark, sf_dir), **VALIDATE)
+    return checked.select("event_id", "user_id", "transaction_amount", "currency",
+                          F.array_join("reject_reasons", ",").alias("reasons"))
+
+
+def q_model_replies(spark, sf_dir):
+    """Replies that parse (some after white space), and replies that don't."""
+    ins, _ = _insights(spark, sf_dir)
+    reply = F.concat(F.lit(' \n{"insight_text": "seen '), F.col("risk_level"), F.lit('", "key_findings": ["f"], "recommendations": ["r"], "risk_level": "high"}'))
+    third = F.minute("window_start") % 3
+    ins = ins.withColumn("model_response", F.when(third == 0, reply).when(third == 1, F.lit("Sorry, no JSON today.")))
+    out = IN.apply_model_response(ins, "model_response", "external")
+    return out.select("insight_id", "insight_text", F.array_join("key_findings", "\n").alias("key_findings"),
+                      "risk_level", "model_used")
+
+
+def q_insight_rows(spark, sf_dir):
+    """Insights as stored, lists as JSON text, each id once."""
+    ins, _ = _insights(spark, sf_dir)
+    rows = ins.select("insight_id", F.to_json("key_findings").alias("key_findings"),
+                      F.to_json("recommendations").alias("recommendations"), "risk_level")
+    return ST.idempotent_insert(rows, rows, key="insight_id", arrival_cols=["risk_level"])
+
+
+def q_ml_unseen(spark, sf_dir):
+    """M2: a device that the encoders never saw becomes class 0."""
+    ev = enriched_events(spark, sf_dir, window_minutes=60)
+    f = ML.encode_features(ev.filter(F.col("device_type") != "api"), ev)
+    return f.select("event_id", "device_type_enc")
+
+
+QUERIES.update({
+    "status_row": q_status_row,
+    "validated_events": q_validated_events,
+    "model_replies": q_model_replies,
+    "insight_rows": q_insight_rows,
+    "ml_unseen": q_ml_unseen,
+})
