@@ -13,23 +13,22 @@ from vigil.llm.words import longs, mix
 from vigil.session import ensure_checkpoint_dir
 
 
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
-def written(df: DataFrame, name: str, rows_per_batch: int | None = None) -> DataFrame:
-    """``df`` as a Parquet table under ``spark.checkpoint.dir``: computed once, no lineage, survives lost executors.
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's number of rows that go to a Python worker at once: texts and sets are long, and both the
+    executor and the worker hold a batch whole."""
+    if int(spark.conf.get(ROWS_PER_BATCH)) > TEXTS_PER_BATCH:
+        spark.conf.set(ROWS_PER_BATCH, str(TEXTS_PER_BATCH))
 
-    ``rows_per_batch``: rows that go to a Python worker at once while it is computed (the session's own number else).
-    """
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table under ``spark.checkpoint.dir``: computed once, no lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(ROWS_PER_BATCH)
-    if rows_per_batch:
-        spark.conf.set(ROWS_PER_BATCH, str(rows_per_batch))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(ROWS_PER_BATCH, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +38,7 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
