@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import by_id, documents
@@ -87,8 +88,8 @@ def test_words_get_the_ids_that_they_have_in_the_text():
              "<|endoftext|>", "<|", "ǆ", "中", "'T", "can't.", "x́,", "ʰ", "ﬁ", "한"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        got = np.frombuffer(packing.encode([text.encode()], path)[0], "<u4").tolist()
-        assert got == plain.encode(text, add_special_tokens=False).ids, text
+        data, edges = packing.encode(pa.array(["x y", text, text]), path)
+        assert np.frombuffer(data[edges[1]:edges[2]], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
 def test_best_fit_bins():

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from vigil.llm.shared import ids_and_texts, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY = 4096, 1, 16, 8, 4096
-KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB, until the task ends
-PUNCTUATION = b".,;:!?#$%&*"
+KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB a worker
+TEXT_BYTES = 4 << 20
+PUNCTUATION = ".,;:!?#$%&*"
 PIECES = "uid long, id long, piece int, start long, length long, ids binary"
 BINS = "done boolean, node long, bin long, fill int, uids array<long>, offsets array<int>"
 
@@ -46,46 +47,46 @@ def _tokenizer(path: str):
     return tokenizer, ends, [{}, {}]
 
 
-def forget(path: str) -> None:
-    _tokenizer(path)[-1][:] = {}, {}
-
-
-def _encode_new(tokenizer, ends: np.ndarray, words: list[bytes], known: dict[bytes, bytes]) -> None:
+def _encode_new(tokenizer, ends: np.ndarray, words: list[str], known: dict[str, bytes]) -> None:
     """Adds the ids of new words.  Words of Latin-1 letters alone are one unit each, whose last token ends a word, so
     many are encoded as one text; all others by themselves."""
-    plain: list[tuple[bytes, str]] = []
-    other: list[tuple[bytes, str]] = []
-    for w in words:
-        text = w.decode()
-        (plain if text.isalpha() and max(text) <= "ÿ" else other).append((w, text))
-    for (w, _), got in zip(other, tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
+    plain = [w for w in words if w.isalpha() and max(w) <= "ÿ"]
+    other = [w for w in words if not (w.isalpha() and max(w) <= "ÿ")]
+    for w, got in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False)):
         known[w] = array("I", got.ids).tobytes()
     for lo in range(0, len(plain), 256):
         some = plain[lo:lo + 256]
-        ids = np.array(tokenizer.encode(" ".join([t for _, t in some]), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
         data, cuts = ids.tobytes(), (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-        for (w, _), a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
+        for w, a, b in zip(some, [0, *cuts[:-1]], cuts, strict=True):
             known[w] = data[a:b]
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text as unsigned 32-bit numbers (little-endian, as the machines are)."""
+def encode(texts: pa.Array, path: str) -> tuple[memoryview, np.ndarray]:
+    """Ids of all texts as unsigned 32-bit numbers (little-endian, as the machines are), and where each text's begin.
+
+    The distinct words of the texts are looked up, the rest is done on columns.
+    """
     tokenizer, ends, generations = _tokenizer(path)
     if len(generations[0]) > KNOWN_WORDS:
         generations[:] = {}, generations[0]  # words still in use move over, the others go with the next change
     known, older = generations
-    words = [t.lower().split() for t in texts]
-    found = [list(map(known.get, ws)) for ws in words]
-    new = {w for ws, got in zip(words, found) for w, ids in zip(ws, got) if ids is None}
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = words.values.dictionary_encode()
+    listed = coded.dictionary.to_pylist()
+    new = [w for w in listed if w not in known]
     known.update((w, older[w]) for w in new if w in older)
     new = [w for w in new if w not in older]
-    tails = {w: stem for w in new if (stem := w.rstrip(PUNCTUATION)) != w and stem[-1:].isalpha()}
+    tails = {w: stem for w in new if (stem := w.rstrip(PUNCTUATION)) != w and stem[-1:].isascii() and stem[-1:].isalpha()}
     parts = {w for w in new if w not in tails}.union(tails.values(), (w[len(stem):] for w, stem in tails.items()))
     known.update((w, older[w]) for w in parts if w in older)
     _encode_new(tokenizer, ends, [w for w in parts if w not in known], known)
     for w, stem in tails.items():
         known[w] = known[stem] + known[w[len(stem):]]
-    return [b"".join([known[w] if ids is None else ids for w, ids in zip(ws, got)]) for ws, got in zip(words, found)]
+    ids = pa.array([known[w] for w in listed], pa.binary()).take(coded.indices)
+    _, places, data = ids.buffers()
+    places = np.frombuffer(places, np.int32)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    return memoryview(data) if data else memoryview(b""), places[np.asarray(words.offsets)].astype(np.int64)
 
 
 def default_tokenizer() -> str:
@@ -94,26 +95,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gathered(batches, most: int):
+    """(ids, texts) of about ``most`` bytes of text: the more at once, the fewer distinct words to look up."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        texts.append(pc.fill_null(batch.column(1), ""))
+        size += texts[-1].nbytes
+        if size >= most:
+            yield ids, pa.concat_arrays(texts)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(texts)
+
+
 def _cut(path: str | None, length: int, end_id: int):
     def work(batches):
         end, count, task = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId() << 40
-        forget(path or default_tokenizer())
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").cast(pa.binary())
-            step = max(1, int(len(texts) * (1 << 20) // max(1, texts.nbytes)))
-            for lo in range(0, len(texts), step):
-                rows: dict[str, list] = {k: [] for k in ("uid", "id", "piece", "start", "length", "ids")}
-                some = batch.column(0)[lo:lo + step].to_pylist()
-                for doc, got in zip(some, encode(texts[lo:lo + step].to_pylist(), path or default_tokenizer())):
-                    got += end
-                    for piece, a in enumerate(range(0, len(got), 4 * length)):
-                        part = got[a:a + 4 * length]
-                        for k, v in zip(rows, (task | count, doc, piece, a // 4, len(part) // 4, part)):
-                            rows[k].append(v)
-                        count += 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
-        forget(path or default_tokenizer())  # the worker stays, waiting for other tasks
+        for ids, texts in _gathered(batches, TEXT_BYTES):
+            data, edges = encode(texts, path or default_tokenizer())
+            rows: dict[str, list] = {k: [] for k in ("uid", "id", "piece", "start", "length", "ids")}
+            for doc, begin, stop in zip(ids, edges[:-1].tolist(), edges[1:].tolist()):
+                got = bytes(data[begin:stop]) + end
+                for piece, a in enumerate(range(0, len(got), 4 * length)):
+                    part = got[a:a + 4 * length]
+                    for k, v in zip(rows, (task | count, doc, piece, a // 4, len(part) // 4, part)):
+                        rows[k].append(v)
+                    count += 1
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], names=list(rows))
     return work
 
 
