@@ -114,6 +114,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_runs(docs, id_col, text_col, run).toDF("__id", "__h", "__firsts")
     joined = docs.withColumn("__h0", F.xxhash64(text)).join(
         found, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__h0") == F.col("__h")), "left")
-    done = joined.withColumn("__cut", cut(text, F.col("__firsts")))
+    # Nondeterministic, or a filter on the counts would run it a second time.
+    done = joined.withColumn("__cut", cut.asNondeterministic()(text, F.col("__firsts")))
     return (done.withColumn(text_col, F.col("__cut.text")).withColumn(name, F.struct("__cut.n_lines", "__cut.n_removed"))
             .select(*docs.columns if name in docs.columns else [*docs.columns, name]))
