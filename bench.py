@@ -16,12 +16,12 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from vigil.plans.pipeline import run_pipeline  # noqa: E402
-from vigil.plans.queries import QUERIES, RULE_PARAMS, STREAM_STATS  # noqa: E402
+from vigil.plans.queries import QUERIES, RULE_PARAMS, STREAM_STATS, _model  # noqa: E402
 from vigil.session import build_session  # noqa: E402
 from vigil.sources.tables import load_events  # noqa: E402
 
 HEADLINE = [
-    "time_features", "rolling_user_features", "rolling_hot_user", "window_summary_1m", "window_summary_1h",
+    "time_features", "rolling_user_features", "rolling_hot_user", "rolling_dense_user", "window_summary_1m", "window_summary_1h",
     "window_metrics", "top_locations", "count_windows", "metrics_rollup",
     "alert_events", "alert_payloads", "alert_digest", "quarantine", "idempotent_insert",
     "latest_per_user", "recent_events", "insights", "ml_features", "auc",
@@ -53,7 +53,9 @@ def main() -> None:
     from vigil.operators.alerts import default_rules
     t0 = time.perf_counter()
     try:
-        counters = run_pipeline(spark, load_events(spark, sf_dir), f"{scratch}/pipeline",
+        model = _model(spark, sf_dir)  # fitted by fraud_scores above; the job scores every event with it
+        t0 = time.perf_counter()
+        counters = run_pipeline(spark, load_events(spark, sf_dir), f"{scratch}/pipeline", model=model,
                                 window_minutes=60, failed_type="error",
                                 rules=default_rules(**RULE_PARAMS),
                                 validate_kw={"event_types": ["click", "error", "purchase", "signup", "view"]})
