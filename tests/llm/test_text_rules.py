@@ -91,6 +91,17 @@ def test_line_runs_of_odd_rows(spark):
     assert line_dedup.without_repeats(documents(spark, [])).collect() == []
 
 
+def test_repeats_of_one_and_two_lines(spark):
+    long = " ".join(f"t{k}" for k in range(60))
+    texts = [f"{long}\nown 1", f"own 2\n{long}\nown 3", "own 2\nown 1", "short", "x\nshort\n\ny", "short", "z\nz"]
+    got = by_id(line_dedup.without_repeats(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])))
+    assert [got[k]["text"] for k in range(7)] == [texts[0], "own 2\nown 3", "", "short", "x\n\ny", "", "z"]
+    assert [tuple(got[k]["line_dedup"].values()) for k in range(7)] == [(2, 0), (3, 1), (2, 2), (1, 0), (3, 1), (1, 1), (2, 1)]
+    df = documents(spark)
+    got = by_id(line_dedup.without_repeats(df))
+    assert {i: (r["text"], *r["line_dedup"].values()) for i, r in got.items()} == plain_lines([(r["doc_id"], r["text"]) for r in df.collect()], 1)
+
+
 def plain_windows(rows, size):
     first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):

@@ -6,6 +6,7 @@ fingerprint at the same place of the match.  Fingerprints that occur once anywhe
 repeated fingerprint carries the hashes of the runs around it that chose it; the first place of each such run, by
 (doc_id, place), is kept, and at later places the match is extended over all the runs that agree, both ways, and its
 lines are deleted.  Hence: a line goes if and only if it lies in ``run`` consecutive lines that also start earlier.
+By default a run is one line: every line that stands earlier goes, alone or not, however few words it has.
 
 A fingerprint found in a third of all documents costs rows in proportion to its occurrences: occurrences meet the first
 place, which a partial aggregate finds, never one another.
@@ -26,7 +27,7 @@ from vigil.llm.quality import line_ranges
 from vigil.llm.shared import written
 from vigil.llm.words import Ranges, lists, longs, signed, slices
 
-RUN = 3
+RUN = 1
 PLACE = "id long, h long, mark long, runs array<struct<run:long,line:int>>"
 LINE_BASE = 0xC2B2AE3D27D4EB4F
 
