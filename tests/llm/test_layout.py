@@ -92,6 +92,49 @@ def test_words_get_the_ids_that_they_have_in_the_text():
         assert np.frombuffer(data[edges[1]:edges[2]], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_and_short_documents_stored_apart_share_sequences(spark, monkeypatch):
+    lengths = [2500] * 6000 + [400] * 19000 + [17] * 5000
+    cut = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "uid long, length long").repartitionByRange(3, "length")
+    fewest = len(packing.best_fit(np.array(lengths), 4096))
+    for deal in (1 << 16, 5000):
+        monkeypatch.setattr(packing, "DEAL", deal, raising=False)
+        got = packing.sequences(cut).collect()
+        assert sorted(r["uid"] for r in got) == list(range(len(lengths)))
+        places = collections.defaultdict(list)
+        for r in got:
+            places[r["sequence_id"]].append((r["offset"], lengths[r["uid"]]))
+        for own in places.values():
+            own.sort()
+            assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(own[-1]) <= 4096
+        assert len(places) <= 1.01 * fewest
+
+
+def merged_up(lengths, nodes):
+    """Sequences that the tree makes of pieces dealt to ``nodes``, in this process."""
+    rng = np.random.default_rng(8)
+    own = [[(int(n), np.array([0]), np.array([0])) for n in part] for part in np.array_split(rng.permutation(lengths), nodes)]
+    total = 0
+    while True:
+        last, up = len(own) == 1, []
+        for items in own:
+            fill, uids, offsets = (list(x) for x in zip(*items))
+            rows = packing._pack(np.array(fill), uids, offsets, 0, 0, 4096, 16, last).to_pylist()
+            total += sum(r["done"] for r in rows)
+            up.append([(r["fill"], np.array(r["uids"]), np.array(r["offsets"])) for r in rows if not r["done"]])
+        if last:
+            return total
+        own = [sum(up[k:k + packing.FAN_IN], []) for k in range(0, len(up), packing.FAN_IN)]
+
+
+def test_underfull_bins_held_back_cost_no_sequence(monkeypatch):
+    lengths = np.random.default_rng(3).choice([2500, 2100, 3000, 1500, 900, 40], 20000, p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05])
+    counts = []
+    for carry in (16, packing.CARRY, 1 << 20):
+        monkeypatch.setattr(packing, "CARRY", carry)
+        counts.append(merged_up(lengths, 60))
+    assert counts[0] == counts[1] == counts[2]
+
+
 def test_best_fit_bins():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 101, 700)

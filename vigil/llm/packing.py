@@ -1,9 +1,14 @@
 """Token sequences of a fixed length, filled by hierarchical best fit.
 
-Texts become token ids plus an end id; only documents longer than a sequence are cut.  Every partition packs its own
-pieces by best fit, longest first.  Bins with at most ``slack`` tokens to spare are final; the others go up a tree in
-which a node packs the underfull bins of ``FAN_IN`` nodes, as items, by best fit again.  A node passes on its emptiest
-``CARRY`` bins, the rest of its bins being final, so no task holds more than ``FAN_IN * CARRY`` bins.
+Texts become token ids plus an end id; only documents longer than a sequence are cut.  Pieces are dealt by a hash of
+their number to nodes of about ``DEAL``, so that each has the corpus's mix of lengths however it is stored, and every
+node packs its own by best fit, longest first.  Bins with at most ``slack`` tokens to spare are final; the others go up
+a tree in which a node packs the underfull bins of ``FAN_IN`` nodes, as items, by best fit again.
+
+A node passes on its emptiest ``CARRY`` bins, the rest of its bins being final, so no task holds more than ``FAN_IN *
+CARRY`` bins.  That costs no sequence: best fit opens a bin only for what fits in no other, so no two bins of a node go
+together and at most one is half empty.  A node above therefore moves at most ``FAN_IN`` bins, and what fits into a bin
+held back fits into every one passed on, as those have more room.
 
 Token ids are those of the whole text: the tokenizer lower-cases and never joins across white space, nor a letter with
 ASCII punctuation, so words and the punctuation behind them are looked up in a bounded table and only new ones are
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.shared import ids_and_texts, written
 
-LENGTH, END_ID, SLACK, FAN_IN, CARRY = 4096, 1, 16, 8, 4096
+LENGTH, END_ID, SLACK, FAN_IN, CARRY, DEAL = 4096, 1, 16, 8, 4096, 1 << 16
 KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB a worker
 TEXT_BYTES = 4 << 20
 PUNCTUATION = ".,;:!?#$%&*"
@@ -184,26 +189,13 @@ def _pack(fill: np.ndarray, uids: list[np.ndarray], offsets: list[np.ndarray], n
         flat(all_uids, np.int64), flat(all_offsets, np.int32)], names=["done", "node", "bin", "fill", "uids", "offsets"])
 
 
-def _first(capacity: int, slack: int, most: int = 1 << 18):
-    """Packs a partition's pieces, ``most`` at a time."""
-    def work(batches):
-        node, made, uids, sizes = TaskContext.get().partitionId(), 0, [], []
-
-        def packed():
-            ids, n = np.concatenate(uids), np.concatenate(sizes)
-            return _pack(n, np.split(ids, len(ids))[:len(ids)], [np.zeros(1, np.int32)] * len(ids), node,
-                         (node << 28) + made, capacity, slack, False)
-        for batch in batches:
-            if batch.num_rows:
-                uids.append(np.asarray(batch.column(0)))
-                sizes.append(np.asarray(batch.column(1)))
-            if sum(map(len, uids)) >= most:
-                out = packed()
-                made += out.num_rows
-                uids, sizes = [], []
-                yield out
-        if uids:
-            yield packed()
+def _first(capacity: int, slack: int):
+    """Packs a node's pieces."""
+    def work(key, table):
+        table = table.combine_chunks().sort_by("uid")
+        node, ids, n = key[0].as_py(), np.asarray(table.column("uid")), np.asarray(table.column("length"))
+        out = _pack(n, np.split(ids, len(ids))[:len(ids)], [np.zeros(1, np.int32)] * len(ids), node, node << 28, capacity, slack, False)
+        return pa.Table.from_batches([out])
     return work
 
 
@@ -221,9 +213,9 @@ def _merge(capacity: int, slack: int, level: int, last: bool):
 
 def sequences(cut: DataFrame, *, capacity: int = LENGTH, slack: int = SLACK) -> DataFrame:
     """(uid, sequence_id, offset) for every row of ``cut`` (uid, length): a place in a sequence."""
-    sizes = cut.select("uid", "length")
-    nodes = sizes.rdd.getNumPartitions()
-    level, bins = 0, written(sizes.mapInArrow(_first(capacity, slack), BINS), "bins")
+    nodes = max(1, -(-cut.count() // DEAL))
+    dealt = cut.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(nodes)).alias("node"))
+    level, bins = 0, written(dealt.groupBy("node").applyInArrow(_first(capacity, slack), BINS), "bins")
     final = [bins.where("done")]
     while True:
         nodes, level = -(-nodes // FAN_IN), level + 1
