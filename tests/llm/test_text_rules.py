@@ -8,7 +8,7 @@ import numpy as np
 
 from tests.llm.fixtures import by_id, documents, prose, words
 from vigil.llm import line_dedup, substring_dedup
-from vigil.llm.quality import KEYS, Model, judge, measured
+from vigil.llm.quality import KEYS, Model, best_limit, judge, measured
 
 CLASHES = ["n_words", "id", "h", "chunk", "quality"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,6 +49,25 @@ def test_bands_reject_strange_texts_of_a_language(spark):
     assert sum(got[k]["kept"] for k in range(150)) >= 148
 
 
+def test_limits_that_fit_labels_find_junk_in_every_language(spark):
+    """Fitted on half of the labels, tried on the other half."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    got = measured(docs, labels=labels.where("pmod(xxhash64(doc_id, 1), 2) = 0"))
+    held = (got.where("not base_failed").join(labels.where("pmod(xxhash64(doc_id, 1), 2) = 1"), "doc_id")
+            .join(docs.select("doc_id", "lang"), "doc_id").select("lang", "quality", "kept").collect())
+    share = {(x, q): np.mean([not r["kept"] for r in held if (r["lang"], r["quality"]) == (x, q)]) for x in ("de", "en", "es", "fr") for q in (0, 1)}
+    assert all(share[x, 0] >= least for x, least in (("de", 0.5), ("en", 0.9), ("es", 0.15), ("fr", 0.75)))
+    assert all(share[x, 1] <= 0.04 for x in ("de", "en", "es", "fr"))
+
+
+def test_best_limit_judges_fewest_wrongly():
+    z, good = np.array([0.1, 0.5, 2.0, 3.0, 4.0, -5.0]), np.array([True, True, False, True, False, False])
+    assert best_limit(z, good, 9.0) == 3.5 and best_limit(-z, good, 9.0) == 2.5
+    assert best_limit(z[:2], good[:2], 9.0) == 9.0 == best_limit(z[:0], good[:0], 9.0)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     keys, counts = np.unique(rng.zipf(1.3, 5000) % KEYS, return_counts=True)

@@ -23,7 +23,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measured(table(spark, sf_dir, "documents"))
+    return measured(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
