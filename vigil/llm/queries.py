@@ -11,11 +11,13 @@ from vigil.llm.html_text import extracted
 from vigil.llm.license_scan import licensed
 from vigil.llm.line_dedup import without_repeats
 from vigil.llm.near_dedup import near_duplicates
+from vigil.llm.oracle import SQL
 from vigil.llm.packing import packed
 from vigil.llm.quality import measured
 from vigil.llm.sharding import shuffled
 from vigil.llm.shared import table
 from vigil.llm.substring_dedup import without_repeats as without_repeated_windows
+from vigil.llm.url_filter import judged
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +74,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"), F.size("ids").cast("long").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_license_scan, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat)}
-ORACLE_SQL: dict[str, str] = {}
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "verdict"), rule)]) for rule in URL_RULES])))
+    return judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "url_filter.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_license_scan, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat,
+                                      op11_url_filter)}
+ORACLE_SQL: dict[str, str] = SQL
