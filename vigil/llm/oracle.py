@@ -23,3 +23,36 @@ SELECT page_id, host, path, rule,
                                THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (rid)
 """
+
+SQL["op12_filter_audit"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS low FROM texts),
+marked AS (
+  SELECT doc_id, part,
+         CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+  FROM cut),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM marked LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+gone AS (
+  SELECT *, list_min([CASE WHEN contains(fails, x) THEN strpos(filter_order, x) ELSE 6 END for x in ['A', 'B', 'C', 'D', 'E']]) AS place
+  FROM masks, orders),
+steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS x,
+         coalesce(sum(n) FILTER (place > step), 0) AS kept, coalesce(sum(n) FILTER (place = step), 0) AS removed,
+         coalesce(sum(n) FILTER (contains(fails, filter_order[step]) AND place < step), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = filter_order[step]), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (place = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (place = step AND toxic), 0) AS toxic_lost
+  FROM gone, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM steps
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.chat import formatted, read_back
 from vigil.llm.decontaminate import contaminated
+from vigil.llm.filter_audit import audit
 from vigil.llm.html_text import extracted
 from vigil.llm.license_scan import licensed
 from vigil.llm.line_dedup import without_repeats
@@ -84,6 +85,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "url_filter.*")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_license_scan, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat,
-                                      op11_url_filter)}
+                                      op11_url_filter, op12_filter_audit)}
 ORACLE_SQL: dict[str, str] = SQL
