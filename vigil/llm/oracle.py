@@ -56,3 +56,34 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
        (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
 FROM steps
 """
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+cut AS MATERIALIZED (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+places AS MATERIALIZED (SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM cut),
+runs AS MATERIALIZED (
+  SELECT lang, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM places WINDOW p AS (PARTITION BY piece ORDER BY k)),
+counts AS MATERIALIZED (
+  SELECT lang, 1 AS size, w AS g, count(*) AS f FROM runs GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+cuts AS MATERIALIZED (
+  SELECT lang, size, g, f, k, array_to_string(string_split(g, ' ')[:k], ' ') AS g1, array_to_string(string_split(g, ' ')[k + 1:], ' ') AS g2
+  FROM counts, (SELECT unnest([1, 2]) AS k) WHERE size >= 2 AND f >= 10 AND k < size),
+scored AS (
+  SELECT c.lang, c.size, c.g, c.f AS a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g1 JOIN counts y ON y.lang = c.lang AND y.g = c.g2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_pairs AS (
+  SELECT lang, p, max(f) AS longer FROM (
+    SELECT lang, CASE k WHEN 1 THEN g2 ELSE g1 END AS p, f FROM cuts WHERE size = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, b.g AS phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank
+  FROM best b LEFT JOIN inner_pairs i ON b.lang = i.lang AND b.g = i.p
+  WHERE NOT coalesce(b.size = 2 AND 100 * longer >= 50 * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

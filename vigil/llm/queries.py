@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.chat import formatted, read_back
+from vigil.llm.collocations import collocations
 from vigil.llm.decontaminate import contaminated
 from vigil.llm.filter_audit import audit
 from vigil.llm.html_text import extracted
@@ -89,6 +90,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_sharding, op4_substring_dedup, op5_license_scan, op6_packing, op7_decontaminate, op8_line_dedup, op9_html_text, op10_chat,
-                                      op11_url_filter, op12_filter_audit)}
+                                      op11_url_filter, op12_filter_audit, op13_collocations)}
 ORACLE_SQL: dict[str, str] = SQL
