@@ -16,7 +16,7 @@ from tests.llm.fixtures import by_id, document_rows, documents, words
 from tests.llm.test_matches import plain_hits
 from tests.llm.test_near_dedup import plain
 from tests.llm.test_text_rules import base, plain_lines, plain_windows
-from vigil.llm import html_text, quality
+from vigil.llm import html_text, line_dedup, quality
 from vigil.llm.license_scan import TEMPLATES
 
 SF = "/root/testdata/sf0.001"
@@ -172,7 +172,7 @@ def test_op7(spark, docs, items):
 def test_op8(spark, docs):
     got = by_id(run(spark, "op8_line_dedup"))
     assert {i: (r["kept_sha256"], r["n_lines"], r["n_removed"]) for i, r in got.items()} == {
-        i: (sha(text or ""), n, gone) for i, (text, n, gone) in plain_lines(docs, 3).items()}
+        i: (sha(text or ""), n, gone) for i, (text, n, gone) in plain_lines(docs, line_dedup.LEAST_WORDS).items()}
 
 
 def test_op9(spark):
@@ -221,7 +221,7 @@ def test_pipeline_stages_on_their_own_inputs(spark):
 
     before = texts(kept)
     cut = corpus_pipeline.written(stages["line_dedup"](spark, kept, SF), "t")
-    want = plain_lines(list(before.items()), 3)
+    want = plain_lines(list(before.items()), line_dedup.LEAST_WORDS)
     assert texts(cut) == {i: t for i, (t, n, gone) in want.items() if not 0 < gone == n}
     assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
 

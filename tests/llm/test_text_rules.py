@@ -77,16 +77,19 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert abs(probs.sum() - 1) < 1e-3
 
 
-def plain_lines(rows, run):
+def plain_lines(rows, least):
+    """A line goes if the fewest lines from some line on that hold ``least`` words include it and also start earlier."""
     first, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
         lines = (text or "").split("\n")
         held = [k for k, x in enumerate(lines) if words(x)]
         gone = set()
-        for s in range(len(held) - run + 1):
-            place = first.setdefault(tuple(lines[k] for k in held[s:s + run]), (i, s))
-            if place < (i, s):
-                gone.update(held[s:s + run])
+        for s in range(len(held)):
+            e, n = s, 0
+            while e < len(held) and n < least:
+                n, e = n + len(words(lines[held[e]])), e + 1
+            if n >= least and first.setdefault(tuple(lines[k] for k in held[s:e]), (i, s)) < (i, s):
+                gone.update(held[s:e])
         out[i] = (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(held), len(gone))
     return out
 
@@ -94,16 +97,18 @@ def plain_lines(rows, run):
 def test_line_runs(spark):
     df = documents(spark, clash=["id", "mark", "line_dedup"])
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    for run in (2, 3):
-        got = line_dedup.without_repeats(df, run=run)
+    for least in (1, 2, 9, 20, 60):
+        got = line_dedup.without_repeats(df, least_words=least)
         assert got.columns == df.columns
-        assert {i: (r["text"], *r["line_dedup"].values()) for i, r in by_id(got).items()} == plain_lines(rows, run)
+        want = plain_lines(rows, least)
+        assert {i: (r["text"], *r["line_dedup"].values()) for i, r in by_id(got).items()} == want
+        assert sum(n for *_, n in want.values()) > 20
 
 
 def test_line_runs_of_odd_rows(spark):
     text = "a\nb\nc\nd"
     rows = [(None, text, None, "s"), (3, text, None, "s"), (3, text, None, "s"), (5, "x\n" + text + "\n\ny", None, "s"), (3, "b\nc\nd", None, "s")]
-    got = line_dedup.without_repeats(documents(spark, rows)).select("doc_id", "text").collect()
+    got = line_dedup.without_repeats(documents(spark, rows), least_words=3).select("doc_id", "text").collect()
     assert sum(r["text"] == text for r in got) in (2, 3)  # the rows of id 3 are ordered by a hash of their texts
     assert [r["text"] for r in got if r["doc_id"] is None] == [text]
     assert [r["text"] for r in got if r["doc_id"] == 5] == ["x\n\ny"]
@@ -112,13 +117,20 @@ def test_line_runs_of_odd_rows(spark):
 
 def test_repeats_of_one_and_two_lines(spark):
     long = " ".join(f"t{k}" for k in range(60))
-    texts = [f"{long}\nown 1", f"own 2\n{long}\nown 3", "own 2\nown 1", "short", "x\nshort\n\ny", "short", "z\nz"]
+    two = " ".join(f"a{k}" for k in range(11)) + "\n" + " ".join(f"b{k}" for k in range(12))
+    texts = [f"{long}\nown 1", f"own 2\n{long}\nown 3", "own 2\nown 1", "short", "x\nshort\n\ny", long, f"z\nz\n{two}", f"{two}\nz",
+             two.replace("b11", "c11"), f"{two.split(chr(10))[0]}\n\n{two.split(chr(10))[1]}"]
     got = by_id(line_dedup.without_repeats(documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])))
-    assert [got[k]["text"] for k in range(7)] == [texts[0], "own 2\nown 3", "", "short", "x\n\ny", "", "z"]
-    assert [tuple(got[k]["line_dedup"].values()) for k in range(7)] == [(2, 0), (3, 1), (2, 2), (1, 0), (3, 1), (1, 1), (2, 1)]
-    df = documents(spark)
-    got = by_id(line_dedup.without_repeats(df))
-    assert {i: (r["text"], *r["line_dedup"].values()) for i, r in got.items()} == plain_lines([(r["doc_id"], r["text"]) for r in df.collect()], 1)
+    assert [got[k]["text"] for k in range(10)] == [texts[0], "own 2\nown 3", *texts[2:5], "", texts[6], "z", texts[8], ""]
+    assert [tuple(got[k]["line_dedup"].values()) for k in range(10)] == [(2, 0), (3, 1), (2, 0), (1, 0), (3, 0), (1, 1), (4, 0), (3, 2), (2, 0), (2, 2)]
+
+
+def test_one_line_of_a_third_of_all_rows(spark):
+    hot = " ".join(f"h{k}" for k in range(25))
+    rows = [(k, f"own {k} " * 15 + "\n" + (hot if k % 3 == 0 else f"line {k} " * 12), "en", "s") for k in range(900)]
+    got = by_id(line_dedup.without_repeats(documents(spark, rows)))
+    assert {i: (r["text"], *r["line_dedup"].values()) for i, r in got.items()} == plain_lines([r[:2] for r in rows], 20)
+    assert sum(r["line_dedup"]["n_removed"] for r in got.values()) == 299
 
 
 def plain_windows(rows, size):
