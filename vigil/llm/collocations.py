@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import written
+from vigil.llm.shared import release, tidy, written
 from vigil.llm.words import LOWER
 from vigil.operators.summary import global_index
 
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 BLOCK = 1 << 16  # places, or words, of a row
 WORD, SPACE, BREAK = 0, 1, 2
 KIND = np.zeros(256, np.uint8)
@@ -121,6 +121,7 @@ def _frequent_words(blocks: pa.Table, numbers: np.ndarray, locals_: np.ndarray):
 
 
 def _cut(arrays: list, names: list[str]) -> pa.Table:
+    release()
     whole = pa.RecordBatch.from_arrays(arrays, names=names)
     return pa.Table.from_batches([whole.slice(k, BLOCK) for k in range(0, whole.num_rows, BLOCK)], whole.schema)
 
@@ -168,7 +169,7 @@ def mined(docs: DataFrame, least: int, *, text_col: str = "text", lang_col: str
     and (lang, n) with all words of each language."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    relations = written(texts.mapInArrow(_relations(chunk_bytes), RELATION), "occurrences")
+    relations = written(texts.mapInArrow(tidy(_relations(chunk_bytes)), RELATION), "occurrences")
     totals = relations.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     own = (relations.select("chunk", "lang", "first", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "x"))
            .select("chunk", "lang", (F.col("first") + F.col("k") + 1).alias("local"), F.col("x.words").alias("word"), F.col("x.counts").alias("c")))
