@@ -133,6 +133,7 @@ def masks(docs: DataFrame, labels: DataFrame, failures: dict[str, Column] | None
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
             .select("id", "part", bits.alias("mask"), F.unhex(F.sha2("text", 256)).alias("key"))
             .groupBy("id", "part", "mask", "key").agg(F.count("*").alias("c")))
+    rows = written(rows, "masks")
     known = (labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id"))
              .agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
                   F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic")))
@@ -141,9 +142,9 @@ def masks(docs: DataFrame, labels: DataFrame, failures: dict[str, Column] | None
                 .select("id", "part", "mask", "key", "c", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
                 .unionByName(rows.where("id is null").withColumns({"good": no, "toxic": no})))
     # An id is once in such a group, so the count of its smallest id is the count of one row.
-    texts = (labelled.groupBy("key", "part", "mask", "good", "toxic")
+    texts = written(labelled.groupBy("key", "part", "mask", "good", "toxic")
              .agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("c"))), F.lit(0)).alias("free"),
-                  F.min("id").alias("low"), F.min_by("c", "id").alias("first")))
+                  F.min("id").alias("low"), F.min_by("c", "id").alias("first")), "texts")
     lows = texts.groupBy("key").agg(F.min("low").alias("lowest"))
     first = F.col("free") + F.when(F.col("low") == F.col("lowest"), F.col("first")).otherwise(0)
     both = F.array(F.struct(F.col("mask").alias("mask"), first.alias("n")),
