@@ -19,6 +19,7 @@ repeated documents are reported each; of equally similar windows the first count
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.shared import tidy
 from vigil.llm.words import Slice, mix, slices
 
 SHINGLE, BYTES, RADIUS, BLOCK = 5, 16, 40, 20_000
@@ -169,8 +171,8 @@ def _search(items: Items, texts: pa.Array, least: float) -> pa.Array:
 
 def _searcher(sent, radius: int, least: float):
     @F.arrow_udf(HITS)
-    def search(texts: pa.Array) -> pa.Array:
-        return _search(_items(*sent.value, radius), texts, least)
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(lambda some: (_search(_items(*sent.value, radius), texts, least) for texts in some))(batches)
     return search
 
 

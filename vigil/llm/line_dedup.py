@@ -20,13 +20,15 @@ rows that share an id but not the text are ordered by a hash of the text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.quality import line_ranges
-from vigil.llm.shared import written
+from vigil.llm.shared import tidy, written
 from vigil.llm.words import Ranges, Slice, longs, signed, slices
 
 LEAST_WORDS = 20
@@ -115,7 +117,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, h, firsts): for each document the places (line numbers) at which a run starts that occurred before."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"),
                        F.col(text_col).cast("string").alias("text"))
-    marks = written(base.where("id is not null").mapInArrow(_fingerprints(least_words), PLACE), "fingerprints")
+    marks = written(base.where("id is not null").mapInArrow(tidy(_fingerprints(least_words)), PLACE), "fingerprints")
     again = written(marks.groupBy("mark").agg(F.count("*").alias("c")).where("c > 1").select("mark"), "repeated")
     runs = written(marks.join(again, "mark").select("id", "h", F.inline("runs")), "runs")
     place = F.struct("id", "h", "line")
@@ -132,8 +134,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A column of that name in ``docs`` is replaced.
     """
     @F.arrow_udf("struct<text:string,n_lines:long,n_removed:long>")
-    def cut(texts: pa.Array, firsts: pa.Array) -> pa.Array:
-        return _without(least_words)(texts, firsts)
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from tidy(lambda some: (_without(least_words)(*columns) for columns in some))(batches)
 
     text: Column = F.col(text_col).cast("string")
     found = repeated_runs(docs, id_col, text_col, least_words).toDF("__id", "__h", "__firsts")

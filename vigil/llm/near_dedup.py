@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import ids_and_texts, may_contain, written
+from vigil.llm.shared import ids_and_texts, may_contain, tidy, written
 from vigil.llm.words import Slice, lists, longs, mix, signed, slices
 
 SIGNATURES = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -194,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of star contraction (every node points its larger neighbours, then its smaller ones, at its smallest
     neighbour) until nothing changes; the number of rounds is logarithmic in the longest path.
     """
-    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, "u long, v long")
+    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(tidy(_forest), "u long, v long")
                     .distinct(), "links")
     seen = None
     while True:
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = similarity
     base = ids_and_texts(docs, id_col, text_col)
-    sig = written(base.mapInArrow(_signatures(shingle, bands, rows, lower), SIGNATURES), "signatures")
+    sig = written(base.mapInArrow(tidy(_signatures(shingle, bands, rows, lower)), SIGNATURES), "signatures")
     classes = (sig.where("id is not null and n_shingles > 0").groupBy("k1", "k2")
                .agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     keys = classes.select("rep", F.explode("bands").alias("b"))
@@ -233,10 +233,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = written(members.select("id").union(members.select("hub")).distinct(), "wanted")
     texts = base.where(may_contain(wanted, "id", "id")).groupBy("id").agg(F.min("text").alias("text"))
-    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle, lower), "id long, members array<long>"), "sets")
+    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(tidy(_sets(shingle, lower)), "id long, members array<long>"), "sets")
     met = written(members.join(sets, "id")
                   .join(sets.toDF("hub", "hub_members"), "hub").select("hub", "id", "members", "hub_members")
-                  .mapInArrow(_against_hub(num, den),
+                  .mapInArrow(tidy(_against_hub(num, den)),
                               "hub long, id long, size long, diff long, linked boolean, short long, keys array<long>"), "met")
     loose = met.where("not linked").select("hub").distinct()
     at = met.join(loose, "hub", "left_semi").select("hub", "id", "size", "diff", "linked", "short", F.posexplode("keys").alias("i", "key"))
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where(f"id <> u_id and {den + num} * ({differ}) <= {den - num} * ({total})")
              .select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct())
     late = (pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            .mapInArrow(_confirm(num, den), "a long, b long"))
+            .mapInArrow(tidy(_confirm(num, den)), "a long, b long"))
     found = components(met.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).union(late))
     label = (classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep")
              .select("k1", "k2", "component"))

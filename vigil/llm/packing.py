@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import ids_and_texts, written
+from vigil.llm.shared import ids_and_texts, release, tidy, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY, DEAL = 4096, 1, 16, 8, 4096, 1 << 16
 KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB a worker
@@ -135,7 +135,7 @@ def _cut(path: str | None, length: int, end_id: int):
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None,
            length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(uid, id, piece, start, length, ids): the documents as token pieces of at most ``length``."""
-    return ids_and_texts(docs, id_col, text_col).mapInArrow(_cut(path, length, end_id), PIECES)
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(tidy(_cut(path, length, end_id)), PIECES)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -195,6 +195,7 @@ def _first(capacity: int, slack: int):
         table = table.combine_chunks().sort_by("uid")
         node, ids, n = key[0].as_py(), np.asarray(table.column("uid")), np.asarray(table.column("length"))
         out = _pack(n, np.split(ids, len(ids))[:len(ids)], [np.zeros(1, np.int32)] * len(ids), node, node << 28, capacity, slack, False)
+        release()
         return pa.Table.from_batches([out])
     return work
 
@@ -207,6 +208,7 @@ def _merge(capacity: int, slack: int, level: int, last: bool):
             c.combine_chunks() if isinstance(c := table.column(name), pa.ChunkedArray) else c)
         out = _pack(np.asarray(table.column("fill")).astype(np.int64), rows("uids"), rows("offsets"), node,
                     (level << 56) + (node << 28), capacity, slack, last)
+        release()
         return pa.Table.from_batches([out])
     return work
 
@@ -235,5 +237,6 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, p
            length: int = LENGTH, end_id: int = END_ID, slack: int = SLACK) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids (little-endian 32-bit), sequence_id, offset."""
     cut = written(pieces(docs, id_col, text_col, path=path, length=length, end_id=end_id), "pieces")
-    return (cut.join(sequences(cut, capacity=length, slack=slack), "uid")
+    # As many rows as pieces: never broadcast, however small its estimate.
+    return (cut.join(sequences(cut, capacity=length, slack=slack).hint("merge"), "uid")
             .select(F.col("id").alias(id_col), "piece", "start", "length", "ids", "sequence_id", "offset"))

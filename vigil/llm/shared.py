@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -14,13 +16,36 @@ from vigil.session import ensure_checkpoint_dir
 
 
 ROWS_PER_BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+BYTES_PER_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's number of rows that go to a Python worker at once: texts and sets are long, and both the
-    executor and the worker hold a batch whole."""
+    """Lower the session's number of rows and bytes that go to a Python worker at once: texts and sets are long, and
+    both the executor and the worker hold a batch whole.  Frames are lazy, so the settings stay (README names them)."""
     if int(spark.conf.get(ROWS_PER_BATCH)) > TEXTS_PER_BATCH:
         spark.conf.set(ROWS_PER_BATCH, str(TEXTS_PER_BATCH))
+    if int(spark.conf.get(BYTES_PER_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BYTES_PER_BATCH, f"{BATCH_BYTES}b")
+
+
+def release() -> None:
+    """Give a worker's free memory back to the system: workers outlive their tasks, and idle ones keep what they had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work):
+    """A function over batches that gives memory back when its task ends."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+    return run
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
