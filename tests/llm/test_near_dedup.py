@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.fixtures import by_id, documents, edited, lower, prose
+from vigil.llm import near_dedup
 from vigil.llm.near_dedup import components, near_duplicates, super_minhash
 
 
@@ -49,11 +51,44 @@ def test_same_groups_as_all_pairs(spark, rows, size, similar):
 def test_null_ids_repeated_rows_and_empty_table(spark):
     text = "one two three four five six seven"
     rows = [(None, text, None, "s"), (4, text, None, "s"), (4, text, None, "s"), (2, text, None, "s"), (9, None, None, "s")]
-    got = sorted(map(tuple, near_duplicates(documents(spark, rows)).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in near_duplicates(documents(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 3, None, True), (4, 3, 2, False), (4, 3, 2, False), (2, 3, 2, True), (9, 0, 9, True)], key=str)
     assert near_duplicates(documents(spark, [])).collect() == []
 
 
+def test_rows_of_one_id_link_by_their_own_texts(spark):
+    one, other, lone = prose(random.Random(1), 50), prose(random.Random(2), 50), prose(random.Random(3), 50)
+    rows = [(5, one, None, "s"), (5, other, None, "s"), (7, one, None, "s"), (3, other + " end", None, "s"), (5, lone, None, "s"), (5, lone, None, "s")]
+    df = documents(spark, rows)
+    groups = {}
+    for r in near_duplicates(df).select("doc_id", "component_id", "text_hash", "group").collect():
+        groups.setdefault(r["group"], []).append((r["doc_id"], r["component_id"]))
+    assert sorted(map(sorted, groups.values())) == [[(3, 3), (5, 3)], [(5, 5), (5, 5)], [(5, 5), (7, 5)]]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df.selectExpr("*", "1L as n_chars"), None)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(3, other + " end"), (5, one), (5, lone)])
+
+
+def test_two_clusters_under_one_hub_need_few_links(spark, monkeypatch):
+    """Copies of one text, and near copies of another that fail against it, meet their hubs and not one another."""
+    rng = random.Random(4)
+    source = prose(rng, 200).replace("\n", " ").split(" ")
+    far = source.copy()
+    for k in rng.sample(range(200), 14):
+        far[k] = f"q{k}"
+    texts = []
+    for base in (source, far):
+        for k in range(60):
+            own = base.copy()
+            own[rng.randrange(200)] = f"z{k}"
+            texts.append(" ".join(own))
+    seen = []
+    monkeypatch.setattr(near_dedup, "components", lambda links: components(seen.append(links) or links))
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    got = by_id(near_duplicates(documents(spark, rows), shingle=3, similarity=(85, 100)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain(rows, 3, 85, 100)
+    assert seen[0].distinct().count() <= 4 * len(rows)
+
+
 def test_components_of_long_paths(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 40)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

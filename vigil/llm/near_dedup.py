@@ -2,19 +2,19 @@
 
 1. A document's set holds the hashes of its distinct word shingles.  One pass makes the set's size, a 128-bit key
    of the whole set and a SuperMinHash signature: every element ranks the slots by a random permutation, drawn one
-   swap at a time, and stops as soon as no later rank can lower a slot.  Equal sets are one class from here on; its
-   smallest doc_id stands for it.
+   swap at a time, and stops as soon as no later rank can lower a slot.  Equal sets are one class from here on.
 2. The signature is cut into bands.  Classes that agree in a band share a bucket.  Each bucket has a hub, the
    member that shares most buckets overall, and each member meets the hub on the full sets.
-3. Members of one hub that fail against it may still link to each other.  Written as differences from the hub, two
+3. Members of one hub that fail against it may still link to each other.  They first meet a second hub among
+   themselves, and what fails there a third, so that copies of another text need no links with one another.  Written as differences from the hub, two
    linked sets must share part of their rarest differences, so a prefix filter over those (insertions before
-   deletions, positions bounding what can still agree) finds every such pair of a bucket without listing the pairs of
-   the group.  These pairs too are confirmed on the full sets.
+   deletions, positions bounding what can still agree) finds every such pair without listing the pairs of the group;
+   pairs that linked to the same hub are left out.  These pairs too are confirmed on the full sets.
 4. Links that hold are grouped: union-find inside each partition, then star contraction between partitions.
 
 Cases: null or blank text has the empty set, links to nothing and is its own group.  A null id takes no part: its
-component is null and it is kept.  Rows that repeat an id are one document: same group
-(of several texts the smallest stands for its links).  Two linked classes are missed
+component is null and it is kept.  A row is its id and its text: rows that repeat an id with different texts are linked
+each by their own text, and their component_id is the smallest doc_id of their own group.  Two linked classes are missed
 only if they agree in no band: at the default bands below 4 in 10 million at a similarity of 0.85.
 """
 
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from vigil.llm.shared import ids_and_texts, may_contain, tidy, written
 from vigil.llm.words import Slice, lists, longs, mix, signed, slices
 
-SIGNATURES = "id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SIGNATURES = "id long, h long, n_shingles long, k1 long, k2 long, bands array<long>"
+SECOND_HUBS = 2
 U64 = np.uint64
 
 
@@ -83,6 +84,13 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def _set_keys(keys: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for each document's whole set."""
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix(keys, seed), dtype=U64)]) for seed in (101, 102)]
+    k1, k2 = (mix(s[edges[1:]] - s[edges[:-1]], 3) for s in sums)
+    return k1, k2
+
+
 def _signatures(size: int, bands: int, rows: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,30 +98,28 @@ def _signatures(size: int, bands: int, rows: int, lower: bool):
             for part in slices(batch.column(1), lower):
                 keys, edges = distinct_shingles(part, size)
                 n = np.diff(edges)
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix(keys, seed), dtype=U64)]) for seed in (101, 102)]
                 own = slice(part.rows.start, part.rows.stop)
-                k1, k2 = (mix(s[edges[1:]] - s[edges[:-1]], 3) for s in sums)
+                k1, k2 = _set_keys(keys, edges)
                 alone = n == 0
                 k1[alone] = mix(ids[own][alone].astype(U64), 103)
                 keyed = band_keys(super_minhash(keys, edges, bands * rows), bands)
                 live = (n > 0) & there[own]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[own], mask=~there[own]), pa.array(n.astype(np.int64)),
+                    pa.array(ids[own], mask=~there[own]), batch.column(2)[own], pa.array(n.astype(np.int64)),
                     pa.array(signed(k1), mask=~there[own]), pa.array(signed(k2), mask=~there[own]),
                     lists(signed(keyed[live].ravel()), np.concatenate([[0], np.cumsum(live * bands)]), pa.int64()),
-                ], names=["id", "n_shingles", "k1", "k2", "bands"])
+                ], names=["id", "h", "n_shingles", "k1", "k2", "bands"])
     return run
 
 
 def _sets(size: int, lower: bool):
     def run(batches):
         for batch in batches:
-            ids, _ = longs(batch.column(0))
-            for part in slices(batch.column(1), lower):
+            for part in slices(batch.column(0), lower):
                 keys, edges = distinct_shingles(part, size)
+                k1, k2 = _set_keys(keys, edges)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[part.rows.start:part.rows.stop]), lists(signed(keys), edges, pa.int64())],
-                    names=["id", "members"])
+                    [pa.array(signed(k1)), pa.array(signed(k2)), lists(signed(keys), edges, pa.int64())], names=["k1", "k2", "members"])
     return run
 
 
@@ -214,44 +220,71 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5,
                     similarity: tuple[int, int] = (80, 100), bands: int = 20, rows: int = 4,
                     lower: bool = True) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_shingles, component_id (smallest id of the group), kept.
+    """One row per row of ``docs``: id_col, n_shingles, component_id (smallest id of the group), kept, text_hash, group.
 
-    Two documents link if ``similarity[1] * |A and B| >= similarity[0] * |A or B|`` over their word shingles.
+    Two documents link if ``similarity[1] * |A and B| >= similarity[0] * |A or B|`` over their word shingles.  ``group``
+    is the same number for all rows of a group, null for rows that can't link.
     """
+    if bands * rows > 128:
+        raise ValueError("bands * rows is at most 128, as ranks have 7 bits")
     num, den = similarity
     base = ids_and_texts(docs, id_col, text_col)
-    sig = written(base.mapInArrow(tidy(_signatures(shingle, bands, rows, lower)), SIGNATURES), "signatures")
+    sig = written(base.select("id", "text", F.xxhash64("text").alias("h"))
+                  .mapInArrow(tidy(_signatures(shingle, bands, rows, lower)), SIGNATURES), "signatures")
+    key = F.xxhash64("k1", "k2").alias("c")  # a class: all rows with the same set
     classes = (sig.where("id is not null and n_shingles > 0").groupBy("k1", "k2")
-               .agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    keys = classes.select("rep", F.explode("bands").alias("b"))
-    many = keys.groupBy("b").agg(F.count("*").alias("c")).where("c > 1")
+               .agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).select("k1", "k2", key, "rep", "bands"))
+    keys = classes.select("c", "rep", F.explode("bands").alias("b"))
+    many = keys.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(keys.join(many, "b"), "buckets")
-    score = shared.groupBy("rep").agg(F.sum("c").alias("s"))
-    scored = shared.join(score, "rep").select("b", "rep", "s")
-    hubs = scored.groupBy("b").agg(F.max(F.struct("s", (-F.col("rep")).alias("r"))).alias("h")).select("b", (-F.col("h.r")).alias("hub"))
-    members = written(shared.join(hubs, "b").where("rep <> hub").select("hub", F.col("rep").alias("id")).distinct(), "members")
-
-    wanted = written(members.select("id").union(members.select("hub")).distinct(), "wanted")
-    texts = base.where(may_contain(wanted, "id", "id")).groupBy("id").agg(F.min("text").alias("text"))
-    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(tidy(_sets(shingle, lower)), "id long, members array<long>"), "sets")
+    score = shared.groupBy("c").agg(F.sum("n").alias("s"))
+    scored = shared.join(score, "c").select("b", "c", "s")
+    hubs = scored.groupBy("b").agg(F.max(F.struct("s", "c")).alias("h")).select("b", F.col("h.c").alias("hub"))
+    members = written(shared.join(hubs, "b").where("c <> hub").select("hub", F.col("c").alias("id")).distinct(), "members")
+
+    wanted = written(shared.select(F.col("rep").alias("id")).distinct(), "wanted")
+    texts = (base.where(may_contain(wanted, "id", "id")).groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+             .join(wanted, "id", "left_semi"))
+    sets = written(texts.select("text").mapInArrow(tidy(_sets(shingle, lower)), "k1 long, k2 long, members array<long>")
+                   .select(key.alias("id"), "members"), "sets")
+
+    def meet(pairs: DataFrame, left: str, right: str) -> DataFrame:
+        return (pairs.join(sets.toDF(left, "x"), left).join(sets.toDF(right, "y"), right).select(left, right, "x", "y")
+                .mapInArrow(tidy(_confirm(num, den)), f"{left} long, {right} long"))
+
     met = written(members.join(sets, "id")
                   .join(sets.toDF("hub", "hub_members"), "hub").select("hub", "id", "members", "hub_members")
                   .mapInArrow(tidy(_against_hub(num, den)),
                               "hub long, id long, size long, diff long, linked boolean, short long, keys array<long>"), "met")
-    loose = met.where("not linked").select("hub").distinct()
-    at = met.join(loose, "hub", "left_semi").select("hub", "id", "size", "diff", "linked", "short", F.posexplode("keys").alias("i", "key"))
-    left = at.where("not linked").select("hub", "key", *(F.col(c).alias(f"u_{c}") for c in ("id", "size", "diff", "i")))
-    right = at.where("i < short").select("hub", "key", "id", "size", "diff", "i")
+    links = met.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    loose = met.where("not linked").select("hub", "id").distinct()
+    known = met.where("linked").select("hub", "id", F.col("hub").alias("of"))
+    for _ in range(SECOND_HUBS):
+        second = (loose.join(score.withColumnRenamed("c", "id"), "id").groupBy("hub").agg(F.max(F.struct("s", "id")).alias("h"))
+                  .select("hub", F.col("h.id").alias("second")))
+        tried = written(loose.join(second, "hub"), "second-hubs")
+        found = written(meet(tried.where("id <> second").select("id", "second").distinct(), "id", "second").distinct(), "second-links")
+        links = links.union(found)
+        held = tried.join(found, ["id", "second"], "left_semi").union(tried.where("id = second").select("id", "second", "hub"))
+        held = written(held.select("hub", "id", F.col("second").alias("of")), "held")
+        known, loose = known.union(held), written(loose.join(held, ["hub", "id"], "left_anti"), "loose")
+    known = known.groupBy("hub", "id").agg(F.min("of").alias("of"))
+
+    some = met.where("not linked").select("hub").distinct()
+    at = (met.join(some, "hub", "left_semi").join(known, ["hub", "id"], "left")
+          .select("hub", "id", "size", "diff", "linked", "short", F.coalesce("of", "id").alias("of"), F.posexplode("keys").alias("i", "key")))
+    left = at.where("not linked").select("hub", "key", *(F.col(c).alias(f"u_{c}") for c in ("id", "size", "diff", "i", "of")))
+    right = at.where("i < short").select("hub", "key", "id", "size", "diff", "i", "of")
     differ, total = "diff + u_diff - 2 * least(diff - i, u_diff - u_i)", "size + u_size"
     pairs = (left.join(right, "hub key".split())
-             .where(f"id <> u_id and {den + num} * ({differ}) <= {den - num} * ({total})")
+             .where(f"id <> u_id and of <> u_of and {den + num} * ({differ}) <= {den - num} * ({total})")
              .select(F.least("id", "u_id").alias("a"), F.greatest("id", "u_id").alias("b")).distinct())
-    late = (pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            .mapInArrow(tidy(_confirm(num, den)), "a long, b long"))
-    found = components(met.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).union(late))
-    label = (classes.select("k1", "k2", "rep").join(found.withColumnRenamed("id", "rep"), "rep")
-             .select("k1", "k2", "component"))
-    own = sig.join(classes.select("k1", "k2", F.col("rep").alias("own")).join(label, ["k1", "k2"], "left"), ["k1", "k2"], "left")
-    component = F.coalesce("component", "own", "id")
+    group = components(links.union(meet(pairs, "a", "b"))).toDF("c", "group")
+    grouped = written(classes.join(group, "c", "left").select("k1", "k2", "rep", F.coalesce("group", "c").alias("group")), "grouped")
+    label = (grouped.join(grouped.groupBy("group").agg(F.min("rep").alias("component")), "group")
+             .select("k1", "k2", "component", "group"))
+    own = sig.join(label, ["k1", "k2"], "left")
+    component = F.coalesce("component", "id")
     return own.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.col("h").alias("text_hash"),
+                      F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
