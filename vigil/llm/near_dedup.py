@@ -6,10 +6,10 @@
 2. The signature is cut into bands.  Classes that agree in a band share a bucket.  Each bucket has a hub, the
    member that shares most buckets overall, and each member meets the hub on the full sets.
 3. Members of one hub that fail against it may still link to each other.  They first meet a second hub among
-   themselves, and what fails there a third, so that copies of another text need no links with one another.  Written as differences from the hub, two
-   linked sets must share part of their rarest differences, so a prefix filter over those (insertions before
-   deletions, positions bounding what can still agree) finds every such pair without listing the pairs of the group;
-   pairs that linked to the same hub are left out.  These pairs too are confirmed on the full sets.
+   themselves, and what fails there a third, so that copies of another text need no links with one another.  Written
+   as differences from the hub, two linked sets must share part of their rarest differences, so a prefix filter over
+   those (rarest in the group first, positions bounding what can still agree) finds every such pair without listing the
+   pairs of the group; pairs that linked to the same hub are left out.  These too are confirmed on the full sets.
 4. Links that hold are grouped: union-find inside each partition, then star contraction between partitions.
 
 Cases: null or blank text has the empty set, links to nothing and is its own group.  A null id takes no part: its
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.shared import ids_and_texts, may_contain, tidy, written
@@ -130,33 +130,43 @@ def _row_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _against_hub(num: int, den: int):
-    """Rows (hub, id, set, hub's set) -> difference sizes, the link, and the prefix of differences that others can share."""
-    far, near = den - num, den + num  # linked: near * differences <= far * (sizes of both)
-
+    """Rows (hub, id, set, hub's set) -> the link."""
     def run(batches):
         for batch in batches:
             own, a = _row_values(batch.column(2))
             hubs, b = _row_values(batch.column(3))
-            out = {"size": [], "diff": [], "linked": [], "keys": [], "short": []}
+            linked = []
             for k in range(batch.num_rows):
                 x, h = own[a[k]:a[k + 1]], hubs[b[k]:b[k + 1]]
-                new, gone = np.setdiff1d(x, h, True), np.setdiff1d(h, x, True)
-                d, nx, nh = len(new) + len(gone), len(x), len(h)
-                linked = near * d <= far * (nx + nh)
-                short = max(0, d - (near * d + far * (nh - nx)) // (2 * near))
-                long = min(d, far * nx // num + 1)
+                same = len(np.intersect1d(x, h, True))
+                linked.append(den * same >= num * (len(x) + len(h) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["hub", "id", "linked"])
+    return run
+
+
+def _differences(num: int, den: int):
+    """Rows (hub, id, linked, set, hub's set) -> sizes, how many differences suffice for the prefix, all differences."""
+    far, near = den - num, den + num  # linked: near * differences <= far * (sizes of both)
+
+    def run(batches):
+        for batch in batches:
+            own, a = _row_values(batch.column(3))
+            hubs, b = _row_values(batch.column(4))
+            out = {"size": [], "diff": [], "short": [], "reach": [], "keys": []}
+            for k, linked in enumerate(batch.column(2).to_pylist()):
+                x, h = own[a[k]:a[k + 1]], hubs[b[k]:b[k + 1]]
+                keys = np.setxor1d(x, h, True)
+                d, nx, nh = len(keys), len(x), len(h)
+                short = max(0, d - (near * d + far * (nh - nx)) // (2 * near))  # against a set that isn't linked to the hub
+                long = min(d, far * nx // num + 1)  # against any
                 short = short if linked else min(short, long)
-                out["size"].append(nx)
-                out["diff"].append(d)
-                out["linked"].append(linked)
-                out["short"].append(short)
-                out["keys"].append(np.concatenate([new, gone])[:short if linked else long].view(np.int64))
+                for name, v in (("size", nx), ("diff", d), ("short", short), ("reach", short if linked else long), ("keys", keys.view(np.int64))):
+                    out[name].append(v)
             edges = np.concatenate([[0], np.cumsum([len(x) for x in out["keys"]])]).astype(np.int32)
             keys = np.concatenate([*out["keys"], np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(out["size"], pa.int64()), pa.array(out["diff"], pa.int64()),
-                pa.array(out["linked"], pa.bool_()), pa.array(out["short"], pa.int64()), lists(keys, edges, pa.int64()),
-            ], names=["hub", "id", "size", "diff", "linked", "short", "keys"])
+                batch.column(0), batch.column(1), batch.column(2), *(pa.array(out[c], pa.int64()) for c in ("size", "diff", "short", "reach")),
+                lists(keys, edges, pa.int64())], names=["hub", "id", "linked", "size", "diff", "short", "reach", "keys"])
     return run
 
 
@@ -252,13 +262,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (pairs.join(sets.toDF(left, "x"), left).join(sets.toDF(right, "y"), right).select(left, right, "x", "y")
                 .mapInArrow(tidy(_confirm(num, den)), f"{left} long, {right} long"))
 
-    met = written(members.join(sets, "id")
-                  .join(sets.toDF("hub", "hub_members"), "hub").select("hub", "id", "members", "hub_members")
-                  .mapInArrow(tidy(_against_hub(num, den)),
-                              "hub long, id long, size long, diff long, linked boolean, short long, keys array<long>"), "met")
+    met = written(members.join(sets, "id").join(sets.toDF("hub", "hub_members"), "hub").select("hub", "id", "members", "hub_members")
+                  .mapInArrow(tidy(_against_hub(num, den)), "hub long, id long, linked boolean"), "met")
     links = met.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     loose = met.where("not linked").select("hub", "id").distinct()
     known = met.where("linked").select("hub", "id", F.col("hub").alias("of"))
+    loose_hubs = loose.select("hub").distinct()
     for _ in range(SECOND_HUBS):
         second = (loose.join(score.withColumnRenamed("c", "id"), "id").groupBy("hub").agg(F.max(F.struct("s", "id")).alias("h"))
                   .select("hub", F.col("h.id").alias("second")))
@@ -270,9 +279,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known, loose = known.union(held), written(loose.join(held, ["hub", "id"], "left_anti"), "loose")
     known = known.groupBy("hub", "id").agg(F.min("of").alias("of"))
 
-    some = met.where("not linked").select("hub").distinct()
-    at = (met.join(some, "hub", "left_semi").join(known, ["hub", "id"], "left")
-          .select("hub", "id", "size", "diff", "linked", "short", F.coalesce("of", "id").alias("of"), F.posexplode("keys").alias("i", "key")))
+    apart = written(
+        met.join(written(loose_hubs, "loose-hubs"), "hub", "left_semi").join(sets, "id").join(sets.toDF("hub", "h"), "hub")
+        .select("hub", "id", "linked", "members", "h")
+        .mapInArrow(tidy(_differences(num, den)), "hub long, id long, linked boolean, size long, diff long, short long, reach long, keys array<long>"),
+        "differences")
+    each = apart.select("hub", "id", F.explode("keys").alias("key"))
+    often = written(each.groupBy("hub", "key").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    # In the order (how often in the group, key) those found once come first; only their number matters.
+    shared_keys = each.join(often, ["hub", "key"])
+    place = F.row_number().over(Window.partitionBy("hub", "id").orderBy("f", "key"))
+    ranked = shared_keys.select("hub", "id", "key", (place - 1).alias("j"), F.count("*").over(Window.partitionBy("hub", "id")).alias("n"))
+    at = written(ranked.join(apart.drop("keys"), ["hub", "id"]).join(known, ["hub", "id"], "left")
+                 .select("hub", "id", "key", "size", "diff", "linked", "short", "reach", F.coalesce("of", "id").alias("of"),
+                         (F.col("diff") - F.col("n") + F.col("j")).alias("i")).where("i < reach"), "prefixes")
     left = at.where("not linked").select("hub", "key", *(F.col(c).alias(f"u_{c}") for c in ("id", "size", "diff", "i", "of")))
     right = at.where("i < short").select("hub", "key", "id", "size", "diff", "i", "of")
     differ, total = "diff + u_diff - 2 * least(diff - i, u_diff - u_i)", "size + u_size"
