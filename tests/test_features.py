@@ -114,3 +114,27 @@ def test_series_from_text_drops_bad(spark):
                                "window_start string, n int")
     got = [r.n for r in series_from_text(df, "window_start").collect()]
     assert got == [1, 2]
+
+
+def test_ranges_split_a_dense_user_and_get_their_halo(spark):
+    # Many small ranges: windows span several of them, and ranges begin and end inside a user.
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        rows = [event(i, user=("hot" if i % 6 else None) if i % 4 else f"c{i % 7}", t=T0 + timedelta(seconds=(37 * i) % 9000),
+                      amount=float((7 * i) % 23), etype="failed_login" if i % 5 == 0 else "purchase",
+                      location=f"L{(i * i) % 11}" if i % 9 else None) for i in range(500)]
+        df = frame(spark, rows)
+        from vigil.operators import rolling
+        ranges = rolling._ranges_with_halo(df.select(F.col("user_id").alias("_u"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("_t")),
+                                           3600 * 10**6)
+        sizes = [r["n"] for r in ranges.where("_own and _u = 'hot'").groupBy("_range").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 4 and sum(sizes) == sum(r[1] == "hot" for r in rows)
+        assert feats(df) == brute(rows, timedelta(minutes=60))
+        assert feats(df, window_minutes=5) == brute(rows, timedelta(minutes=5))
+        plan = rolling_user_features(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

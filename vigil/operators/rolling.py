@@ -8,9 +8,14 @@ user and the time alone.
 
 Scale design
 ------------
-A sliding RANGE frame is re-aggregated by Spark for every row, which is
-quadratic for a dense user.  Here every user takes one path of running
-aggregates, O(1) a row, whatever the density:
+Rows are range-partitioned by (user, time) and written to the shared
+checkpoint folder, so ranges are of even size however the rows are spread over
+users and time: a user that holds everything inside one window still spreads
+over many ranges.  Only the first user of a range can have a frame that begins
+before it, so each range gets, as a halo, that user's rows of the window before
+its first row; they are found by a broadcast join with one row per range.  One
+more exchange brings each range and its halo together, and everything else
+happens inside it, sorted:
 
 * An event adds to its user's running sums at ``t`` and takes the same off
   just past ``t + window``.  A location counts from an event until it expires
@@ -20,10 +25,9 @@ aggregates, O(1) a row, whatever the density:
   inside the aligned window-wide block of ``t`` and a reverse running maximum
   from ``t - window`` to the end of the block before.
 
-Rows are never gathered by user: row-level windows are partitioned by (user,
-unit), a unit being 1/1200 of the window, so a dense user spreads over as many
-tasks as it has units, even inside one window.  What a unit inherits from
-those before it comes from windows over one row per unit.
+Work is O(1) a row besides sorting.  Halo rows are few unless a user has more
+rows inside one window than a range holds; then each of its k ranges there
+copies up to those k ranges.
 
 Amounts are summed as integer cents, so the sums (and therefore averages) are
 exact and independent of summation order across partitions.
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.time import epoch_micros
 from vigil.schemas import FAILED_LOGIN
+from vigil.session import ensure_checkpoint_dir
 
 MICROS_PER_MINUTE = 60 * 1_000_000
 
@@ -50,71 +55,58 @@ def avg_from_cents(sum_cents: Column, n: Column) -> Column:
     return F.round(sum_cents / n) / F.lit(100.0)
 
 
-UNITS = 1200
+def _ranges_with_halo(base: DataFrame, window_us: int) -> DataFrame:
+    """``base`` by ranges of (_u, _t): columns _range, _own (not a halo row) and those of ``base``."""
+    ensure_checkpoint_dir(base.sparkSession)
+    ordered = (base.repartitionByRange("_u", "_t").withColumn("_range", F.spark_partition_id())
+                   .checkpoint(eager=True))  # ranges stay as they are if an executor is lost
+    first = (ordered.groupBy("_range").agg(F.min(F.struct("_u", "_t")).alias("_first"))
+                    .select(F.col("_range").alias("_to"), F.col("_first._u").alias("_u0"), F.col("_first._t").alias("_t0")))
+    halo = ordered.join(F.broadcast(first), F.col("_u").eqNullSafe(F.col("_u0")) & (F.col("_t") < F.col("_t0"))
+                        & (F.col("_t") >= F.col("_t0") - F.lit(window_us)))
+    return (ordered.withColumn("_own", F.lit(True)).unionByName(
+        halo.withColumn("_range", F.col("_to")).drop("_to", "_u0", "_t0").withColumn("_own", F.lit(False))).repartition("_range"))
 
 
-def _changes(base: DataFrame, window_us: int) -> DataFrame:
-    """One row per change of a user's running state: (_u, _at, n, c, f, loc, mx, kind).
+def _changes(rows: DataFrame, window_us: int) -> DataFrame:
+    """Four changes of its user's running state for each row of a range.
 
-    ``kind`` is 0 for an event, 1 for an expiry and 2 for a probe of the
-    maximum at the frame's start.
+    ``_kind`` is 0 for the row itself (only it carries the row), 1 for an expiry and 2 for a probe of the maximum at the
+    frame's start; ``_frame`` is the time whose frame it belongs to.
     """
-    unit_us = window_us // UNITS
-    ev = (base.filter(F.col("_t").isNotNull())
-              .groupBy("_u", "_loc", "_t")
-              .agg(F.count(F.lit(1)).alias("n"), F.sum("_c").alias("c"), F.sum("_fail").alias("f"),
-                   F.max("_amt").alias("mx"))
-              .withColumn("_unit", _unit(F.col("_t"), unit_us)))
-    # The location's next event: in the unit, else the first of a later unit.
-    inside = Window.partitionBy("_u", "_loc", "_unit").orderBy("_t")
-    later = (ev.groupBy("_u", "_loc", "_unit").agg(F.min("_t").alias("first"))
-               .withColumn("_later", F.lead("first").over(Window.partitionBy("_u", "_loc").orderBy("_unit")))
-               .select(*[F.col(c).alias(f"{c}_") for c in ("_u", "_loc", "_unit")], "_later"))
-    same = (F.col("_u").eqNullSafe(F.col("_u_")) & F.col("_loc").eqNullSafe(F.col("_loc_"))
-            & (F.col("_unit") == F.col("_unit_")))
-    ev = (ev.withColumn("_next", F.lead("_t").over(inside)).join(later, same)
-            .withColumn("_next", F.coalesce("_next", "_later")))
+    following = Window.partitionBy("_range", "_u", "_loc").orderBy("_t")
+    rows = rows.withColumn("_next", F.lead("_t").over(following))
+    row = F.struct(*[c for c in rows.columns if c not in ("_range", "_u", "_next")])
     end = F.col("_t") + F.lit(window_us + 1)
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
-
-    def change(at, n, c, f, loc, mx, kind):
-        return F.struct(at.alias("_at"), n.alias("n"), c.alias("c"), f.alias("f"), F.lit(loc).cast("long").alias("loc"),
-                        mx.alias("mx"), F.lit(kind).alias("kind"))
-    n, c, f = F.col("n"), F.col("c"), F.col("f").cast("long")
-    return ev.select("_u", F.inline(F.array(
-        change(F.col("_t"), n, c, f, 1, F.col("mx"), 0),
-        change(end, -n, -c, -f, 0, none, 1),
-        change(F.least(end, "_next"), zero, zero, zero, -1, none, 1),
-        change(F.col("_t") - F.lit(window_us), zero, zero, zero, 0, none, 2))))
-
-
-def _unit(at: Column, unit_us: int) -> Column:
-    return F.floor(at / F.lit(unit_us)).cast("long")
-
-
-def _frame_features(base: DataFrame, window_us: int) -> DataFrame:
-    """(_u_, _t_, n, c, f, loc, mx): the frame of every user and event time."""
-    sums = ["n", "c", "f", "loc"]
-    rows = _changes(base, window_us).withColumn("_unit", _unit(F.col("_at"), window_us // UNITS))
-    up = Window.partitionBy("_u", "_unit").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("_u", "_unit").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
-    running = rows.withColumns({**{f"r_{x}": F.sum(x).over(up) for x in sums},
-                                "r_up": F.max("mx").over(up), "r_down": F.max("mx").over(down)})
-    units = (rows.groupBy("_u", "_unit").agg(*[F.sum(x).alias(x) for x in sums], F.max("mx").alias("mx"))
-                 .withColumn("_block", F.floor(F.col("_unit") / UNITS)))
-    before = Window.partitionBy("_u").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    block = Window.partitionBy("_u", "_block").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
-    block_down = Window.partitionBy("_u", "_block").orderBy(F.desc("_unit")).rowsBetween(Window.unboundedPreceding, -1)
-    units = units.select(F.col("_u").alias("_u_"), F.col("_unit").alias("_unit_"),
-                         *[F.sum(x).over(before).alias(f"u_{x}") for x in sums],
-                         F.max("mx").over(block).alias("u_up"), F.max("mx").over(block_down).alias("u_down"))
-    placed = running.filter("kind <> 1").join(
-        units, F.col("_u").eqNullSafe(F.col("_u_")) & (F.col("_unit") == F.col("_unit_")))
-    event, probe = F.col("kind") == 0, F.col("kind") == 2
-    totals = [F.max(F.when(event, F.col(f"r_{x}") + F.coalesce(f"u_{x}", F.lit(0)))).alias(x) for x in sums]
-    top = F.max(F.when(event, F.greatest("r_up", "u_up")).otherwise(F.greatest("r_down", "u_down")))
-    return (placed.groupBy("_u", F.when(probe, F.col("_at") + window_us).otherwise(F.col("_at")).alias("_t_"))
-                  .agg(*totals, top.alias("mx")).withColumnRenamed("_u", "_u_"))
+    zero, none, nothing = F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(None)
+    timed = F.col("_t").isNotNull()
+
+    def change(at, n, c, f, loc, mx, kind, held=None):
+        return F.struct(at.alias("_at"), n.alias("n"), c.alias("c"), f.alias("f"), loc.alias("loc"), mx.alias("mx"),
+                        F.lit(kind).alias("_kind"), F.col("_t").alias("_frame"),
+                        (row if held else F.when(F.lit(False), row).otherwise(nothing)).alias("_row"))
+    one, c, f = F.lit(1).cast("long"), F.col("_c"), F.col("_fail").cast("long")
+    itself = change(F.col("_t"), F.when(timed, one).otherwise(zero), F.when(timed, c).otherwise(zero), F.when(timed, f).otherwise(zero),
+                    F.when(timed, one).otherwise(zero), F.when(timed, F.col("_amt")), 0, held=True)
+    later = [change(end, -one, -c, -f, zero, none, 1), change(F.least(end, "_next"), zero, zero, zero, -one, none, 1),
+             change(F.col("_t") - F.lit(window_us), zero, zero, zero, zero, none, 2)]
+    return rows.select("_range", "_u", F.inline(F.when(timed, F.array(itself, *later)).otherwise(F.array(itself))))
+
+
+def _frames(changes: DataFrame, window_us: int) -> DataFrame:
+    """The rows of their own ranges with the values of their frames: r_n, r_c, r_f, r_loc, r_mx."""
+    block = F.floor(F.col("_at") / F.lit(window_us)).cast("long")
+    up = Window.partitionBy("_range", "_u").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    rising = Window.partitionBy("_range", "_u", "_block").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    falling = Window.partitionBy("_range", "_u", "_block").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy("_range", "_u", "_frame")
+    return (changes.withColumn("_block", block)
+                   .withColumns({f"r_{x}": F.sum(x).over(up) for x in ("n", "c", "f", "loc")})
+                   .withColumns({"_up": F.max("mx").over(rising)}).withColumns({"_down": F.max("mx").over(falling)})
+                   .filter("_kind <> 1")
+                   .withColumn("_before", F.max(F.when(F.col("_kind") == 2, F.col("_down"))).over(frame))
+                   .filter("_kind = 0 and _row._own")
+                   .withColumn("r_mx", F.greatest("_up", "_before")))
 
 
 def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "user_id",
@@ -137,16 +129,14 @@ def rolling_user_features(df: DataFrame, window_minutes: int = 60, key: str = "u
         "_fail": F.coalesce((F.col(type_col) == F.lit(failed_type)).cast("int"), F.lit(0)),
         "_loc": F.coalesce(F.col(location_col), F.lit("")),
     })
-    feats = _frame_features(base.select("_u", "_t", "_c", "_amt", "_fail", "_loc"), window_us).toDF(
-        "_u_", "_t_", "txn_count_1h", "_sc", "failed_attempts_1h", "unique_locations_1h", "max_amount_1h")
+    rows = _ranges_with_halo(base, window_us)
+    out = _frames(_changes(rows, window_us), window_us)
+    timed = F.col("_at").isNotNull()
     zero = F.lit(0).cast("long")
-    out = base.join(feats, F.col("_u").eqNullSafe(F.col("_u_")) & (F.col("_t") == F.col("_t_")), "left")
-    out = out.withColumns({
-        "txn_count_1h": F.coalesce("txn_count_1h", zero),
-        "avg_amount_1h": F.coalesce(avg_from_cents(F.col("_sc"), F.col("txn_count_1h")), F.lit(0.0)),
-        "max_amount_1h": F.coalesce("max_amount_1h", F.lit(0.0)),
-        "failed_attempts_1h": F.coalesce("failed_attempts_1h", zero),
-        "unique_locations_1h": F.coalesce("unique_locations_1h", zero),
-    })
-    return out.select(*df.columns, "txn_count_1h", "max_amount_1h", "failed_attempts_1h", "unique_locations_1h",
-                      "avg_amount_1h")
+    return out.select(
+        *[F.col("_row").getField(c).alias(c) for c in df.columns],
+        F.when(timed, F.col("r_n")).otherwise(zero).alias("txn_count_1h"),
+        F.when(timed, F.col("r_mx")).otherwise(0.0).alias("max_amount_1h"),
+        F.when(timed, F.col("r_f")).otherwise(zero).alias("failed_attempts_1h"),
+        F.when(timed, F.col("r_loc")).otherwise(zero).alias("unique_locations_1h"),
+        F.when(timed, avg_from_cents(F.col("r_c"), F.col("r_n"))).otherwise(0.0).alias("avg_amount_1h"))
