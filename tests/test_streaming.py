@@ -131,6 +131,25 @@ def test_tumbling_stream_approx_distinct_users(spark):
     assert out["approx"] == out["exact"]        # HLL is exact at this cardinality
 
 
+def test_tumbling_stream_appends_each_window_once_without_sets(spark):
+    rows = [event(i, user=None if i % 9 == 8 else f"u{i % 7}", t=T0 + timedelta(seconds=5 * i), amount=None if i == 3 else float(i))
+            for i in range(48)]                                                    # 4 minutes
+    late = [event(100, user="u99", t=T0 + timedelta(seconds=30))]                  # its window is closed by then
+    close = [event(200, t=T0 + timedelta(hours=1))]
+    more = [event(201, t=T0 + timedelta(minutes=61))]                              # the batch after which windows are closed to late rows
+    agg = SJ.tumbling_summary_append(_stream_of(spark, [rows[:20], rows[20:], close, more, late]), "1 minute", "10 minutes")
+    assert "collect_set" not in agg._jdf.queryExecution().logical().toString()
+    sink = scratch_path(spark, "append-sink")
+    stats = SJ.run_available(agg, sink, scratch_path(spark, "append-ckpt"), "append")
+    got = {r.window_start.minute: r for r in spark.read.parquet(sink).collect()}
+    assert stats["dropped_by_watermark"] == 1 and sorted(got) == [0, 1, 2, 3]
+    for m, r in got.items():
+        own = rows[12 * m:12 * m + 12]
+        amounts = [x[4] or 0.0 for x in own]
+        assert (r.total_transactions, r.unique_users) == (12, len({x[1] for x in own} - {None}))
+        assert (r.total_amount, r.max_amount, r.min_amount) == (sum(amounts), max(amounts), min(amounts))
+
+
 def test_stream_pipeline_quarantines_and_dedupes(spark):
     """Malformed lines and invalid rows go to quarantine, copies count once."""
     from vigil.operators.alerts import default_rules

@@ -488,15 +488,21 @@ STREAM_STATS: dict[str, dict] = {}
 _STAGED: dict = {}
 
 
-def _event_stream(spark, sf_dir):
+def _event_stream(spark, sf_dir, closed=False):
     """Stage the events table as time slices (once per session and table
     folder; every stream query keeps its own checkpoint and sink), then read
-    it as a file stream, one slice per trigger."""
+    it as a file stream, one slice per trigger.  ``closed`` adds an empty event
+    a day later, which moves the watermark past the last windows; its own
+    window stays open."""
     raw = read_table(spark, sf_dir, "events")
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, closed)
     if key not in _STAGED:
         staged = scratch_path(spark, "stream-src")
         SJ.stage_time_slices(raw, staged, STREAM_SLICES, "ts", files=SLICE_FILES)
+        if closed:
+            last = raw.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).where("ts is not null")
+            (last.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in raw.schema])
+                 .coalesce(1).write.mode("append").parquet(staged))
         _STAGED[key] = staged
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", SLICE_FILES).parquet(_STAGED[key])
     return SJ.with_event_timestamp(canonical_events(stream))
@@ -504,10 +510,10 @@ def _event_stream(spark, sf_dir):
 
 def q_stream_tumbling(spark, sf_dir):
     pin_utc(spark)
-    agg = SJ.tumbling_summary_stream(_event_stream(spark, sf_dir), "1 minute", "10 minutes")
+    agg = SJ.tumbling_summary_append(_event_stream(spark, sf_dir, closed=True), "1 minute", "10 minutes")
     sink, ckpt = scratch_path(spark, "stream-tumbling"), scratch_path(spark, "ckpt-tumbling")
-    STREAM_STATS["stream_tumbling"] = SJ.run_available(agg, sink, ckpt, "update")
-    out = SJ.read_latest(spark, sink, ["window_start"])
+    STREAM_STATS["stream_tumbling"] = SJ.run_available(agg, sink, ckpt, "append")
+    out = spark.read.parquet(sink).drop("batch_id")
     return out.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"),
                             "window_end": F.col("window_end").cast("timestamp_ntz")})
 

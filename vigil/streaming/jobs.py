@@ -202,6 +202,28 @@ def tumbling_summary_stream(stream: DataFrame, every: str = "1 minute", watermar
                       *[c for c in agg.columns if c != "w"])
 
 
+def tumbling_summary_append(stream: DataFrame, every: str = "1 minute", watermark: str = "10 minutes",
+                            ts_col: str = "event_time") -> DataFrame:
+    """A7 in append mode: each window once, when the watermark has passed it, with exact distinct users and no set.
+
+    Two chained stateful aggregations: one row of state for each (window, user), spread over all partitions and
+    evicted with the window, then the window's users are counted and their sums added.  A window of any number of
+    users is never held in one row.  A null user counts in the sums, not among the users.
+    """
+    amt = F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0))
+    by_user = (stream.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, every).alias("w"), "user_id")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("transaction_amount"))).alias("sc"),
+                    F.max(amt).alias("mx"), F.min(amt).alias("mn"), F.sum(fraud_flag(stream)).cast("long").alias("fc")))
+    agg = by_user.groupBy(F.window(F.window_time("w"), every).alias("w")).agg(
+        F.sum("n").alias("total_transactions"), F.sum("sc").alias("sc"), F.max("mx").alias("max_amount"),
+        F.min("mn").alias("min_amount"), F.count("user_id").alias("unique_users"), F.sum("fc").alias("fraud_count"))
+    n = F.col("total_transactions")
+    return agg.select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "total_transactions",
+        (F.col("sc") / F.lit(100.0)).alias("total_amount"), avg_from_cents(F.col("sc"), n).alias("avg_amount"), "max_amount",
+        "min_amount", "unique_users", "fraud_count", round_to(F.col("fraud_count") / F.greatest(n, F.lit(1)), 4).alias("fraud_rate"))
+
+
 # ---------------------------------------------------------------------------
 # Rolling per-user features with keyed state
 # ---------------------------------------------------------------------------
