@@ -15,8 +15,8 @@ from vigil.llm.words import longs, mix
 from vigil.session import ensure_checkpoint_dir
 
 
-ROWS_PER_BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
-BYTES_PER_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+ROWS_PER_BATCH, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 200
+BYTES_PER_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
