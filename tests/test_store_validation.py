@@ -50,6 +50,39 @@ def test_json_roundtrip_and_malformed(spark):
     assert len(bad) == 1 and bad[0].event_time is None
 
 
+WIRE = ('{"event_id":"%s","user_id":"u","session_id":"s","timestamp":%s,"transaction_amount":%s,'
+        '"location":"Oslo","device_type":"mobile","event_type":"purchase"}')
+
+
+def test_parse_errors_reach_quarantine_with_a_reason_per_field(spark):
+    """A bad value is never taken for an absent one, and no line is lost."""
+    when = '"2024-01-15T14:00:00"'
+    lines = [WIRE % ("good", when, "12.345"), WIRE % ("as-text", when, '"12.5"'), WIRE % ("no-time", "null", "1"),
+             WIRE % ("bad-time", '"next tuesday"', "1"), WIRE % ("bad-both", '"soon"', '"a lot"'),
+             WIRE % ("no-amount", when, "null"), (WIRE % ("cut", when, "1"))[:-9], "", "[1, 2]", "17", None]
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    ok, bad = split_valid(parse_events(raw))
+    good = {r.event_id: r for r in ok.collect()}
+    assert set(good) == {"good", "as-text", "no-time"} and "parse_errors" not in ok.columns
+    assert good["good"].event_time == T0 and good["good"].transaction_amount == 12.35
+    assert good["as-text"].transaction_amount == 12.5
+    assert good["no-time"].event_time is not None          # absent: the processing time
+    rows = bad.collect()
+    named = {r.event_id: r for r in rows if r.event_id in ("bad-time", "bad-both")}
+    assert named["bad-time"].reject_reasons == ["bad_timestamp"] and named["bad-time"].event_time is None
+    assert named["bad-both"].reject_reasons == ["bad_timestamp", "bad_transaction_amount"]
+    assert [r.reject_reasons for r in rows if r.event_id == "no-amount"] == [["missing_transaction_amount"]]
+    malformed = [r for r in rows if r.reject_reasons == ["malformed_json"]]
+    assert len(malformed) == 5 and len(rows) == 8
+    assert sorted(r.corrupt_record or "" for r in malformed) == sorted([lines[6], "", "[1, 2]", "17", ""])
+    assert all(r.user_id is None for r in malformed)
+
+
+def test_no_lines_parse_to_no_rows(spark):
+    ok, bad = split_valid(parse_events(spark.createDataFrame([], "value string")))
+    assert ok.count() == 0 and bad.count() == 0
+
+
 def test_dedupe_keeps_earliest(spark):
     rows = [event(0, t=T0 + timedelta(minutes=5), amount=2.0), event(0, t=T0, amount=1.0), event(1)]
     out = {r.event_id: r.transaction_amount for r in dedupe_events(frame(spark, rows)).collect()}

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from vigil.functions.numeric import py_round
 from vigil.functions.time import with_time_features
 from vigil.operators.rolling import rolling_user_features
-from vigil.schemas import DEFAULT_CURRENCY, DEVICE_TYPES, EVENT_TYPES, FAILED_LOGIN, INFERENCE_DEFAULTS
+from vigil.schemas import DEFAULT_CURRENCY, DEVICE_TYPES, EVENT_TYPES, FAILED_LOGIN, INFERENCE_DEFAULTS, MALFORMED, PARSE_COLUMNS
 
 REQUIRED = ["user_id", "session_id", "transaction_amount", "location", "device_type", "event_type"]
 
@@ -24,27 +24,39 @@ def round2(x: Column) -> Column:
 
 
 def reject_reasons(required: list[str] = REQUIRED, event_types: list[str] = EVENT_TYPES,
-                   device_types: list[str] = DEVICE_TYPES) -> Column:
-    """Array of failed checks (empty when the row is valid)."""
-    checks = [F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in required]
-    checks += [
+                   device_types: list[str] = DEVICE_TYPES, parse_errors: Column | None = None) -> Column:
+    """Array of failed checks (empty when the row is valid).
+
+    With the parser's ``parse_errors``, those come first; a field that was
+    sent but could not be read is bad, not missing, and of a malformed line
+    nothing else is said.
+    """
+    missing = {c: F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in required}
+    others = [
         F.when(F.col("transaction_amount") < 0, F.lit("negative_amount")),
         F.when(F.col("event_type").isNotNull() & ~F.col("event_type").isin(event_types),
                F.lit("unknown_event_type")),
         F.when(F.col("device_type").isNotNull() & ~F.col("device_type").isin(device_types),
                F.lit("unknown_device_type")),
     ]
-    return F.filter(F.array(*checks), lambda r: r.isNotNull())
+    found = lambda checks: F.filter(F.array(*checks), lambda r: r.isNotNull())
+    if parse_errors is None:
+        return found([*missing.values(), *others])
+    errors = F.coalesce(parse_errors, F.array().cast("array<string>"))
+    absent = [F.when(~F.array_contains(errors, f"bad_{c}"), check) for c, check in missing.items()]
+    return F.when(F.array_contains(errors, MALFORMED), errors).otherwise(F.concat(errors, found([*absent, *others])))
 
 
 def validate_events(df: DataFrame, **kw) -> DataFrame:
     """P1–P3 in one projection: reasons, defaults and 2-dp amounts.
 
     event_id defaults to a UUID (non-deterministic: persist or write the
-    result before reading it twice), the timestamp to the processing time and
-    the currency to USD.
+    result before reading it twice), an absent timestamp to the processing
+    time and the currency to USD.  A timestamp that could not be read
+    (``parse_errors``) rejects the row and stays null.
     """
-    out = df.withColumn("reject_reasons", reject_reasons(**kw))
+    errors = F.col("parse_errors") if "parse_errors" in df.columns else None
+    out = df.withColumn("reject_reasons", reject_reasons(parse_errors=errors, **kw))
     defaults = {
         "transaction_amount": round2(F.col("transaction_amount")),
         "event_id": F.coalesce(F.col("event_id"), F.expr("uuid()")),
@@ -52,7 +64,10 @@ def validate_events(df: DataFrame, **kw) -> DataFrame:
     if "currency" in df.columns:
         defaults["currency"] = F.coalesce(F.col("currency"), F.lit(DEFAULT_CURRENCY))
     if "event_time" in df.columns:
-        defaults["event_time"] = F.coalesce(F.col("event_time"), F.localtimestamp())
+        now = F.localtimestamp()
+        if errors is not None:
+            now = F.when(errors.isNull(), now)
+        defaults["event_time"] = F.coalesce(F.col("event_time"), now)
     return out.withColumns(defaults)
 
 
@@ -60,7 +75,7 @@ def split_valid(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with ``reject_reasons``)."""
     checked = validate_events(df, **kw)
     ok = F.size("reject_reasons") == 0
-    return checked.filter(ok).drop("reject_reasons"), checked.filter(~ok)
+    return checked.filter(ok).drop("reject_reasons", *PARSE_COLUMNS), checked.filter(~ok)
 
 
 def dedupe_events(df: DataFrame, key: str = "event_id", order_col: str = "event_time") -> DataFrame:

@@ -648,6 +648,20 @@ SELECT event_id, user_id, round(amount * 100) / CAST(100 AS DOUBLE) AS transacti
                  CASE WHEN device_type = 'toaster' THEN 'unknown_device_type' END) AS reasons
 FROM f"""
 
+SQL["bad_records"] = f"""WITH {EV}, f AS (
+  SELECT event_id, event_time, CAST(event_id AS BIGINT) AS n FROM ev),
+c AS (
+  SELECT *, CASE WHEN n % 17 = 0 THEN 'time' WHEN n % 19 = 0 THEN 'no time' WHEN n % 23 = 0 THEN 'words'
+                 WHEN n % 29 = 0 THEN 'text' WHEN n % 31 = 0 THEN 'cut' ELSE '' END AS flaw FROM f)
+SELECT event_id,
+       CASE flaw WHEN 'time' THEN 'bad_timestamp' || CASE WHEN n % 13 = 0 THEN ',negative_amount' ELSE '' END
+                 WHEN 'words' THEN 'bad_transaction_amount' WHEN 'cut' THEN 'malformed_json'
+                 ELSE 'negative_amount' END AS reasons,
+       CASE WHEN flaw NOT IN ('time', 'cut', 'no time') THEN event_time END AS event_time,
+       flaw IN ('time', 'words', 'cut') AS has_text
+FROM c WHERE flaw IN ('time', 'words', 'cut') OR n % 13 = 0"""
+SQL["stream_bad_records"] = SQL["bad_records"]
+
 SQL["model_replies"] = f"""
 WITH i AS ({SQL["insights"]})
 SELECT insight_id,

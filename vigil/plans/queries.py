@@ -726,6 +726,53 @@ def q_validated_events(spark, sf_dir):
                           F.array_join("reject_reasons", ",").alias("reasons"))
 
 
+def flawed_wire(spark, sf_dir):
+    """The events as wire text, by id: unreadable times, times left out,
+    amounts in words, amounts sent as text, cut lines, negative amounts."""
+    wire_cols = ["event_id", "user_id", "session_id", "event_time", "transaction_amount", "location",
+                 "device_type", "event_type"]
+    ev = _events(spark, sf_dir).select(*wire_cols)
+    n = F.col("event_id").cast("long")
+    text = to_wire(ev.withColumn("transaction_amount", F.when(n % 13 == 0, -F.col("transaction_amount") - 1)
+                                 .otherwise(F.col("transaction_amount"))), key_col="event_id")
+    n, value = F.col("key").cast("long"), F.col("value")
+    when, amount = '"timestamp":"[^"]*"', '"transaction_amount":([-0-9.E]+)'
+    return text.select(
+        F.when(n % 17 == 0, F.regexp_replace(value, when, '"timestamp":"next tuesday"'))
+         .when(n % 19 == 0, F.regexp_replace(value, when, '"timestamp":null'))
+         .when(n % 23 == 0, F.regexp_replace(value, amount, '"transaction_amount":"a lot"'))
+         .when(n % 29 == 0, F.regexp_replace(value, amount, '"transaction_amount":"$1"'))
+         .when(n % 31 == 0, F.expr("left(value, length(value) - 9)"))
+         .otherwise(value).alias("value"))
+
+
+def _quarantined(bad):
+    sent_id = F.regexp_extract("corrupt_record", '"event_id":"([^"]*)"', 1)
+    return bad.select(F.when(F.col("corrupt_record").isNull(), F.col("event_id")).otherwise(sent_id).alias("event_id"),
+                      F.array_join("reject_reasons", ",").alias("reasons"),
+                      F.when(F.col("event_time") < F.localtimestamp() - F.expr("INTERVAL 30 DAYS"), F.col("event_time")).alias("event_time"),
+                      F.col("corrupt_record").isNotNull().alias("has_text"))
+
+
+def q_bad_records(spark, sf_dir):
+    """Lines that can't be read in full go to quarantine, each bad
+    field named; an absent time is no fault."""
+    _, bad = split_valid(parse_events(flawed_wire(spark, sf_dir)), **VALIDATE)
+    return _quarantined(bad)
+
+
+def q_stream_bad_records(spark, sf_dir):
+    """The streaming job's quarantine for the same lines."""
+    pin_utc(spark)
+    staged, out = scratch_path(spark, "stream-flawed"), scratch_path(spark, "stream-flawed-out")
+    flawed_wire(spark, sf_dir).write.text(staged)
+    run_stream_pipeline(spark, SJ.with_event_timestamp(json_file_stream(spark, staged)), out,
+                        scratch_path(spark, "ckpt-flawed"), rules=AL.default_rules(**RULE_PARAMS),
+                        failed_type=FAILED_TYPE, validate_kw=VALIDATE)
+    bad = spark.read.parquet(f"{out}/quarantine")
+    return _quarantined(bad.withColumn("event_time", F.col("event_time").cast("timestamp_ntz")))
+
+
 def q_model_replies(spark, sf_dir):
     """Replies that parse (some after white space), and replies that don't."""
     ins, _ = _insights(spark, sf_dir)
@@ -755,6 +802,8 @@ def q_ml_unseen(spark, sf_dir):
 QUERIES.update({
     "status_row": q_status_row,
     "validated_events": q_validated_events,
+    "bad_records": q_bad_records,
+    "stream_bad_records": q_stream_bad_records,
     "model_replies": q_model_replies,
     "insight_rows": q_insight_rows,
     "ml_unseen": q_ml_unseen,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vigil.functions.time import with_time_features
 from vigil.operators import alerts as AL
 from vigil.operators import ml as ML
-from vigil.schemas import FAILED_LOGIN
+from vigil.schemas import FAILED_LOGIN, PARSE_COLUMNS
 from vigil.operators.validation import validate_events
 from vigil.streaming.jobs import finished_progress, rolling_features_stream, run_available, run_totals
 
@@ -34,8 +34,8 @@ def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, ch
     checked = validate_events(stream, **(validate_kw or {})).withColumn("event_time", F.col("event_time").cast("timestamp"))
     ok = F.size("reject_reasons") == 0
     rejected = run_available(checked.filter(~ok), f"{out_dir}/quarantine", f"{checkpoint}/quarantine", "append")
-    keep = [c for c in stream.columns if c not in ("event_id", "user_id", "event_time")]
-    feats = rolling_features_stream(checked.filter(ok).drop("reject_reasons"), window_minutes, failed_type, watermark,
+    keep = [c for c in stream.columns if c not in ("event_id", "user_id", "event_time", *PARSE_COLUMNS)]
+    feats = rolling_features_stream(checked.filter(ok).drop("reject_reasons", *PARSE_COLUMNS), window_minutes, failed_type, watermark,
                                     passthrough=keep)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:

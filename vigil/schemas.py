@@ -130,6 +130,10 @@ RAW_EVENT_SCHEMA = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 
+# What the parser adds to a line that it can't read in full.
+PARSE_COLUMNS = ["parse_errors", "corrupt_record"]
+MALFORMED = "malformed_json"
+
 # Columns of the canonical (typed) event frame every operator consumes.
 CANONICAL_COLUMNS = ["event_id", "user_id", "session_id", "event_time", "transaction_amount",
                      "location", "device_type", "event_type", "currency"]

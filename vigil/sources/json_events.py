@@ -10,20 +10,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.schemas import RAW_EVENT_SCHEMA
+from vigil.schemas import MALFORMED, PARSE_COLUMNS, RAW_EVENT_SCHEMA
 
 
 def parse_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """S3: JSON text -> typed event columns; ISO text -> ``event_time``.
 
-    Malformed JSON yields an all-null row (PERMISSIVE); unparseable times
-    yield a null ``event_time``.  Both are caught by validation downstream.
+    No line is lost and no bad value is taken for an absent one: a field whose
+    text is there but does not fit its type is null and leaves ``bad_<field>``
+    in ``parse_errors``; a line that is no JSON object has nulls only and
+    ``malformed_json``.  ``corrupt_record`` keeps the text of such lines.
+    Numbers sent as text ("12.5") are read as numbers.  Validation sends rows
+    with parse errors to quarantine; both columns are null for good lines.
     """
-    parsed = raw.select(F.from_json(F.col(value_col).cast("string"), RAW_EVENT_SCHEMA).alias("e"))
-    return (parsed.select("e.*")
-                  .withColumn("event_time", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
-                  .drop("timestamp"))
+    text = F.col(value_col).cast("string")
+    both = raw.select(text.alias("_text"), F.from_json(text, RAW_EVENT_SCHEMA).alias("e"),
+                      F.from_json(text, "map<string,string>").alias("_sent"))
+    sent = lambda c: F.col("_sent")[c]
+    malformed = F.col("_sent").isNull()
+    typed = {}
+    for f in RAW_EVENT_SCHEMA.fields:
+        value = F.col(f"e.{f.name}")
+        if f.name == "timestamp":
+            value = F.try_to_timestamp(value).cast("timestamp_ntz")
+        elif isinstance(f.dataType, T.NumericType):
+            value = F.coalesce(value, sent(f.name).try_cast(f.dataType))
+        typed[f.name] = F.when(~malformed, value)
+    bad = [F.when(typed[c].isNull() & sent(c).isNotNull(), F.lit(f"bad_{c}")) for c in typed]
+    errors = F.when(malformed, F.array(F.lit(MALFORMED))) \
+              .otherwise(F.filter(F.array(*bad), lambda e: e.isNotNull()))
+    parsed = both.select(*[c.alias("event_time" if name == "timestamp" else name) for name, c in typed.items()],
+                         errors.alias("parse_errors"), F.col("_text").alias("corrupt_record"))
+    flawed = F.size("parse_errors") > 0
+    first = [c for c in parsed.columns if c not in ("event_time", *PARSE_COLUMNS)]
+    return parsed.select(*first, "event_time", *[F.when(flawed, F.col(c)).alias(c) for c in PARSE_COLUMNS])
 
 
 def to_wire(df: DataFrame, key_col: str = "user_id", time_col: str = "event_time") -> DataFrame:
