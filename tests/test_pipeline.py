@@ -3,11 +3,12 @@ at table scale)."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import ml as ML
 from vigil.operators.alerts import default_rules
-from vigil.plans.pipeline import run_pipeline
+from vigil.plans.pipeline import committed, latest_version, run_pipeline
 from vigil.plans.queries import RULE_PARAMS
 from vigil.session import scratch_path
 from vigil.sources.tables import load_events
@@ -23,21 +24,20 @@ def test_pipeline_counters_and_tables(spark):
         validate_kw={"event_types": DRIVER_TYPES}).collect()}
     assert counters["processed"] == counters["inserted"] == 1000 and counters["quarantined"] == 0
     assert counters["insights"] == 10                      # every 100 events, no tail
-    alerts = spark.read.parquet(f"{out}/alerts")
+    alerts = committed(spark, out, "alerts")
     assert counters["alerts"] == alerts.count() > 0
     assert counters["fraud_detected"] == load_events(spark, SF).filter("is_fraud").count()
-    processed = spark.read.parquet(f"{out}/processed_events")
+    processed = committed(spark, out, "processed_events")
     assert processed.select("event_date").distinct().count() == 30
     assert processed.select("event_id").distinct().count() == 1000
-    assert spark.read.parquet(f"{out}/quarantine").count() == 0
-    assert len(spark.read.parquet(f"{out}/processed_events_table").columns) == 14
-    from vigil.plans.pipeline import latest_version
+    assert committed(spark, out, "quarantine").count() == 0
+    assert len(committed(spark, out, "processed_events_table").columns) == 14
     recent = latest_version(spark, f"{out}/recent_events")
     assert recent.count() == 1000 and sorted(r.pos for r in recent.select("pos").collect()) == list(range(1000))
     assert latest_version(spark, f"{out}/metrics_history").count() == 500
-    d = spark.read.parquet(f"{out}/deliveries")
+    d = committed(spark, out, "deliveries")
     assert d.count() >= 2 * alerts.count()
-    assert spark.read.parquet(f"{out}/insights").filter(F.col("risk_level").isNull()).count() == 0
+    assert committed(spark, out, "insights").filter(F.col("risk_level").isNull()).count() == 0
 
 
 def test_pipeline_with_model_scores(spark):
@@ -50,7 +50,7 @@ def test_pipeline_with_model_scores(spark):
     counters = {r.counter: r.value for r in run_pipeline(
         spark, ev, out, model=model, failed_type="error",
         validate_kw={"event_types": DRIVER_TYPES}).collect()}
-    processed = spark.read.parquet(f"{out}/processed_events")
+    processed = committed(spark, out, "processed_events")
     assert counters["inserted"] == 1000 and "confidence" in processed.columns
     bad = processed.filter((F.col("fraud_probability") < 0) | (F.col("fraud_probability") > 1)).count()
     assert bad == 0
@@ -79,23 +79,22 @@ def test_pipeline_rerun_is_idempotent_and_exact(spark):
     assert first["inserted"] + second["inserted"] == 1000 and second["processed"] == 1000
     feats = ["event_id", "txn_count_1h", "avg_amount_1h", "max_amount_1h", "failed_attempts_1h",
              "unique_locations_1h"]
-    a = spark.read.parquet(f"{once}/processed_events").select(*feats)
-    b = spark.read.parquet(f"{twice}/processed_events").select(*feats)
+    a = committed(spark, once, "processed_events").select(*feats)
+    b = committed(spark, twice, "processed_events").select(*feats)
     assert b.count() == 1000 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     for table, key in [("alerts", "alert_id"), ("insights", "insight_id"), ("deliveries", "alert_id")]:
-        x = spark.read.parquet(f"{once}/{table}").select(key)
-        y = spark.read.parquet(f"{twice}/{table}").select(key)
+        x = committed(spark, once, table).select(key)
+        y = committed(spark, twice, table).select(key)
         if table != "insights":
             assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, table
         assert y.count() == y.distinct().count() or table == "deliveries"
     # Count windows continue across runs: every single-run insight appears,
     # plus at most run 1's own tail window.
-    i1 = {r.insight_id for r in spark.read.parquet(f"{once}/insights").collect()}
-    i2 = {r.insight_id for r in spark.read.parquet(f"{twice}/insights").collect()}
+    i1 = {r.insight_id for r in committed(spark, once, "insights").collect()}
+    i2 = {r.insight_id for r in committed(spark, twice, "insights").collect()}
     assert i1 <= i2 and len(i2 - i1) <= 1
     # Window metrics and the recent buffer, updated incrementally, equal the
     # single run's.
-    from vigil.plans.pipeline import latest_version
     for table in ("metrics", "recent_events"):
         m1 = latest_version(spark, f"{once}/{table}").drop("pos")
         m2 = latest_version(spark, f"{twice}/{table}").drop("pos")
@@ -105,3 +104,68 @@ def test_pipeline_rerun_is_idempotent_and_exact(spark):
     # A third run of the same batch inserts nothing.
     third = {r.counter: r.value for r in run_pipeline(spark, ev, twice, **kw).collect()}
     assert third["inserted"] == 0 and third["alerts"] == 0
+
+
+TABLES = ["quarantine", "processed_events", "processed_events_table", "alerts", "deliveries", "payloads",
+          "recent_events", "metrics", "metrics_history", "_tail", "insights"]
+VERSIONED = {"recent_events", "metrics", "metrics_history"}
+
+
+class Stopped(Exception):
+    pass
+
+
+def contents(spark, out):
+    """Every table as readers see it, rows in a fixed order, the wall clock left out."""
+    seen = {}
+    for table in TABLES:
+        df = latest_version(spark, f"{out}/{table}") if table in VERSIONED else committed(spark, out, table)
+        cols = sorted(c for c in df.columns if c not in ("processed_at", "created_at"))
+        seen[table] = sorted(repr([str(v) for v in r]) for r in df.select(*cols).collect())
+    return seen
+
+
+def test_a_run_stopped_after_any_write_leaves_no_trace(spark):
+    """Run 2 is stopped after each of its writes and run again: readers see run 1 until the commit, and
+    all tables then equal those of two undisturbed runs.  A replay of the whole adds nothing."""
+    ev = load_events(spark, SF).filter(F.col("event_time") < F.lit("2024-01-12").cast("timestamp_ntz"))
+    flawed = ev.withColumn("device_type", F.when(F.col("event_id").cast("long") % 50 == 0, F.lit("toaster"))
+                           .otherwise(F.col("device_type")))
+    first = flawed.filter(F.col("event_time") < F.lit("2024-01-06").cast("timestamp_ntz"))
+    kw = dict(failed_type="error", rules=default_rules(**RULE_PARAMS), window_minutes=24 * 60,
+              validate_kw={"event_types": DRIVER_TYPES})
+    calm, rough = scratch_path(spark, "pipe-calm"), scratch_path(spark, "pipe-rough")
+    for out in (calm, rough):
+        run_pipeline(spark, first, out, **kw)
+    before = contents(spark, rough)
+    counters = run_pipeline(spark, flawed, calm, **kw).collect()
+    for stop in TABLES:
+        def halt(table):
+            if table == stop:
+                raise Stopped(table)
+        with pytest.raises(Stopped):
+            run_pipeline(spark, flawed, rough, after_write=halt, **kw)
+    assert contents(spark, rough) == before
+    assert run_pipeline(spark, flawed, rough, **kw).collect() == counters
+    after = contents(spark, rough)
+    expected = contents(spark, calm)
+    for table in TABLES:
+        assert after[table] == expected[table], table
+    assert len(after["quarantine"]) == flawed.filter("device_type = 'toaster'").count() > 0
+    run_pipeline(spark, flawed, rough, **kw)
+    replayed = contents(spark, rough)
+    assert all(replayed[t] == after[t] for t in TABLES if t not in ("_tail", "insights"))
+
+
+def test_a_run_without_events(spark):
+    """No events, before and after others: tables exist, empty or as they were."""
+    ev = load_events(spark, SF)
+    none, out = ev.filter("false"), scratch_path(spark, "pipe-empty")
+    kw = dict(failed_type="error", validate_kw={"event_types": DRIVER_TYPES})
+    assert {r.value for r in run_pipeline(spark, none, out, **kw).collect()} == {0}
+    assert latest_version(spark, f"{out}/metrics").count() == 0
+    counters = {r.counter: r.value for r in run_pipeline(spark, ev, out, **kw).collect()}
+    assert counters["inserted"] == 1000 and counters["insights"] == 10
+    run_pipeline(spark, none, out, **kw)
+    assert committed(spark, out, "processed_events").count() == 1000
+    assert latest_version(spark, f"{out}/recent_events").count() == 1000

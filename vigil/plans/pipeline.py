@@ -3,30 +3,38 @@
 parse/validate -> dedupe -> calendar + rolling features -> score ->
 {processed events, alerts, deliveries, payloads, window metrics, insights}.
 
-Runs are incremental and idempotent, like the reference's
-``INSERT … ON CONFLICT DO NOTHING`` stores:
-
-* processed events (partitioned by event date) receive only events whose
-  (date, id) is new; the anti join prunes the table to the dates the run
-  touches.  New events are enriched together with the stored events of the
-  previous ``window`` (read with date partition pruning), so their rolling
+Runs are incremental, idempotent and atomic:
+
+* a run writes each table once, into ``<table>/run=k``, overwriting what an
+  unfinished attempt left there, and its row in the commit log
+  (``_commits/run=k``) last.  Readers (``committed``, ``latest_version``) take
+  runs up to the last committed one, so a run that stops between two writes
+  leaves nothing to see, and running it again replaces all of its files.  One
+  job writes to an ``out_dir`` at a time;
+* processed events (partitioned by event date below the run) receive only
+  events whose (date, id) is new; the anti join prunes the table to the dates
+  the run touches.  New events are enriched together with the stored events of
+  the previous ``window`` (read with date partition pruning), so their rolling
   features are exactly those of a single run over all the data;
-* alerts and insights have deterministic ids and are appended only when new,
-  so re-running a batch inserts nothing twice;
+* every other table is derived from the run's stored events, read back, so all
+  tables of a run agree even where a step (scores, default ids and times) would
+  not repeat itself;
+* quarantined rows and insights have deterministic ids and are kept once;
+  alerts belong to new events only, so a replayed batch inserts nothing twice;
 * count windows continue a running sequence (only the run's rows are
   sorted); window metrics recompute only the windows the run touches; the
   recent-events buffer merges the previous buffer with the new rows.  These
-  derived tables are versioned (``run=k`` folders) and never rescan history.
-
-Table writes are reliable materialisations that also cut lineage; every
-table lives under ``out_dir`` on the shared filesystem.
+  derived tables are whole in each version and never rescan history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from vigil.functions.time import window_bounds
@@ -34,9 +42,12 @@ from vigil.operators import alerts as AL
 from vigil.operators import insights as IN
 from vigil.operators import ml as ML
 from vigil.operators import summary as S
-from vigil.operators.store import bounded_history, first_by_key, rows_to_insert, with_write_defaults
+from vigil.operators.store import bounded_history, rows_to_insert, with_write_defaults
 from vigil.operators.validation import dedupe_events, enrich_events, validate_events
-from vigil.schemas import FAILED_LOGIN, METRICS_HISTORY_MAX, RECENT_EVENTS_MAX
+from vigil.schemas import FAILED_LOGIN, METRICS_HISTORY_MAX, PARSE_COLUMNS, RECENT_EVENTS_MAX
+
+COMMITS = "_commits"
+COUNTERS = ["processed", "inserted", "quarantined", "alerts", "insights", "fraud_detected"]
 
 
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
@@ -46,100 +57,107 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str | list[str],
-               arrival: list[str], partition_col: str | None = None,
-               layout=None, unique: bool = False) -> int:
-    """Append the rows whose key is not in the table yet (first
-    arrival per key wins); returns how many were appended.  ``unique=True``
-    declares the rows already unique per key (deduped upstream, or ids that
-    are unique by construction), which skips the first-per-key shuffle."""
-    existing = read_if_exists(spark, path)
-    keys = [key] if isinstance(key, str) else key
-    if unique:
-        new = rows if existing is None else rows.join(existing.select(*keys), keys, "left_anti")
-    elif existing is None:
-        new = first_by_key(rows, keys, arrival)
-    else:
-        new = rows_to_insert(existing, rows, keys[-1], arrival, partition_col if len(keys) > 1 else None)
-    # Observe after the layout: a range partitioner samples its input in a
-    # separate job, which would count the rows twice.
-    obs = Observation(f"append_{abs(hash(path))}")
-    new = (layout(new) if layout else new).observe(obs, F.count(F.lit(1)).alias("n"))
-    writer = new.write.mode("append")
-    if partition_col:
-        writer = writer.partitionBy(partition_col)
-    writer.parquet(path)
-    return int(obs.get.get("n", 0))
-
-
-def next_version(spark: SparkSession, path: str) -> int:
-    """Number of the next ``run=k`` version folder under ``path``."""
-    df = read_if_exists(spark, path)
-    if df is None or "run" not in df.columns:
-        return 0
-    return int(df.agg(F.max("run")).first()[0]) + 1
+def last_commit(spark: SparkSession, out_dir: str) -> Row | None:
+    """``run`` (the last committed one) and ``events`` (stored by all committed
+    runs); None before the first commit."""
+    log = read_if_exists(spark, f"{out_dir}/{COMMITS}")
+    if log is None:
+        return None
+    last = log.agg(F.max("run").alias("run"), F.sum("inserted").alias("events")).first()
+    return None if last.run is None else last
+
+
+def runs_through(spark: SparkSession, out_dir: str, table: str, run: int | None) -> DataFrame | None:
+    """The rows of ``table`` from all runs up to ``run``."""
+    df = None if run is None else read_if_exists(spark, f"{out_dir}/{table}")
+    return None if df is None else df.filter(F.col("run") <= run).drop("run")
+
+
+def committed(spark: SparkSession, out_dir: str, table: str) -> DataFrame | None:
+    """A table as its readers see it: the rows of all committed runs."""
+    last = last_commit(spark, out_dir)
+    return runs_through(spark, out_dir, table, None if last is None else last.run)
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest ``run=k`` version of a derived table (None if absent)."""
-    df = read_if_exists(spark, path)
-    if df is None or "run" not in df.columns:
-        return None
-    newest = df.agg(F.max("run")).first()[0]
-    return spark.read.parquet(f"{path}/run={newest}")
+    """The last committed version of a derived table (None if absent)."""
+    out_dir = path.rstrip("/").rsplit("/", 1)[0]
+    last = last_commit(spark, out_dir)
+    return None if last is None else spark.read.parquet(f"{path}/run={last.run}")
+
+
+class RunWriter:
+    """Writes one run's tables.  ``after_write`` is called with each table's
+    name once it is written (``_commits`` last)."""
+
+    def __init__(self, spark: SparkSession, out_dir: str, run: int, after_write: Callable[[str], None] | None = None):
+        self.spark, self.out_dir, self.run, self.after_write = spark, out_dir, run, after_write
+
+    def path(self, table: str) -> str:
+        return f"{self.out_dir}/{table}/run={self.run}"
 
+    def write(self, df: DataFrame, table: str, partition_col: str | None = None) -> DataFrame:
+        """Write the run's part of ``table`` and return it as stored."""
+        # Static overwrite: an unfinished attempt's partitions go as a whole.
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(partition_col) if partition_col else writer).parquet(self.path(table))
+        if self.after_write:
+            self.after_write(table)
+        # The schema is given, as a partitioned write of no rows has no file.
+        return self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])) \
+                         .parquet(self.path(table))
 
-def count_windows_incremental(spark: SparkSession, new_rows: DataFrame, out_dir: str, every: int) -> DataFrame:
+
+def count_windows_incremental(spark: SparkSession, new_rows: DataFrame, out: RunWriter, prev_total: int,
+                              every: int) -> DataFrame:
     """A8 across runs without re-sorting history.
 
     Stored events carry a running sequence number: a run numbers its new
-    events after the previous total, in (event_time, event_id) order (a sort
-    of the run's rows only).  Window ``k`` is ``seq // every``.  The run log
-    (one row per run) gives the previous total; a buffer of the last
-    ``every`` rows (bounded) supplies the still-open window and the tail.
-    Both live in versioned folders under ``_state`` (no read-then-overwrite
-    of one path).  For in-order arrival this equals numbering all events at
-    once.
+    events after the previous total (``prev_total``, from the commit log), in
+    (event_time, event_id) order (a sort of the run's rows only).  Window ``k``
+    is ``seq // every``.  A buffer of the last ``every`` rows (bounded), kept
+    with each run, supplies the still-open window and the tail.  For in-order
+    arrival this equals numbering all events at once.
     """
-    state = f"{out_dir}/_state"
-    runs = read_if_exists(spark, f"{state}/runs")
-    prev_total, run_no = 0, 0
-    if runs is not None:
-        r = runs.agg(F.sum("rows"), F.max("run")).first()
-        prev_total, run_no = int(r[0] or 0), int(r[1] or 0) + 1
     cols = ["event_time", "event_id"] + [c for c in S.COUNT_WINDOW_COLUMNS if c in new_rows.columns]
     ix = S.global_index(new_rows.select(*cols), ["event_time", "event_id"], total_col="_n")
     n_new = ix.select("_n").first()
-    n_new = int(n_new[0]) if n_new else 0
-    total = prev_total + n_new
+    total = prev_total + (int(n_new[0]) if n_new else 0)
     fresh = ix.withColumn("seq", F.col("idx") + F.lit(prev_total)).drop("idx", "_n")
-    buf = read_if_exists(spark, f"{state}/tail/run={run_no - 1}") if run_no else None
-    rows = fresh if buf is None else fresh.unionByName(buf.select(*fresh.columns))
+    rows = fresh
+    if out.run:
+        rows = rows.unionByName(spark.read.parquet(f"{out.out_dir}/_tail/run={out.run - 1}").select(*fresh.columns))
     rows = rows.withColumn("n_all", F.lit(total).cast("long"))
     tagged = S.tag_count_windows(rows, every, first_window=prev_total // every, idx_col="seq")
-    rows.filter(F.col("seq") >= total - every).drop("n_all") \
-        .write.mode("overwrite").parquet(f"{state}/tail/run={run_no}")
-    spark.createDataFrame([(run_no, prev_total, n_new)], "run long, first_seq long, rows long") \
-        .write.mode("append").parquet(f"{state}/runs")
+    out.write(rows.filter(F.col("seq") >= total - every).drop("n_all"), "_tail")
     return S.count_window_metrics(None, every, tagged=tagged)
 
 
 def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: PipelineModel | None = None,
                  window_minutes: int = 60, metrics_every: str = "1 minute", insight_every: int = 100,
                  failed_type: str = FAILED_LOGIN, rules: list | None = None,
-                 validate_kw: dict | None = None) -> DataFrame:
+                 validate_kw: dict | None = None, after_write: Callable[[str], None] | None = None) -> DataFrame:
     """Run the job for one batch of events; returns the run counters."""
+    last = last_commit(spark, out_dir)
+    prev_run, prev_total = (None, 0) if last is None else (last.run, int(last.events or 0))
+    out = RunWriter(spark, out_dir, 0 if prev_run is None else prev_run + 1, after_write)
+
     # Input and quarantine counts come from the quarantine write itself
-    # (observe), not from extra jobs.
-    checked = validate_events(events, **(validate_kw or {}))
+    # (observe), not from extra jobs.  A rejected row's id is a hash of the row
+    # as it came, before defaults, so a replay finds it stored.
+    sent_id = F.sha2(F.to_json(F.struct(*[F.col(c) for c in events.columns]), {"ignoreNullFields": "false"}), 256)
+    checked = validate_events(events.withColumn("quarantine_id", sent_id), **(validate_kw or {}))
     ok = F.size("reject_reasons") == 0
     v_obs = Observation("validated")
-    (checked.observe(v_obs, F.count(F.lit(1)).alias("rows"), F.sum(ok.cast("long")).alias("valid"))
-            .filter(~ok).write.mode("append").parquet(f"{out_dir}/quarantine"))
-    valid = validate_events(events, **(validate_kw or {})).filter(ok).drop("reject_reasons")
-
-    processed_path = f"{out_dir}/processed_events"
-    stored = read_if_exists(spark, processed_path)
+    rejected = (checked.observe(v_obs, F.count(F.lit(1)).alias("rows"), F.sum(ok.cast("long")).alias("valid"))
+                       .filter(~ok))
+    known = runs_through(spark, out_dir, "quarantine", prev_run)
+    if known is not None:
+        rejected = rejected.join(known.select("quarantine_id"), "quarantine_id", "left_anti")
+    out.write(rejected, "quarantine")
+    valid = validate_events(events, **(validate_kw or {})).filter(ok).drop("reject_reasons", *PARSE_COLUMNS)
+
+    stored = runs_through(spark, out_dir, "processed_events", prev_run)
     batch = dedupe_events(valid).withColumn("event_date", F.to_date("event_time"))
     raw_cols = batch.columns
     if stored is None:
@@ -165,61 +183,52 @@ def run_pipeline(spark: SparkSession, events: DataFrame, out_dir: str, model: Pi
     if model is not None:
         keep = [c for c in enriched.columns if c not in ("fraud_probability", "is_fraud", "confidence")]
         enriched = ML.score(model, enriched, keep=keep)
-    enriched = enriched.checkpoint()   # feeds the event table, its projection and the alerts
 
     # Range-partition on (date, user, id) before the partitioned write: each
     # task holds one or two dates (files ~ tasks + dates, not tasks x dates),
     # and a hot date (or a hot user within it) is split across tasks.
-    # Rows below are unique per key by construction (events deduped above,
-    # alert ids per (event, rule), insight ids per window).
-    inserted = append_new(spark, enriched, processed_path, ["event_date", "event_id"], ["event_time"],
-                          partition_col="event_date", unique=True,
-                          layout=lambda d: d.repartitionByRange("event_date", "user_id", "event_id"))
-    append_new(spark, with_write_defaults(enriched), f"{out_dir}/processed_events_table", "event_id",
-               ["event_time"], unique=True)
-
-    new_alerts = AL.evaluate_alerts(enriched, rules)
-    alerts_path = f"{out_dir}/alerts"
-    before = read_if_exists(spark, alerts_path)
-    n_alerts = append_new(spark, new_alerts, alerts_path, "alert_id", ["triggered_at"], unique=True)
-    added = spark.read.parquet(alerts_path)
-    if before is not None:
-        added = added.join(before.select("alert_id"), "alert_id", "left_anti")
-    AL.alert_deliveries(added).write.mode("append").parquet(f"{out_dir}/deliveries")
-    AL.alert_payloads(added).write.mode("append").parquet(f"{out_dir}/payloads")
-
-    # Derived tables are versioned (run=k folders); readers take the newest
-    # (``latest_version``).  Each is updated from the previous version and this
-    # run's rows only, never by rescanning the stored history.
-    run = next_version(spark, f"{out_dir}/metrics")
-    prev_recent = latest_version(spark, f"{out_dir}/recent_events")
-    recent_in = enriched if prev_recent is None else enriched.unionByName(
-        prev_recent.drop("pos"), allowMissingColumns=True)
-    bounded_history(recent_in, RECENT_EVENTS_MAX, ["event_time", "event_id"]) \
-        .write.mode("overwrite").parquet(f"{out_dir}/recent_events/run={run}")
-
-    processed = spark.read.parquet(processed_path)
-    bounds = enriched.agg(F.min("event_time"), F.max("event_time")).first()
-    metrics = latest_version(spark, f"{out_dir}/metrics")
-    if bounds[0] is not None:
-        lo_dt, hi_dt = window_bounds(bounds[0], bounds[1], metrics_every)
-        lo, hi = F.lit(lo_dt).cast("timestamp_ntz"), F.lit(hi_dt).cast("timestamp_ntz")
-        touched = processed.filter((F.col("event_date") >= F.to_date(lo)) & (F.col("event_date") <= F.to_date(hi))
-                                   & (F.col("event_time") >= lo) & (F.col("event_time") < hi))
-        recomputed = S.window_metrics(touched, metrics_every)
-        metrics = recomputed if metrics is None else metrics.join(
-            recomputed.select("window_start"), "window_start", "left_anti").unionByName(recomputed)
-    if metrics is not None:
-        metrics.write.mode("overwrite").parquet(f"{out_dir}/metrics/run={run}")
-        bounded_history(spark.read.parquet(f"{out_dir}/metrics/run={run}"), METRICS_HISTORY_MAX,
-                        ["window_start"]).write.mode("overwrite").parquet(f"{out_dir}/metrics_history/run={run}")
-    n_insights = append_new(spark, IN.template_insights(
-        count_windows_incremental(spark, enriched, out_dir, insight_every), "first_event_time", "last_event_time"),
-        f"{out_dir}/insights", "insight_id", ["window_start"], unique=True)
-
-    fraud = enriched.agg(F.coalesce(F.sum(F.col("is_fraud").cast("long")), F.lit(0))).first()[0]
+    # The stored rows, read back, feed everything below.
+    enriched = out.write(enriched.checkpoint().repartitionByRange("event_date", "user_id", "event_id"),
+                         "processed_events", partition_col="event_date")
+    out.write(with_write_defaults(enriched), "processed_events_table")
+
+    alerts = out.write(AL.evaluate_alerts(enriched, rules), "alerts")
+    out.write(AL.alert_deliveries(alerts), "deliveries")
+    out.write(AL.alert_payloads(alerts), "payloads")
+
+    # Each version is made of the previous one and this run's rows only.
+    recent_in = enriched
+    if prev_run is not None:
+        previous = spark.read.parquet(f"{out_dir}/recent_events/run={prev_run}")
+        recent_in = enriched.unionByName(previous.drop("pos"), allowMissingColumns=True)
+    out.write(bounded_history(recent_in, RECENT_EVENTS_MAX, ["event_time", "event_id"]), "recent_events")
+
+    stats = enriched.agg(F.count(F.lit(1)).alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"),
+                         F.coalesce(F.sum(F.col("is_fraud").cast("long")), F.lit(0)).alias("fraud")).first()
+    touched = enriched
+    if stats.n:
+        bounds = [F.lit(b).cast("timestamp_ntz") for b in window_bounds(stats.lo, stats.hi, metrics_every)]
+        day = F.col("event_date")
+        touched = runs_through(spark, out_dir, "processed_events", out.run).filter(
+            (day >= F.to_date(bounds[0])) & (day <= F.to_date(bounds[1]))
+            & (F.col("event_time") >= bounds[0]) & (F.col("event_time") < bounds[1]))
+    metrics = S.window_metrics(touched, metrics_every)
+    if prev_run is not None:
+        previous = spark.read.parquet(f"{out_dir}/metrics/run={prev_run}")
+        metrics = previous.join(metrics.select("window_start"), "window_start", "left_anti").unionByName(metrics)
+    metrics = out.write(metrics, "metrics")
+    out.write(bounded_history(metrics, METRICS_HISTORY_MAX, ["window_start"]), "metrics_history")
+
+    insights = IN.template_insights(count_windows_incremental(spark, enriched, out, prev_total, insight_every),
+                                    "first_event_time", "last_event_time")
+    known = runs_through(spark, out_dir, "insights", prev_run)
+    if known is not None:
+        insights = insights.join(known.select("insight_id"), "insight_id", "left_anti")
+    insights = out.write(insights, "insights")
+
     seen = v_obs.get
     n_valid = int(seen.get("valid") or 0)
-    rows = [("processed", n_valid), ("inserted", inserted), ("quarantined", int(seen.get("rows") or 0) - n_valid),
-            ("alerts", n_alerts), ("insights", n_insights), ("fraud_detected", int(fraud))]
-    return spark.createDataFrame(rows, "counter string, value long")
+    counts = [n_valid, stats.n, int(seen.get("rows") or 0) - n_valid, alerts.count(), insights.count(), int(stats.fraud)]
+    commit = spark.createDataFrame([tuple(counts)], ", ".join(f"{c} long" for c in COUNTERS)).coalesce(1)
+    out.write(commit, COMMITS)
+    return spark.createDataFrame(list(zip(COUNTERS, counts)), "counter string, value long")
