@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from vigil.llm.shared import ids_and_texts, release, tidy, written
 
 LENGTH, END_ID, SLACK, FAN_IN, CARRY, DEAL = 4096, 1, 16, 8, 4096, 1 << 16
-KNOWN_WORDS = 1 << 18  # of a generation; two are kept, about 130 MB a worker
+KNOWN_WORDS = 1 << 16  # of a generation, and what one batch adds; two generations are kept, about 90 MB a worker
 TEXT_BYTES = 4 << 20
 PUNCTUATION = ".,;:!?#$%&*"
 PIECES = "uid long, id long, piece int, start long, length long, ids binary"
