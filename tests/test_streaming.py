@@ -89,31 +89,58 @@ def test_console_sink_runs(spark, capsys):
         q.stop()
 
 
-def _stream_features(spark, batches, layout, window=60):
-    feats = SJ.rolling_features_stream(_stream_of(spark, batches), window, "failed_login", state_layout=layout)
-    sink = scratch_path(spark, f"feat-{layout}")
-    SJ.run_available(feats, sink, scratch_path(spark, f"feat-ck-{layout}"), "append")
+def _stream_features(spark, batches, window=60, **kw):
+    feats = SJ.rolling_features_stream(_stream_of(spark, batches), window, "failed_login", **kw)
+    sink = scratch_path(spark, "feat")
+    SJ.run_available(feats, sink, scratch_path(spark, "feat-ck"), "append")
     return {r.event_id: (r.txn_count_1h, r.avg_amount_1h, r.max_amount_1h, r.failed_attempts_1h,
                          r.unique_locations_1h) for r in spark.read.parquet(sink).collect()}
 
 
-def test_bucketed_and_list_state_match_batch_for_hot_user(spark):
+def _batch_features(spark, rows, window=60):
     from vigil.operators.rolling import rolling_user_features
-    rows = [event(i, user="hot" if i % 5 else f"u{i}", t=T0 + timedelta(seconds=97 * i),
-                  amount=float(i % 17) + 0.25, location=f"L{i % 7}",
-                  etype="failed_login" if i % 6 == 0 else "purchase") for i in range(400)]
-    batches = [rows[k:k + 100] for k in range(0, 400, 100)]      # in event order, 4 micro-batches
-    expect = {r.event_id: (r.txn_count_1h, r.avg_amount_1h, r.max_amount_1h, r.failed_attempts_1h,
-                           r.unique_locations_1h)
-              for r in rolling_user_features(frame(spark, rows), 60, failed_type="failed_login").collect()}
-    assert _stream_features(spark, batches, "buckets") == expect
-    assert _stream_features(spark, batches, "list") == expect
+    return {r.event_id: (r.txn_count_1h, r.avg_amount_1h, r.max_amount_1h, r.failed_attempts_1h, r.unique_locations_1h)
+            for r in rolling_user_features(frame(spark, rows), window, failed_type="failed_login").collect()}
+
+
+def _mixed(n, seconds, hot_share=10):
+    """Events of one hot user and, one in ``hot_share``, of others."""
+    return [event(i, user="hot" if i % hot_share else f"u{i % 3}", t=T0 + timedelta(seconds=seconds * i),
+                  amount=float(i * 7 % 17) + 0.25, location=f"L{i * i % 11}",
+                  etype="failed_login" if i % 6 == 0 else "purchase") for i in range(n)]
+
+
+def test_stream_features_match_batch_for_hot_user(spark):
+    """One user holds 90 % of every batch; frames end in stored slices, in new ones and span whole ones."""
+    rows = _mixed(1200, 19)                                      # 6 h in event order, 4 micro-batches
+    batches = [rows[k:k + 300] for k in range(0, 1200, 300)]
+    expect = _batch_features(spark, rows)
+    assert _stream_features(spark, batches) == expect
+    assert _stream_features(spark, batches, slices=60) == expect
+
+
+def test_stream_features_with_gaps_and_equal_times(spark):
+    rows = [event(i, user="u", t=T0 + timedelta(minutes=m), amount=float(i), location=f"L{i % 3}")
+            for i, m in enumerate([0, 0, 10, 10, 59, 60, 60, 61, 70, 119, 120, 300, 301, 361, 362])]
+    assert _stream_features(spark, [rows[:4], rows[4:7], rows[7:11], rows[11:]]) == _batch_features(spark, rows)
+
+
+def test_range_answers_by_brute_force():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 200):
+        t = np.sort(rng.integers(0, n, n))
+        v, code = rng.random(n), rng.integers(0, 5, n)
+        w = int(rng.integers(0, n + 1))
+        lo, hi = np.searchsorted(t, t - w, "left"), np.searchsorted(t, t, "right")
+        assert SJ.range_max(v, lo, hi).tolist() == [v[x:y].max() for x, y in zip(lo, hi)]
+        assert SJ.range_distinct(t, code, t - w, t + 1).tolist() == [len(set(code[x:y])) for x, y in zip(lo, hi)]
 
 
 def test_late_event_within_watermark_sees_its_frame(spark):
     b1 = [event(i, t=T0 + timedelta(minutes=10 * i), amount=10.0) for i in range(10)]     # 0..90 min
     late = [event(50, t=T0 + timedelta(minutes=85), amount=40.0)]                         # 5 min behind
-    got = _stream_features(spark, [b1, late], "buckets")
+    got = _stream_features(spark, [b1, late])
     # frame [25, 85] min: events at 30..80 (6 of them) plus itself
     assert got["e0050"][:3] == (7, round((6 * 1000 + 4000) / 7) / 100.0, 40.0)
 

@@ -6,9 +6,9 @@ streams cannot express change:
 * distinct users per window use an exact set size (``count_distinct`` is not
   allowed on streams) or HyperLogLog;
 * rolling per-user features (analytic windows are not allowed on streams)
-  run in ``transformWithStateInPandas`` with a per-user list state holding
-  only the last ``window`` of events, cleared by an event-time timer once the
-  user goes idle;
+  run in ``transformWithStateInPandas`` with state per group of users holding only the
+  last ``window`` of events in time slices, cleared by an event-time timer
+  once the group goes idle;
 * sinks are ``foreachBatch`` writes keyed by batch id, so a retried batch
   overwrites its own output and readers take the latest version per key.
 """
@@ -228,9 +228,16 @@ def tumbling_summary_append(stream: DataFrame, every: str = "1 minute", watermar
 # Rolling per-user features with keyed state
 # ---------------------------------------------------------------------------
 
-STATE_SCHEMA = "t long, c long, a double, f int, l string"
 ROLLING_OUT = ("event_id string, user_id string, t_us long, txn_count_1h long, avg_amount_1h double, "
                "max_amount_1h double, failed_attempts_1h long, unique_locations_1h long")
+SLICES_PER_WINDOW = 6
+USER_GROUPS = 64
+
+# Numbers are stored as the bytes of int64/float64 arrays.  HEAD has an element for each (user, slice): the slice's
+# number, rows, cents, failures, largest amount and user, and for each (user, slice, location); SLICE one for each row.
+HEAD = ("m binary, n binary, c binary, f binary, a binary, u array<string>, "
+        "pair_m binary, pair_u array<string>, pair_l array<string>")
+SLICE = "t binary, c binary, f binary, a binary, u array<string>, l array<string>"
 
 
 def _half_up(x: np.ndarray) -> np.ndarray:
@@ -238,229 +245,170 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     return r + ((x - r) >= 0.5)
 
 
-class RollingFeatureProcessor(StatefulProcessor):
-    """Per user: the events of the last ``window`` in a list state.
+def range_max(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Largest of ``values[lo:hi]`` for each (non-empty) range: maxima of 2**k
+    neighbours, one k at a time, so only two rows of the table are held."""
+    size = hi - lo
+    level = np.frexp(size.astype(np.float64))[1] - 1            # floor(log2(size))
+    out = np.empty(len(lo), np.float64)
+    table = values
+    for k in range(int(level.max(initial=0)) + 1):
+        if k:
+            table = np.maximum(table[:-(1 << (k - 1))], table[1 << (k - 1):])
+        at = level == k
+        out[at] = np.maximum(table[lo[at]], table[hi[at] - (1 << k)])
+    return out
 
-    For each micro-batch the user's new events are merged with the state in
-    event-time order and each new event gets the features of its frame
-    ``[t - window, t]`` (peers included), exactly as the batch window does
-    for in-order input.  Only events within ``window`` of the newest one stay
-    in state.  One event-time timer per user (armed when its state is
-    created, re-armed while it stays active) clears the state once the
-    watermark passes its newest event by ``window``.  Steady state costs one
-    state read and one write per user and batch.
-    """
 
-    def __init__(self, window_us: int, failed_type: str, passthrough: list[str] | None = None,
-                 retain_us: int | None = None):
-        self.window_us = window_us
-        self.retain_us = retain_us or window_us
-        self.failed_type = failed_type
-        self.passthrough = passthrough or []
+def range_distinct(pos: np.ndarray, code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Distinct codes at positions in ``[lo, hi)`` for ranges whose two ends never fall back.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buf = handle.getListState("recent", STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows, timerValues):
-        batches = list(rows)
-        new = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
-        eid = new["event_id"].to_numpy(dtype=object)
-        nt = new["t"].to_numpy(np.int64)
-        o = np.lexsort((eid.astype(str), nt))           # event time, then id
-        old = list(self.buf.get())
-        n_old = len(old)
-        if n_old:
-            ot, oc, oa, of, ol = (np.asarray(col) for col in zip(*old))
-        else:
-            ot = oc = of = np.empty(0, np.int64)
-            oa, ol = np.empty(0, np.float64), np.empty(0, object)
-        t = np.concatenate([ot.astype(np.int64), nt[o]])
-        c = np.concatenate([oc.astype(np.int64), new["c"].to_numpy(np.int64)[o]])
-        a = np.concatenate([oa.astype(np.float64), new["a"].to_numpy(np.float64)[o]])
-        f = np.concatenate([of.astype(np.int64), new["f"].to_numpy(np.int64)[o]])
-        loc = np.concatenate([ol.astype(object), new["l"].to_numpy(dtype=object)[o]])
-        order = np.argsort(t, kind="stable")            # state first among equal times
-        t, c, a, f, loc = t[order], c[order], a[order], f[order], loc[order]
-        idx = np.nonzero(order >= n_old)[0]             # positions of the new events
-        lo = np.searchsorted(t, t[idx] - self.window_us, side="left")
-        hi = np.searchsorted(t, t[idx], side="right")   # same-time peers included
-        cc, cf = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(f)])
-        cnt = hi - lo
-        out = pd.DataFrame({
-            "event_id": eid[o][order[idx] - n_old],
-            "user_id": str(key[0]),
-            "t_us": t[idx],
-            "txn_count_1h": cnt.astype(np.int64),
-            "avg_amount_1h": _half_up((cc[hi] - cc[lo]) / cnt) / 100.0,
-            "max_amount_1h": np.array([a[x:y].max() for x, y in zip(lo, hi)], dtype=np.float64),
-            "failed_attempts_1h": (cf[hi] - cf[lo]).astype(np.int64),
-            "unique_locations_1h": np.array([len(set(loc[x:y])) for x, y in zip(lo, hi)], dtype=np.int64),
-        })
-        pick = o[order[idx] - n_old]                    # new-row positions, output order
-        for col in self.passthrough:
-            out[col] = new[col].to_numpy(dtype=object)[pick]
-        keep = t >= t[-1] - self.retain_us
-        self.buf.put(list(zip(t[keep].tolist(), c[keep].tolist(), a[keep].tolist(), f[keep].tolist(),
-                              [str(x) for x in loc[keep]])))
-        if n_old == 0:
-            # A user with state always has exactly one pending timer.
-            self.handle.registerTimer(self._expiry_ms(int(t[-1])))
-        yield out
+    A place counts for a range if it is the code's first one there: ``pos < hi`` and the code's place before it is
+    below ``lo``.  Both, once true, stay true for the ranges after, so each place is counted once, at the first range
+    where both hold; places below ``lo`` are then taken off.
+    """
+    order = np.lexsort((pos, code))
+    p, c = pos[order], code[order]
+    before = np.full(len(p), np.iinfo(np.int64).min)         # a first place has none before it
+    same = c[1:] == c[:-1]
+    before[1:][same] = p[:-1][same]
+    since = np.maximum(np.searchsorted(hi, p, "right"), np.searchsorted(lo, before, "right"))
+    counted = np.cumsum(np.bincount(since, minlength=len(lo) + 1))[:len(lo)]
+    return counted - np.searchsorted(np.sort(p), lo, "left")
 
-    def _expiry_ms(self, newest_us: int) -> int:
-        return (newest_us + self.retain_us) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """Clear an idle user's state; re-arm the timer if the user was
-        active since it was set."""
-        newest = max((row[0] for row in self.buf.get()), default=None)
-        if newest is not None and self._expiry_ms(newest) > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(self._expiry_ms(newest))
-        else:
-            self.buf.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+def _codes(*names: np.ndarray) -> list[np.ndarray]:
+    """The arrays with equal texts as equal numbers."""
+    flat = np.unique(np.concatenate(names).astype(str), return_inverse=True)[1]
+    return np.split(flat, np.cumsum([len(x) for x in names])[:-1])
 
 
-BUCKET_AGG = "n long, c long, f long, mx double, locs array<string>"
-BUCKET_RAW = "t array<long>, c array<long>, a array<double>, f array<long>, l array<string>"
+class RollingProcessor(StatefulProcessor):
+    """For each group of users, the last window in slices of time.
 
+    State is one value of aggregates per (user, slice) (count, cents, failures, largest amount, locations) and a map of
+    the rows of each slice.  The frame ``[t - window, t]`` of a new event is made of whole slices between its two ends,
+    which the aggregates stand for, and rows of the two slices it ends in.  A batch reads the aggregates and those
+    slices and rewrites the slices its events fall into: a few state calls a group, whatever its users and their rates.
 
-class BucketedRollingProcessor(StatefulProcessor):
-    """W8 with state whose per-batch cost does not grow with a user's rate.
+    Aggregates and rows make one sequence by (user, time), a whole slice being one entry at its start.  All frames of
+    the batch are then ranges of that sequence, answered together: differences of prefix sums, ``range_max`` and
+    ``range_distinct``, no loop over events or users.
 
-    Per user, events live in time buckets of ``bucket_us`` (window / 60): a
-    map of per-bucket aggregates (count, cents, failures, max, locations) and
-    a map of per-bucket raw rows.  The frame ``[t - window, t]`` of a new
-    event is the bucket aggregates strictly between its two end buckets plus
-    the raw rows of the two partial end buckets, so a batch reads the
-    aggregates (at most ~61 entries per user) and the raw rows of the buckets
-    it touches, and rewrites only the buckets its events fall into.  Buckets
-    older than ``window + lateness`` before the newest event are removed; an
-    event-time timer clears an idle user.  Exact for in-order events and for
-    late events within the watermark.
+    Slices older than ``retain_us`` before the group's newest event go; an event-time timer clears an idle group.
+    Exact for in-order events and for late ones within the watermark.
     """
 
-    def __init__(self, window_us: int, bucket_us: int, retain_us: int, failed_type: str,
-                 passthrough: list[str] | None = None):
-        self.window_us, self.bucket_us, self.retain_us = window_us, bucket_us, retain_us
-        self.failed_type = failed_type
+    def __init__(self, window_us: int, slice_us: int, retain_us: int, passthrough: list[str] | None = None):
+        self.window_us, self.slice_us, self.retain_us = window_us, slice_us, retain_us
         self.passthrough = passthrough or []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.agg = handle.getMapState("agg", "m long", BUCKET_AGG)
-        self.raw = handle.getMapState("raw", "m long", BUCKET_RAW)
+        self.head = handle.getValueState("head", HEAD)
+        self.rows = handle.getMapState("rows", "m long", SLICE)
 
     def handleInputRows(self, key, rows, timerValues):
         batches = list(rows)
         new = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
-        eid = new["event_id"].to_numpy(dtype=object)
-        o = np.lexsort((eid.astype(str), new["t"].to_numpy(np.int64)))
-        nt = new["t"].to_numpy(np.int64)[o]
-        cols = {"c": new["c"].to_numpy(np.int64)[o], "a": new["a"].to_numpy(np.float64)[o],
-                "f": new["f"].to_numpy(np.int64)[o], "l": new["l"].to_numpy(dtype=object)[o]}
-        B, W = self.bucket_us, self.window_us
-        nm, lo_t = nt // B, nt - W
-        lo_m = lo_t // B
-
-        agg = {k[0]: v for k, v in self.agg.iterator()}
-        first_time = not agg
-        raw = {}
-        for m in set(nm.tolist()) | set(lo_m.tolist()):
-            if m in agg:
-                v = self.raw.getValue((m,))
-                raw[m] = [np.asarray(v[0], np.int64), np.asarray(v[1], np.int64),
-                          np.asarray(v[2], np.float64), np.asarray(v[3], np.int64), np.asarray(v[4], object)]
-        touched = sorted(set(nm.tolist()))
-        for m in touched:
-            sel = nm == m
-            part = [nt[sel], cols["c"][sel], cols["a"][sel], cols["f"][sel], cols["l"][sel]]
-            if m in raw:
-                part = [np.concatenate([x, y]) for x, y in zip(raw[m], part)]
-                order = np.argsort(part[0], kind="stable")   # stored rows first among equal times
-                part = [x[order] for x in part]
-            raw[m] = part
-            agg[m] = (len(part[0]), int(part[1].sum()), int(part[3].sum()), float(part[2].max()),
-                      sorted(set(part[4].tolist())))
-
-        keys = np.array(sorted(agg), dtype=np.int64)
-        an = np.array([agg[k][0] for k in keys], np.int64)
-        ac = np.array([agg[k][1] for k in keys], np.int64)
-        af = np.array([agg[k][2] for k in keys], np.int64)
-        amx = np.array([agg[k][3] for k in keys], np.float64)
-        bit = {}
-        for k in keys.tolist():
-            for loc in agg[k][4]:
-                bit.setdefault(loc, 1 << len(bit))
-        amask = [0] * len(keys)
-        for j, k in enumerate(keys.tolist()):
-            for loc in agg[k][4]:
-                amask[j] |= bit[loc]
-        pn, pc, pf = (np.concatenate([[0], np.cumsum(x)]) for x in (an, ac, af))
-
-        def partial(m, lo, hi):
-            r = raw.get(m)
-            if r is None:
-                return 0, 0, 0, -np.inf, 0
-            x, y = np.searchsorted(r[0], lo, "left"), np.searchsorted(r[0], hi, "right")
-            mask = 0
-            for loc in set(r[4][x:y].tolist()):
-                mask |= bit.setdefault(loc, 1 << len(bit))
-            mx = float(r[2][x:y].max()) if y > x else -np.inf
-            return y - x, int(r[1][x:y].sum()), int(r[3][x:y].sum()), mx, mask
-
-        n_out = len(nt)
-        cnt, sc, fl = (np.zeros(n_out, np.int64) for _ in range(3))
-        mx_out, locs_out = np.zeros(n_out, np.float64), np.zeros(n_out, np.int64)
-        for i in range(n_out):
-            m, lm, t = int(nm[i]), int(lo_m[i]), int(nt[i])
-            a_idx, b_idx = np.searchsorted(keys, lm, "right"), np.searchsorted(keys, m, "left")
-            n0, c0, f0, mx0, mask = (pn[b_idx] - pn[a_idx], pc[b_idx] - pc[a_idx], pf[b_idx] - pf[a_idx],
-                                     float(amx[a_idx:b_idx].max()) if b_idx > a_idx else -np.inf, 0)
-            for j in range(a_idx, b_idx):
-                mask |= amask[j]
-            parts = [partial(lm, int(lo_t[i]), t)] if lm != m else []
-            parts.append(partial(m, int(lo_t[i]) if lm == m else m * B, t))
-            for pn_, pc_, pf_, pm_, pk_ in parts:
-                n0, c0, f0, mx0, mask = n0 + pn_, c0 + pc_, f0 + pf_, max(mx0, pm_), mask | pk_
-            cnt[i], sc[i], fl[i], mx_out[i], locs_out[i] = n0, c0, f0, mx0, mask.bit_count()
-
-        for m in touched:
-            r = raw[m]
-            self.raw.updateValue((m,), (r[0].tolist(), r[1].tolist(), r[2].tolist(), r[3].tolist(),
-                                        [str(x) for x in r[4]]))
-            self.agg.updateValue((m,), agg[m])
-        evict_before = (int(nt[-1]) - self.retain_us) // B
-        for k in keys.tolist():
-            if k < evict_before:
-                self.agg.removeKey((k,))
-                self.raw.removeKey((k,))
-        if first_time:
-            self.handle.registerTimer(self._expiry_ms(int(keys.max())))
-
+        eid, user = (new[c].to_numpy(dtype=object).astype(str) for c in ("event_id", "user_id"))
+        order = np.lexsort((eid, new["t"].to_numpy(np.int64), user))
+        fresh = [new[c].to_numpy(d)[order] for c, d in (("t", np.int64), ("c", np.int64), ("f", np.int64), ("a", np.float64),
+                                                        ("user_id", object), ("l", object))]
+        nt = fresh[0]
+        own = nt // self.slice_us
+
+        head = self._load_head()
+        first_time = head is None
+        m, n, c, f, a, u, pair_m, pair_u, pair_l = head or self._no_head()
+        stored = {k: self._load_slice(k) for k in
+                  np.intersect1d(np.union1d(own, (nt - self.window_us) // self.slice_us), m).tolist()}
+
+        # One sequence: slices not read, as one entry per user; rows of the slices read; the new rows.
+        read = list(stored)
+        whole, far = ~np.isin(m, read), ~np.isin(pair_m, read)
+        parts = [[m[whole] * self.slice_us, c[whole], f[whole], a[whole], u[whole]]] + [s[:5] for s in stored.values()] + [fresh[:5]]
+        t, cs, fs, am, us = (np.concatenate(x) for x in zip(*parts))
+        ns = np.ones(len(t), np.int64)
+        ns[:int(whole.sum())] = n[whole]
+        # Locations: those of whole slices stand at the slice's start, like its entry.
+        loc_t = np.concatenate([pair_m[far] * self.slice_us] + [s[0] for s in stored.values()] + [nt])
+        loc = np.concatenate([pair_l[far]] + [s[5] for s in stored.values()] + [fresh[5]])
+        loc_u = np.concatenate([pair_u[far]] + [s[4] for s in stored.values()] + [fresh[4]])
+
+        uc, new_u, loc_uc = _codes(us, fresh[4], loc_u)
+        times = np.unique(np.concatenate([t, nt - self.window_us]))          # ranks: (user, time) in one number
+        place = lambda who, when: who * len(times) + np.searchsorted(times, when)
+        at = place(uc, t)
+        by_place = np.argsort(at, kind="stable")
+        at, cs, fs, am, ns = at[by_place], cs[by_place], fs[by_place], am[by_place], ns[by_place]
+        first, last = place(new_u, nt - self.window_us), place(new_u, nt)
+        lo, hi = np.searchsorted(at, first, "left"), np.searchsorted(at, last, "right")
+        pn, pc, pf = (np.concatenate([[0], np.cumsum(x)]) for x in (ns, cs, fs))
+        cnt = pn[hi] - pn[lo]
         out = pd.DataFrame({
-            "event_id": eid[o], "user_id": str(key[0]), "t_us": nt,
-            "txn_count_1h": cnt, "avg_amount_1h": _half_up(sc / cnt) / 100.0, "max_amount_1h": mx_out,
-            "failed_attempts_1h": fl, "unique_locations_1h": locs_out,
+            "event_id": eid[order], "user_id": fresh[4], "t_us": nt,
+            "txn_count_1h": cnt, "avg_amount_1h": _half_up((pc[hi] - pc[lo]) / cnt) / 100.0,
+            "max_amount_1h": range_max(am, lo, hi), "failed_attempts_1h": pf[hi] - pf[lo],
+            "unique_locations_1h": range_distinct(place(loc_uc, loc_t), _codes(loc)[0], first, last + 1),
         })
         for col in self.passthrough:
-            out[col] = new[col].to_numpy(dtype=object)[o]
+            out[col] = new[col].to_numpy(dtype=object)[order]
+
+        # Slices that the batch falls into and that stay are written again, with their aggregates.
+        newest = max(int(nt.max()), int(m.max(initial=own.max())) * self.slice_us)
+        oldest = (newest - self.retain_us) // self.slice_us
+        touched = np.unique(own[own >= oldest])
+        for k in touched.tolist():
+            r = [v[own == k] for v in fresh]
+            if k in stored:
+                r = [np.concatenate(v) for v in zip(stored[k], r)]
+            stored[k] = r
+            self.rows.updateValue((k,), (*(v.tobytes() for v in r[:4]), r[4].tolist(), r[5].tolist()))
+        for k in np.unique(m[m < oldest]).tolist():
+            self.rows.removeKey((k,))
+        stays, pairs_stay = (m >= oldest) & ~np.isin(m, touched), (pair_m >= oldest) & ~np.isin(pair_m, touched)
+        again = pd.concat([pd.DataFrame(dict(zip("tcfaul", stored[k]))).assign(m=k) for k in touched.tolist()])
+        sums = again.groupby(["u", "m"], sort=False).agg(n=("t", "size"), c=("c", "sum"), f=("f", "sum"), a=("a", "max")).reset_index()
+        pairs = again[["m", "u", "l"]].drop_duplicates()
+        joined = lambda old, stay, col, kind: np.concatenate([old[stay], col.to_numpy(kind)])
+        ints = {x: joined(v, stays, sums[x], np.int64).tobytes() for x, v in zip("mncf", (m, n, c, f))}
+        self.head.update((*ints.values(), joined(a, stays, sums["a"], np.float64).tobytes(), joined(u, stays, sums["u"], object).tolist(),
+                          joined(pair_m, pairs_stay, pairs["m"], np.int64).tobytes(),
+                          joined(pair_u, pairs_stay, pairs["u"], object).tolist(),
+                          joined(pair_l, pairs_stay, pairs["l"], object).tolist()))
+        if first_time:
+            self.handle.registerTimer(self._expiry_ms(newest // self.slice_us))
         yield out
 
-    def _expiry_ms(self, newest_bucket: int) -> int:
-        return ((newest_bucket + 1) * self.bucket_us + self.retain_us) // 1000 + 1
+    @staticmethod
+    def _no_head():
+        i, x, o = np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, object)
+        return i, i, i, i, x, o, i, o, o
+
+    def _load_head(self):
+        row = self.head.get() if self.head.exists() else None
+        if row is None:
+            return None
+        m, n, c, f, pair_m = (np.frombuffer(bytes(row[i]), np.int64) for i in (0, 1, 2, 3, 6))
+        u, pair_u, pair_l = (np.array(list(row[i]), object) for i in (5, 7, 8))
+        return m, n, c, f, np.frombuffer(bytes(row[4]), np.float64), u, pair_m, pair_u, pair_l
+
+    def _load_slice(self, k: int):
+        row = self.rows.getValue((k,))
+        t, c, f = (np.frombuffer(bytes(row[i]), np.int64) for i in range(3))
+        return [t, c, f, np.frombuffer(bytes(row[3]), np.float64), np.array(list(row[4]), object), np.array(list(row[5]), object)]
+
+    def _expiry_ms(self, newest_slice: int) -> int:
+        return ((newest_slice + 1) * self.slice_us + self.retain_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        newest = max((k[0] for k in self.agg.keys()), default=None)
-        if newest is not None and self._expiry_ms(newest) > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(self._expiry_ms(newest))
+        head = self._load_head()
+        if head is not None and self._expiry_ms(int(head[0].max())) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._expiry_ms(int(head[0].max())))
         else:
-            self.agg.clear()
-            self.raw.clear()
+            self.head.clear()
+            self.rows.clear()
         return iter([])
 
     def close(self) -> None:
@@ -469,20 +417,23 @@ class BucketedRollingProcessor(StatefulProcessor):
 
 def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
                             watermark: str = "10 minutes", ts_col: str = "event_time",
-                            passthrough: list[str] | None = None, state_layout: str = "buckets",
-                            dedupe: bool = True) -> DataFrame:
-    """W1–W6 on a stream, keyed by user, plus the ``passthrough`` columns
+                            passthrough: list[str] | None = None, dedupe: bool = True,
+                            slices: int = SLICES_PER_WINDOW, user_groups: int = USER_GROUPS) -> DataFrame:
+    """W1–W6 on a stream, keyed by groups of users, plus the ``passthrough`` columns
     of each event (for downstream scoring and rules).  Copies of an event
     within the watermark count once (D9); rows without a time are left out.
 
-    ``state_layout="buckets"`` (default) keeps per-bucket aggregates and raw
-    rows, so a batch's state I/O does not grow with a user's event rate;
-    ``"list"`` keeps the raw last window in one list (fewest state calls,
-    suited to low per-user rates).  Needs the RocksDB state store provider
-    (set here if the session has none)."""
+    ``slices`` is the number of state slices per window: more of them mean
+    fewer rows rewritten per batch for a dense user and more state calls.
+    ``user_groups`` is the number of state keys, which users are hashed to:
+    several per shuffle partition, fixed for the life of a checkpoint.
+    Needs the RocksDB state store provider (set here if the session has
+    none)."""
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        # A commit then writes the batch's changes; whole snapshots follow in the background.
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     window_us = int(window_minutes) * MICROS_PER_MINUTE
     passthrough = [c for c in (passthrough or []) if c not in ("event_id", "user_id", ts_col)]
     types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
@@ -499,10 +450,6 @@ def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_
                         F.coalesce(F.col("transaction_amount").cast("double"), F.lit(0.0)).alias("a"),
                         F.coalesce((F.col("event_type") == F.lit(failed_type)).cast("int"), F.lit(0)).alias("f"),
                         F.coalesce(F.col("location"), F.lit("")).alias("l")))
-    retain_us = window_us + interval_us(watermark)
-    if state_layout == "buckets":
-        processor = BucketedRollingProcessor(window_us, window_us // 60, retain_us, failed_type, passthrough)
-    else:
-        processor = RollingFeatureProcessor(window_us, failed_type, passthrough, retain_us)
-    return (prepared.groupBy("user_id")
+    processor = RollingProcessor(window_us, max(window_us // slices, 1), window_us + interval_us(watermark), passthrough)
+    return (prepared.withColumn("user_group", F.pmod(F.xxhash64("user_id"), F.lit(user_groups))).groupBy("user_group")
             .transformWithStateInPandas(processor, out_schema, "append", "EventTime"))
