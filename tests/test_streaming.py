@@ -207,3 +207,22 @@ def test_totals_of_more_than_a_hundred_batches(spark):
     stats = SJ.run_available(SJ.with_run_counters(stream), scratch_path(spark, "many-sink"),
                              scratch_path(spark, "many-ckpt"), "append")
     assert stats["batches"] == 115 and stats["input_rows"] == 115 and stats["observed"]["processed"] == 115
+
+
+def test_stream_insights_over_batches_and_retries(spark):
+    """Windows of 10 over micro-batches of other sizes equal the batch job's; a batch written twice changes nothing."""
+    from vigil.operators import insights as IN
+    from vigil.operators import summary as S
+    from vigil.plans.stream_pipeline import stream_insights, write_insights
+    rows = [event(i, user=f"u{i % 4}", t=T0 + timedelta(minutes=i), amount=float(i), score=0.9 if i % 7 == 0 else 0.1)
+            for i in range(57)]
+    expect = IN.template_insights(S.count_window_metrics(frame(spark, rows), 10), "first_event_time", "last_event_time").collect()
+    out = scratch_path(spark, "ins-out")
+    cuts = [0, 3, 3, 20, 41, 57]                                  # the second batch is empty
+    for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(2 if b in (1, 3) else 1):
+            write_insights(frame(spark, rows[x:y]), b, out, 10)
+        so_far = {r.insight_id for r in stream_insights(spark, out).collect()}
+        assert len(so_far) == y // 10 + (y % 10 > 0)
+    got = stream_insights(spark, out).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expect))

@@ -196,6 +196,29 @@ def tag_count_windows(ix: DataFrame, every: int, first_window: int = 0,
     return regular.unionByName(tail)
 
 
+def continue_count_windows(new_rows: DataFrame, tail: DataFrame | None, prev_total: int,
+                           every: int) -> tuple[DataFrame, DataFrame, int]:
+    """A8 across runs or micro-batches without re-sorting history.
+
+    New rows are numbered after the ``prev_total`` rows before them, in
+    (event_time, event_id) order (a sort of the new rows only); window ``k``
+    is ``seq // every``.  ``tail`` holds the last ``every`` rows before
+    (bounded) and supplies the still-open window.  Returns the rows tagged
+    with the windows that the new rows touch, the next tail, the new total.
+    For in-order arrival this equals numbering all rows at once.
+    """
+    cols = ["event_time", "event_id"] + [c for c in COUNT_WINDOW_COLUMNS if c in new_rows.columns]
+    ix = global_index(new_rows.select(*cols), ["event_time", "event_id"], total_col="_n")
+    first = ix.select("_n").first()
+    total = prev_total + (int(first[0]) if first else 0)
+    rows = ix.withColumn("seq", F.col("idx") + F.lit(prev_total)).drop("idx", "_n")
+    if tail is not None:
+        rows = rows.unionByName(tail.select(*rows.columns))
+    tagged = tag_count_windows(rows.withColumn("n_all", F.lit(total).cast("long")), every,
+                               first_window=prev_total // every, idx_col="seq")
+    return tagged, rows.filter(F.col("seq") >= total - every), total
+
+
 def count_windows(df: DataFrame, every: int = 100, order_cols: list[str] | None = None,
                   tagged: DataFrame | None = None, **kw) -> DataFrame:
     """A summary for every ``every`` consecutive events, plus a trailing

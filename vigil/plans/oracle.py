@@ -434,6 +434,7 @@ ins AS (SELECT sha256({iso_sql('first_event_time')} || '|' || {iso_sql('last_eve
         FROM cwm)"""
 
 SQL["insights"] = _INS + " SELECT * FROM ins"
+SQL["stream_insights"] = SQL["insights"]
 SQL["latest_insight"] = _INS + (" SELECT insight_id, window_start, risk_level, insight_text FROM ins "
                                 "ORDER BY window_start DESC LIMIT 1")
 SQL["insight_history"] = _INS + """,

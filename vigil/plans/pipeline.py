@@ -110,26 +110,11 @@ class RunWriter:
 
 def count_windows_incremental(spark: SparkSession, new_rows: DataFrame, out: RunWriter, prev_total: int,
                               every: int) -> DataFrame:
-    """A8 across runs without re-sorting history.
-
-    Stored events carry a running sequence number: a run numbers its new
-    events after the previous total (``prev_total``, from the commit log), in
-    (event_time, event_id) order (a sort of the run's rows only).  Window ``k``
-    is ``seq // every``.  A buffer of the last ``every`` rows (bounded), kept
-    with each run, supplies the still-open window and the tail.  For in-order
-    arrival this equals numbering all events at once.
-    """
-    cols = ["event_time", "event_id"] + [c for c in S.COUNT_WINDOW_COLUMNS if c in new_rows.columns]
-    ix = S.global_index(new_rows.select(*cols), ["event_time", "event_id"], total_col="_n")
-    n_new = ix.select("_n").first()
-    total = prev_total + (int(n_new[0]) if n_new else 0)
-    fresh = ix.withColumn("seq", F.col("idx") + F.lit(prev_total)).drop("idx", "_n")
-    rows = fresh
-    if out.run:
-        rows = rows.unionByName(spark.read.parquet(f"{out.out_dir}/_tail/run={out.run - 1}").select(*fresh.columns))
-    rows = rows.withColumn("n_all", F.lit(total).cast("long"))
-    tagged = S.tag_count_windows(rows, every, first_window=prev_total // every, idx_col="seq")
-    out.write(rows.filter(F.col("seq") >= total - every).drop("n_all"), "_tail")
+    """A8 across runs: the sequence goes on from the commit log's total, the
+    last rows of the run before are kept with it."""
+    tail = spark.read.parquet(f"{out.out_dir}/_tail/run={out.run - 1}") if out.run else None
+    tagged, tail, _ = S.continue_count_windows(new_rows, tail, prev_total, every)
+    out.write(tail, "_tail")
     return S.count_window_metrics(None, every, tagged=tagged)
 
 

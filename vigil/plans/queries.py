@@ -20,7 +20,7 @@ from vigil.operators import summary as S
 from vigil.operators.rolling import rolling_user_features
 from vigil.operators.summary import round_to
 from vigil.operators.validation import split_valid, validate_events, with_inference_defaults
-from vigil.plans.stream_pipeline import run_stream_pipeline
+from vigil.plans.stream_pipeline import run_stream_pipeline, stream_insights
 from vigil.schemas import FRAUD_PCT_REFERENCE, INSIGHT_HISTORY_MAX, METRICS_HISTORY_MAX, MODEL_INPUTS
 from vigil.session import ensure_checkpoint_dir, pin_utc, scratch_path
 from vigil.sources.json_events import archive_events, json_file_stream, parse_events, read_archive, to_wire
@@ -278,14 +278,17 @@ def _insights(spark, sf_dir):
     return ins, cwm
 
 
-def q_insights(spark, sf_dir):
-    ins, _ = _insights(spark, sf_dir)
+def _flat_insights(ins):
     return ins.select("insight_id", "window_start", "window_end", "insight_text",
                       F.array_join("key_findings", "\n").alias("key_findings"),
                       F.array_join("recommendations", "\n").alias("recommendations"),
                       "risk_level", "model_used")
 
 
+def q_insights(spark, sf_dir):
+    return _flat_insights(_insights(spark, sf_dir)[0])
+
+
 def q_insight_prompts(spark, sf_dir):
     cwm = S.count_window_metrics(_events(spark, sf_dir), every=INSIGHT_EVERY)
     return IN.insight_prompts(cwm, "first_event_time", "last_event_time")
@@ -655,7 +658,19 @@ def q_stream_alerts(spark, sf_dir):
     return spark.read.parquet(f"{out}/alerts").drop("batch_id", "resolved")
 
 
-QUERIES.update({"stream_alerts": q_stream_alerts})
+def q_stream_insights(spark, sf_dir):
+    """The streaming job's insights: a window closes every 100 events over all
+    micro-batches; equal to the batch insights.  The given scores stand."""
+    pin_utc(spark)
+    out = scratch_path(spark, "stream-insights")
+    STREAM_STATS["stream_insights"] = run_stream_pipeline(
+        spark, _event_stream(spark, sf_dir), out, scratch_path(spark, "ckpt-insights"),
+        rules=AL.default_rules(**RULE_PARAMS), window_minutes=RULE_WINDOW_MINUTES, failed_type=FAILED_TYPE,
+        validate_kw=VALIDATE, insight_every=INSIGHT_EVERY)
+    return _flat_insights(stream_insights(spark, out))
+
+
+QUERIES.update({"stream_alerts": q_stream_alerts, "stream_insights": q_stream_insights})
 
 
 def q_stream_from_json(spark, sf_dir):
