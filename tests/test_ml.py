@@ -109,3 +109,22 @@ def test_auc_and_confusion_match_brute_force(spark):
 def test_cross_validated_auc(spark):
     r = ML.cross_validated_auc(labelled(spark, 400), k=3, params=ML.GBTParams(max_iter=5, max_depth=3)).collect()[0]
     assert r.folds == 3 and r.cv_roc_auc_mean > 0.5 and r.cv_roc_auc_std >= 0.0
+
+
+def test_fixed_model_equals_mllib(spark, tmp_path):
+    """A fitted pipeline written down, saved and read gives the pipeline's scores: nulls, unseen classes, missing columns."""
+    from vigil.operators import fixed_model as FM
+    train = labelled(spark)
+    model = ML.fit_model(train, "label", ML.GBTParams(max_iter=5, max_depth=4))
+    path = str(tmp_path / "model.json")
+    FM.save_spec(FM.model_spec(model), path)
+    odd = train.withColumns({
+        "transaction_amount": F.when(F.col("hour_of_day") != 8, F.col("transaction_amount")),
+        "device_type": F.when(F.col("day_of_week") == 1, F.lit("smartwatch")).when(F.col("day_of_week") != 2, F.col("device_type"))})
+    for rows in (train, odd, train.drop("location", "is_night"), train.limit(0)):
+        want = ML.score(model, rows, keep=["event_id"])
+        got = FM.score_fixed(rows, FM.load_spec(path), keep=["event_id"])
+        assert got.columns == want.columns
+        assert sorted(got.collect()) == sorted(want.collect())
+    assert FM.score_fixed(odd, FM.load_spec(path)).filter("fraud_probability = 0 and not is_fraud and confidence = 0").count() \
+        >= odd.filter("transaction_amount is null").count() > 0

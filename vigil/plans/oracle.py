@@ -6,10 +6,12 @@ the pre-registered driver tables alone.
 
 from __future__ import annotations
 
+import json
+import os
 import re as _re
 
 from vigil.schemas import (ALERT_RULE_TEXT, ALERT_SUMMARY_HEADER, CHAT_COLOR, CHAT_ICON, DEVICE_TYPES,
-                           EVENT_TYPES, INSIGHT_FINDING_TEMPLATES, INSIGHT_RECOMMENDATIONS,
+                           EVENT_TYPES, INFERENCE_DEFAULTS, INSIGHT_FINDING_TEMPLATES, INSIGHT_RECOMMENDATIONS,
                            INSIGHT_TEXT_TEMPLATE, NO_ALERTS_TEXT, USER_PROMPT_TEMPLATE)
 from vigil.sources.tables import CANONICAL_EVENTS_SQL
 
@@ -681,3 +683,62 @@ SQL["ml_unseen"] = f"""WITH {EV},
 d AS (SELECT device_type, row_number() OVER (ORDER BY device_type) - 1 AS k
       FROM (SELECT DISTINCT device_type FROM ev WHERE device_type <> 'api'))
 SELECT event_id, CAST(coalesce(k, 0) AS DOUBLE) AS device_type_enc FROM ev LEFT JOIN d USING (device_type)"""
+
+
+# ---------------------------------------------------------------------------
+# Scoring with the written-down model: features, scaler and trees as SQL text
+# ---------------------------------------------------------------------------
+
+def _num(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _tree_sql(node) -> str:
+    if not isinstance(node, list):
+        return _num(node)
+    feature, threshold, left, right = node
+    return f"CASE WHEN s{feature:02d} <= {_num(threshold)} THEN {_tree_sql(left)} ELSE {_tree_sql(right)} END"
+
+
+def fixed_model_sql(source: str) -> str:
+    """CTEs ``scaled`` (s00..s15) and ``scored`` (p) over the rows of ``source``."""
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixed_model.json")) as f:
+        m = json.load(f)
+    place = lambda c: f"coalesce(list_position({m['classes'][c]!r}, {c}) - 1, 0)"
+    raw = ["transaction_amount", "hour_of_day", "day_of_week", "is_weekend", "is_night", place("device_type"),
+           place("event_type"), place("location"), "txn_count_1h", "avg_amount_1h", "max_amount_1h",
+           "failed_attempts_1h", "unique_locations_1h", "ln(1 + transaction_amount)",
+           "CASE WHEN avg_amount_1h > 0 THEN transaction_amount / avg_amount_1h ELSE 1.0 END",
+           "failed_attempts_1h / CASE WHEN txn_count_1h = 0 THEN 1 ELSE txn_count_1h END"]
+    scaled = ", ".join(f"(CAST({x} AS DOUBLE) - {_num(a)}) * {_num(1.0 / b if b else 0.0)} AS s{i:02d}"
+                       for i, (x, a, b) in enumerate(zip(raw, m["mean"], m["std"])))
+    margin = " + ".join(f"{_num(w)} * {_tree_sql(t)}" for w, t in zip(m["weights"], m["trees"]))
+    return f"""scaled AS (SELECT *, {scaled} FROM {source}),
+scored AS (SELECT *, 1 / (1 + exp(-2 * ({margin}))) AS p FROM scaled)"""
+
+
+_SCORE_COLUMNS = """CASE WHEN transaction_amount IS NULL THEN 0 ELSE round_even(p * 10000, 0) / 10000 END AS fraud_probability,
+       transaction_amount IS NOT NULL AND p >= 0.5 AS is_fraud,
+       CASE WHEN transaction_amount IS NULL THEN 0 ELSE round_even(greatest(p, 1 - p) * 10000, 0) / 10000 END AS confidence"""
+
+_ENR_TIMED = f"""{enriched_sql(60)},
+timed AS (SELECT * FROM enr JOIN (SELECT event_id, hour_of_day, day_of_week, is_weekend
+                                 FROM ({SQL["time_features"]})) USING (event_id))"""
+
+SQL["scaled_vector"] = f"""
+WITH {_ENR_TIMED}, {fixed_model_sql("timed")}
+SELECT event_id, {", ".join(f"round(s{i:02d} * 1e9) / 1e9 AS s{i:02d}" for i in range(16))} FROM scaled"""
+
+SQL["score_fixed_model"] = f"""
+WITH {_ENR_TIMED},
+holed AS (SELECT * REPLACE (CASE WHEN day_of_week <> 2 THEN transaction_amount END AS transaction_amount,
+                            CASE WHEN day_of_week <> 4 THEN device_type END AS device_type) FROM timed),
+{fixed_model_sql("holed")}
+SELECT event_id, user_id, {_SCORE_COLUMNS} FROM scored"""
+
+SQL["score_requests"] = f"""
+WITH {EV},
+req AS (SELECT event_id, transaction_amount, device_type, event_type, 'unknown' AS location,
+               {", ".join(f"{v} AS {k}" for k, v in INFERENCE_DEFAULTS.items())} FROM ev),
+{fixed_model_sql("req")}
+SELECT event_id, {_SCORE_COLUMNS} FROM scored"""

@@ -7,12 +7,15 @@ carry identical aliases on both sides.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.fmt import money, percent
 from vigil.functions.time import iso_text, with_time_features
 from vigil.operators import alerts as AL
+from vigil.operators import fixed_model as FM
 from vigil.operators import insights as IN
 from vigil.operators import ml as ML
 from vigil.operators import store as ST
@@ -823,3 +826,41 @@ QUERIES.update({
     "insight_rows": q_insight_rows,
     "ml_unseen": q_ml_unseen,
 })
+
+
+# ---------------------------------------------------------------------------
+# Scoring with a model that is written down
+# ---------------------------------------------------------------------------
+
+# 10 trees of depth 3 fitted on the training split of sf0.01 (equal weights).
+FIXED_MODEL = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixed_model.json")
+
+
+def q_scaled_vector(spark, sf_dir):
+    """M6 + M7: the 16 scaled inputs, 9 dp."""
+    rows = FM.scaled_features(_ml_frame(spark, sf_dir), FM.load_spec(FIXED_MODEL))
+    return rows.select("event_id", *[round_to(F.col("features")[i], 9).alias(f"s{i:02d}")
+                                     for i in range(len(ML.feature_columns()))])
+
+
+def q_score_fixed_model(spark, sf_dir):
+    """Every event; one weekday's amounts and another's devices are
+    taken away (failure defaults, class 0)."""
+    day = F.col("day_of_week")
+    rows = _ml_frame(spark, sf_dir).withColumns({
+        "transaction_amount": F.when(day != 2, F.col("transaction_amount")),
+        "device_type": F.when(day != 4, F.col("device_type"))})
+    return FM.score_fixed(rows, FM.load_spec(FIXED_MODEL), keep=["event_id", "user_id"])
+
+
+def q_score_requests(spark, sf_dir):
+    """Requests with a few fields, no location column at all."""
+    req = _events(spark, sf_dir).select("event_id", "transaction_amount", "device_type", "event_type")
+    return FM.score_fixed(with_inference_defaults(req), FM.load_spec(FIXED_MODEL), keep=["event_id"])
+
+
+QUERIES.update({
+    "scaled_vector": q_scaled_vector,
+    "score_fixed_model": q_score_fixed_model,
+    "score_requests": q_score_requests,
+})
