@@ -138,3 +138,19 @@ def test_ranges_split_a_dense_user_and_get_their_halo(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+def test_halo_grows_with_the_rows_not_with_the_ranges(spark, monkeypatch):
+    from vigil.operators import rolling
+    monkeypatch.setattr(rolling, "RANGE_ROWS", 25, raising=False)
+    monkeypatch.setattr(rolling, "LEAST_ROWS", 25, raising=False)
+    rows = [event(i, user="dense" if i % 20 else None, t=T0 + timedelta(seconds=(37 * i) % 6000), amount=float((7 * i) % 23),
+                  etype="failed_login" if i % 5 == 0 else "purchase", location=f"L{(i * i) % 7}" if i % 9 else None) for i in range(600)]
+    df = frame(spark, rows)
+    base = df.select(F.col("user_id").alias("_u"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("_t"))
+    ranges = rolling._ranges_with_halo(base, 3600 * 10**6)
+    own, halo = (ranges.where(c).groupBy("_range").agg(F.count("*").alias("n")).collect() for c in ("_own", "not _own"))
+    assert len(own) >= 20 and max(r["n"] for r in own) <= 60      # ranges of bounded size, whatever the session's settings
+    assert 0 < sum(r["n"] for r in halo) <= 600 + len(own)        # a row is copied about once, whole ranges come summed up
+    assert feats(df) == brute(rows, timedelta(minutes=60))
+    assert feats(df, window_minutes=9) == brute(rows, timedelta(minutes=9))
