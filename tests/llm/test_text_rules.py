@@ -68,6 +68,35 @@ def test_best_limit_judges_fewest_wrongly():
     assert best_limit(z[:2], good[:2], 9.0) == 9.0 == best_limit(z[:0], good[:0], 9.0)
 
 
+def test_limits_of_a_table_count_every_label(spark):
+    from vigil.llm import quality
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality")
+    assert quality.known_labels(labels, "doc_id").count() == 30_000
+    rng = random.Random(4)
+    rows = [(rng.choice(["en", "de", None]), rng.random() < 0.6, rng.randint(-60, 60) / 8) for _ in range(3000)]
+    rows += [("few", True, 1.0)] * 30 + [("few", False, 2.0)] * 9 + [("up", k % 2 == 0, k / 10 + 0.1) for k in range(40)]
+    rows += [("none", k < 20, 0.0) for k in range(40)] + [("cut", k < 20, k - 25.0) for k in range(40)]
+    got = quality.best_limits(spark.createDataFrame(rows, "__lang string, __good boolean, z double").repartition(5), 9.0).collect()
+    assert len(got) == len({r[0] for r in rows}) + 1
+    for r in got:
+        own = [x for x in rows if r["__all"] or x[0] == r["__of"]]
+        z, good = np.array([x[2] for x in own]), np.array([x[1] for x in own])
+        assert r["__enough"] == (min(good.sum(), (~good).sum()) >= 10)
+        assert (r["__low"], r["__high"]) == (best_limit(-z, good, 9.0), best_limit(z, good, 9.0))
+
+
+def test_every_ngram_of_every_text_is_counted():
+    import pyarrow as pa
+    from vigil.llm.quality import CLASSES, ngram_keys
+    from vigil.llm.words import slices
+    texts = ["abcd", "", "abc", "Über 12 été!", "xx", "q" * 50 + " # \n" + "zebra " * 9, "four", ""]
+    for part in slices(pa.array(texts)):
+        keys, edges = ngram_keys(part)
+        for k, text in enumerate(texts[part.rows.start:part.rows.stop]):
+            c = [int(CLASSES[x]) for x in text.encode()]
+            assert keys[edges[k]:edges[k + 1]].tolist() == [((c[i] * 32 + c[i + 1]) * 32 + c[i + 2]) * 32 + c[i + 3] for i in range(len(c) - 3)]
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     keys, counts = np.unique(rng.zipf(1.3, 5000) % KEYS, return_counts=True)
