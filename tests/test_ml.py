@@ -128,3 +128,17 @@ def test_fixed_model_equals_mllib(spark, tmp_path):
         assert sorted(got.collect()) == sorted(want.collect())
     assert FM.score_fixed(odd, FM.load_spec(path)).filter("fraud_probability = 0 and not is_fraud and confidence = 0").count() \
         >= odd.filter("transaction_amount is null").count() > 0
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    """A frame in a few partitions of any size fills all task slots, keeps every row, and repeats itself; a small one stays as it is."""
+    big = spark.range(0, ML.DEAL_FROM, 1, 1).withColumn("x", F.rand(3)).unionByName(spark.range(3).withColumn("x", F.lit(0.5)))
+    slots = spark.sparkContext.defaultParallelism
+    dealt = ML.checkpoint_dealt(big, ML.DEAL_FROM + 3)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) % slots == 0 and max(sizes) - min(sizes) <= 2 * big.rdd.getNumPartitions()
+    assert dealt.exceptAll(big).isEmpty() and dealt.count() == ML.DEAL_FROM + 3
+    ids = lambda d: d.select(F.spark_partition_id(), F.monotonically_increasing_id(), "id")
+    assert ids(dealt).exceptAll(ids(ML.checkpoint_dealt(big, ML.DEAL_FROM + 3))).isEmpty()
+    few = big.filter("id < 1000").coalesce(1)
+    assert ML.checkpoint_dealt(few, 1000).rdd.getNumPartitions() == 1
