@@ -226,3 +226,24 @@ def test_stream_insights_over_batches_and_retries(spark):
         assert len(so_far) == y // 10 + (y % 10 > 0)
     got = stream_insights(spark, out).collect()
     assert sorted(map(str, got)) == sorted(map(str, expect))
+
+
+def test_stream_insights_bring_a_window_together_once(spark, monkeypatch):
+    from vigil.plans import stream_pipeline as SP
+
+    plans, metrics = [], SP.S.count_window_metrics
+
+    def seen(*args, **kw):
+        found = metrics(*args, **kw)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+    monkeypatch.setattr(SP.S, "count_window_metrics", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")                           # as in a stream's batch
+    try:
+        rows = [event(i, user=f"u{i % 3}") for i in range(25)]
+        out = scratch_path(spark, "insights-plan")
+        SP.write_insights(frame(spark, rows), 0, out, 10)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(plans) == 1 and "ENSURE_REQUIREMENTS" not in plans[0]
+    assert SP.stream_insights(spark, out).count() == 3

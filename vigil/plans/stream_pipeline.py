@@ -49,6 +49,8 @@ def write_insights(batch: DataFrame, batch_id: int, out_dir: str, every: int) ->
         total = spark.read.parquet(path(SEQUENCE, batch_id - 1)).first().total
     tagged, tail, total = S.continue_count_windows(batch, before, total, every)
     tail.write.mode("overwrite").parquet(path("_tail"))
+    # A window is ``every`` rows: brought together once, its summary, breakdowns and their join need no other exchange.
+    tagged = tagged.repartition("window_index", "is_tail").persist()
     metrics = S.count_window_metrics(None, every, tagged=tagged).persist()
     try:
         for table, rows in (("insights", ~F.col("is_tail")), ("insights_open", F.col("is_tail"))):
@@ -56,6 +58,7 @@ def write_insights(batch: DataFrame, batch_id: int, out_dir: str, every: int) ->
                .write.mode("overwrite").parquet(path(table)))
     finally:
         metrics.unpersist()
+        tagged.unpersist()
     spark.createDataFrame([(total,)], "total long").coalesce(1).write.mode("overwrite").parquet(path(SEQUENCE))
 
 
