@@ -228,6 +228,21 @@ def test_stream_insights_over_batches_and_retries(spark):
     assert sorted(map(str, got)) == sorted(map(str, expect))
 
 
+def test_stream_state_has_one_partition_a_slot(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    slots = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * slots))
+    try:
+        stream = _stream_of(spark, [[event(i, user=f"u{i % 5}") for i in range(20)]])
+        SJ.run_available(SJ.counters_stream(stream, "user_id"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(3 * slots)     # the session's own stays
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(p.name for p in (tmp_path / "ckpt/state/0").iterdir() if p.name.isdigit()) == sorted(map(str, range(slots)))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("user_id", "value").collect()) == \
+        [(f"u{i}", 4) for i in range(5)]
+
+
 def test_stream_insights_bring_a_window_together_once(spark, monkeypatch):
     from vigil.plans import stream_pipeline as SP
 

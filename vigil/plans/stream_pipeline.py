@@ -33,7 +33,7 @@ from vigil.operators import summary as S
 from vigil.schemas import FAILED_LOGIN, PARSE_COLUMNS
 from vigil.operators.validation import validate_events
 from vigil.sources.json_events import archive_events
-from vigil.streaming.jobs import finished_progress, rolling_features_stream, run_available, run_totals
+from vigil.streaming.jobs import finished_progress, rolling_features_stream, run_available, run_totals, start_stream
 
 
 SEQUENCE = "_sequence"
@@ -107,8 +107,8 @@ def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, ch
         finally:
             enriched.unpersist()
 
-    q = (feats.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/events")
-         .foreachBatch(per_batch).trigger(availableNow=True).start())
-    totals = run_totals(finished_progress(q))
+    w = (feats.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/events")
+         .foreachBatch(per_batch).trigger(availableNow=True))
+    totals = run_totals(finished_progress(start_stream(stream.sparkSession, w)))
     totals["quarantine_batches"] = rejected["batches"]
     return totals

@@ -129,6 +129,26 @@ def run_totals(progress: list[dict]) -> dict:
     }
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state and of what its batches derive: a task slot each, never more than the session's.
+
+    Every batch opens and commits a state store a partition and operator, whatever the rows, so several waves of small
+    tasks cost more than they spread."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def start_stream(spark: SparkSession, writer):
+    """Start a query with ``state_partitions``.  A query keeps the settings it starts with (and a checkpoint the number
+    of partitions it began with), so the session's own are put back at once."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(state_partitions(spark)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mode: str = "update",
                   name: str | None = None) -> dict:
     """Process everything available now, then stop (batch-style runs/tests).
@@ -140,7 +160,7 @@ def run_available(stream: DataFrame, sink_path: str, checkpoint: str, output_mod
          .trigger(availableNow=True))
     if name:
         w = w.queryName(name)
-    return run_totals(finished_progress(w.start()))
+    return run_totals(finished_progress(start_stream(stream.sparkSession, w)))
 
 
 def kafka_sink(wire: DataFrame, servers: str, topic: str, checkpoint: str, trigger: str = "30 seconds"):
