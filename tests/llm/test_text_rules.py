@@ -97,6 +97,86 @@ def test_every_ngram_of_every_text_is_counted():
             assert keys[edges[k]:edges[k + 1]].tolist() == [((c[i] * 32 + c[i + 1]) * 32 + c[i + 2]) * 32 + c[i + 3] for i in range(len(c) - 3)]
 
 
+def plain_whole_scores(rows, span):
+    """Log perplexity by runs of ``span`` bytes, nothing folded, a model for each language: dictionaries only."""
+    runs = {i: [text.encode()[k:k + span] for k in range(len(text.encode()) - span + 1)] for i, text, *_ in rows}
+    out = {}
+    for lang in {r[2] for r in rows}:
+        counts = {span: collections.Counter(g for i, _, of, failed in rows if of == lang and not failed for g in runs[i])}
+        for k in range(span - 1, 0, -1):
+            counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+        cuts, mass, left = {}, collections.Counter(), collections.Counter()
+        for k, own in counts.items():
+            n = [max(1, sum(v == j for v in own.values())) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            cuts[k] = [0.0, *(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.0), most) for j, most in ((1, 0.95), (2, 1.9), (3, 2.85)))]
+            for g, v in own.items():
+                mass[k, g[:-1]] += v
+                left[k, g[:-1]] += cuts[k][min(v, 3)]
+
+        def prob(g):
+            if not g:
+                return 1 / 256
+            k, lower = len(g), prob(g[1:])
+            if not mass[k, g[:-1]]:
+                return lower
+            v = counts[k][g]
+            return (v - cuts[k][min(v, 3)] + left[k, g[:-1]] * lower) / mass[k, g[:-1]]
+        for i in (r[0] for r in rows if r[2] == lang):
+            out[i] = -sum(np.log(max(prob(g), 1e-12)) for g in runs[i]) / len(runs[i]) if runs[i] else None
+    return out
+
+
+def test_whole_model_folds_no_byte(spark, monkeypatch):
+    import pyarrow as pa
+    from vigil.llm import quality
+    from vigil.llm.words import slices
+    texts = ["abcdef", "", "abcde", "Über 12 été!", "xx", "слово за слово", ""]
+    for part in slices(pa.array(texts)):
+        keys, edges = quality.byte_keys(part)
+        for k, text in enumerate(texts[part.rows.start:part.rows.stop]):
+            b = text.encode()
+            assert keys[edges[k]:edges[k + 1]].tolist() == [int.from_bytes(b[i:i + quality.SPAN]) for i in range(len(b) - quality.SPAN + 1)]
+    monkeypatch.setattr(quality, "BLOCK", 500)
+    df = documents(spark, [*[tuple(r)[:4] for r in documents(spark).limit(40).select("doc_id", "text", "lang", "source").collect()],
+                           (9001, "short text", "en", "s"), (9002, "слово " * 30, "xx", "s"), (9003, None, None, "s")])
+    got = by_id(measured(df))
+    rows = [(r["doc_id"], r["text"] or "", r["lang"], got[r["doc_id"]]["base_failed"]) for r in df.collect()]
+    for i, value in plain_whole_scores(rows, quality.SPAN).items():
+        assert got[i]["whole_log_perplexity"] is None if value is None else abs(got[i]["whole_log_perplexity"] - value) < 1e-4
+
+
+def test_counts_leave_a_task_in_parts(monkeypatch):
+    from vigil.llm import quality
+    monkeypatch.setattr(quality, "TALLY", 50)
+    rng, tally, total, out = np.random.default_rng(1), quality.Tally(), collections.Counter(), collections.Counter()
+    listed, parts = set(), 0
+    for k in range(60):
+        keys, lang, counted = rng.integers(0, 90, 30).astype(np.uint32), int(rng.integers(0, 3)), k % 4 > 0
+        tally.add(lang, keys, counted)
+        listed |= {(lang, int(x)) for x in keys}
+        total.update((lang, int(x)) for x in keys if counted)
+        for batch in tally.rows(last=k == 59):
+            parts += 1
+            for r in batch.to_pylist():
+                out[r["lang"], r["key"]] += r["n"]
+    assert parts > 3 and set(out) == listed and +out == total
+
+
+def test_words_beyond_ascii_are_told_apart(spark):
+    """Junk of the same byte classes as the good texts, so that the class model gives it the same perplexity."""
+    rng = random.Random(5)
+    letters = "абвгдежзиклмнопрстуфхцчшыэюя"
+    known = ["".join(rng.choices(letters, k=5)) for _ in range(40)]
+    junk = lambda: "".join(rng.choices(letters, k=5))
+    rows = [(k, " ".join(rng.choice(known) if k < 200 else junk() for _ in range(60)), "ru", "s") for k in range(230)]
+    labels = spark.createDataFrame([(k, int(k < 200), 0) for k in range(230)], "doc_id long, quality int, toxic int")
+    got = by_id(measured(documents(spark, rows), labels=labels))
+    assert not any(got[k]["base_failed"] for k in got)
+    assert len({round(r["log_perplexity"], 6) for r in got.values()}) == 1
+    assert {k for k in got if not got[k]["kept"]} == set(range(200, 230))
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     keys, counts = np.unique(rng.zipf(1.3, 5000) % KEYS, return_counts=True)
