@@ -262,3 +262,30 @@ def test_stream_insights_bring_a_window_together_once(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(plans) == 1 and "ENSURE_REQUIREMENTS" not in plans[0]
     assert SP.stream_insights(spark, out).count() == 3
+
+
+def test_bad_records_spread_a_large_batch_over_more_state_keys(spark, monkeypatch):
+    from vigil.plans import queries as Q
+    assert [SJ.user_groups_for(n) for n in (0, 640_000, 36_000_000)] == [64, 64, 3600]
+    seen = []
+    run = Q.run_stream_pipeline
+
+    def watched(*args, **kw):
+        seen.append(kw["user_groups"])
+        return run(*args, **kw)
+    monkeypatch.setattr(Q, "run_stream_pipeline", watched)
+    monkeypatch.setattr(SJ, "ROWS_PER_GROUP", 10)
+    from conftest import SF_SMALL
+    rows = {tuple(r)[:2] for r in Q.q_stream_bad_records(spark, SF_SMALL).collect()}
+    assert seen == [100] and rows == {tuple(r)[:2] for r in Q.q_bad_records(spark, SF_SMALL).collect()}
+
+
+def test_features_do_not_depend_on_the_number_of_state_keys(spark):
+    rows = [event(i, user=f"u{i % 7}", t=T0 + timedelta(minutes=3 * i), amount=1.0 + i) for i in range(60)]
+    got = []
+    for groups in (1, 64, 3600):
+        sink = scratch_path(spark, "groups-sink")
+        SJ.run_available(SJ.rolling_features_stream(_stream_of(spark, [rows]), 60, "failed_login", user_groups=groups),
+                         sink, scratch_path(spark, "groups-ckpt"), "append")
+        got.append(sorted(map(tuple, spark.read.parquet(sink).drop("batch_id").collect())))
+    assert len(got[0]) == 60 and got[0] == got[1] == got[2]

@@ -781,13 +781,14 @@ def q_bad_records(spark, sf_dir):
 
 
 def q_stream_bad_records(spark, sf_dir):
-    """The streaming job's quarantine for the same lines."""
+    """The streaming job's quarantine for the same lines, all in one batch (lines without a time move the watermark to now)."""
     pin_utc(spark)
+    rows = _events(spark, sf_dir).count()
     staged, out = scratch_path(spark, "stream-flawed"), scratch_path(spark, "stream-flawed-out")
     flawed_wire(spark, sf_dir).write.text(staged)
     run_stream_pipeline(spark, SJ.with_event_timestamp(json_file_stream(spark, staged)), out,
                         scratch_path(spark, "ckpt-flawed"), rules=AL.default_rules(**RULE_PARAMS),
-                        failed_type=FAILED_TYPE, validate_kw=VALIDATE)
+                        failed_type=FAILED_TYPE, validate_kw=VALIDATE, user_groups=SJ.user_groups_for(rows))
     bad = spark.read.parquet(f"{out}/quarantine")
     return _quarantined(bad.withColumn("event_time", F.col("event_time").cast("timestamp_ntz")))
 

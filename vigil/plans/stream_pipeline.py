@@ -33,7 +33,7 @@ from vigil.operators import summary as S
 from vigil.schemas import FAILED_LOGIN, PARSE_COLUMNS
 from vigil.operators.validation import validate_events
 from vigil.sources.json_events import archive_events
-from vigil.streaming.jobs import finished_progress, rolling_features_stream, run_available, run_totals, start_stream
+from vigil.streaming.jobs import USER_GROUPS, finished_progress, rolling_features_stream, run_available, run_totals, start_stream
 
 
 SEQUENCE = "_sequence"
@@ -74,16 +74,17 @@ def run_stream_pipeline(spark: SparkSession, stream: DataFrame, out_dir: str, ch
                         rules: list | None = None, model: PipelineModel | None = None,
                         window_minutes: int = 60, failed_type: str = FAILED_LOGIN,
                         watermark: str = "10 minutes", validate_kw: dict | None = None,
-                        insight_every: int | None = None, archive: bool = False) -> dict:
+                        insight_every: int | None = None, archive: bool = False, user_groups: int = USER_GROUPS) -> dict:
     """Run the stream until the available input is processed; returns run
     totals (batches, rows, watermark drops, quarantined rows).  Insights are
-    made if ``insight_every`` is given, the archive if ``archive`` is set."""
+    made if ``insight_every`` is given, the archive if ``archive`` is set.
+    ``user_groups``: see ``rolling_features_stream``."""
     checked = validate_events(stream, **(validate_kw or {})).withColumn("event_time", F.col("event_time").cast("timestamp"))
     ok = F.size("reject_reasons") == 0
     rejected = run_available(checked.filter(~ok), f"{out_dir}/quarantine", f"{checkpoint}/quarantine", "append")
     keep = [c for c in stream.columns if c not in ("event_id", "user_id", "event_time", *PARSE_COLUMNS)]
     feats = rolling_features_stream(checked.filter(ok).drop("reject_reasons", *PARSE_COLUMNS), window_minutes, failed_type, watermark,
-                                    passthrough=keep)
+                                    passthrough=keep, user_groups=user_groups)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         enriched = with_time_features(

@@ -251,7 +251,7 @@ def tumbling_summary_append(stream: DataFrame, every: str = "1 minute", watermar
 ROLLING_OUT = ("event_id string, user_id string, t_us long, txn_count_1h long, avg_amount_1h double, "
                "max_amount_1h double, failed_attempts_1h long, unique_locations_1h long")
 SLICES_PER_WINDOW = 6
-USER_GROUPS = 64
+USER_GROUPS, ROWS_PER_GROUP = 64, 10_000
 
 # Numbers are stored as the bytes of int64/float64 arrays.  HEAD has an element for each (user, slice): the slice's
 # number, rows, cents, failures, largest amount and user, and for each (user, slice, location); SLICE one for each row.
@@ -260,6 +260,11 @@ HEAD = ("m binary, n binary, c binary, f binary, a binary, u array<string>, "
 SLICE = "t binary, c binary, f binary, a binary, u array<string>, l array<string>"
 
 
+def user_groups_for(rows: int) -> int:
+    """State keys for a stream whose largest batch has ``rows`` rows: a worker holds a key's rows of a batch together."""
+    return max(USER_GROUPS, -(-rows // ROWS_PER_GROUP))
+
+
 def _half_up(x: np.ndarray) -> np.ndarray:
     r = np.floor(x)
     return r + ((x - r) >= 0.5)
@@ -446,7 +451,8 @@ def rolling_features_stream(stream: DataFrame, window_minutes: int = 60, failed_
     ``slices`` is the number of state slices per window: more of them mean
     fewer rows rewritten per batch for a dense user and more state calls.
     ``user_groups`` is the number of state keys, which users are hashed to:
-    several per shuffle partition, fixed for the life of a checkpoint.
+    several per shuffle partition, fixed for the life of a checkpoint, more
+    for large batches (``user_groups_for``).
     Needs the RocksDB state store provider (set here if the session has
     none)."""
     spark = stream.sparkSession
